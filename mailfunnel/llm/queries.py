@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, mixing, sharding, simhash, suffix, tokenfiles, topk, toxicity, urlfilter
+from . import decontam, lm, mixing, sharding, simhash, suffix, tokenfiles, topk, toxicity, urlfilter
 from .common import table
 
 
@@ -37,6 +37,10 @@ def op5_toxic_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.judged(docs, toxicity.trained(docs, table(spark, sf_dir, "labels")))
 
 
+def op6_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.scored(table(spark, sf_dir, "documents"))
+
+
 def op7_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.sharded(table(spark, sf_dir, "documents"), shards=24)
 
