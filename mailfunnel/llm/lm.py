@@ -286,26 +286,40 @@ def _restaurants(row: dict, contexts: int) -> tuple[Restaurants, tuple | None]:
 
 
 def _round(buckets: DataFrame, contexts: int, totals: Totals | None, seed: int, burn: int, samples: int) -> Totals:
-    """Seats every bucket once more and adds up the totals; only one row for each context and figure reaches the driver."""
+    """Seats every bucket once more and adds up the totals, in two steps before the driver."""
+
+    groups = max(4, int(buckets.count() ** 0.5))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        x = np.zeros(2 * contexts + 8)
         for b in batches:
             for row in b.to_pylist():
                 own, _ = _restaurants(row, contexts)
-                state = own.minimal() if totals is None else own.sampled(totals, _rng(seed, row), burn, samples)
-                x = own.totals(contexts, state)
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(x))), pa.array(x.astype(np.float64))], names=["i", "x"])
+                x += own.totals(contexts, own.minimal() if totals is None else own.sampled(totals, _rng(seed, row), burn, samples))
+        yield _vector(x, TaskContext.get().partitionId() % groups)
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        x = np.zeros(2 * contexts + 8)
+        for b in batches:
+            for data in b.column("x").to_pylist():
+                x += np.frombuffer(data)
+        yield _vector(x, 0)
 
-    got = buckets.mapInArrow(run, "i long, x double").groupBy("i").agg(F.sum("x").alias("x")).collect()
+    # a task's sums, then sums of about the square root of as many tasks, then the rest on the driver
+    sums = buckets.mapInArrow(run, "g int, x binary").repartition(groups, "g").mapInArrow(added, "g int, x binary")
     x = np.zeros(2 * contexts + 8)
-    for r in got:
-        x[r.i] = r.x
+    for r in sums.toLocalIterator():
+        x += np.frombuffer(bytes(r.x))
     out = Totals(contexts)
     out.c, out.t = x[:contexts], x[contexts : 2 * contexts]
     out.root_c, out.root_t, out.n, out.v, out.leaf_ones, out.leaf_twos, out.root_ones, out.root_twos = x[2 * contexts :]
     return out
 
 
+def _vector(x: np.ndarray, group: int) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([group], pa.int32()), pa.array([x.tobytes()], pa.binary())], names=["g", "x"])
+
+
 def _rng(seed: int, row: dict) -> np.random.Generator:
     return np.random.default_rng([seed, row["bucket"], row["kind"] == "h"])
 
@@ -324,6 +338,8 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold
     texts = docs.select(F.col(id_col).cast("long").alias("id"), (F.crc32(of.cast("binary")) % folds != held_out).alias("train"), text_bytes(text_col).alias("t"))
     heavy = heavy_words(texts.select("train", "t"), share)
     n_heavy, contexts = len(heavy), len(heavy) + 1 + CLASSES
+    if contexts > 0x7FFF:
+        raise ValueError("share is too small: contexts are packed in 15 bits")
     n_buckets = max(4, partitions(spark))
     packed = staged(_counted(texts, heavy, n_buckets, 8), "packed")
     gathered = packed.where("kind <> 'd'").groupBy("kind", "bucket").agg(F.collect_list(F.struct("size", "dn", "payload")).alias("x"))
