@@ -12,6 +12,7 @@ import json
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,29 +33,49 @@ MANIFEST = "file string, part int, seq int, n_docs long, n_tokens long, first_id
 
 class Encoder:
     """Whole texts to ids. White space always separates tokens of such a vocabulary, so each distinct piece between
-    white space is encoded once by the library and remembered; ids are those of the whole text."""
+    white space is encoded once by the library and remembered; ids are those of the whole text. New pieces go to the
+    library in one call, divided by a special token."""
 
-    def __init__(self, path: str, end: int | None, most: int = 400_000):
+    def __init__(self, path: str, end: int | None, most: int = 1_000_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
         self.end = b"" if end is None else np.array([end], "<u4").tobytes()
         self.known: dict[bytes, bytes] = {}
+        special = {i: t.content for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special}
+        self.mark = max(special.items(), default=(None, None))
+        lower = self.tokenizer.encode("QuIcK", add_special_tokens=False).ids == self.tokenizer.encode("quick", add_special_tokens=False).ids
+        self.folds = lower  # then ASCII texts without markup can be lower-cased before pieces are looked up
+
+    def _ids(self, pieces: list[str]) -> list[bytes]:
+        encode, (mark, text) = self.tokenizer.encode_batch_fast, self.mark
+        if text and not any("<" in p for p in pieces):
+            ids = np.array(encode([f" {text} ".join(pieces)], add_special_tokens=False)[0].ids, "<u4")
+            cut = np.flatnonzero(ids == mark)
+            if len(cut) == len(pieces) - 1:
+                data, edges = ids.tobytes(), [0, *(4 * cut + 4).tolist(), 4 * len(ids) + 4]
+                return [data[a : b - 4] for a, b in zip(edges, edges[1:])]
+        return [np.array(e.ids, "<u4").tobytes() for e in encode(pieces, add_special_tokens=False)]
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
-        pieces = [t.split() for t in texts]
+        pieces = [(t.lower() if self.folds and t.isascii() and b"<" not in t else t).split() for t in texts]
         wanted = set().union(*pieces)
         if len(self.known) + len(wanted) > self.most:
             self.known = {}
-        new = list(wanted.difference(self.known))
+        new = sorted(wanted.difference(self.known), key=lambda p: b"<" in p)
         for low in range(0, len(new), 5000):
             some = new[low : low + 5000]
-            for piece, e in zip(some, self.tokenizer.encode_batch_fast([p.decode("utf-8", "replace") for p in some], add_special_tokens=False)):
-                self.known[piece] = np.array(e.ids, "<u4").tobytes()
+            self.known.update(zip(some, self._ids([p.decode("utf-8", "replace") for p in some])))
         get = self.known.__getitem__
         return [b"".join(map(get, p)) + self.end for p in pieces]
 
 
+@lru_cache(2)
+def encoder(path: str, end: int | None) -> Encoder:
+    """One for each Python worker, so that what it remembers serves later tasks too."""
+    return Encoder(path, end)
+
+
 class Writer:
     """Writes one file of documents in the order given."""
 
@@ -122,7 +143,7 @@ def written(docs: DataFrame, tokenizer: str, end: int | None = 2, folder: str |
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
-        encode, (fs, root) = Encoder(tokenizer, end), pafs.FileSystem.from_uri(folder)
+        encode, (fs, root) = encoder(tokenizer, end), pafs.FileSystem.from_uri(folder)
         fs.create_dir(root, recursive=True)
         done, out, tokens, name = [], None, 0, ""
 
