@@ -1,8 +1,8 @@
 """Benchmark decontamination by CGK embedding and bit-sampling LSH (operator 2).
 
 Texts and items become sequences of lower-case words. For every item length, each window of that many words is a
-candidate if enough of its words occur in the benchmark at all (a necessary condition for the edit distance, so nothing
-is lost). The CGK random walk turns a window into a string of three times its length in which few edits mean few
+candidate if a run of an item's words stands about where the item has it and enough of its words occur in the benchmark at
+all (necessary conditions for the edit distance, so nothing is lost). The CGK random walk turns a window into a string of three times its length in which few edits mean few
 differing positions; each of several walks is sampled at a few positions several times, and a window meets the items of
 its length that agree in all positions of one sample. Pairs that meet are verified by exact word edit distance.
 """
@@ -72,6 +72,14 @@ def edit_distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return prev[:, -1]
 
 
+def _gram(ids) -> np.ndarray:
+    """A hash of runs of word ids, given as one array for each place in the run."""
+    h = np.zeros(len(ids[0]), np.uint64)
+    for x in ids:
+        h = mix64(h * np.uint64(31) + np.asarray(x).astype(np.uint64))
+    return h
+
+
 class Items:
     """Benchmark items by length, with their tables of sampled positions. Small: items of one block only."""
 
@@ -87,18 +95,32 @@ class Items:
             keys = signatures(ids)
             order = np.argsort(keys, axis=0, kind="stable")
             self.tables[length] = ([i for i, _ in own], ids, np.take_along_axis(keys, order, 0), order)
+        # with k edits one of k + 1 equal parts of an item is untouched: a window must hold a run of that many of its words
+        grams: dict[int, list[np.ndarray]] = {}
+        for length, (_, ids, _, _) in self.tables.items():
+            q = length // (int(share * length) + 1)
+            for at in range(length - q + 1):
+                h = _gram(ids[:, at : at + q].T)
+                grams.setdefault(q, []).append(np.stack([h.view(np.int64), np.full(len(h), length), np.full(len(h), at)], axis=1))
+        self.grams = {}
+        for q, parts in grams.items():
+            rows = np.unique(np.concatenate(parts), axis=0)
+            self.grams[q] = (rows[:, 0], rows[:, 1], rows[:, 2])
 
     def search(self, words: list[np.ndarray]) -> list[tuple[int, int, int, int, int]]:
         """Texts as word ids -> (text index, item, start word, words, distance): the best window of each text and item."""
         flat = np.concatenate([*words, np.zeros(1, np.int64)])
         ends = np.cumsum([len(w) for w in words])
         known = np.concatenate([[0], np.cumsum(flat > 0)])
+        near = self._near(flat, known)
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
         for length, (items, ids, keys, order) in self.tables.items():
-            if len(flat) <= length:
+            if len(flat) <= length or length not in near:
                 continue
             errors = int(self.share * length)
-            starts = np.flatnonzero(known[length:-1] - known[: -length - 1] >= length - errors)
+            starts = np.unique(near[length][:, None] + np.arange(-errors, errors + 1))
+            starts = starts[(starts >= 0) & (starts < len(flat) - length)]
+            starts = starts[known[starts + length] - known[starts] >= length - errors]
             text = np.searchsorted(ends, starts, side="right")
             inside = starts + length <= ends[text]
             starts, text = starts[inside], text[inside]
@@ -107,6 +129,21 @@ class Items:
         begin = np.concatenate([[0], ends])
         return [(t, i, s - int(begin[t]), n, d) for (t, i), (d, s, n) in best.items()]
 
+    def _near(self, flat: np.ndarray, known: np.ndarray) -> dict[int, np.ndarray]:
+        """By item length, where windows would start if a run of an item's words stood in its place."""
+        found: dict[int, list[np.ndarray]] = {}
+        for q, (hashes, lengths, offsets) in self.grams.items():
+            at = np.flatnonzero(known[q:] - known[:-q] == q)
+            h = _gram([flat[at + i] for i in range(q)]).view(np.int64)
+            low, high = np.searchsorted(hashes, h, "left"), np.searchsorted(hashes, h, "right")
+            hit = np.flatnonzero(high > low)
+            times = (high - low)[hit]
+            row = np.repeat(low[hit], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+            start, size = np.repeat(at[hit], times) - offsets[row], lengths[row]
+            for n in np.unique(size):
+                found.setdefault(int(n), []).append(start[size == n])
+        return {n: np.unique(np.concatenate(x)) for n, x in found.items()}
+
     def _meet(self, flat, starts, text, length, errors, items, ids, keys, order, best) -> None:
         windows = flat[starts[:, None] + np.arange(length)]
         met = []
@@ -153,8 +190,8 @@ def _searcher(items: Items):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         get = items.vocab.get
         for b in batches:
-            for low in range(0, b.num_rows, 2000):
-                part = b.slice(low, 2000)
+            for low in range(0, b.num_rows, 5000):
+                part = b.slice(low, 5000)
                 texts = part.column(1).to_pylist()
                 ids = [np.array([get(w, 0) for w in tokens(t)], np.int64) for t in texts]
                 found = sorted(items.search(ids)) if ids else []
