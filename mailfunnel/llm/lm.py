@@ -25,16 +25,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, partitions, staged, text_bytes
+from .common import mix64, staged, text_bytes
 
 END = b" "  # no word holds a space
 CLASSES = 256
+BUCKET_TOKENS = 2_400_000
 THETA_LEAF, THETA_ROOT = 2.0, 1.0
 _COLD = np.uint64(1 << 63)
 
 
-def heavy_words(texts: DataFrame, share: float) -> list[bytes]:
-    """Words with at least about ``share`` of the training tokens of ``texts(train, t)``, and the end; at most 2 / share words.
+def heavy_words(texts: DataFrame, share: float) -> tuple[list[bytes], int]:
+    """Words with at least about ``share`` of the training tokens of ``texts(train, t)``, and the end (at most 2 / share words); and the number of those tokens.
 
     A word with that share has it in some partition, so each partition reports those that reach it there.
     """
@@ -57,7 +58,7 @@ def heavy_words(texts: DataFrame, share: float) -> list[bytes]:
     found = texts.mapInArrow(run, "w binary, n long").groupBy("w").agg(F.sum("n").alias("n"))
     total = found.where(F.col("w") == F.lit(END)).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     least = max(1.0, total * share / 2)
-    return sorted({END} | {bytes(r.w) for r in found.where((F.col("w") != F.lit(END)) & (F.col("n") >= least)).collect()})
+    return sorted({END} | {bytes(r.w) for r in found.where((F.col("w") != F.lit(END)) & (F.col("n") >= least)).collect()}), int(total)
 
 
 class Coder:
@@ -336,11 +337,11 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold
     spark = docs.sparkSession
     of = F.when(F.col(id_col).isNull(), F.lit("None")).otherwise(F.col(id_col).cast("string"))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), (F.crc32(of.cast("binary")) % folds != held_out).alias("train"), text_bytes(text_col).alias("t"))
-    heavy = heavy_words(texts.select("train", "t"), share)
+    heavy, tokens = heavy_words(texts.select("train", "t"), share)
     n_heavy, contexts = len(heavy), len(heavy) + 1 + CLASSES
     if contexts > 0x7FFF:
         raise ValueError("share is too small: contexts are packed in 15 bits")
-    n_buckets = max(4, partitions(spark))
+    n_buckets = max(8, -(-tokens // BUCKET_TOKENS))
     packed = staged(_counted(texts, heavy, n_buckets, 8), "packed")
     gathered = packed.where("kind <> 'd'").groupBy("kind", "bucket").agg(F.collect_list(F.struct("size", "dn", "payload")).alias("x"))
     buckets = staged(gathered.select("kind", "bucket", F.col("x.size").alias("sizes"), F.col("x.dn").alias("bases"), F.col("x.payload").alias("payloads")), "buckets").repartition("kind", "bucket")
