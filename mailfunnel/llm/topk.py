@@ -49,7 +49,7 @@ def _search(q: np.ndarray, qd: np.ndarray, qid: np.ndarray, x: np.ndarray, xd: n
 def _pivots(rows: DataFrame, width: int, n: int) -> np.ndarray:
     """``n`` distinct vectors with the smallest hashes: a sample of fixed size that does not depend on the partitioning."""
     got = rows.select("vec").distinct().orderBy(F.xxhash64("vec")).limit(n).collect()
-    return np.array([list(r.vec) + [0] * (width - len(r.vec)) for r in got], np.float64).reshape(-1, width)
+    return np.array([list(r.vec) + [0] * (width - len(r.vec)) for r in got], np.float64).reshape(len(got), width)
 
 
 def top_k(vectors: DataFrame, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", scale: float = 64.0, query_step: int = 20, pivots: int = 32, block: int = 4096) -> DataFrame:
