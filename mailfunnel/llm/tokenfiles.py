@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 import struct
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -28,46 +29,68 @@ from .common import new_path, partitions, staged, text_bytes
 # Fixed values of the public seekable zstandard format.
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 INDEX = 0x184D2A50
+# Fixed values of the public tokenizer: its normalizer and its rule for cutting texts; and ASCII punctuation but for "<".
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLIT = {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}
+BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+PUNCTUATION = b"!\"#$%&'()*+,-./:;=>?@[\\]^_`{|}~"
 MANIFEST = "file string, part int, seq int, n_docs long, n_tokens long, first_id long, last_id long"
 
 
+def _latin(text: bytes | str) -> bool:
+    """Only Latin letters, and at least one."""
+    return text.isalpha() and max(text) < (128 if isinstance(text, bytes) else "\u0250")
+
+
+class Pieces(dict):
+    """Ids of pieces between white space, as bytes, remembered up to ``most``. A missing piece is cut where the tokenizer
+    is known to cut it (letters from the punctuation after them), and what is left goes to the library."""
+
+    def __init__(self, tokenizer, most: int):
+        from tokenizers.pre_tokenizers import ByteLevel
+
+        super().__init__()
+        self.tokenizer, self.most, self.bytewise = tokenizer, most, ByteLevel(add_prefix_space=False, use_regex=False)
+        made = json.loads(tokenizer.to_str())
+        marked = all("<" in t["content"] for t in made["added_tokens"])
+        # rules of the public tokenizer that the cuts rest on; with any other each piece goes to the library whole
+        self.cuts = marked and made["normalizer"] == NORMALIZER and (made["pre_tokenizer"] or {}).get("pretokenizers") == [SPLIT, BYTES]
+
+    def __missing__(self, piece: bytes) -> bytes:
+        if not self.cuts or b"<" in piece:
+            ids = self._encoded(piece)
+        elif piece.isascii() and piece.lower() != piece:
+            ids = self[piece.lower()]
+        elif (head := piece.rstrip(PUNCTUATION)) != piece and _latin(head[-1:] if head[-1:].isascii() else head.decode("utf-8", "replace")[-1:]):
+            ids = self[head] + self[piece[len(head) :]]
+        elif _latin(text := piece.decode("utf-8", "replace")) and text.lower() == text and unicodedata.is_normalized("NFC", text):
+            ((text, _),) = self.bytewise.pre_tokenize_str(text)
+            ids = np.array([t.id for t in self.tokenizer.model.tokenize(text)], "<u4").tobytes()
+        else:
+            ids = self._encoded(piece)
+        if len(self) >= self.most:
+            self.clear()
+        self[piece] = ids
+        return ids
+
+    def _encoded(self, piece: bytes) -> bytes:
+        return np.array(self.tokenizer.encode(piece.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
+
+
 class Encoder:
     """Whole texts to ids. White space always separates tokens of such a vocabulary, so each distinct piece between
-    white space is encoded once by the library and remembered; ids are those of the whole text. New pieces go to the
-    library in one call, divided by a special token."""
+    white space is encoded once and remembered; ids are those of the whole text."""
 
     def __init__(self, path: str, end: int | None, most: int = 1_000_000):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self.known = Pieces(Tokenizer.from_file(path), most)
         self.end = b"" if end is None else np.array([end], "<u4").tobytes()
-        self.known: dict[bytes, bytes] = {}
-        special = {i: t.content for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special}
-        self.mark = max(special.items(), default=(None, None))
-        lower = self.tokenizer.encode("QuIcK", add_special_tokens=False).ids == self.tokenizer.encode("quick", add_special_tokens=False).ids
-        self.folds = lower  # then ASCII texts without markup can be lower-cased before pieces are looked up
-
-    def _ids(self, pieces: list[str]) -> list[bytes]:
-        encode, (mark, text) = self.tokenizer.encode_batch_fast, self.mark
-        if text and not any("<" in p for p in pieces):
-            ids = np.array(encode([f" {text} ".join(pieces)], add_special_tokens=False)[0].ids, "<u4")
-            cut = np.flatnonzero(ids == mark)
-            if len(cut) == len(pieces) - 1:
-                data, edges = ids.tobytes(), [0, *(4 * cut + 4).tolist(), 4 * len(ids) + 4]
-                return [data[a : b - 4] for a, b in zip(edges, edges[1:])]
-        return [np.array(e.ids, "<u4").tobytes() for e in encode(pieces, add_special_tokens=False)]
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
-        pieces = [(t.lower() if self.folds and t.isascii() and b"<" not in t else t).split() for t in texts]
-        wanted = set().union(*pieces)
-        if len(self.known) + len(wanted) > self.most:
-            self.known = {}
-        new = sorted(wanted.difference(self.known), key=lambda p: b"<" in p)
-        for low in range(0, len(new), 5000):
-            some = new[low : low + 5000]
-            self.known.update(zip(some, self._ids([p.decode("utf-8", "replace") for p in some])))
-        get = self.known.__getitem__
-        return [b"".join(map(get, p)) + self.end for p in pieces]
+        get, cuts = self.known.__getitem__, self.known.cuts
+        # lower-cased first where that is the same: fewer distinct pieces
+        return [b"".join(map(get, (t.lower() if cuts and t.isascii() and b"<" not in t else t).split())) + self.end for t in texts]
 
 
 @lru_cache(2)

@@ -1,4 +1,5 @@
 import io
+import random
 import zlib
 
 import numpy as np
@@ -19,6 +20,16 @@ def test_ids_are_those_of_whole_texts():
         assert np.frombuffer(e([(text or "").encode()])[0], "<u4").tolist() == want
 
 
+def test_ids_of_random_pieces():
+    t, e = Tokenizer.from_file(PATH), tokenfiles.Encoder(PATH, None, most=50)
+    assert e.known.cuts
+    rng = random.Random(3)
+    parts = [*"abchst'.,!<>|_-09AHIS", "'s", "'LL", "don't", "\u0331", "\u0307", "é", "É", "ß", "Σ", "ς", "…", "—", "日", "\u00a0", "\x00", "👍", "<|endoftext|>", "²", "word", "xqzt", "\u2028"]
+    for _ in range(3000):
+        text = " ".join("".join(rng.choices(parts, k=rng.randint(1, 7))) for _ in range(rng.randint(1, 4)))
+        assert np.frombuffer(e([text.encode()])[0], "<u4").tolist() == t.encode(text, add_special_tokens=False).ids, repr(text)
+
+
 def test_round_trip(spark):
     rows = [(None if i == 3 else i % 9, x) for i, x in enumerate(TEXTS)]
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as id", "'x' as h", "2 as start")
