@@ -7,6 +7,7 @@ import os
 import tempfile
 import uuid
 import zlib
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -61,6 +62,18 @@ def fold(doc_id, modulus: int) -> int:
     return zlib.crc32(str(doc_id).encode()) % modulus
 
 
+def steps(lengths: Sequence[int], most: int) -> Iterator[tuple[int, int]]:
+    """Runs ``(low, high)`` of rows whose lengths add up to at most ``most``, one row at least: bounds what a task holds at once."""
+    low = total = 0
+    for i, n in enumerate(lengths):
+        if i > low and total + n > most:
+            yield low, i
+            low, total = i, 0
+        total += n
+    if low < len(lengths):
+        yield low, len(lengths)
+
+
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 

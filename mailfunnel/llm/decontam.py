@@ -15,13 +15,15 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64
+from .common import mix64, steps
 
 WORD = re.compile(r"[^\W_]+")
 WALKS, SAMPLES, BITS = 8, 6, 2
+STEP_CHARS = 4_000_000
 
 
 def tokens(text: str) -> list[str]:
@@ -190,8 +192,8 @@ def _searcher(items: Items):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         get = items.vocab.get
         for b in batches:
-            for low in range(0, b.num_rows, 5000):
-                part = b.slice(low, 5000)
+            for low, high in steps(pc.utf8_length(b.column(1)).to_pylist(), STEP_CHARS):
+                part = b.slice(low, high - low)
                 texts = part.column(1).to_pylist()
                 ids = [np.array([get(w, 0) for w in tokens(t)], np.int64) for t in texts]
                 found = sorted(items.search(ids)) if ids else []
@@ -212,9 +214,11 @@ def leaked(items: Items):
     """A column function: text -> whether it holds any item."""
     @F.pandas_udf("boolean")
     def of(texts: pd.Series) -> pd.Series:
-        ids = [np.array([items.vocab.get(w, 0) for w in tokens(t)], np.int64) for t in texts]
-        hit = {f[0] for f in items.search(ids)} if ids else set()
-        return pd.Series([i in hit for i in range(len(texts))])
+        hit = np.zeros(len(texts), bool)
+        for low, high in steps(texts.str.len().tolist(), STEP_CHARS):
+            ids = [np.array([items.vocab.get(w, 0) for w in tokens(t)], np.int64) for t in texts.iloc[low:high]]
+            hit[[low + f[0] for f in items.search(ids)]] = True
+        return pd.Series(hit)
 
     return of
 

@@ -12,7 +12,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -20,10 +20,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold
+from .common import fold, steps
 
 TOKEN = re.compile(r"[^\W_]+")
 SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_TOKENS = 1000, 3000, 2_000_000
+STEP_CHARS = 4_000_000
 
 
 def features(word: str) -> list[str]:
@@ -31,6 +32,20 @@ def features(word: str) -> list[str]:
     return [f"w={word}", *(f"{n}={word[:n]}" for n in range(3, 7) if len(word) > n)]
 
 
+class _Emissions(dict):
+    """Emissions by word, each worked out once; what is remembered is bounded."""
+
+    def __init__(self, model: Crf, most: int = 300_000):
+        super().__init__()
+        self.model, self.most = model, most
+
+    def __missing__(self, word: str) -> float:
+        if len(self) >= self.most:
+            self.clear()
+        self[word] = value = self.model.emission(word)
+        return value
+
+
 @dataclass
 class Crf:
     """Emission weights of the toxic state by feature (clean is 0), a transition matrix, start weights, and the document layer."""
@@ -40,23 +55,20 @@ class Crf:
     trans: np.ndarray = field(default_factory=lambda: np.zeros((2, 2)))
     start: np.ndarray = field(default_factory=lambda: np.zeros(2))
     layer: np.ndarray = field(default_factory=lambda: np.array([-3.0, 6.0, 0.0]))
-    cache: dict[str, float] = field(default_factory=dict, repr=False)
+    cache: _Emissions | None = field(default=None, repr=False)
 
     def __getstate__(self):
-        return self.__dict__ | {"cache": {}}
+        return self.__dict__ | {"cache": None}
 
     def emission(self, word: str) -> float:
         get = self.weights.get
         return self.bias + sum(get(f, 0.0) for f in features(word))
 
-    def emissions(self, words: list[list[str]]) -> list[np.ndarray]:
-        """Emission of every token; each distinct word is worked out once (the memory kept for that is bounded)."""
-        if len(self.cache) > 300_000:
-            self.cache.clear()
-        known = self.cache
-        for w in set().union(*words) - known.keys():
-            known[w] = self.emission(w)
-        get = known.__getitem__
+    def emissions(self, words: Iterable[list[str]]) -> list[np.ndarray]:
+        """Emission of every token; of an iterator only one text's words are held at a time."""
+        if self.cache is None:
+            self.cache = _Emissions(self)
+        get = self.cache.__getitem__
         return [np.fromiter(map(get, w), np.float64, len(w)) for w in words]
 
     def marginals(self, emissions: list[np.ndarray]) -> list[np.ndarray]:
@@ -221,18 +233,21 @@ def score_column(model: Crf):
 
     @F.pandas_udf("double")
     def of(texts: pd.Series) -> pd.Series:
-        return pd.Series(_scores(model, texts)[0])
+        score = np.zeros(len(texts))
+        for at, marg in _marginals(model, texts):
+            score[at] = model.score(marg)
+        return pd.Series(score)
 
     return of
 
 
-def _scores(model: Crf, texts: pd.Series) -> tuple[np.ndarray, list[np.ndarray], list[str]]:
-    out, marg, whole = [], [], [t or "" for t in texts]
-    for low in range(0, len(whole), 4000):
-        words = [TOKEN.findall(t.lower()) for t in whole[low : low + 4000]]
-        marg += (m := model.marginals(model.emissions(words)))
-        out.append(model.score(m))
-    return np.concatenate(out) if out else np.zeros(0), marg, whole
+def _marginals(model: Crf, texts: Iterable[str | None]) -> Iterator[tuple[list[int], list[np.ndarray]]]:
+    """``(indexes, marginals)`` of texts of like length together, a bounded number of characters at a time."""
+    whole = [t or "" for t in texts]
+    order = sorted(range(len(whole)), key=lambda i: len(whole[i]))
+    for low, high in steps([len(whole[i]) for i in order], STEP_CHARS):
+        at = order[low:high]
+        yield at, model.marginals(model.emissions(TOKEN.findall(whole[i].lower()) for i in at))
 
 
 def judged(docs: DataFrame, model: Crf, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, held_out: int = 0) -> DataFrame:
@@ -245,13 +260,18 @@ def judged(docs: DataFrame, model: Crf, id_col: str = "doc_id", text_col: str =
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            score, marg, texts = _scores(model, f.t)
-            spans = [_spans(t, m) for t, m in zip(texts, marg)]
+            score, texts = np.zeros(len(f)), [t or "" for t in f.t]
+            spans: list[tuple[int, int, int]] = [(0, -1, -1)] * len(f)
+            for at, marg in _marginals(model, texts):
+                score[at] = model.score(marg)
+                for i, m in zip(at, marg):
+                    if found := _spans(texts[i], m):
+                        spans[i] = (len(found), *found[0])
             out = f[[id_col]].copy()
             out["held_out"] = [fold(None if pd.isna(i) else int(i), folds) == held_out for i in f[id_col]]
             out["score"], out["predicted"] = score, (score >= 0.5).astype(np.int32)
-            out["n_spans"] = np.array([len(s) for s in spans], np.int32)
-            out["first_start"], out["first_end"] = [s[0][0] if s else -1 for s in spans], [s[0][1] if s else -1 for s in spans]
+            n, start, end = np.array(spans, np.int64).reshape(-1, 3).T
+            out["n_spans"], out["first_start"], out["first_end"] = n.astype(np.int32), start, end
             yield out
 
     return docs.select(F.col(id_col).alias(id_col), F.col(text_col).cast("string").alias("t")).mapInPandas(run, f"{id_col} {kind}, held_out boolean, score double, predicted int, n_spans int, first_start long, first_end long")

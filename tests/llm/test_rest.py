@@ -1,6 +1,8 @@
 import random
 import zlib
 
+import numpy as np
+
 from mailfunnel.llm import mixing, sharding, topk, toxicity, urlfilter
 
 
@@ -39,7 +41,7 @@ def test_shards(spark, tmp_path):
     sizes = [(slot, n) for _, slot, _, n in first]
     grown = sharding.rebalanced(first, sizes, 6)
     old = {slot: shard for _, slot, shard, _ in first}
-    assert {v for v, *_ in grown} == {2} and all(shard in (old[slot], 5) or True for _, slot, shard, _ in grown)
+    assert {v for v, *_ in grown} == {2} and all(shard in (old[slot], 5) for _, slot, shard, _ in grown)
     assert sum(old[slot] != shard for _, slot, shard, _ in grown) < 0.3 * len(grown)
     assert sharding.sharded(df.limit(0)).count() == 0
 
@@ -72,7 +74,7 @@ def test_url_edges(spark):
     assert {r.page_id: r.rule for r in urlfilter.judged(df, rules=many).collect()} == {k: v[2] for k, v in got.items()}
 
 
-def test_crf_finds_spans():
+def test_crf_finds_spans(monkeypatch):
     rng = random.Random(2)
     word = lambda: rng.choice(["the", "of", "and", "house", "river", "stone", "cloud"])
     rows = []
@@ -82,9 +84,28 @@ def test_crf_finds_spans():
             words[10:12] = ["vile", rng.choice(["vermin", "verminous"])]
         rows.append((" ".join(words), int(i % 5 == 0)))
     model = toxicity.fit(rows)
-    import pandas as pd
-
-    score, marg, texts = toxicity._scores(model, pd.Series([*(t for t, _ in rows), "", None]))
+    texts = [*(t for t, _ in rows), "", None]
+    whole = {i: m for at, marg in toxicity._marginals(model, texts) for i, m in zip(at, marg)}
+    monkeypatch.setattr(toxicity, "STEP_CHARS", 1000)
+    parts = list(toxicity._marginals(model, texts))
+    assert len(parts) > 10 and sorted(i for at, _ in parts for i in at) == list(range(len(texts)))
+    assert all(np.allclose(whole[i], m) for at, marg in parts for i, m in zip(at, marg))
+    score = model.score([whole[i] for i in range(len(texts))])
     assert all((s >= 0.5) == bool(y) for s, (_, y) in zip(score, rows)) and max(score[-2:]) < 0.5
-    a, b = toxicity._spans(texts[0], marg[0])[0]
+    a, b = toxicity._spans(texts[0], whole[0])[0]
     assert "vile" in texts[0][a:b]
+
+
+def test_crf_over_tables(spark):
+    texts = [(i, ("river vile vermin " if i % 4 == 0 else "river stone ") * (1 + i % 3)) for i in range(60)] + [(None, None), (7, ""), (7, "")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").selectExpr("*", "1 as score", "2 as t", "3 as toxic")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(60)], "doc_id long, toxic int")
+    model = toxicity.trained(docs, labels)
+    got = toxicity.judged(docs, model).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        bad = r.doc_id is not None and r.doc_id % 4 == 0
+        assert r.predicted == bad and (r.n_spans > 0) == bad and (r.first_start in (6, 11) if bad else (r.first_start, r.first_end) == (-1, -1))
+    kept = toxicity.clean(docs, model)
+    assert kept.columns == docs.columns and kept.count() == sum(1 - r.predicted for r in got)
+    assert toxicity.judged(docs.limit(0), model).count() == 0 == toxicity.clean(docs.limit(0), model).count()
