@@ -219,14 +219,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(named, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def one_per_root(docs: DataFrame, rooted: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Of the rows of ``docs`` one for each root in ``rooted(id, x, root)``, where x is ``xxhash64`` of the text: the smallest by id (null last), then x.
+
+    Components are told apart by root only, so null and repeated ids lose no component. All columns are kept.
+    """
+    best = rooted.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "x")).alias("m"))
+    heads = best.select(F.col("m.id").alias("__id"), F.col("m.x").alias("__text")).distinct()
+    marked = docs.withColumn("__x", F.xxhash64(text_col))
+    hit = marked.join(heads, marked[id_col].eqNullSafe(F.col("__id")) & (F.col("__x") == F.col("__text")), "left_semi")
+    order = Window.partitionBy(id_col, "__x").orderBy(F.col(text_col).asc_nulls_last())
+    return hit.withColumn("__n", F.row_number().over(order)).where("__n = 1").drop("__n", "__x")
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, errors: int = 4, most: int = 20_000) -> DataFrame:
-    """The rows of ``docs`` without near-duplicates: of each component the row with the smallest id stays.
+    """The rows of ``docs`` without near-duplicates: of each component the row with the smallest id (null last) stays.
 
-    Of several such rows (a repeated id) the first by text stays; all columns of ``docs`` are kept as they are.
+    Of several such rows (a repeated id) the first by text hash stays; all columns of ``docs`` are kept as they are.
     """
-    found = near_duplicates(docs, id_col, text_col, words, errors, most)
-    heads = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(F.min("fingerprint").alias("__fp")).withColumnRenamed("component_id", "__id")
-    printed = docs.withColumn("__own", fingerprint_column(words)(text_bytes(text_col)))
-    hit = printed.join(heads, printed[id_col].eqNullSafe(F.col("__id")) & (F.lower(F.lpad(F.hex("__own"), 16, "0")) == F.col("__fp")), "left_semi")
-    order = Window.partitionBy(id_col).orderBy(F.col(text_col).asc_nulls_last())
-    return hit.withColumn("__n", F.row_number().over(order)).where("__n = 1").drop("__n", "__own")
+    texts = docs.select(F.col(id_col), F.col(text_col), F.xxhash64(text_col).alias("x"))
+    prints = staged(texts.select(F.col(id_col).alias("id"), "x", fingerprint_column(words)(text_bytes(text_col)).alias("fp")), "fingerprints")
+    linked = components(trie_links(staged(prints.select("fp").distinct(), "distinct"), errors, most))
+    rooted = prints.join(linked, prints.fp == linked.node, "left").select("id", "x", F.coalesce("root", "fp").alias("root"))
+    return one_per_root(docs, rooted, id_col, text_col)

@@ -72,3 +72,10 @@ def test_empty_table_and_keep_one(spark):
     df = spark.createDataFrame([(1, "a b c d e", "x"), (1, "a b c d e", "y"), (2, "A b c d e", "z"), (3, "other words in here now", "q"), (9, None, "n")], "doc_id long, text string, fingerprint string")
     kept = simhash.keep_one(df)
     assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == [1, 3, 9]
+
+
+def test_keep_one_keeps_unlike_texts_of_null_and_repeated_ids(spark):
+    rows = [(None, "a b c d e"), (None, "other words in here now"), (None, "A b c d e"), (5, "one text under this id"), (5, "quite another text under it"), (6, "QUITE another text under it"), (7, None), (7, "")]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(str(r.doc_id) for r in kept) == ["5", "5", "7", "None", "None"]
+    assert {(r.text or "").lower() for r in kept if r.doc_id != 7} == {"a b c d e", "other words in here now", "one text under this id", "quite another text under it"}
