@@ -4,7 +4,8 @@ Texts and items become sequences of lower-case words. For every item length, eac
 candidate if a run of an item's words stands about where the item has it and enough of its words occur in the benchmark at
 all (necessary conditions for the edit distance, so nothing is lost). The CGK random walk turns a window into a string of three times its length in which few edits mean few
 differing positions; each of several walks is sampled at a few positions several times, and a window meets the items of
-its length that agree in all positions of one sample. Pairs that meet are verified by exact word edit distance.
+its length that agree in all positions of one sample. Pairs that meet are verified by exact word edit distance: of the window, or
+(``wide``) of the closest run of any length about the window, texts then being padded so that shortened items fill windows too.
 """
 
 from __future__ import annotations
@@ -74,6 +75,23 @@ def edit_distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return prev[:, -1]
 
 
+def closest(text: np.ndarray, item: np.ndarray, free: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """The smallest word edit distance of each row of ``item`` to a run of the same row of ``text``, and where the first such run ends.
+
+    Runs start anywhere, or (not ``free``) at the row's first word.
+    """
+    n, width = text.shape
+    steps = np.arange(width + 1, dtype=np.int32)
+    prev = np.broadcast_to(0 * steps if free else steps, (n, width + 1))
+    for i in range(item.shape[1]):
+        now = np.empty((n, width + 1), np.int32)
+        now[:, 0] = i + 1
+        now[:, 1:] = np.minimum(prev[:, 1:] + 1, prev[:, :-1] + (text != item[:, i : i + 1]))
+        prev = np.minimum.accumulate(now - steps, axis=1) + steps
+    end = prev.argmin(axis=1)
+    return prev[np.arange(n), end], end
+
+
 def _gram(ids) -> np.ndarray:
     """A hash of runs of word ids, given as one array for each place in the run."""
     h = np.zeros(len(ids[0]), np.uint64)
@@ -85,12 +103,13 @@ def _gram(ids) -> np.ndarray:
 class Items:
     """Benchmark items by length, with their tables of sampled positions. Small: items of one block only."""
 
-    def __init__(self, rows: list[tuple[int, str]], share: float, min_words: int):
-        self.share, self.vocab, by = share, {}, {}
+    def __init__(self, rows: list[tuple[int, str]], share: float, min_words: int, wide: bool = False):
+        self.share, self.wide, self.vocab, by = share, wide, {}, {}
         for item, text in rows:
             ids = [self.vocab.setdefault(w, len(self.vocab) + 1) for w in tokens(text or "")]
             if len(ids) >= min_words:
                 by.setdefault(len(ids), []).append((item, ids))
+        self.gap = 2 * int(share * max(by, default=0)) if wide else 0
         self.tables = {}
         for length, own in sorted(by.items()):
             ids = np.array([x for _, x in own], np.int64)
@@ -111,8 +130,11 @@ class Items:
 
     def search(self, words: list[np.ndarray]) -> list[tuple[int, int, int, int, int]]:
         """Texts as word ids -> (text index, item, start word, words, distance): the best window of each text and item."""
-        flat = np.concatenate([*words, np.zeros(1, np.int64)])
-        ends = np.cumsum([len(w) for w in words])
+        gap = np.zeros(self.gap, np.int64)
+        flat = np.concatenate([*(x for w in words for x in (gap, w)), gap, np.zeros(1, np.int64)])
+        sizes = np.array([len(w) for w in words])
+        ends = np.cumsum(sizes + self.gap)
+        begin = ends - sizes
         known = np.concatenate([[0], np.cumsum(flat > 0)])
         near = self._near(flat, known)
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
@@ -124,11 +146,12 @@ class Items:
             starts = starts[(starts >= 0) & (starts < len(flat) - length)]
             starts = starts[known[starts + length] - known[starts] >= length - errors]
             text = np.searchsorted(ends, starts, side="right")
-            inside = starts + length <= ends[text]
+            text = np.minimum(text, len(words) - 1)
+            past = errors if self.wide else 0
+            inside = (starts >= begin[text] - past) & (starts + length <= ends[text] + past)
             starts, text = starts[inside], text[inside]
             for low in range(0, len(starts), 20_000):
-                self._meet(flat, starts[low : low + 20_000], text[low : low + 20_000], length, errors, items, ids, keys, order, best)
-        begin = np.concatenate([[0], ends])
+                self._meet(flat, starts[low : low + 20_000], text[low : low + 20_000], begin, ends, length, errors, items, ids, keys, order, best)
         return [(t, i, s - int(begin[t]), n, d) for (t, i), (d, s, n) in best.items()]
 
     def _near(self, flat: np.ndarray, known: np.ndarray) -> dict[int, np.ndarray]:
@@ -146,7 +169,7 @@ class Items:
                 found.setdefault(int(n), []).append(start[size == n])
         return {n: np.unique(np.concatenate(x)) for n, x in found.items()}
 
-    def _meet(self, flat, starts, text, length, errors, items, ids, keys, order, best) -> None:
+    def _meet(self, flat, starts, text, begin, ends, length, errors, items, ids, keys, order, best) -> None:
         windows = flat[starts[:, None] + np.arange(length)]
         met = []
         for c, own in enumerate(signatures(windows).T):
@@ -154,20 +177,38 @@ class Items:
             w = np.repeat(np.arange(len(own)), high - low)
             met.append(w * len(items) + order[np.concatenate([np.arange(a, b) for a, b in zip(low[high > low], high[high > low])] or [np.empty(0, np.int64)]), c])
         pairs = np.unique(np.concatenate(met))
-        for lo in range(0, len(pairs), 50_000):
-            w, i = np.divmod(pairs[lo : lo + 50_000], len(items))
-            far = edit_distance(windows[w], ids[i])
+        for lo in range(0, len(pairs), 20_000):
+            w, i = np.divmod(pairs[lo : lo + 20_000], len(items))
+            if self.wide:
+                w, i, far, start, size = self._runs(flat, starts, begin[text], ends[text], errors, w, i, ids)
+            else:
+                far, start, size = edit_distance(windows[w], ids[i]), starts[w], np.full(len(w), length)
             for k in np.flatnonzero(far <= errors):
-                key, value = (int(text[w[k]]), items[i[k]]), (int(far[k]), int(starts[w[k]]), length)
+                key, value = (int(text[w[k]]), items[i[k]]), (int(far[k]), int(start[k]), int(size[k]))
                 if key not in best or value < best[key]:
                     best[key] = value
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", share: float = 0.2, min_words: int = 5, block: int = 20_000) -> DataFrame:
+    @staticmethod
+    def _runs(flat, starts, begin, ends, errors, w, i, ids) -> tuple[np.ndarray, ...]:
+        """Those of the pairs (window ``w``, item ``i``) whose item has a close run about the window: w, i, distance, start and length of the run."""
+        at = np.arange(ids.shape[1] + 2 * errors)
+        around = flat[np.minimum(starts[w][:, None] - errors + at, len(flat) - 1)]  # past its ends a text has 2 * errors words of padding at least
+        far, end = closest(around, ids[i])
+        ok = far <= errors
+        w, i, far, end, around = w[ok], i[ok], far[ok], end[ok], around[ok]
+        back = end[:, None] - 1 - at
+        _, size = closest(np.where(back >= 0, np.take_along_axis(around, np.maximum(back, 0), 1), -1), ids[i][:, ::-1], free=False)
+        stop = starts[w] - errors + end
+        start, stop = np.maximum(stop - size, begin[w]), np.minimum(stop, ends[w])
+        return w, i, far, start, stop - start
+
+
+def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", share: float = 0.2, min_words: int = 5, block: int = 20_000, wide: bool = False) -> DataFrame:
     """``id, item_id, distance, n_words, start_char, end_char``: the closest window of each text and item that it holds.
 
     A text holds an item of L words if a window of L of its words is within floor(``share`` * L) word edits (0.8 similarity by
-    default). Items of fewer than ``min_words`` words never match, nor do null or empty ones. Repeated rows give a
+    default); with ``wide``, if a run of any number of its words is, and ``n_words`` is the length of the closest run. Items of fewer than ``min_words`` words never match, nor do null or empty ones. Repeated rows give a
     row each; ids may be null; other columns are not read. An empty table on either side gives an empty
     result. The benchmark goes to the tasks in blocks of about ``block`` items, so what is sent has a bound; a larger
     benchmark takes more passes over ``docs``.
@@ -180,7 +221,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     out = None
     for b in range(blocks):
         rows = some.where(F.pmod(F.xxhash64("t"), F.lit(blocks)) == b).orderBy("i", "t").collect()
-        items = Items([(r.i, r.t) for r in rows], share, min_words)
+        items = Items([(r.i, r.t) for r in rows], share, min_words, wide)
         found = base.mapInArrow(_searcher(items), f"{id_col} {kind}, {item_col} long, distance int, n_words int, start_char long, end_char long")
         out = found if out is None else out.union(found)
     return out
@@ -223,12 +264,12 @@ def leaked(items: Items):
     return of
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", share: float = 0.2, min_words: int = 5, block: int = 20_000) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", share: float = 0.2, min_words: int = 5, block: int = 20_000, wide: bool = False) -> DataFrame:
     """The rows of ``docs`` that hold no benchmark item, with all their columns."""
     some = benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(item_text).cast("string").alias("t")).where("t is not null").distinct()
     blocks = max(1, -(-some.count() // block))
     out = docs
     for b in range(blocks):
         rows = some.where(F.pmod(F.xxhash64("t"), F.lit(blocks)) == b).orderBy("i", "t").collect()
-        out = out.where(~leaked(Items([(r.i, r.t) for r in rows], share, min_words))(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
+        out = out.where(~leaked(Items([(r.i, r.t) for r in rows], share, min_words, wide))(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
     return out

@@ -21,7 +21,7 @@ def tokenizer_path() -> str:
 
 
 def op2_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontam.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontam.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), min_words=1, wide=True)
 
 
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -60,3 +60,63 @@ def test_recall_against_brute_force_and_no_false_match(spark):
     kept = decontam.clean(df, bench)
     assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == {d for d, _ in docs} - {d for d, _ in found}
     assert decontam.matches(df, bench.limit(0)).count() == 0 and decontam.matches(df.limit(0), bench).count() == 0
+
+
+def nearest(text, item):
+    """Edit distance of ``item`` to the closest run of ``text`` of any length."""
+    prev = [0] * (len(text) + 1)
+    for i, x in enumerate(item):
+        now = [i + 1]
+        for j, y in enumerate(text):
+            now.append(min(prev[j] + (x != y), prev[j + 1] + 1, now[-1] + 1))
+        prev = now
+    return min(prev)
+
+
+def shortened(rng, items, vocab):
+    """Items with words left out, put in or changed, alone in a text or in the middle of one."""
+    docs = []
+    for d in range(240):
+        words = items[d % len(items)][1].split()
+        for _ in range(rng.randint(0, len(words) // 4)):
+            p, kind = rng.randrange(len(words)), d % 3
+            if kind == 0:
+                del words[p]
+            elif kind == 1:
+                words.insert(p, rng.choice(vocab))
+            else:
+                words[p] = rng.choice(vocab)
+        around = [rng.choice(vocab) for _ in range(rng.randint(1, 40))] if d % 2 else []
+        docs.append((d, " ".join([*around, *words, *around])))
+    return docs
+
+
+def test_any_run_against_brute_force():
+    rng = random.Random(6)
+    vocab = ["w%d" % i for i in range(800)]
+    items = [(i, " ".join(rng.choice(vocab) for _ in range(rng.choice([12, 20, 38, 40])))) for i in range(40)] + [(50, "short one"), (51, "odd")]
+    docs = [*shortened(rng, items[:40], vocab), (300, "a short one here"), (301, "short two one"), (302, "odd"), (303, ""), (304, "short one")]
+    words = [decontam.tokens(t) for _, t in docs]
+    want = {(t, i): n for t, w in enumerate(words) for i, x in items for y in [x.split()] if len(set(w) & set(y)) > len(y) // 3 or len(y) < 5 for n in [nearest(w, y)] if n <= int(0.2 * len(y))}
+    whole = decontam.Items(items, 0.2, 1, wide=True)
+    got = whole.search([np.array([whole.vocab.get(x, 0) for x in w], np.int64) for w in words])
+    found = {(t, i): n for t, i, _, _, n in got}
+    assert not set(found) - set(want) and all(n >= want[k] for k, n in found.items())
+    assert len(found) >= 0.98 * len(want)
+    text = dict(items)
+    assert all(0 <= s and s + n <= len(words[t]) and distance(words[t][s : s + n], text[i].split()) == d for t, i, s, n, d in got)
+    assert {(240, 50), (242, 51), (244, 50)} <= set(found) and (241, 50) not in found
+
+
+def test_queries_find_an_item_with_words_left_out(spark, tmp_path):
+    import corpus_pipeline
+    from mailfunnel.llm import queries
+
+    item = ["word%d" % i for i in range(38)]
+    docs = [(1, " ".join(item[1:])), (2, " ".join(["before", *item[:10], *item[14:], "after", *["more"] * 9])), (3, " ".join(item[:28])), (None, "two words")]
+    for name, rows, kind in (("documents", docs, "doc_id long, text string"), ("benchmark", [(7, " ".join(item)), (8, "two words")], "item_id long, text string")):
+        spark.createDataFrame(rows, kind).write.parquet(f"{tmp_path}/{name}.parquet")
+    got = queries.op2_benchmark_leaks(spark, str(tmp_path)).collect()
+    assert sorted((str(r.doc_id), r.item_id, r.distance, r.n_words) for r in got) == [("1", 7, 1, 37), ("2", 7, 4, 34), ("None", 8, 0, 2)]
+    kept = corpus_pipeline.without_benchmark(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path))
+    assert [r.doc_id for r in kept.collect()] == [3]
