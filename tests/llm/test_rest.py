@@ -14,8 +14,9 @@ def test_top_k_as_brute_force(spark):
     import math
 
     ok = [(i, [math.floor(64 * x) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    once, ok = ok, [*ok, ok[0]]  # the repeated row is a candidate twice and asked once
     want = []
-    for q, a in ok:
+    for q, a in once:
         if q % 20 == 0:
             best = sorted((-sum(x * y for x, y in zip(a, b)), i) for i, b in ok if i != q)[:20]
             want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(best)]
@@ -25,6 +26,18 @@ def test_top_k_as_brute_force(spark):
     assert topk.top_k(df.limit(0)).count() == 0
 
 
+def test_top_k_of_huge_components(spark):
+    rows = [(0, [2.0**26, 1.0]), (1, [2.0**60, -(2.0**60)]), (2, [1.0, 2.0]), (3, [1e300, 0.0]), (20, [-1e300, 1.5]), (40, [2.0**30] * 2), (41, [2.0**30] * 2)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    whole = {i: [int(64 * x) if abs(x) > 1e15 else int(np.floor(64 * x)) for x in v] for i, v in rows}
+    held = lambda s: max(-(2**63), min(2**63 - 1, s))
+    want = []
+    for q in (0, 20, 40):
+        best = sorted((-held(sum(x * y for x, y in zip(whole[q], b))), i) for i, b in whole.items() if i != q)[:3]
+        want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(best)]
+    assert sorted(tuple(r) for r in topk.top_k(df, k=3).collect()) == sorted(want)
+
+
 def test_shards(spark, tmp_path):
     rows = [(None, None), (1, ""), (1, "a"), (1, "a")] + [(i, "é" * (i % 37)) for i in range(2, 900)]
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as size", "2 as vslot")
