@@ -2,23 +2,35 @@
 
 from __future__ import annotations
 
+import atexit
+import ctypes
 import gc
 import os
+import shutil
 import tempfile
 import uuid
 import zlib
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Hashable, Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Where it is unset, a local session (one machine, as in tests) gets a temporary one that goes with the process; on a
+    cluster that is an error, since executors would write where no other reads.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        own = tempfile.mkdtemp(prefix="spark-shared-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        found = f"file://{own}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
@@ -74,6 +86,33 @@ def steps(lengths: Sequence[int], most: int) -> Iterator[tuple[int, int]]:
         yield low, len(lengths)
 
 
+_kept: dict = {}
+
+
+def kept(key: Hashable, make: Callable):
+    """What ``make`` gives, remembered in this Python worker for later tasks. Only the last key's is kept: a worker serves all stages."""
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = make()
+    return _kept[key]
+
+
+def tidied(run: Callable) -> Callable:
+    """``run`` over an iterator, with memory that the task freed given back to the system at its end; what ``kept`` holds for others goes too."""
+
+    def of(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+
+    return of
+
+
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 

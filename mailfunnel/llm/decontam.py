@@ -20,11 +20,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, steps
+from .common import mix64, steps, tidied
 
 WORD = re.compile(r"[^\W_]+")
 WALKS, SAMPLES, BITS = 8, 6, 2
-STEP_CHARS = 4_000_000
+STEP_CHARS = 2_000_000
 
 
 def tokens(text: str) -> list[str]:
@@ -253,13 +253,19 @@ def _searcher(items: Items):
 
 def leaked(items: Items):
     """A column function: text -> whether it holds any item."""
+
+    @tidied
+    def hits(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            hit = np.zeros(len(texts), bool)
+            for low, high in steps(texts.str.len().tolist(), STEP_CHARS):
+                ids = [np.array([items.vocab.get(w, 0) for w in tokens(t)], np.int64) for t in texts.iloc[low:high]]
+                hit[[low + f[0] for f in items.search(ids)]] = True
+            yield pd.Series(hit)
+
     @F.pandas_udf("boolean")
-    def of(texts: pd.Series) -> pd.Series:
-        hit = np.zeros(len(texts), bool)
-        for low, high in steps(texts.str.len().tolist(), STEP_CHARS):
-            ids = [np.array([items.vocab.get(w, 0) for w in tokens(t)], np.int64) for t in texts.iloc[low:high]]
-            hit[[low + f[0] for f in items.search(ids)]] = True
-        return pd.Series(hit)
+    def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        return hits(batches)
 
     return of
 

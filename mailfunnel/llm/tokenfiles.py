@@ -13,7 +13,6 @@ import struct
 import unicodedata
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import new_path, partitions, staged, text_bytes
+from .common import kept, new_path, partitions, staged, text_bytes, tidied
 
 # Fixed values of the public seekable zstandard format.
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
@@ -81,7 +80,7 @@ class Encoder:
     """Whole texts to ids. White space always separates tokens of such a vocabulary, so each distinct piece between
     white space is encoded once and remembered; ids are those of the whole text."""
 
-    def __init__(self, path: str, end: int | None, most: int = 1_000_000):
+    def __init__(self, path: str, end: int | None, most: int = 200_000):
         from tokenizers import Tokenizer
 
         self.known = Pieces(Tokenizer.from_file(path), most)
@@ -93,10 +92,9 @@ class Encoder:
         return [b"".join(map(get, (t.lower() if cuts and t.isascii() and b"<" not in t else t).split())) + self.end for t in texts]
 
 
-@lru_cache(2)
 def encoder(path: str, end: int | None) -> Encoder:
     """One for each Python worker, so that what it remembers serves later tasks too."""
-    return Encoder(path, end)
+    return kept((path, end), lambda: Encoder(path, end))
 
 
 class Writer:
@@ -193,7 +191,7 @@ def written(docs: DataFrame, tokenizer: str, end: int | None = 2, folder: str |
         if done:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*done), kinds)], names=[x.split()[0] for x in MANIFEST.split(", ")])
 
-    return staged(dealt.mapInArrow(run, MANIFEST), "manifest")
+    return staged(dealt.mapInArrow(tidied(run), MANIFEST), "manifest")
 
 
 def read_back(manifest: DataFrame, id_col: str = "doc_id") -> DataFrame:

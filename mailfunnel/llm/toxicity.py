@@ -20,11 +20,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, steps
+from .common import fold, kept, steps, tidied
 
 TOKEN = re.compile(r"[^\W_]+")
 SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_TOKENS = 1000, 3000, 2_000_000
-STEP_CHARS = 4_000_000
+STEP_CHARS = 2_000_000
 
 
 def features(word: str) -> list[str]:
@@ -231,12 +231,18 @@ def trained(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
 def score_column(model: Crf):
     """A column function: text -> score."""
 
+    @tidied
+    def scores(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        kept(None, lambda: None)
+        for texts in batches:
+            score = np.zeros(len(texts))
+            for at, marg in _marginals(model, texts):
+                score[at] = model.score(marg)
+            yield pd.Series(score)
+
     @F.pandas_udf("double")
-    def of(texts: pd.Series) -> pd.Series:
-        score = np.zeros(len(texts))
-        for at, marg in _marginals(model, texts):
-            score[at] = model.score(marg)
-        return pd.Series(score)
+    def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        return scores(batches)
 
     return of
 
