@@ -48,6 +48,16 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
+    """``df`` as a table bucketed by ``key`` in the shared folder: later joins on the key don't shuffle it. Best dealt out by ``repartition(partitions, key)`` before."""
+    spark, path = df.sparkSession, new_path(df.sparkSession, name)
+    table = os.path.basename(path).replace("-", "_")
+    df.write.bucketBy(partitions(spark), key).option("path", path).format("parquet").saveAsTable(table)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return spark.table(table)
+
+
 def dropped(df: DataFrame) -> None:
     """Deletes the files of a ``staged`` table that nothing reads any more."""
     spark = df.sparkSession

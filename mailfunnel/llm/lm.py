@@ -1,413 +1,571 @@
 """Hierarchical Pitman-Yor language model scores (operator 6).
 
-Restaurants: one for each context, all sharing the unigram restaurant as parent, whose base is uniform over the V known
-words and one unknown word. A token's context is the word before it: frequent words are contexts of their own, other
-words stand together by their ending, and a text's first token has a context of its own, so the number of contexts has a
-bound. Seating is sampled by Gibbs sweeps: every dish of every restaurant is seated again, given the parent's
-probability of the dish and the restaurants' totals. All customers of a word meet in one bucket of words, so a sweep
-needs no shuffle; only totals per context travel between rounds. Seatings are averaged over several sweeps, and the
-averaged predictive probabilities score the texts.
-
-Tokens of frequent words never travel: each has over a fixed share of all tokens, so there are few of them, and their
-probabilities are small tables. Other tokens are packed by text chunk and word bucket.
+Restaurants: every word that occurs is a context of its own (so is the beginning of a text); contexts whose words end
+alike share a parent restaurant, one for each of ``CLASSES`` classes of endings; these share the unigram restaurant,
+whose base is uniform over the V known words and one unknown word. So what is gathered grows with the corpus.
+
+Seating is sampled by Gibbs sweeps over Chinese restaurants: a dish's customers are taken out and seated again one after the
+other, given the tables of all other dishes (beyond 64 customers in steps of a 32nd of those seated). Draws are hashes of restaurant, dish, customer and
+sweep, so results do not depend on how the input is split. All tokens of a context meet in one bucket, where its
+dishes are seated; contexts with very many tokens are spread over the buckets of their class by the next word. Tables of
+a bucket's contexts are the customers of the class restaurants: they meet by word, are seated there and in the unigram
+restaurant, and what each bucket asked for goes back to it. The last round averages predictive probabilities over
+sweeps and scores every token with them.
+
+Tokens travel packed: one row for each chunk of texts and bucket.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+import struct
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, staged, text_bytes
+from .common import bucketed, dropped, mix64, partitions, staged, steps, text_bytes, tidied
 
-END = b" "  # no word holds a space
-CLASSES = 256
-BUCKET_TOKENS = 2_400_000
-THETA_LEAF, THETA_ROOT = 2.0, 1.0
-_COLD = np.uint64(1 << 63)
-
-
-def heavy_words(texts: DataFrame, share: float) -> tuple[list[bytes], int]:
-    """Words with at least about ``share`` of the training tokens of ``texts(train, t)``, and the end (at most 2 / share words); and the number of those tokens.
-
-    A word with that share has it in some partition, so each partition reports those that reach it there.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter[bytes] = Counter()
-        n = 0
-        for b in batches:
-            for train, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                if train:
-                    words = t.lower().split()
-                    seen.update(words)
-                    n += len(words) + 1
-            if len(seen) > 400_000:  # what is rare so far is not heavy here; counts stay lower bounds
-                low = max(1, int(n * share / 4))
-                seen = Counter({w: c for w, c in seen.items() if c > low})
-        rows = [(w, c) for w, c in seen.items() if c >= n * share] + [(END, n)]
-        yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in rows], pa.binary()), pa.array([c for _, c in rows], pa.int64())], names=["w", "n"])
-
-    found = texts.mapInArrow(run, "w binary, n long").groupBy("w").agg(F.sum("n").alias("n"))
-    total = found.where(F.col("w") == F.lit(END)).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    least = max(1.0, total * share / 2)
-    return sorted({END} | {bytes(r.w) for r in found.where((F.col("w") != F.lit(END)) & (F.col("n") >= least)).collect()}), int(total)
+BEGIN, END = 0, 1  # codes; END's class is never asked for
+CLASSES = 16
+CHUNK_TOKENS, CHUNK_DOCS, STEP_BYTES = 1_200_000, 32_000, 2_000_000
+BUCKET_TOKENS, SLICE_WORDS = 1_000_000, 300_000
+THETA = (2.0, 2.0, 1.0)  # of contexts, classes, unigrams
+SEED = np.uint64(0x5EED)
 
 
 class Coder:
-    """Words to codes: frequent words get small numbers, others a 55-bit hash with the class of their ending in the low byte."""
+    """Words to 64-bit codes: a 58-bit hash with the class of the word's ending in the low bits."""
 
-    def __init__(self, heavy: list[bytes]):
-        self.heavy = {w: i for i, w in enumerate(heavy)}
-        self.known: dict[bytes, int] = dict(self.heavy)
-        self.n = len(heavy)
-        self.contexts = self.n + 1 + CLASSES
+    def __init__(self, most: int = 200_000):
+        self.known: dict[bytes, int] = {}
+        self.most = most
 
     def __call__(self, words: list[bytes]) -> np.ndarray:
         known = self.known
-        if len(known) > 400_000:
-            known = self.known = dict(self.heavy)
+        if len(known) > self.most:
+            known.clear()
         for w in set(words).difference(known):
-            known[w] = 1 << 63 | (xxhash.xxh64_intdigest(w) >> 9) << 8 | xxhash.xxh32_intdigest(w[-3:]) % CLASSES
+            known[w] = xxhash.xxh64_intdigest(w) // CLASSES * CLASSES + xxhash.xxh32_intdigest(w[-3:]) % CLASSES
         return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
-    def context(self, codes: np.ndarray) -> np.ndarray:
-        """The context that each code is for the token after it."""
-        return np.where(codes < _COLD, codes, np.uint64(self.n + 1) + (codes & np.uint64(CLASSES - 1))).astype(np.int64)
 
+def tokenized(texts: list[bytes], code: Coder) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Texts -> codes of all tokens (each text's words and one end), of their contexts, and the number of tokens of each text."""
+    words = [t.lower().split() for t in texts]  # bytes: A-Z only, white space \x20 \x09-\x0D
+    sizes = np.array([len(w) + 1 for w in words], np.int64)
+    ends = np.cumsum(sizes) - 1
+    own = np.full(int(sizes.sum()), END, np.uint64)
+    inner = np.ones(len(own), bool)
+    inner[ends] = False
+    own[inner] = code([w for ws in words for w in ws])
+    context = np.concatenate([[np.uint64(BEGIN)], own[:-1]])
+    context[ends[:-1] + 1] = BEGIN
+    return own, context, sizes
+
+
+def _parts(batches: Iterator[pa.RecordBatch], col: int) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for low, high in steps(pc.binary_length(b.column(col)).to_pylist(), STEP_BYTES):
+            yield b.slice(low, high - low)
+
+
+def word_counts(texts: DataFrame) -> DataFrame:
+    """``texts(t)`` -> ``(code, n)``: how often each token occurs."""
+
+    @tidied
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        code = Coder()
+        for b in _parts(batches, 0):
+            codes, n = np.unique(tokenized(b.column(0).to_pylist(), code)[0], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(codes.view(np.int64)), pa.array(n)], names=["code", "n"])
 
-def _pack(*arrays: np.ndarray) -> bytes:
-    parts = [a.tobytes() for a in arrays]
+    return texts.mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+
+
+@dataclass
+class Layout:
+    """Where a token's context is handled: bucket ``class << 20 | part``; hot contexts are spread by the next word.
+
+    A matter of sizes only, so it is made from a sample: no count of the model comes from it.
+    """
+
+    parts: np.ndarray  # buckets of each class
+    hot: np.ndarray  # sorted codes of contexts with very many tokens
+    often: np.ndarray  # sorted codes that travel as two bytes
+    slices: int  # of the words' side
+
+    def bucket(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
+        kind = (context % np.uint64(CLASSES)).astype(np.int64)
+        by = np.where(np.isin(context, self.hot), word, context) if len(self.hot) else context
+        return kind << 20 | ((mix64(by) >> np.uint64(20)) % self.parts[kind].astype(np.uint64)).astype(np.int64)
+
+    def short(self, codes: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Codes as three arrays: which are frequent, these as numbers, the others as they are."""
+        at = np.minimum(np.searchsorted(self.often, codes), max(0, len(self.often) - 1))
+        hit = self.often[at] == codes if len(self.often) else np.zeros(len(codes), bool)
+        return np.packbits(hit), at[hit].astype(np.uint16), codes[~hit]
+
+    def whole(self, bits: np.ndarray, at: np.ndarray, rest: np.ndarray) -> np.ndarray:
+        out, hit = np.empty(len(at) + len(rest), np.uint64), np.unpackbits(bits, count=len(at) + len(rest)).astype(bool)
+        out[hit], out[~hit] = self.often[at], rest
+        return out
+
+
+def sized(texts: DataFrame, bucket_tokens: int, sample: int = 20_000) -> Layout:
+    """A layout from about ``sample`` texts, those with certain hashes."""
+    n, size = texts.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()
+    some = texts.where(F.pmod(F.xxhash64("id", "t"), F.lit(max(1, n // sample))) == 0).select("t")
+    counts = staged(word_counts(some), "counts")
+    seen, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    times = max(1.0, (size + n) / max(1, some.agg(F.coalesce(F.sum(F.octet_length("t") + 1), F.lit(0))).first()[0]))
+    # the beginning is a context as often as texts end; it takes the end's place
+    used = counts.withColumn("code", F.when(F.col("code") == END, F.lit(BEGIN)).otherwise(F.col("code")))
+    weights = np.zeros(CLASSES)
+    for r in used.groupBy(F.pmod("code", F.lit(CLASSES)).alias("k")).agg(F.sum("n").alias("n")).collect():
+        weights[r.k] = r.n * times
+    codes = lambda df: np.array(sorted(r.code % 2**64 for r in df.select("code").collect()), np.uint64)
+    hot = codes(used.where(F.col("n") * times > bucket_tokens // 4))  # at most 4 * tokens / bucket_tokens
+    often = codes(counts.orderBy(F.desc("n"), "code").limit(1 << 16))
+    parts = np.maximum(1, np.ceil(weights / bucket_tokens)).astype(np.int64)
+    return Layout(parts, hot, often, max(16, int(distinct * times**0.8 * 3 // SLICE_WORDS)))
+
+
+def packed(*arrays: np.ndarray) -> bytes:
+    """Arrays one after the other, whole numbers as narrow as they fit (64-bit unsigned are codes and stay)."""
+    parts = [struct.pack("<I", len(arrays))]
+    for a in arrays:
+        if a.dtype.kind in "ui" and a.dtype != np.uint64:
+            top = int(a.max(initial=0))
+            a = a.astype(np.uint8 if top < 1 << 8 else np.uint16 if top < 1 << 16 else np.uint32 if top < 1 << 32 else np.int64) if int(a.min(initial=0)) >= 0 else a.astype(np.int64)
+        parts += [struct.pack("<4sQ", a.dtype.str.encode(), len(a)), a.tobytes()]
     return zstandard.compress(b"".join(parts), 1)
 
 
-def _counted(texts: DataFrame, heavy: list[bytes], buckets: int, slices: int) -> DataFrame:
-    """``texts(id, train, t)`` -> rows of kind 'd' (a document and its frequent tokens), 'c' (a chunk's other tokens of one word bucket) and 'h' (counts of frequent words)."""
-    names = ["kind", "bucket", "dn", "id", "train", "n_tokens", "size", "payload"]
-    kinds = (pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.binary())
+def unpacked(data: bytes) -> list[np.ndarray]:
+    raw, out, at = zstandard.decompress(data), [], 4
+    for _ in range(struct.unpack_from("<I", raw)[0]):
+        kind, n = struct.unpack_from("<4sQ", raw, at)
+        out.append(np.frombuffer(raw, kind.rstrip(b"\0").decode(), n, at + 12))
+        at += 12 + out[-1].nbytes
+    return out
+
+
+def packed_piece(layout: Layout, context: np.ndarray, word: np.ndarray, doc: np.ndarray) -> bytes:
+    """Tokens of one chunk and bucket, sorted by context, word and document."""
+    new_c = np.concatenate([[True], context[1:] != context[:-1]])
+    new_w = new_c | np.concatenate([[True], word[1:] != word[:-1]])
+    at = np.flatnonzero(new_w | np.concatenate([[True], doc[1:] != doc[:-1]]))
+    times = np.diff(np.concatenate([at, [len(doc)]]))
+    words, index = np.unique(word[new_w], return_inverse=True)
+    return packed(*layout.short(context[new_c]), *layout.short(words), index, new_c[at].astype(np.uint8) | new_w[at].astype(np.uint8) << 1, doc[at], times)
+
+
+def read_piece(layout: Layout, data: bytes) -> tuple[np.ndarray, ...]:
+    """Context, word, document and count of each entry."""
+    x = unpacked(data)
+    index, flags, doc, times = x[6:]
+    return layout.whole(*x[:3])[np.cumsum(flags & 1) - 1], layout.whole(*x[3:6])[index[np.cumsum(flags >> 1) - 1]], doc.astype(np.uint16), times.astype(np.uint32)
+
 
+def pieces(texts: DataFrame, layout: Layout) -> DataFrame:
+    """``texts(id, train, t)`` -> ``(chunk, bucket, payload)``: tokens by chunk and bucket; the list of a chunk's documents has bucket ``-1 - chunk``."""
+
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code, base, at = Coder(heavy), TaskContext.get().partitionId() << 32, 0
-        matrix = np.zeros(code.n * code.contexts, np.int64)  # by word, context: at most (2 / share)^2 entries
-        chunk: list[tuple[np.ndarray, np.ndarray, np.ndarray, int]] = []
-        end = code.heavy[END]
+        code, chunk = Coder(), TaskContext.get().partitionId() << 32
+        offset = np.concatenate([[0], np.cumsum(layout.parts)])
+        held: list[tuple] = []
+
+        def rows(buckets: list[int], payloads: list[bytes]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([chunk] * len(payloads), pa.int64()), pa.array(buckets, pa.int64()), pa.array(payloads, pa.binary())], names=["chunk", "bucket", "payload"])
 
         def flush() -> Iterator[pa.RecordBatch]:
-            if chunk:
-                rows = list(_cold_rows(chunk, buckets))
-                chunk.clear()
-                for low in range(0, len(rows), 64):
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[low : low + 64]), kinds)], names=names)
-
-        for b in batches:
-            ids, trains, texts_ = (b.column(i).to_pylist() for i in range(3))
-            rows = []
-            for low in range(0, len(ids), 200):
-                words = [t.lower().split() for t in texts_[low : low + 200]]
-                codes = code([w for ws in words for w in ws])
-                ends = np.cumsum([0, *map(len, words)])
-                for j, (p, q) in enumerate(zip(ends, ends[1:])):
-                    own = np.concatenate([codes[p:q], np.array([end], np.uint64)])
-                    ctx = np.concatenate([[code.n], code.context(own[:-1])])
-                    often = own < _COLD
-                    pair = own[often].astype(np.int64) * code.contexts + ctx[often]
-                    pairs, times = np.unique(pair, return_counts=True)
-                    if trains[low + j]:
-                        matrix[pairs] += times
-                    rows.append(("d", None, base + at, ids[low + j], trains[low + j], len(own), len(pairs), _pack(pairs.astype(np.uint32), times.astype(np.uint32))))
-                    chunk.append((own[~often], ctx[~often], np.full(int((~often).sum()), at - (chunk[0][3] if chunk else at), np.int64), at if not chunk else chunk[0][3]))
-                    if trains[low + j]:
-                        chunk[-1][1][:] |= 1 << 15
-                    at += 1
-                if sum(len(c[0]) for c in chunk) > 1_500_000 or len(chunk) > 60_000:
-                    yield from _with_base(flush(), base)
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
-        yield from _with_base(flush(), base)
-        rows = []
-        by_word = matrix.reshape(code.n, code.contexts)
-        for s in range(slices):
-            w, u = np.nonzero(by_word[s::slices])
-            if len(w):
-                rows.append(("h", s, None, None, None, None, len(w), _pack((w * slices + s).astype(np.uint32), u.astype(np.uint32), by_word[s::slices][w, u].astype(np.uint64))))
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
-
-    def _with_base(got: Iterator[pa.RecordBatch], base: int) -> Iterator[pa.RecordBatch]:
-        for b in got:
-            yield b.set_column(2, "dn", pa.array([base + x for x in b.column(2).to_pylist()], pa.int64()))
-
-    return texts.mapInArrow(run, "kind string, bucket int, dn long, id long, train boolean, n_tokens long, size long, payload binary")
-
-
-def _cold_rows(chunk, buckets: int) -> Iterator[tuple]:
-    codes, ctx, doc = (np.concatenate([c[i] for c in chunk]) for i in range(3))
-    if not len(codes):
-        return
-    bucket = ((mix64(codes) >> np.uint64(33)) % np.uint64(buckets)).astype(np.int64)
-    order = np.lexsort((ctx, doc, codes, bucket))
-    codes, ctx, doc, bucket = codes[order], ctx[order], doc[order], bucket[order]
-    new = np.concatenate([[True], (codes[1:] != codes[:-1]) | (doc[1:] != doc[:-1]) | (ctx[1:] != ctx[:-1])])
-    at = np.flatnonzero(new)
-    times = np.diff(np.concatenate([at, [len(codes)]]))
-    codes, ctx, doc, bucket = codes[at], ctx[at], doc[at], bucket[at]
-    edges = np.searchsorted(bucket, np.arange(buckets + 1))
-    for k in range(buckets):
-        a, b = edges[k], edges[k + 1]
-        if b > a:
-            words, sizes = np.unique(codes[a:b], return_counts=True)
-            head = np.array([len(words)], np.uint64)
-            yield ("c", k, chunk[0][3], None, None, None, int(b - a), _pack(head, words, sizes.astype(np.uint32), doc[a:b].astype(np.uint16), ctx[a:b].astype(np.uint16), times[a:b].astype(np.uint32)))
-
-
-def _unpacked(sizes: list[int], bases: list[int], payloads: list[bytes]) -> tuple[np.ndarray, ...]:
-    """Segments of one bucket -> word code, document number, context, training flag and count of each entry."""
-    out: list[tuple[np.ndarray, ...]] = []
-    for n, base, data in zip(sizes, bases, payloads):
-        raw = zstandard.decompress(data)
-        k = int(np.frombuffer(raw, np.uint64, 1)[0])
-        at = 8
-        words = np.frombuffer(raw, np.uint64, k, at)
-        at += 8 * k
-        each = np.frombuffer(raw, np.uint32, k, at)
-        at += 4 * k
-        doc = np.frombuffer(raw, np.uint16, n, at)
-        at += 2 * n
-        ctx = np.frombuffer(raw, np.uint16, n, at)
-        at += 2 * n
-        times = np.frombuffer(raw, np.uint32, n, at)
-        out.append((np.repeat(words, each), base + doc.astype(np.int64), (ctx & 0x7FFF).astype(np.int64), ctx >> 15 == 1, times.astype(np.int64)))
-    return tuple(np.concatenate(x) for x in zip(*out))
-
-
-def seated(customers: np.ndarray, strength: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
-    """Tables after seating ``customers`` of a dish one by one: a new table has weight ``strength``, the old ones (i - discount * tables).
-
-    The first 16 customers one at a time, later ones in groups that double, with the tables held fixed in a group.
+            ids, known, train, sizes, word, context = (np.concatenate(c) for c in zip(*held))
+            held.clear()
+            yield rows([-1 - chunk], [packed(ids, known.astype(np.uint8), train.astype(np.uint8), sizes)])
+            doc = np.repeat((np.arange(len(sizes)) | train.astype(np.int64) << 15).astype(np.uint16), sizes)
+            bucket = layout.bucket(context, word)
+            values, at = np.unique(word, return_inverse=True)
+            first = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+            before = np.concatenate([[0], at[:-1] + 1])  # a context is the word before, or (0) the beginning
+            before[first] = 0
+            n = len(values) + 1
+            order = np.argsort(((offset[bucket >> 20] + (bucket & 0xFFFFF)) * n + before) * n + at, kind="stable")  # documents stay in order
+            bucket, context, word, doc = bucket[order], context[order], word[order], doc[order]
+            edges = [0, *(np.flatnonzero(np.diff(bucket)) + 1), len(bucket)]
+            for low in range(0, len(edges) - 1, 32):
+                cuts = list(zip(edges, edges[1:]))[low : low + 32]
+                yield rows([int(bucket[a]) for a, _ in cuts], [packed_piece(layout, context[a:b], word[a:b], doc[a:b]) for a, b in cuts])
+
+        for b in _parts(batches, 2):
+            for low in range(0, b.num_rows, CHUNK_DOCS):
+                part = b.slice(low, CHUNK_DOCS)
+                if held and (sum(len(h[4]) for h in held) > CHUNK_TOKENS or sum(len(h[0]) for h in held) + part.num_rows > CHUNK_DOCS):
+                    yield from flush()
+                    chunk += 1
+                word, context, sizes = tokenized(part.column(2).to_pylist(), code)
+                ids = part.column(0)
+                held.append((pc.fill_null(ids, 0).to_numpy(), pc.is_valid(ids).to_numpy(zero_copy_only=False), part.column(1).to_numpy(zero_copy_only=False), sizes, word, context))
+        if held:
+            yield from flush()
+
+    return texts.mapInArrow(run, "chunk long, bucket long, payload binary")
+
+
+def draw(key: np.ndarray, step: int, sweep: int) -> np.ndarray:
+    """Uniform numbers that depend on nothing but a dish, its customer and the sweep."""
+    return (mix64(key + SEED * np.uint64(2 * step + 1) + mix64(np.array([sweep + 1], np.uint64))) >> np.uint64(11)).astype(np.float64) * 2.0**-53
+
+
+def seated(customers: np.ndarray, parent: np.ndarray, others: np.ndarray, theta: float, discount: float, key: np.ndarray, sweep: int) -> np.ndarray:
+    """Tables of dishes after seating their ``customers`` again, given the tables of the ``others`` in their restaurants.
+
+    The next customer opens a table with odds (theta + d * tables in the restaurant) * parent's probability, and sits down at
+    one of the dish with odds (customers - d * the dish's tables). One at a time up to 64, then in steps of i // 32 whose tables are drawn at once.
     """
     tables = (customers > 0).astype(np.int64)
     live = np.flatnonzero(customers > 1)
-    i, group = 1, 1
+    i = 1
     while len(live):
-        c = customers[live]
-        n = np.minimum(group, c - i)
-        p = strength[live] / (strength[live] + np.maximum(i + (group - 1) / 2 - discount * tables[live], 1e-9))
-        tables[live] += rng.random(len(live)) < p if group == 1 else rng.binomial(n, np.clip(p, 0, 1))
-        i += group
-        group = 1 if i < 16 else i // 2
-        live = live[c > i]
+        step = max(1, i // 32) if i >= 64 else 1
+        n = np.minimum(step, customers[live] - i)
+        mine = tables[live]
+        opens = (theta + discount * (others[live] + mine)) * parent[live]
+        p = opens / (opens + np.maximum(i + (step - 1) / 2 - discount * mine, 1e-9))
+        tables[live] = mine + np.floor(n * p + draw(key[live], i, sweep)).astype(np.int64)
+        i += step
+        live = live[customers[live] > i]
     return tables
 
 
+@dataclass
 class Totals:
-    """What rounds exchange: sums over all buckets. Per context: customers and tables; for the parent: customers and tables; N, V, and counts of counts."""
+    """What rounds exchange: sums over all buckets; a number for each class and hot context, no more."""
+
+    n: float = 0.0
+    v: float = 0.0
+    ones: list[float] = field(default_factory=lambda: [0.0] * 3)
+    twos: list[float] = field(default_factory=lambda: [0.0] * 3)
+    c: np.ndarray = field(default_factory=lambda: np.zeros(CLASSES))
+    t: np.ndarray = field(default_factory=lambda: np.zeros(CLASSES))
+    root_c: float = 0.0
+    root_t: float = 0.0
+    hot: dict[int, tuple[float, float]] = field(default_factory=dict)
+
+    def discount(self, level: int) -> float:
+        """n1 / (n1 + 2 n2) of the level's customers, the usual estimate."""
+        return min(0.95, max(0.05, self.ones[level] / max(1.0, self.ones[level] + 2 * self.twos[level])))
+
+    def root(self, customers: np.ndarray, tables: np.ndarray) -> np.ndarray:
+        d = self.discount(2)
+        return (customers - d * tables + (THETA[2] + d * self.root_t) / (self.v + 1)) / (THETA[2] + self.root_c)
+
+    def of_class(self, kind: np.ndarray | int, customers: np.ndarray, tables: np.ndarray, root: np.ndarray) -> np.ndarray:
+        d = self.discount(1)
+        return (customers - d * tables + (THETA[1] + d * self.t[kind]) * root) / (THETA[1] + self.c[kind])
+
+
+class Bucket:
+    """One bucket's entries as arrays, and its restaurants: (context, word) pairs with their training customers."""
+
+    def __init__(self, number: int, data: bytes):
+        self.number, self.kind = number, number >> 20
+        x = unpacked(data)
+        self.chunks, sizes, self.contexts, self.words, per_context, pw, customers, per_pair, self.doc, self.times = x
+        self.doc = self.doc.astype(np.int64)
+        self.edges = np.concatenate([[0], np.cumsum(sizes.astype(np.int64))])
+        self.pair = np.repeat(np.arange(len(pw)), per_pair)  # of each entry
+        self.seat = np.cumsum(customers > 0) - 1  # the place of a pair among those with customers
+        self.hit = customers > 0
+        self.all_u, self.all_w = np.repeat(np.arange(len(self.contexts)), per_context), pw.astype(np.int64)
+        self.pu, self.pw, self.customers = self.all_u[self.hit], self.all_w[self.hit], customers[self.hit].astype(np.int64)
+        self.names = mix64(self.contexts[self.pu] * np.uint64(31) + self.words[self.pw])
+        self.c = np.bincount(self.pu, self.customers, len(self.contexts))
+
+    @staticmethod
+    def packed(layout: Layout, chunks: list[int], payloads: list[bytes]) -> bytes:
+        """The pieces of a bucket, brought into order once. Entries by pair; ``doc`` counts the chunks' documents through."""
+        parts = [read_piece(layout, p) for p in payloads]
+        context, word, doc, times = (np.concatenate(c) for c in zip(*parts))
+        chunk = np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts])
+        del parts
+        contexts, u = np.unique(context, return_inverse=True)
+        words, w = np.unique(word, return_inverse=True)
+        del context, word
+        key = u * len(words) + w
+        order = np.argsort(key, kind="stable")
+        key, doc, times, chunk = key[order], doc[order], times[order], chunk[order]
+        at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        pairs = key[at]
+        customers = np.add.reduceat(np.where(doc >> 15 == 1, times, 0).astype(np.int64), at)
+        size = np.array([1 << 15] * len(chunks), np.int64)
+        return packed(np.array(chunks, np.int64), size, contexts, words, np.bincount(pairs // len(words), minlength=len(contexts)), pairs % len(words), customers, np.diff(np.concatenate([at, [len(key)]])), chunk << 15 | (doc & 0x7FFF), times)
+
+    def sweeps(self, totals: Totals, parent: np.ndarray, first: int, n: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Tables of each pair, and of each context with its customers, after each of ``n`` sweeps."""
+        tables, c = np.ones(len(self.customers), np.int64), self.c.copy()
+        hot = [(i, *totals.hot[u]) for i, u in enumerate(self.contexts.tolist()) if u in totals.hot]
+        d = totals.discount(0)
+        for sweep in range(first, first + n):
+            t = np.bincount(self.pu, tables, len(self.contexts))
+            for i, all_c, all_t in hot:
+                c[i], t[i] = all_c, all_t
+            tables = seated(self.customers, parent[self.pw], t[self.pu] - tables, THETA[0], d, self.names, sweep)
+            t = np.bincount(self.pu, tables, len(self.contexts))
+            for i, _, all_t in hot:
+                t[i] = all_t
+            yield tables, t, c
+
+
+def _runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[int, list[dict]]]:
+    """Rows sorted by ``key`` -> each key with its rows."""
+    at, rows = None, []
+    for b in batches:
+        for i in range(b.num_rows):  # few and large: packed payloads
+            (r,) = b.slice(i, 1).to_pylist()
+            if r[key] != at and rows:
+                yield at, rows
+                rows = []
+            at = r[key]
+            rows.append(r)
+    if rows:
+        yield at, rows
+
+
+def prepared(rows: DataFrame, layout: Layout) -> DataFrame:
+    """``pieces`` -> ``(bucket, payload)``: one row for each bucket and each list of documents."""
+
+    @tidied
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bucket, own in _runs(batches, "bucket"):
+            data = own[0]["payload"] if bucket < 0 else Bucket.packed(layout, [r["chunk"] for r in own], [r["payload"] for r in own])
+            yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int64()), pa.array([data], pa.binary())], names=["bucket", "payload"])
 
-    def __init__(self, contexts: int):
-        self.c, self.t = np.zeros(contexts), np.zeros(contexts)
-        self.root_c = self.root_t = self.n = self.v = 0.0
-        self.leaf_ones = self.leaf_twos = self.root_ones = self.root_twos = 0.0
+    n = partitions(rows.sparkSession)
+    return rows.repartition(n, "bucket").sortWithinPartitions("bucket", "chunk").mapInArrow(run, "bucket long, payload binary")
 
-    @property
-    def d_leaf(self) -> float:
-        return min(0.95, max(0.05, self.leaf_ones / max(1.0, self.leaf_ones + 2 * self.leaf_twos)))
 
-    @property
-    def d_root(self) -> float:
-        return min(0.95, max(0.05, self.root_ones / max(1.0, self.root_ones + 2 * self.root_twos)))
+def _slices(words: np.ndarray, n: int) -> np.ndarray:
+    """The slice of the words' side that each word belongs to."""
+    return ((mix64(words + np.uint64(77)) >> np.uint64(20)) % np.uint64(n)).astype(np.int64)
 
-    def fresh(self) -> float:
-        """Probability of a word that the parent restaurant has not served."""
-        return (THETA_ROOT + self.d_root * self.root_t) / (self.v + 1) / (THETA_ROOT + self.root_c)
 
-    def root(self, customers: np.ndarray, tables: np.ndarray) -> np.ndarray:
-        return (customers - self.d_root * tables) / (THETA_ROOT + self.root_c) + self.fresh()
-
-    def back_off(self, u: np.ndarray) -> np.ndarray:
-        return (THETA_LEAF + self.d_leaf * self.t[u]) / (THETA_LEAF + self.c[u])
-
-    def leaf(self, u: np.ndarray, customers: np.ndarray, tables: np.ndarray, parent: np.ndarray) -> np.ndarray:
-        return (customers - self.d_leaf * tables) / (THETA_LEAF + self.c[u]) + self.back_off(u) * parent
-
-
-class Restaurants:
-    """The dishes of one bucket: words, and (word, context) pairs with their customers in training."""
-
-    def __init__(self, words: np.ndarray, pair_w: np.ndarray, pair_u: np.ndarray, customers: np.ndarray):
-        self.words, self.w, self.u, self.c = words, pair_w, pair_u, customers
-
-    def minimal(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        t = np.ones(len(self.c))
-        served = np.bincount(self.w, t, len(self.words))
-        return t, served, (served > 0).astype(float)
-
-    def sampled(self, totals: Totals, rng: np.random.Generator, burn: int, samples: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Tables of each pair, customers and tables of each word in the parent: means over the sampled sweeps."""
-        t, served, root_t = self.minimal()
-        sums = [np.zeros(len(t)), np.zeros(len(served)), np.zeros(len(served))]
-        base = np.full(len(served), (THETA_ROOT + totals.d_root * totals.root_t) / (totals.v + 1))
-        for s in range(burn + samples):
-            parent = totals.root(served, root_t)
-            t = seated(self.c, (THETA_LEAF + totals.d_leaf * totals.t[self.u]) * parent[self.w], totals.d_leaf, rng)
-            served = np.bincount(self.w, t, len(self.words)).astype(np.int64)
-            root_t = seated(served, base, totals.d_root, rng)
-            if s >= burn:
-                for total, x in zip(sums, (t, served, root_t)):
-                    total += x
-        return tuple(x / samples for x in sums)
-
-    def totals(self, contexts: int, state: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
-        t, served, root_t = state
-        tail = [served.sum(), root_t.sum(), self.c.sum(), np.count_nonzero(np.bincount(self.w, minlength=len(self.words)) > 0), (self.c == 1).sum(), (self.c == 2).sum(), ((served > 0) & (served < 1.5)).sum(), ((served >= 1.5) & (served < 2.5)).sum()]
-        return np.concatenate([np.bincount(self.u, self.c, contexts), np.bincount(self.u, t, contexts), tail])
-
-
-def _restaurants(row: dict, contexts: int) -> tuple[Restaurants, tuple | None]:
-    """A bucket's restaurants; for buckets of other words also all their entries (word index, document, context, count)."""
-    if row["kind"] == "h":
-        parts = []
-        for n, data in zip(row["sizes"], row["payloads"]):
-            raw = zstandard.decompress(data)
-            parts.append((np.frombuffer(raw, np.uint32, n).astype(np.int64) * contexts + np.frombuffer(raw, np.uint32, n, 4 * n), np.frombuffer(raw, np.uint64, n, 8 * n).astype(np.int64)))
-        keys, times = (np.concatenate(x) for x in zip(*parts))
-        pairs, inverse = np.unique(keys, return_inverse=True)
-        words, w = np.unique(pairs // contexts, return_inverse=True)
-        return Restaurants(words, w, pairs % contexts, np.bincount(inverse, times, len(pairs)).astype(np.int64)), None
-    code, doc, u, train, times = _unpacked(row["sizes"], row["bases"], row["payloads"])
-    words, w = np.unique(code, return_inverse=True)
-    key = w * contexts + u
-    pairs, inverse = np.unique(key[train], return_inverse=True)
-    return Restaurants(words, pairs // contexts, pairs % contexts, np.bincount(inverse, times[train], len(pairs)).astype(np.int64)), (w, doc, u, times, pairs, key)
-
-
-def _round(buckets: DataFrame, contexts: int, totals: Totals | None, seed: int, burn: int, samples: int) -> Totals:
-    """Seats every bucket once more and adds up the totals, in two steps before the driver."""
-
-    groups = max(4, int(buckets.count() ** 0.5))
+def _buckets(batches: Iterator[pa.RecordBatch], slices: int) -> Iterator[tuple[Bucket, list[np.ndarray] | None]]:
+    """Rows of buckets -> each bucket with what the words' side answered, in the order of its words."""
+    for _, (row,) in _runs(batches, "bucket"):
+        own, answers = Bucket(row["bucket"], row["payload"]), [unpacked(r["payload"]) for r in row["answers"] or ()]
+        del row
+        if answers:
+            order = np.argsort(_slices(own.words, slices), kind="stable")
+            found = [np.empty(len(order)) for _ in range(5)]
+            for out, x in zip(found, zip(*answers)):
+                out[order] = np.concatenate(x)
+        yield own, found if answers else None
+
+
+def _met(tokens: DataFrame, seats: DataFrame | None) -> DataFrame:
+    """Tokens and the answers of the words' side, by bucket. Tokens stay where they are: their table is bucketed."""
+    if seats is None:
+        return tokens.select("bucket", "payload", F.lit(None).cast("array<struct<slice: bigint, payload: binary>>").alias("answers"))
+    answers = seats.where("kind = 'w'").groupBy("bucket").agg(F.sort_array(F.collect_list(F.struct("slice", "payload"))).alias("answers"))
+    return tokens.join(answers.hint("shuffle_merge"), "bucket", "left").select("bucket", "payload", "answers")
+
+
+def _parent(totals: Totals, bucket: Bucket, seats: list[np.ndarray]) -> np.ndarray:
+    """The class restaurant's probability of each of the bucket's words."""
+    return totals.of_class(bucket.kind, seats[0], seats[1], totals.root(seats[2], seats[3]))
+
 
+ASKED = "kind string, bucket long, slice long, code long, served long, n long, payload binary"
+
+
+def served(tokens: DataFrame, seats: DataFrame | None, totals: Totals, slices: int, first: int, n: int) -> DataFrame:
+    """Seats the contexts of every bucket -> rows of ``ASKED``.
+
+    'w': a bucket's words of one slice, with the tables that serve each there and its training count, packed; 'h': a hot
+    context's tables and customers; 's': numbers of pairs with one (0) and two customers (1).
+    """
+
+    @tidied
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for own, answers in _buckets(batches, slices):
+            tables = np.ones(len(own.customers), np.int64)
+            if answers is not None:
+                for tables, _, _ in own.sweeps(totals, _parent(totals, own, answers), first, n):
+                    pass
+            by_word = [np.bincount(own.pw, x, len(own.words)).astype(np.uint32) for x in (tables, own.customers)]
+            slice_ = _slices(own.words, slices)
+            order = np.argsort(slice_, kind="stable")
+            cuts = np.searchsorted(slice_[order], np.arange(slices + 1))
+            rows = [("w", own.number, i, None, None, None, packed(own.words[part], *(x[part] for x in by_word))) for i in range(slices) for part in [order[cuts[i] : cuts[i + 1]]] if len(part)]
+            t = np.bincount(own.pu, tables, len(own.contexts))
+            rows += [("h", own.number, None, int(own.contexts[i].view(np.int64)), int(t[i]), int(own.c[i]), None) for i in np.flatnonzero(np.isin(own.contexts, np.array(list(totals.hot), np.uint64)))]
+            rows += [("s", own.number, None, i, int(np.count_nonzero(own.customers == i + 1)), 0, None) for i in range(2)]
+            yield pa.RecordBatch.from_pydict({c.split()[0]: pa.array(x, pa.string() if i == 0 else pa.binary() if i == 6 else pa.int64()) for i, (c, x) in enumerate(zip(ASKED.split(", "), zip(*rows)))})
+
+    return _met(tokens, seats).mapInArrow(run, ASKED)
+
+
+def upper_seats(code: np.ndarray, kind: np.ndarray, customers: np.ndarray, totals: Totals, first: int, burn: int, samples: int) -> tuple[np.ndarray, ...]:
+    """Class and unigram restaurants of whole words: rows sorted by word -> customers and mean tables in class and root, by row."""
+    words, word = np.unique(code, return_inverse=True)
+    dish, at = np.unique(word * CLASSES + kind, return_inverse=True)
+    cust = np.bincount(at, customers, len(dish)).astype(np.int64)
+    word, kind = dish // CLASSES, dish % CLASSES
+    tables, root_t = (cust > 0).astype(np.int64), None
+    sums = [np.zeros(len(cust)), np.zeros(len(words)), np.zeros(len(words))]
+    if not totals.root_c:  # the first round: one table for each dish
+        root_c = np.bincount(word, tables, len(words))
+        return tuple(x[at] for x in (cust, tables, root_c[word], (root_c > 0)[word]))
+    name = mix64(words[word].view(np.uint64) * np.uint64(31) + kind.astype(np.uint64) + np.uint64(7))
+    top = mix64(words.view(np.uint64) + np.uint64(11))
+    root_c = np.bincount(word, tables, len(words)).astype(np.int64)
+    root_t = (root_c > 0).astype(np.int64)
+    base = np.full(len(words), 1 / (totals.v + 1))
+    for s in range(burn + samples):
+        parent = totals.root(root_c, root_t)[word]
+        tables = seated(cust, parent, totals.t[kind] - tables, THETA[1], totals.discount(1), name, first + s)
+        root_c = np.bincount(word, tables, len(words)).astype(np.int64)
+        root_t = seated(root_c, base, totals.root_t - root_t, THETA[2], totals.discount(2), top, first + s)
+        if s >= burn:
+            for total, x in zip(sums, (tables, root_c, root_t)):
+                total += x
+    t, rc, rt = (x / samples for x in sums)
+    return tuple(x[at] for x in (cust, t, rc[word], rt[word]))
+
+
+SEATS = "kind string, bucket long, slice long, payload binary, a double, b double, c double, d double, e double, f double"
+
+
+def answered(asked: DataFrame, totals: Totals, first: int, burn: int, samples: int) -> DataFrame:
+    """Words of all buckets meet -> rows of ``SEATS``: what each bucket asked for, packed in the same order, and sums by class and over all words ('s')."""
+
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        x = np.zeros(2 * contexts + 8)
-        for b in batches:
-            for row in b.to_pylist():
-                own, _ = _restaurants(row, contexts)
-                x += own.totals(contexts, own.minimal() if totals is None else own.sampled(totals, _rng(seed, row), burn, samples))
-        yield _vector(x, TaskContext.get().partitionId() % groups)
-
-    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        x = np.zeros(2 * contexts + 8)
-        for b in batches:
-            for data in b.column("x").to_pylist():
-                x += np.frombuffer(data)
-        yield _vector(x, 0)
-
-    # a task's sums, then sums of about the square root of as many tasks, then the rest on the driver
-    sums = buckets.mapInArrow(run, "g int, x binary").repartition(groups, "g").mapInArrow(added, "g int, x binary")
-    x = np.zeros(2 * contexts + 8)
-    for r in sums.toLocalIterator():
-        x += np.frombuffer(bytes(r.x))
-    out = Totals(contexts)
-    out.c, out.t = x[:contexts], x[contexts : 2 * contexts]
-    out.root_c, out.root_t, out.n, out.v, out.leaf_ones, out.leaf_twos, out.root_ones, out.root_twos = x[2 * contexts :]
+        sums = np.zeros((CLASSES + 1, 6))
+        for number, rows in _runs(batches, "slice"):
+            asks = [unpacked(r["payload"]) for r in rows]
+            sizes = [len(x[0]) for x in asks]
+            code, served_, n = (np.concatenate(x) for x in zip(*asks))
+            code = code.view(np.int64)
+            kind = np.repeat([r["bucket"] >> 20 for r in rows], sizes)
+            cust, tab, root_c, root_t = upper_seats(code, kind, served_, totals, first, burn, samples)
+            words, word = np.unique(code, return_inverse=True)
+            count = np.bincount(word, n, len(words))[word]
+            new = np.unique(word * CLASSES + kind, return_index=True)[1]  # a row for each dish, then for each word
+            np.add.at(sums[:CLASSES, :4], kind[new], np.stack([cust[new], tab[new], cust[new] == 1, cust[new] == 2], axis=1))
+            one = np.unique(word, return_index=True)[1]
+            sums[CLASSES, :4] += root_c[one].sum(), root_t[one].sum(), ((root_c[one] > 0) & (root_c[one] < 1.5)).sum(), ((root_c[one] >= 1.5) & (root_c[one] < 2.5)).sum()
+            sums[CLASSES, 4:] += count[one].sum(), (count[one] > 0).sum()
+            ends = np.cumsum(sizes)
+            kinds = (np.int64, np.float32, np.float32, np.float32, np.int64)
+            out = [packed(*(x[e - m : e].astype(k) for x, k in zip((cust, tab, root_c, root_t, count), kinds))) for e, m in zip(ends, sizes)]
+            none = pa.nulls(len(out), pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.repeat("w", len(out)), pa.array([r["bucket"] for r in rows]), pa.array([number] * len(out)), pa.array(out, pa.binary()), *[none] * 6], names=names)
+        m = CLASSES + 1
+        yield pa.RecordBatch.from_arrays([pa.repeat("s", m), pa.array(np.arange(m)), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), *(pa.array(sums[:, i]) for i in range(6))], names=names)
+
+    names = [c.split()[0] for c in SEATS.split(", ")]
+    rows = asked.where("kind = 'w'").select("bucket", "slice", "payload").repartition("slice").sortWithinPartitions("slice", "bucket")
+    return rows.mapInArrow(run, SEATS)
+
+
+def _summed(asked: DataFrame, seats: DataFrame) -> Totals:
+    """The totals after a round: at most a row for each class and hot context on the driver."""
+    out = Totals()
+    for r in asked.where("kind <> 'w'").groupBy("kind", "code").agg(F.sum("served").alias("x"), F.sum("n").alias("y")).collect():
+        if r.kind == "h":
+            out.hot[r.code % 2**64] = (float(r.y), float(r.x))
+        else:
+            (out.twos if r.code else out.ones)[0] = float(r.x)
+    for r in seats.where("kind = 's'").groupBy("bucket").agg(*[F.sum(c).alias(c) for c in "abcdef"]).collect():
+        if r.bucket < CLASSES:
+            out.c[r.bucket], out.t[r.bucket] = r.a, r.b
+            out.ones[1] += r.c
+            out.twos[1] += r.d
+        else:
+            out.root_c, out.root_t, out.ones[2], out.twos[2], out.n, out.v = r.a, r.b, r.c, r.d, r.e, r.f
     return out
 
 
-def _vector(x: np.ndarray, group: int) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([group], pa.int32()), pa.array([x.tobytes()], pa.binary())], names=["g", "x"])
+def _scores(tokens: DataFrame, seats: DataFrame, totals: Totals, slices: int, n: float, first: int, burn: int, samples: int) -> DataFrame:
+    """``(chunk, payload)``: of each chunk and bucket the documents with their sums of log10 probability, base and known tokens."""
 
+    @tidied
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for own, answers in _buckets(batches, slices):
+            parent = _parent(totals, own, answers)
+            p, d = np.zeros(len(own.all_w)), totals.discount(0)  # of each pair
+            for i, (tables, t, c) in enumerate(own.sweeps(totals, parent, first, burn + samples)):
+                if i >= burn:  # predictive probabilities are averaged, not seats
+                    p += ((THETA[0] + d * t) / (THETA[0] + c))[own.all_u] * parent[own.all_w]
+                    p[own.hit] += (own.customers - d * tables) / (THETA[0] + c[own.pu])
+            count = answers[4]
+            base = np.log10((count + 0.5) / (n + 0.5 * (totals.v + 1)))
+            by_pair = (np.log10(p / samples), base[own.all_w], (count > 0)[own.all_w])
+            docs, inverse = np.unique(own.doc, return_inverse=True)
+            sums = [np.bincount(inverse, x[own.pair] * own.times, len(docs)) for x in by_pair]
+            cuts = np.searchsorted(docs, own.edges)
+            out = [packed(docs[a:b] & 0x7FFF, sums[0][a:b].astype(np.float32), sums[1][a:b], sums[2][a:b].astype(np.int64)) for a, b in zip(cuts, cuts[1:])]
+            yield pa.RecordBatch.from_arrays([pa.array(own.chunks.astype(np.int64)), pa.array(out, pa.binary())], names=["chunk", "payload"])
+
+    return _met(tokens, seats).mapInArrow(run, "chunk long, payload binary")
+
+
+def _by_document(sums: DataFrame, docs: DataFrame) -> DataFrame:
+    """``(id, train, n_tokens, n_known, base, score)`` of every document: a chunk's sums meet its list of documents."""
+
+    @tidied
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in _runs(batches, "chunk"):
+            ids, known, train, sizes = unpacked(rows[0]["payload"])
+            total = np.zeros((3, len(ids)))
+            for r in rows[1:]:
+                doc, *sums = unpacked(r["payload"])
+                for row, x in zip(total, sums):
+                    row[doc] += x
+            yield pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int64), mask=known == 0), pa.array(train == 1), pa.array(sizes.astype(np.int64)), pa.array(np.rint(total[2]).astype(np.int64)), pa.array(total[1]), pa.array(total[0])], names=["id", "train", "n_tokens", "n_known", "base", "score"])
 
-def _rng(seed: int, row: dict) -> np.random.Generator:
-    return np.random.default_rng([seed, row["bucket"], row["kind"] == "h"])
+    rows = docs.select("chunk", F.lit(True).alias("listed"), "payload").union(sums.select("chunk", F.lit(False), "payload"))
+    return rows.repartition("chunk").sortWithinPartitions("chunk", F.desc("listed")).mapInArrow(run, "id long, train boolean, n_tokens long, n_known long, base double, score double")
 
 
-def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, held_out: int = 1, share: float = 1 / 2000, burn: int = 2, samples: int = 4, seed: int = 7) -> DataFrame:
+def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, held_out: int = 1, burn: int = 1, samples: int = 3, bucket_tokens: int = BUCKET_TOKENS) -> DataFrame:
     """One row per input row: id, ``held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity``.
 
     Learns from texts outside the held-out fold. Tokens: lower-cased (A-Z) runs of bytes other than space and \\x09-\\x0D,
     then one end. base_score: log10 of add-half unigram probabilities; score: log10 of the model's probability.
-    Null and empty texts are one end token. Null ids are in the fold of the text 'None'; repeated rows are texts like any
-    other. Other columns are not read. An empty table gives an empty result. If no text is in the
-    training folds, every word is unknown.
+    Null and empty texts are one end token. Ids are whole numbers (others count as null); null ids are in the fold of the
+    text 'None'; repeated rows are texts like any other. Other columns are not read. An empty table gives an empty
+    result. If no text is in the training folds, every word is unknown. Scores do not depend on the partitioning
+    (but for the order of floating-point sums). ``bucket_tokens``: about how many tokens a task holds at once.
     """
-    spark = docs.sparkSession
     of = F.when(F.col(id_col).isNull(), F.lit("None")).otherwise(F.col(id_col).cast("string"))
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), (F.crc32(of.cast("binary")) % folds != held_out).alias("train"), text_bytes(text_col).alias("t"))
-    heavy, tokens = heavy_words(texts.select("train", "t"), share)
-    n_heavy, contexts = len(heavy), len(heavy) + 1 + CLASSES
-    if contexts > 0x7FFF:
-        raise ValueError("share is too small: contexts are packed in 15 bits")
-    n_buckets = max(8, -(-tokens // BUCKET_TOKENS))
-    packed = staged(_counted(texts, heavy, n_buckets, 8), "packed")
-    gathered = packed.where("kind <> 'd'").groupBy("kind", "bucket").agg(F.collect_list(F.struct("size", "dn", "payload")).alias("x"))
-    buckets = staged(gathered.select("kind", "bucket", F.col("x.size").alias("sizes"), F.col("x.dn").alias("bases"), F.col("x.payload").alias("payloads")), "buckets").repartition("kind", "bucket")
-    first = _round(buckets, contexts, None, seed, 0, 0)
-    second = _round(buckets, contexts, first, seed, 1, 1)
-    final = _round(buckets, contexts, second, seed + 1, burn, samples)
-    floor = np.log10(0.5 / (final.n + 0.5 * (final.v + 1)))
-
-    def cold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for row in b.to_pylist():
-                own, (w, doc, u, times, pairs, key) = _restaurants(row, contexts)
-                t, served, root_t = own.sampled(second, _rng(seed + 1, row), burn, samples)
-                parent = final.root(served, root_t)
-                p = final.back_off(u) * parent[w]
-                at = np.minimum(np.searchsorted(pairs, key), max(0, len(pairs) - 1))
-                if len(pairs):
-                    hit = pairs[at] == key
-                    p[hit] = final.leaf(u[hit], own.c[at[hit]], t[at[hit]], parent[w[hit]])
-                count = np.bincount(own.w, own.c, len(own.words))
-                base = np.log10((count + 0.5) / (final.n + 0.5 * (final.v + 1)))
-                docs_, inverse = np.unique(doc, return_inverse=True)
-                sums = [np.bincount(inverse, x * times, len(docs_)) for x in (np.log10(p), base[w], (count > 0)[w])]
-                yield pa.RecordBatch.from_arrays([pa.array(docs_), pa.array(sums[0]), pa.array(sums[1]), pa.array(sums[2].astype(np.int64))], names=["dn", "s", "b", "k"])
-
-    def table(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for row in b.to_pylist():
-                own, _ = _restaurants(row, contexts)
-                t, served, root_t = own.sampled(second, _rng(seed + 1, row), burn, samples)
-                parent = final.root(served, root_t)
-                every = np.arange(contexts)
-                p = final.back_off(every)[None, :] * parent[:, None]
-                p[own.w, own.u] = final.leaf(own.u, own.c, t, parent[own.w])
-                count = np.bincount(own.w, own.c, len(own.words)).astype(np.int64)
-                for i, w in enumerate(own.words.tolist()):
-                    yield pa.RecordBatch.from_arrays([pa.array([w]), pa.array([int(count[i])]), pa.array([np.log10(p[i]).astype(np.float32).tobytes()], pa.binary())], names=["w", "c", "p"])
-
-    # at most (2 / share) rows of (2 / share + 257) floats
-    logs = np.full((n_heavy, contexts), np.log10(final.fresh()), np.float32) + np.log10(final.back_off(np.arange(contexts))).astype(np.float32)
-    bases = np.full(n_heavy, floor)
-    seen = np.zeros(n_heavy, bool)
-    for r in buckets.where("kind = 'h'").mapInArrow(table, "w long, c long, p binary").toLocalIterator():
-        logs[r.w], bases[r.w], seen[r.w] = np.frombuffer(r.p, np.float32), np.log10((r.c + 0.5) / (final.n + 0.5 * (final.v + 1))), True
-    shared = spark.sparkContext.broadcast((logs, bases, seen))
-
-    def often(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        logs, bases, seen = shared.value
-        flat = logs.ravel()
-        for b in batches:
-            rows = []
-            for n, data in zip(b.column("size").to_pylist(), b.column("payload").to_pylist()):
-                raw = zstandard.decompress(data)
-                pairs, times = np.frombuffer(raw, np.uint32, n), np.frombuffer(raw, np.uint32, n, 4 * n).astype(np.float64)
-                w = pairs // contexts
-                rows.append((float(flat[pairs].astype(np.float64) @ times), float(bases[w] @ times), int(seen[w] @ times)))
-            cols = [pa.array(c, k) for c, k in zip(zip(*rows), (pa.float64(), pa.float64(), pa.int64()))] if rows else [pa.array([], k) for k in (pa.float64(), pa.float64(), pa.int64())]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("dn", "id", "train", "n_tokens")), *cols], names=["dn", "id", "train", "n_tokens", "hs", "hb", "hk"])
-
-    known = packed.where("kind = 'd'").select("dn", "id", "train", "n_tokens", "size", "payload").mapInArrow(often, "dn long, id long, train boolean, n_tokens long, hs double, hb double, hk long")
-    rest = buckets.where("kind = 'c'").mapInArrow(cold, "dn long, s double, b double, k long").groupBy("dn").agg(*[F.sum(c).alias(c) for c in "sbk"])
-    out = known.join(rest, "dn", "left")
-    add = lambda a, b: F.col(a) + F.coalesce(F.col(b), F.lit(0))
-    score = add("hs", "s")
+    texts = docs.select(F.col(id_col).try_cast("long").alias("id"), (F.crc32(of.cast("binary")) % folds != held_out).alias("train"), text_bytes(text_col).alias("t"))
+    spark = docs.sparkSession
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")  # rows are large
+    layout = sized(texts, bucket_tokens)
+    rows = bucketed(prepared(pieces(texts, layout), layout), "tokens", "bucket")
+    tokens, lists = rows.where("bucket >= 0"), rows.where("bucket < 0")
+    totals, seats = Totals(hot={int(u): (0.0, 0.0) for u in layout.hot}), None
+    for r in range(2):  # minimal seats, then a sampled round given their probabilities
+        asked = staged(served(tokens, seats, totals, layout.slices, 0, 2), "asked")
+        old, seats = seats, staged(answered(asked, totals, 0, burn * r, samples), "seats")
+        totals = _summed(asked, seats)
+        for gone in (asked, old):
+            if gone is not None:
+                dropped(gone)
+    n = totals.n
+    sums = _scores(tokens, seats, totals, layout.slices, n, 2, burn, samples)
+    out = _by_document(sums, lists.select((-1 - F.col("bucket")).alias("chunk"), "payload"))
     return out.select(
-        F.col("id").alias(id_col), (~F.col("train")).alias("held_out"), "n_tokens", add("hk", "k").cast("long").alias("n_known"), F.lit(int(final.n)).cast("long").alias("train_tokens"),
-        add("hb", "b").alias("base_score"), score.alias("score"), F.pow(F.lit(10.0), -score / F.col("n_tokens")).alias("perplexity"),
+        F.col("id").alias(id_col), (~F.col("train")).alias("held_out"), "n_tokens", "n_known", F.lit(int(n)).cast("long").alias("train_tokens"),
+        F.col("base").alias("base_score"), "score", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"),
     )
-
