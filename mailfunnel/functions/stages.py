@@ -82,18 +82,29 @@ def guard_stage(stage: Column, text: Column) -> Column:
     )
 
 
-#: Requisition ids, the surest first: labelled, prefixed, structured, then bare numbers with a lead-in.
-REQ_PATTERNS = [
-    r"(?i)\breq[ -]?(\d{4,10})\b", r"(?i)\bjr[ -]?(\d{5,10})\b", r"\bR-?(\d{4}-\d{2,8})\b", r"\bR-?(\d{5,10})\b", r"\b(\d{4,10}) ?BR\b", r"\b([A-Z]{1,3}-[A-Z]{2,3}-\d{2,8})\b",
-    r"(?i)\((?:job id|requisition id|requisition|id|no\.?)[:# ]+([a-z]?\d{4,14}) ?\)", r"(?i)\b(?:job id|requisition id|requisition|ref)[:# ]+([a-z]?\d{4,12})\b", r"(?i)\bposition of (\d{5,10})\b",
-    r"(?i)\b(?:requisition|req|ref|id|no\.?|of|to|application|position|job|role) ?[:#-]? ?(\d{5,9}) ?[-–] ?(?=(?-i:[A-Z]))",
-]
+def _number(lead: str, shape: str, tail: str = r"(?![A-Za-z0-9])") -> str:
+    """A pattern: an id of that shape right after its lead, neither inside a longer word."""
+    return rf"(?<![A-Za-z0-9]){lead}({shape}){tail}"
+
+
+#: Requisition ids, the surest first: company systems' own prefixes and suffixes, structured codes, labels, then bare numbers with a lead-in.
+REQ_MARKED = [
+    _number(r"(?i:req|jr)[\s-]?", r"\d{4,10}"),
+    _number("R-?", r"\d{4}-\d{2,8}|\d{5,10}"),
+    _number("", r"\d{4,10}", r"\s?BR(?![A-Za-z0-9])"),
+    _number("", r"[A-Z]{1,3}-[A-Z]{2,3}-\d{2,8}"),
+    _number(r"(?i:job id|requisition id|requisition|ref|(?<=\()(?:id|no\.?))[\s:#]+", r"[A-Za-z]?\d{4,14}"),
+]
+REQ_BARE = [
+    _number(r"(?i:position of)\s+", r"\d{5,10}"),
+    _number(r"(?i:position|role|job|application|requisition|req|ref|id|no\.?|of|to)[\s:#-]{0,3}", r"\d{5,9}", r"\s*[-–]\s*(?=[A-Z])"),
+]
 
 
 def extract_req_id(text: Column) -> Column:
     """The first pattern's id with at least four letters or digits that is no year; null if there is none."""
     found = []
-    for p in REQ_PATTERNS:
+    for p in (*REQ_MARKED, *REQ_BARE):
         norm = F.upper(F.regexp_replace(F.regexp_extract(text, p, 1), "[^A-Za-z0-9]", ""))
         found.append(F.when((F.length(norm) >= 4) & ~norm.rlike(r"^20\d\d$"), norm))
     return F.coalesce(*found)

@@ -9,8 +9,17 @@ from ..functions import decode, gates, keys, names, stages
 from ..functions.steps import step
 
 
+def spread(mail: DataFrame) -> DataFrame:
+    """Mails over at least as many partitions as shuffles have: the work is in the patterns, not in the bytes. Streams stay as they are."""
+    if mail.isStreaming:
+        return mail
+    n = int(mail.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return mail if mail.rdd.getNumPartitions() >= n else mail.repartition(n)
+
+
 def evidence(mail: DataFrame) -> DataFrame:
     """Adds the text that is judged, its decisive and unhedged parts, the sender's classes, the evidence flags and the gates."""
+    mail = spread(mail)
     body = F.coalesce("body", F.lit(""))
     text = F.concat_ws("\n", F.coalesce("subject", F.lit("")), F.when(body == "", F.coalesce("snippet", F.lit(""))).otherwise(F.substring(body, 1, 2000)))
     out = step(mail, {"_text": decode.decode_entities(text), "_domain": keys.domain_of(F.col("from_email"))})

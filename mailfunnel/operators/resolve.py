@@ -33,42 +33,41 @@ def folded(now: str, stage: str, newer: bool) -> str:
     return stage if PROGRESSION[stage] > PROGRESSION[now] else now
 
 
-class _Cards:
-    """A user's cards by company bucket."""
-
-    def __init__(self):
-        self.buckets: dict[str, list[dict]] = {}
-
-    def bucket(self, key: str) -> str:
-        if key in self.buckets:
-            return key
-        return next((k for k in self.buckets if _contained(k, key)), key)
-
-    def find(self, key: str, role: str, req: str | None) -> dict | None:
-        own = self.buckets.get(key, [])
-        fits = [c for c in own if not c["req"] or not req or c["req"] == req]
-        tests = [lambda c: req and c["req"] == req, lambda c: role and c["role_key"] == role, lambda c: role and c["role_key"] and _alike(c["role_key"], role), lambda c: (role or req) and not c["role_key"]]
-        for test in tests:
-            if hit := next((c for c in fits if test(c)), None):
-                return hit
-        if not role and not req and fits:
-            return max(fits, key=lambda c: c["last"])
-        return None
+def _settled(seen: pd.DataFrame) -> pd.DataFrame:
+    """A user's distinct company keys, stored ones first, then by first mail -> the bucket of each: its own, or the first bucket that resembles it."""
+    buckets: dict[str, None] = {}
+    rows = []
+    for k in seen.sort_values(["stored", "first_at", "first_id"], ascending=[False, True, True]).itertuples():
+        own = k.company_key if k.stored or k.company_key in buckets else next((b for b in buckets if _contained(b, k.company_key)), k.company_key)
+        buckets.setdefault(own)
+        rows.append((k.user_id, k.company_key, own))
+    return pd.DataFrame(rows, columns=["user_id", "company_key", "bucket"])
+
+
+def _find(cards: list[dict], role: str, req: str | None) -> dict | None:
+    """The card of a mail among its company's: same requisition, then same, similar or missing role; without a role the latest one that fits."""
+    if req and (hit := next((c for c in cards if c["req"] == req), None)):
+        return hit
+    fits = [c for c in cards if not c["req"] or not req or c["req"] == req]
+    if not role:
+        return max(fits, key=lambda c: c["last"], default=None)
+    tests = [lambda c: c["role_key"] == role, lambda c: c["role_key"] and _alike(c["role_key"], role), lambda c: not c["role_key"]]
+    return next((c for test in tests for c in fits if test(c)), None)
 
 
 def _resolve(mails: pd.DataFrame, cards: pd.DataFrame) -> pd.DataFrame:
-    state, rows = _Cards(), []
+    own, rows = [], []
     for c in cards.sort_values(["first_email_at", "id"]).to_dict("records"):
         req = (c["dedup_key"] or "").split("::")
-        state.buckets.setdefault(state.bucket(c["company_key"]), []).append({"id": c["id"], "new": False, "company": c["company"], "company_key": c["company_key"], "role": c["role"], "role_key": c["role_key"] or "", "req": (req[2] if len(req) > 2 else "") or None, "stage": c["stage"], "first": c["first_email_at"], "last": c["last_email_at"], "locked": bool(c["locked"])})
+        own.append({"id": c["id"], "new": False, "company": c["company"], "company_key": c["company_key"], "role": c["role"], "role_key": c["role_key"] or "", "req": (req[2] if len(req) > 2 else "") or None, "stage": c["stage"], "first": c["first_email_at"], "last": c["last_email_at"], "locked": bool(c["locked"])})
     touched: dict[str, dict] = {}
     for m in mails.sort_values(["email_at", "message_id"]).to_dict("records"):
-        key, role, req = state.bucket(m["company_key"]), m["role_key"] or "", m["req"] or None
-        card = state.find(key, role, req)
+        key, role, req = m["bucket"], m["role_key"] or "", m["req"] or None
+        card = _find(own, role, req)
         if card is None:
             name = hashlib.sha256(f"{m['user_id']}|{m['message_id']}".encode()).hexdigest()
             card = {"id": name, "new": True, "company": m["company"], "company_key": key, "role": m["role"], "role_key": role, "req": req, "stage": m["stage"], "first": m["email_at"], "last": m["email_at"], "locked": False}
-            state.buckets.setdefault(key, []).append(card)
+            own.append(card)
         else:
             if not card["locked"]:
                 card["stage"] = folded(card["stage"], m["stage"], m["email_at"] > card["last"])
@@ -85,18 +84,27 @@ def _resolve(mails: pd.DataFrame, cards: pd.DataFrame) -> pd.DataFrame:
 def resolve_cards(classified: DataFrame, existing: DataFrame) -> DataFrame:
     """Each attributable mail with its card and the card's state after all mails (columns as RESOLVED).
 
-    Only keys and short strings reach the helper; a user's mails of one run are one group (the per-user cap bounds
-    it). Mails are taken oldest first, ties by message id; existing cards by first mail and id.
+    Company keys are settled first: a key's bucket depends on the order of first appearance only, so each user's
+    distinct keys are enough. Cards never cross buckets: a group is a user's mails of one company. Only keys and short
+    strings reach the helper. Mails are taken oldest first, ties by message id; existing cards by first mail and id.
     """
     mails = classified.select("user_id", "message_id", "email_at", "company", keys.norm_company(F.col("company")).alias("company_key"), "role", keys.norm_role(F.col("role")).alias("role_key"), "req", "stage").dropDuplicates(["user_id", "message_id"])
     cards = existing.select("id", "user_id", "company", "company_key", "role", "role_key", "stage", "locked", "dedup_key", "first_email_at", "last_email_at")
 
+    first = F.min(F.struct(F.col("email_at").alias("first_at"), F.col("message_id").alias("first_id"))).alias("m")
+    seen = mails.groupBy("user_id", "company_key").agg(first).select("user_id", "company_key", "m.*", F.lit(False).alias("stored"))
+    kept = cards.groupBy("user_id", "company_key").agg(F.min(F.struct(F.col("first_email_at").alias("first_at"), F.col("id").alias("first_id"))).alias("m")).select("user_id", "company_key", "m.*", F.lit(True).alias("stored"))
+    known = seen.union(kept).groupBy("user_id", "company_key").agg(F.min(F.struct(~F.col("stored"), "first_at", "first_id")).alias("m")).select("user_id", "company_key", F.col("m.first_at").alias("first_at"), F.col("m.first_id").alias("first_id"), (~F.col("m.col1")).alias("stored"))
+    settled = known.groupBy("user_id").applyInPandas(_settled, "user_id long, company_key string, bucket string")
+    mails = mails.join(settled, ["user_id", "company_key"])
+    cards = cards.withColumn("bucket", F.col("company_key"))
+
     def run(m: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         m = m.astype(object).where(m.notna(), None)
         c = c.astype(object).where(c.notna(), None)
         return _resolve(m, c) if len(m) else pd.DataFrame(columns=[x.split()[0] for x in RESOLVED.split(", ")])
 
-    return mails.groupBy("user_id").cogroup(cards.groupBy("user_id")).applyInPandas(run, RESOLVED)
+    return mails.groupBy("user_id", "bucket").cogroup(cards.groupBy("user_id", "bucket")).applyInPandas(run, RESOLVED)
 
 
 def cards_of(resolved: DataFrame) -> DataFrame:

@@ -15,8 +15,8 @@ def group_by_key(classified: DataFrame) -> DataFrame:
     return keyed.groupBy("user_id", "dedup_key").agg(F.min("email_at").alias("first_email_at"), F.max("email_at").alias("last_email_at"), F.count("*").alias("emails"))
 
 
-def fold_stages(events: DataFrame, by: list[str], seq: list[str] | None = None) -> DataFrame:
-    """``events(*by, stage, email_at, *seq)`` -> one stage per card, by a ratchet in order of arrival.
+def fold_stages(events: DataFrame, by: list[str], seq: list[str] | None = None, rolled: bool = False) -> DataFrame:
+    """``events(*by, stage, email_at, *seq)`` -> one stage per card, by a ratchet in order of arrival; ``rolled``: with first and last time and count.
 
     A higher rank wins; a mail strictly newer than all before it reopens a rejected card unless it is a rejection. Closed form:
     with any stage from offer up, or no rejection, the highest rank; else what follows the first strictly newer mail
@@ -33,7 +33,8 @@ def fold_stages(events: DataFrame, by: list[str], seq: list[str] | None = None)
     since = F.max(F.when(F.col("_n") >= F.col("_k"), F.col("_rank")))
     won = F.when((top >= lx.PROGRESSION["offer"]) | F.max("_r").isNull(), top).otherwise(F.coalesce(since, F.lit(lx.PROGRESSION["rejected"])))
     names = F.create_map(*[F.lit(x) for k, v in lx.PROGRESSION.items() for x in (v, k)])
-    return e.groupBy(*by).agg(won.alias("_w")).select(*by, names[F.col("_w")].alias("stage"))
+    rolls = [F.min("email_at").alias("first_email_at"), F.max("email_at").alias("last_email_at"), F.count("*").alias("emails")] if rolled else []
+    return e.groupBy(*by).agg(won.alias("_w"), *rolls).select(*by, names[F.col("_w")].alias("stage"), *(["first_email_at", "last_email_at", "emails"] if rolled else []))
 
 
 def rollup_cards(events: DataFrame, by: list[str]) -> DataFrame:

@@ -72,9 +72,7 @@ def _keyed(spark, d) -> DataFrame:
 @query(f"SELECT user_id, dedup_key, stage, first_email_at, last_email_at, emails FROM {FOLDED}")
 def q_cards_by_key(spark, d):
     """R2, A1, A2: mails grouped by exact key, stages folded, times and counts rolled up."""
-    keyed = _keyed(spark, d)
-    by = ["user_id", "dedup_key"]
-    return folding.fold_stages(keyed, by).join(folding.rollup_cards(keyed, by), by)
+    return folding.fold_stages(_keyed(spark, d), ["user_id", "dedup_key"], rolled=True)
 
 
 @query("SELECT user_id, count(*) AS total, " + ", ".join(f"count(*) FILTER (CASE WHEN stage IN ('accepted', 'declined') THEN 'offer' ELSE stage END = '{s}') AS {s}" for s in lx.BOARD) + f" FROM {FOLDED} GROUP BY user_id")
@@ -134,7 +132,7 @@ def _replaced(c: str, steps: list[tuple[str, str]]) -> str:
 
 
 _S = "\\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
-HTML = _replaced("html", [("(?is)<style[^>]*>.*?</style>", " "), ("(?is)<script[^>]*>.*?</script>", " "), ("(?i)</(?:p|div|tr|li|h[1-6]|table)>", "\n"), (r"(?i)<br\s*/?>", "\n"), ("<[^>]+>", " "), ("(?i)&nbsp;", " "), ("(?i)&amp;", "&"), ("(?i)&lt;", "<"), ("(?i)&gt;", ">"), ("(?i)&quot;", '"'), ("&#39;", "'"), ("[ \t\u00a0]+", " "), (" *\n *", "\n"), ("\n{3,}", "\n\n"), (f"^[{_S}]+|[{_S}]+\\z", "")])
+HTML = _replaced("html", [("(?is)<style[^>]*>.*?</style>", " "), ("(?is)<script[^>]*>.*?</script>", " "), ("(?i)</(?:p|div|tr|li|h[1-6])>", "\n"), (r"(?i)<br\s*/?>", "\n"), ("<[^>]+>", " "), ("(?i)&nbsp;", " "), ("(?i)&amp;", "&"), ("(?i)&lt;", "<"), ("(?i)&gt;", ">"), ("(?i)&quot;", '"'), ("(?i)&(?:#39|apos);", "'"), ("[ \t]+", " "), ("\n{3,}", "\n\n"), (f"^[{_S}]+|[{_S}]+\\z", "")])
 
 
 @query(f"SELECT page_id, md5(t) AS digest, length(t) AS n FROM (SELECT page_id, {HTML} AS t FROM pages)")

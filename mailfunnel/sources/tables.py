@@ -9,8 +9,8 @@ from ..functions import keys
 
 
 def insert_events(existing: DataFrame, new: DataFrame) -> DataFrame:
-    """``existing`` and those of ``new`` whose (user_id, message_id) is not there yet; of several the earliest is kept."""
-    first = Window.partitionBy("user_id", "message_id").orderBy("email_at")
+    """``existing`` and those of ``new`` whose (user_id, message_id) is not there yet; of several the earliest is kept, ties by card and stage."""
+    first = Window.partitionBy("user_id", "message_id").orderBy("email_at", *[c for c in ("application_id", "stage") if c in new.columns])
     once = new.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
     fresh = once.join(existing.select("user_id", "message_id"), ["user_id", "message_id"], "left_anti")
     return existing.unionByName(fresh.select(*existing.columns))

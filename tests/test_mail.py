@@ -162,3 +162,37 @@ def test_streams(spark, tmp_path):
     run()
     now = tables.current()
     assert [(r.stage, r.user_id) for r in now["applications"].collect()] == [("rejected", 1)] and now["events"].count() == 2 and now["sync_state"].first().status == "ok"
+
+
+def _mails(spark, rows):
+    return spark.createDataFrame([(1, str(i), datetime(2026, 1, i + 1), company, role, req, stage) for i, (company, role, req, stage) in enumerate(rows)], "user_id long, message_id string, email_at timestamp, company string, role string, req string, stage string")
+
+
+def test_a_mail_without_role_goes_to_the_latest_card_that_fits_its_requisition(spark):
+    none = spark.createDataFrame([], schemas.APPLICATIONS)
+    got = resolve.resolve_cards(_mails(spark, [("Acme", "Data Analyst", None, "applied"), ("Acme", None, "R12345", "oa"), ("Acme", None, "R99999", "applied"), ("Acme", None, None, "interview")]), none).collect()
+    card = {r.message_id: r.card for r in got}
+    assert card["0"] == card["1"] and card["2"] != card["0"] and card["3"] == card["2"]
+
+
+def test_stored_companies_stay_apart(spark):
+    names = [x.split()[0] for x in schemas.APPLICATIONS.split(", ")]
+    row = lambda i, key: [{"id": i, "user_id": 1, "company": key, "company_key": key, "role": "Engineer", "role_key": "engineer", "stage": "applied", "locked": False, "dedup_key": f"{key}::engineer::", "first_email_at": datetime(2025, 1, int(i)), "last_email_at": datetime(2025, 1, int(i))}.get(n) for n in names]
+    stored = spark.createDataFrame([row("1", "acme"), row("2", "acme foods")], schemas.APPLICATIONS)
+    got = {r.message_id: r.card for r in resolve.resolve_cards(_mails(spark, [("Acme Foods", "Engineer", None, "oa"), ("Acme", "Engineer", None, "oa"), ("Acme Foods Holding", "Engineer", None, "oa")]), stored).collect()}
+    assert got == {"0": "2", "1": "1", "2": "1"}
+
+
+def test_senders_and_quotes(spark):
+    one = spark.range(1)
+    sender = lambda x: tuple(one.select(decode.parse_from(F.lit(x)).alias("s")).first().s)
+    assert sender('"Ann" <A@x.com> ') == ("Ann", "a@x.com") and sender("Ann <a@x.com> tail") == ("", "ann <a@x.com> tail")
+    for line in ("On Monday Ann wrote:", "-- Original Message --", "----- Forwarded message -----", "_" * 12, "From: Ann", "Sent from my phone", "Get Outlook for iOS"):
+        assert one.select(decode.strip_quoted(F.lit(f"mine\n{line}\ntheirs"))).first()[0] == "mine"
+    for line in ("On Monday we wrote: this", "- Original Message", "_" * 5, "from here", "He wrote:"):
+        assert "theirs" in one.select(decode.strip_quoted(F.lit(f"mine\n{line}\ntheirs"))).first()[0]
+
+
+@pytest.mark.parametrize("text, want", [("REQ-12345", "12345"), ("jr 98765", "98765"), ("R-2026-63180", "202663180"), ("see R0114671.", "0114671"), ("717004BR", "717004"), ("code C-GE-112", "CGE112"), ("(ID: 12345)", "12345"), ("Requisition ID: A4567", "A4567"), ("position of 80123", "80123"), ("application 72366 - Software Intern", "72366"), ("Austin TX 78712 - Building A", None), ("in 2026 - Summer", None), ("R2026", None), ("Ref: 2026", None)])
+def test_requisition_ids(spark, text, want):
+    assert spark.range(1).select(stages.extract_req_id(F.lit(text))).first()[0] == want
