@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, steps, tidied
+from .common import mix64, original, steps, tidied
 
 WORD = re.compile(r"[^\W_]+")
 WALKS, SAMPLES, BITS = 8, 6, 2
@@ -242,7 +242,8 @@ def _searcher(items: Items):
                 rows = []
                 for t, item, start, n, far in found:
                     if t not in spans:
-                        spans[t] = [m.span() for m in WORD.finditer(texts[t].lower())]
+                        back = original(texts[t], low_text := texts[t].lower())
+                        spans[t] = [back(*m.span()) for m in WORD.finditer(low_text)]
                     rows.append((item, far, n, spans[t][start][0], spans[t][start + n - 1][1]))
                 if rows:
                     own = part.column(0).take(pa.array([f[0] for f in found]))

@@ -52,13 +52,14 @@ def _time(u: Column, tilt: Column) -> Column:
 def placed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", carry: tuple[str, ...] = (), **options) -> DataFrame:
     """One row per document: id, ``size, source_size, target, taken, copies, positions`` (and ``carry``).
 
-    Within a source, documents stand in the order of an md5 of the id (ties: size, then text hash); passes over the source repeat until
+    Positions are training times, 0 to 1. Within a source, documents stand in the order of an md5 of the id (a null id: of the text; ties: size, then text hash); passes over the source repeat until
     the target is met, and a document is taken in a pass if its middle word lies before the target: whole documents,
     0 to ``most`` times. Prefix sums go by 4096 hash buckets a source, so no task holds a source. Null texts have
     size 0 and are taken 0 words; a null source is a source of its own, the last. Repeated rows are
     documents like any other. An empty table gives an empty result. Reruns agree.
     """
-    key = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"))
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
+    key = F.md5(F.coalesce(F.col(id_col).cast("string"), F.md5(text)).cast("binary"))  # null ids stand by their texts
     base = docs.select(F.col(id_col).alias("__id"), F.col(source_col).cast("string").alias("__s"), words(text_col).alias("__n"), key.alias("__key"), F.xxhash64(text_col).alias("__t"), *[F.col(c) for c in carry])
     sized = base.select("__id", "__s", "__n", "__key", "__t").withColumn("__b", F.conv(F.substring("__key", 1, 3), 16, 10).cast("int"))
     sized = staged(sized, "sizes")
@@ -77,14 +78,27 @@ def placed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
     return at.select(F.col("__id").alias(id_col), F.col("__n").alias("size"), "source_size", "target", (F.size("positions") * F.col("__n")).cast("long").alias("taken"), F.size("positions").alias("copies"), "positions", F.col("__s").alias("__source"), "__t")
 
 
+def ordered(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+    """One row per document as in ``placed``, with its first and last training position in millionths (null if it is not taken), range-sorted by the first."""
+    found = placed(docs, id_col, **options)
+    at = lambda i: F.floor(F.get("positions", i) * 1_000_000).cast("long")
+    found = found.withColumns({"first_position": at(F.lit(0)), "last_position": at(F.size("positions") - 1)})
+    out = found.select(id_col, "size", "source_size", "target", "taken", "copies", "first_position", "last_position")
+    return out.repartitionByRange(F.col("first_position").asc_nulls_last(), id_col).sortWithinPartitions(F.col("first_position").asc_nulls_last(), id_col)
+
+
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
-    """The training stream: rows of ``docs``, each as often as it is taken, range-sorted by training position."""
+    """The training stream: rows of ``docs``, each as often as it is taken, range-sorted by training position.
+
+    Null and empty texts are never taken; a null source is a source of its own; rows repeated exactly share their positions;
+    other columns are kept whatever their names. An empty table stays empty.
+    """
     found = placed(docs, id_col, text_col, source_col, **options).where("copies > 0")
-    found = found.select(F.col(id_col).alias("__id"), "__source", "__t", "positions").groupBy("__id", "__source", "__t").agg(F.flatten(F.collect_list("positions")).alias("__all"), F.count("*").alias("__rows"))
-    # rows repeated exactly share a key: each takes every __rows-th of their positions
-    rows = docs.withColumn("__h", F.xxhash64(text_col)).withColumn("__m", F.monotonically_increasing_id())
-    joined = rows.join(found, rows[id_col].eqNullSafe(F.col("__id")) & rows[source_col].cast("string").eqNullSafe(F.col("__source")) & (F.col("__h") == F.col("__t")))
-    same = Window.partitionBy("__id", "__source", "__t").orderBy("__m")
-    own = joined.withColumn("__i", F.when(F.col("__rows") == 1, 0).otherwise(F.row_number().over(same) - 1))
-    out = own.select(*[docs[c] for c in docs.columns], F.posexplode("__all").alias("__p", "__at"), "__i", "__rows").where(F.col("__p") % F.col("__rows") == F.col("__i"))
-    return out.repartitionByRange("__at", F.coalesce(F.col(id_col).cast("string"), F.lit(""))).sortWithinPartitions("__at", id_col).select(*docs.columns)
+    found = found.select(F.col(id_col).alias("id"), F.col("__source").alias("source"), F.col("__t").alias("t"), "positions").groupBy("id", "source", "t").agg(F.flatten(F.collect_list("positions")).alias("all"), F.count("*").alias("rows"))
+    # rows repeated exactly share a key: each takes every rows-th of their positions
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("i"), F.col(source_col).cast("string").alias("s"), F.xxhash64(text_col).alias("h"), F.monotonically_increasing_id().alias("m"))
+    joined = rows.join(found, F.col("i").eqNullSafe(F.col("id")) & F.col("s").eqNullSafe(F.col("source")) & (F.col("h") == F.col("t")))
+    same = Window.partitionBy("i", "s", "h").orderBy("m")
+    own = joined.withColumn("own", F.when(F.col("rows") == 1, 0).otherwise(F.row_number().over(same) - 1))
+    out = own.select("row", "i", F.posexplode("all").alias("p", "at"), "own", "rows").where(F.col("p") % F.col("rows") == F.col("own"))
+    return out.repartitionByRange("at", F.coalesce(F.col("i").cast("string"), F.lit(""))).sortWithinPartitions("at", "i").select("row.*")

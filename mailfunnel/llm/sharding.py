@@ -11,7 +11,7 @@ import heapq
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import new_path, staged
 
 SLOTS = 4096
 MAP_SCHEMA = "version int, vslot int, shard int, bytes long"
@@ -24,9 +24,9 @@ def virtual_slot(*cols, slots: int = SLOTS):
 
 
 def slot_bytes(records: DataFrame, slots: int = SLOTS) -> list[tuple[int, int]]:
-    """Bytes per slot of ``records(vslot, size)``, largest first: ``slots`` rows at most, so they fit the driver."""
-    got = records.groupBy("vslot").agg(F.sum("size").alias("bytes")).collect()
-    return sorted(((r.vslot, int(r.bytes or 0)) for r in got), key=lambda x: (-x[1], x[0]))
+    """Bytes of every slot, empty ones too, of ``records(vslot, size)``, largest first: ``slots`` rows, so they fit the driver."""
+    got = {r.vslot: int(r.bytes or 0) for r in records.groupBy("vslot").agg(F.sum("size").alias("bytes")).collect()}
+    return sorted(((s, got.get(s, 0)) for s in range(slots)), key=lambda x: (-x[1], x[0]))
 
 
 def first_map(sizes: list[tuple[int, int]], shards: int) -> list[tuple[int, int, int, int]]:
@@ -82,26 +82,32 @@ def load_map(spark: SparkSession, path: str, version: int | None = None) -> list
     return sorted(tuple(r) for r in got.where(F.col("version") == F.lit(version)).collect())
 
 
-def sharded(docs: DataFrame, shards: int = 24, slots: int = SLOTS, id_col: str = "doc_id", text_col: str = "text", map_path: str | None = None) -> DataFrame:
+def sharded(docs: DataFrame, shards: int = 24, slots: int = SLOTS, id_col: str = "doc_id", text_col: str = "text", map_path: str | None = None, grow_to: int | None = None) -> DataFrame:
     """``id, size, text_crc32, law, shard, slot, grown_shard, vslot``: every record's shard under the law ``bytes``.
 
     size: UTF-8 bytes of the text (null: none) plus 8. slot: the record's place in its shard, without gaps from 0,
     by (virtual slot, id, crc32). grown_shard is null under this law. Records hash by id and text size, so repeated
     ids with other texts spread; rows repeated exactly share a slot. Null ids and null or empty texts are records like any
-    other. An empty table gives an empty result. Other columns are not read. ``map_path``: where the map's version
-    is stored too.
+    other. An empty table gives an empty result. Other columns are not read. Equal texts have equal crc32 and size, and go
+    where their ids' slots go: to keep one huge group of them in a shard would break the law of near-equal bytes.
+    ``map_path``: the table of map versions (a new one in the shared folder if none is named); placements are read from
+    what is stored there. ``grow_to``: a second version for so many shards is stored too, and ``next_shard`` is the
+    record's shard by it: only slots that rebalancing moves change it.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
     records = docs.select(F.col(id_col).alias("id"), (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
     records = staged(records.withColumn("vslot", virtual_slot("id", "size", slots=slots)), "records")
-    rows = first_map(slot_bytes(records, slots), shards)
-    if map_path:
-        store_map(spark, rows, map_path)
+    map_path, sizes = map_path or new_path(spark, "slot-map"), slot_bytes(records, slots)
+    store_map(spark, first_map(sizes, shards), map_path)
+    rows, later = load_map(spark, map_path, 1), {}
+    if grow_to:
+        store_map(spark, rebalanced(rows, sizes, grow_to), map_path)
+        later = {slot: shard for _, slot, shard, _ in load_map(spark, map_path, 2)}
     counts = records.groupBy("vslot").agg(F.count("*").alias("n"))
-    placed = spark.createDataFrame(rows, MAP_SCHEMA).select("vslot", "shard")
+    placed = spark.createDataFrame([(slot, shard, later.get(slot)) for _, slot, shard, _ in rows], "vslot int, shard int, next_shard int")
     before = Window.partitionBy("shard").orderBy("vslot").rowsBetween(Window.unboundedPreceding, -1)
-    placed = placed.join(counts, "vslot").withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))).select("vslot", "shard", "base")
+    placed = placed.join(counts, "vslot").withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))).select("vslot", "shard", "next_shard", "base")
     order = Window.partitionBy("vslot").orderBy("id", "text_crc32")
     out = records.withColumn("at", F.row_number().over(order) - 1).join(F.broadcast(placed), "vslot")  # at most ``slots`` rows
-    return out.select(F.col("id").alias(id_col), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("base") + F.col("at")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "vslot")
+    return out.select(F.col("id").alias(id_col), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("base") + F.col("at")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "vslot", *(["next_shard"] if grow_to else []))

@@ -225,11 +225,11 @@ def one_per_root(docs: DataFrame, rooted: DataFrame, id_col: str = "doc_id", tex
     Components are told apart by root only, so null and repeated ids lose no component. All columns are kept.
     """
     best = rooted.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "x")).alias("m"))
-    heads = best.select(F.col("m.id").alias("__id"), F.col("m.x").alias("__text")).distinct()
-    marked = docs.withColumn("__x", F.xxhash64(text_col))
-    hit = marked.join(heads, marked[id_col].eqNullSafe(F.col("__id")) & (F.col("__x") == F.col("__text")), "left_semi")
-    order = Window.partitionBy(id_col, "__x").orderBy(F.col(text_col).asc_nulls_last())
-    return hit.withColumn("__n", F.row_number().over(order)).where("__n = 1").drop("__n", "__x")
+    heads = best.select(F.col("m.id").alias("i"), F.col("m.x").alias("h")).distinct()
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("x"), F.col(text_col).alias("t"))
+    hit = rows.join(heads, F.col("id").eqNullSafe(F.col("i")) & (F.col("x") == F.col("h")), "left_semi")
+    order = Window.partitionBy("id", "x").orderBy(F.col("t").asc_nulls_last())
+    return hit.withColumn("n", F.row_number().over(order)).where("n = 1").select("row.*")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, errors: int = 4, most: int = 20_000) -> DataFrame:

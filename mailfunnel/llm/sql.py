@@ -20,22 +20,28 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank
 def mixing_sql(weights=mixing.WEIGHTS, share=1.5, most=2) -> str:
     pick = " ".join(f"WHEN {i} THEN {w}" for i, w in enumerate(weights))
     taken = " + ".join(f"CASE WHEN n > 0 AND source_size * {p} + before + n / 2.0 < target THEN 1 ELSE 0 END" for p in range(most))
+    tilt = " ".join(f"WHEN {i} THEN CAST({t} AS DOUBLE)" for i, t in enumerate(mixing.TILTS))
+    share_of = lambda p: f"(CAST(source_size * {p} + before AS DOUBLE) + CAST(n AS DOUBLE) / 2) / greatest(target, CAST(1 AS DOUBLE))"
+    time = lambda u: f"least(CAST(1 AS DOUBLE), greatest(CAST(0 AS DOUBLE), CASE WHEN abs(tilt) < 1e-9 THEN {u} ELSE (1 + tilt - sqrt(greatest(CAST(0 AS DOUBLE), (1 + tilt) * (1 + tilt) - 4 * tilt * ({u})))) / (2 * tilt) END))"
+    at = lambda p: f"CAST(floor({time(share_of(p))} * 1000000) AS BIGINT)"
+    last = " ".join(f"WHEN {p + 1} THEN {at(p)}" for p in range(most))
     return f"""
 WITH d AS (
-  SELECT doc_id, source AS s, text, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS k,
+  SELECT doc_id, source AS s, text, md5(coalesce(CAST(doc_id AS VARCHAR), md5(coalesce(text, '')))) AS k,
          CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS n FROM documents),
 z AS (SELECT s, CAST(sum(n) AS BIGINT) AS source_size FROM d GROUP BY s),
 r AS (SELECT *, row_number() OVER (ORDER BY s NULLS LAST) - 1 AS r FROM z),
-w AS (SELECT *, CASE r % {len(weights)} {pick} END AS weight FROM r),
+w AS (SELECT *, CASE r % {len(weights)} {pick} END AS weight, CASE r % {len(mixing.TILTS)} {tilt} END AS tilt FROM r),
 c AS (SELECT *, coalesce(sum({most} * source_size) OVER (ORDER BY source_size / weight, r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS capped,
              sum(weight) OVER (ORDER BY source_size / weight, r ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest FROM w),
 l AS (SELECT *, CAST({share} * (SELECT sum(source_size) FROM z) - capped AS DOUBLE) / rest AS level FROM c),
 f AS (SELECT first(level ORDER BY capped, level) AS found FROM l WHERE level * weight <= {most} * source_size),
-t AS (SELECT s, source_size, least(CAST({most} * source_size AS DOUBLE), coalesce(found * weight, CAST({most} * source_size AS DOUBLE))) AS target FROM l, f),
-p AS (SELECT d.doc_id, d.n, t.source_size, t.target,
+t AS (SELECT s, source_size, tilt, least(CAST({most} * source_size AS DOUBLE), coalesce(found * weight, CAST({most} * source_size AS DOUBLE))) AS target FROM l, f),
+p AS (SELECT d.doc_id, d.n, t.source_size, t.target, t.tilt,
              coalesce(sum(n) OVER (PARTITION BY d.s ORDER BY k, n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
       FROM d JOIN t ON d.s IS NOT DISTINCT FROM t.s)
-SELECT doc_id, n AS size, source_size, target, CAST(n * ({taken}) AS BIGINT) AS taken FROM p
+SELECT doc_id, n AS size, source_size, target, CAST(n * ({taken}) AS BIGINT) AS taken, CAST({taken} AS INTEGER) AS copies,
+       CASE WHEN {taken} > 0 THEN {at(0)} END AS first_position, CASE {taken} {last} END AS last_position FROM p
 """
 
 

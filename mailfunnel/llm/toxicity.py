@@ -17,10 +17,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, kept, steps, tidied
+from .common import kept, original, steps, tidied
 
 TOKEN = re.compile(r"[^\W_]+")
 SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_TOKENS = 1000, 3000, 2_000_000
@@ -257,30 +258,32 @@ def _marginals(model: Crf, texts: Iterable[str | None]) -> Iterator[tuple[list[i
 
 
 def judged(docs: DataFrame, model: Crf, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, held_out: int = 0) -> DataFrame:
-    """One row per input row: id, ``held_out, score, predicted, n_spans``, and ``first_start, first_end`` of the first offending span.
+    """One row per input row: id, ``held_out, score, predicted, n_spans, first_start, first_end`` and ``spans``, all offending ones.
 
-    Null and empty texts get the score of a text without any evidence. Repeated rows get a row each; ids may be null
+    Spans are ``(start, end)`` in characters of the text as it is; without any, the first is (-1, -1). Null and empty texts
+    get the score of a text without any evidence. Repeated rows get a row each; ids may be of any type and null
     (held_out is then by the text 'None'). Other columns are not read. An empty table gives an empty result.
     """
+    of = F.coalesce(F.col(id_col).cast("string"), F.lit("None"))
     kind = docs.schema[id_col].dataType.simpleString()
+    span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            score, texts = np.zeros(len(f)), [t or "" for t in f.t]
-            spans: list[tuple[int, int, int]] = [(0, -1, -1)] * len(f)
+    @tidied
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept(None, lambda: None)
+        for b in batches:
+            score, texts = np.zeros(b.num_rows), [t or "" for t in b.column(2).to_pylist()]
+            spans: list[list[tuple[int, int]]] = [[]] * len(texts)
             for at, marg in _marginals(model, texts):
                 score[at] = model.score(marg)
                 for i, m in zip(at, marg):
-                    if found := _spans(texts[i], m):
-                        spans[i] = (len(found), *found[0])
-            out = f[[id_col]].copy()
-            out["held_out"] = [fold(None if pd.isna(i) else int(i), folds) == held_out for i in f[id_col]]
-            out["score"], out["predicted"] = score, (score >= 0.5).astype(np.int32)
-            n, start, end = np.array(spans, np.int64).reshape(-1, 3).T
-            out["n_spans"], out["first_start"], out["first_end"] = n.astype(np.int32), start, end
-            yield out
+                    spans[i] = _spans(texts[i], m)
+            first = np.array([s[0] if s else (-1, -1) for s in spans], np.int64).reshape(-1, 2)
+            cols = [pa.array(score), pa.array((score >= 0.5).astype(np.int32)), pa.array([len(s) for s in spans], pa.int32()), pa.array(first[:, 0]), pa.array(first[:, 1]), pa.array([[{"start": a, "end": e} for a, e in s] for s in spans], span)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cols], names=["id", "held_out", "score", "predicted", "n_spans", "first_start", "first_end", "spans"])
 
-    return docs.select(F.col(id_col).alias(id_col), F.col(text_col).cast("string").alias("t")).mapInPandas(run, f"{id_col} {kind}, held_out boolean, score double, predicted int, n_spans int, first_start long, first_end long")
+    rows = docs.select(F.col(id_col).alias("id"), (F.crc32(of.cast("binary")) % folds == held_out).alias("held_out"), F.col(text_col).cast("string").alias("t"))
+    return rows.mapInArrow(run, f"id {kind}, held_out boolean, score double, predicted int, n_spans int, first_start long, first_end long, spans array<struct<start: bigint, end: bigint>>").withColumnRenamed("id", id_col)
 
 
 def _spans(text: str, marginals: np.ndarray) -> list[tuple[int, int]]:
@@ -288,14 +291,19 @@ def _spans(text: str, marginals: np.ndarray) -> list[tuple[int, int]]:
     if not len(marginals) or marginals.max() <= 0.5:
         return []
     out: list[tuple[int, int]] = []
-    inside = False
-    for m, p in zip(TOKEN.finditer(text.lower()), marginals):
+    inside, low = False, text.lower()
+    back = original(text, low)
+    for m, p in zip(TOKEN.finditer(low), marginals):
         if p > 0.5:
-            out.append((out.pop()[0], m.end()) if inside else m.span())
+            start, end = back(*m.span())
+            out.append((out.pop()[0], end) if inside else (start, end))
         inside = p > 0.5
     return out
 
 
 def clean(docs: DataFrame, model: Crf, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` whose score is below the threshold, with all their columns."""
+    """The rows of ``docs`` whose score is below the threshold, with all their columns.
+
+    Null and empty texts are judged as texts without evidence; repeated rows are judged alike; an empty table stays empty.
+    """
     return docs.where(score_column(model)(F.coalesce(F.col(text_col).cast("string"), F.lit(""))) < threshold)

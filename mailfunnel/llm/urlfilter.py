@@ -22,7 +22,6 @@ RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www
 def host_and_path(url: Column) -> tuple[Column, Column]:
     """Host: after the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z lower-cased. Path: then up to ``?``, ``#`` or the end."""
     url = F.coalesce(url.cast("string"), F.lit(""))
-    rest = F.when(F.instr(url, "://") > 0, F.substring_index(F.concat(url), "://", -1))
     rest = F.when(F.instr(url, "://") > 0, F.substring(url, F.instr(url, "://") + 3, F.length(url)))
     raw = F.coalesce(F.regexp_extract(rest, r"^[^/?#]*", 0), F.lit(""))
     path = F.coalesce(F.regexp_extract(F.substring(rest, F.length(raw) + 1, F.length(rest)), r"^[^?#]*", 0), F.lit(""))

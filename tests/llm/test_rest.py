@@ -1,3 +1,4 @@
+import hashlib
 import random
 import zlib
 
@@ -122,3 +123,58 @@ def test_crf_over_tables(spark):
     kept = toxicity.clean(docs, model)
     assert kept.columns == docs.columns and kept.count() == sum(1 - r.predicted for r in got)
     assert toxicity.judged(docs.limit(0), model).count() == 0 == toxicity.clean(docs.limit(0), model).count()
+
+
+def test_training_positions_as_brute_force(spark):
+    rows = [(i, "w " * (i % 9), "abc"[i % 3]) for i in range(300)] + [(None, "x y", None), (None, "z y x", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {(r.doc_id, r.size): r for r in mixing.ordered(df).collect()}
+    for rank, source in enumerate(["a", "b", "c", None]):
+        tilt, at = mixing.TILTS[rank % 3], 0
+        key = lambda d, t: hashlib.md5((hashlib.md5(t.encode()).hexdigest() if d is None else str(d)).encode()).hexdigest()
+        own = sorted((key(d, t), len(t.split()), d) for d, t, s in rows if s == source)
+        size = sum(n for _, n, _ in own)
+        for _, n, d in own:
+            r = got[d, n]
+            due = []
+            for p in range(2):
+                if n and size * p + at + n / 2 < r.target:
+                    u, low, high = (size * p + at + n / 2) / max(r.target, 1), 0.0, 1.0
+                    for _ in range(60):  # the demand is a growing function of time: bisection
+                        t = (low + high) / 2
+                        low, high = (t, high) if (1 + tilt) * t - tilt * t * t < u else (low, t)
+                    due.append(low)
+            at += n
+            assert r.copies == len(due) and r.taken == n * len(due)
+            if due:
+                assert abs(r.first_position - due[0] * 1e6) < 2 and abs(r.last_position - due[-1] * 1e6) < 2
+            else:
+                assert r.first_position is None and r.last_position is None
+    found = [r.first_position for r in mixing.ordered(df).collect() if r.first_position is not None]
+    assert found == sorted(found)
+
+
+def test_mixed_keeps_clashing_columns(spark):
+    names = ["__h", "__m", "__t", "__id", "__source", "row", "i", "s", "h", "m", "at", "a.b"]
+    df = spark.createDataFrame([(1, "x y", "a", *range(12)), (2, None, None, *range(12))], ["doc_id", "text", "source", *names])
+    assert mixing.mixed(df).columns == df.columns and {r.doc_id for r in mixing.mixed(df).collect()} == {1}
+
+
+def test_map_is_stored_and_edited(spark, tmp_path):
+    df = spark.createDataFrame([(i, "x" * (i % 50)) for i in range(2000)], "doc_id long, text string")
+    got = sharding.sharded(df, shards=4, slots=128, map_path=str(tmp_path / "map"), grow_to=5).collect()
+    one, two = (sharding.load_map(spark, str(tmp_path / "map"), v) for v in (1, 2))
+    assert len(one) == len(two) == 128 and {s for _, _, s, _ in two} == set(range(5))
+    first, second = {s: x for _, s, x, _ in one}, {s: x for _, s, x, _ in two}
+    assert all(r.shard == first[r.vslot] and r.next_shard == second[r.vslot] for r in got)
+    assert 0 < sum(r.shard != r.next_shard for r in got) < 0.4 * len(got)
+
+
+def test_spans_of_the_text_as_it_is_and_any_ids(spark):
+    model = toxicity.fit([(f"word {i} of vile kind", 1) for i in range(40)] + [(f"word {i} of good kind", 0) for i in range(120)])
+    text = "İİİİ vile, then good and fine words and more of them, vile"
+    rows = [("a", text), (None, None), ("9007199254740993", "")]
+    got = {r.doc_id: r for r in toxicity.judged(spark.createDataFrame(rows, "doc_id string, text string"), model).collect()}
+    assert [text[s.start : s.end] for s in got["a"].spans] == ["vile", "vile"] and got[None].n_spans == 0
+    longs = toxicity.judged(spark.createDataFrame([(9007199254740993, "x"), (None, "x")], "doc_id long, text string"), model).collect()
+    assert {r.doc_id: r.held_out for r in longs} == {9007199254740993: zlib.crc32(b"9007199254740993") % 5 == 0, None: zlib.crc32(b"None") % 5 == 0}
