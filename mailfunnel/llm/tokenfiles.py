@@ -217,9 +217,12 @@ def read_back(manifest: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 def fetched(manifest: DataFrame, wanted: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """``id, ids``: the documents of ``wanted(id)`` only. Files are found by their id range, and of each only the wanted frames are read."""
-    files = manifest.select("file", "first_id", "last_id")
-    need = wanted.select(F.col(id_col).cast("long").alias("w")).distinct()
-    by_file = files.join(need, (F.col("w") >= F.col("first_id")) & (F.col("w") <= F.col("last_id"))).groupBy("file").agg(F.collect_list("w").alias("w"))
+    low, high, n = manifest.agg(F.coalesce(F.min("first_id"), F.lit(0)), F.coalesce(F.max("last_id"), F.lit(0)), F.count("*")).first()
+    width = (high - low) // max(1, n) + 1  # ids fall into as many bins as there are files; ranges follow each other, so they touch at most twice as many
+    in_bin = lambda c: F.expr(f"({c} - {low}) div {width}")
+    files = manifest.where("first_id is not null").select("file", "first_id", "last_id", F.explode(F.sequence(in_bin("first_id"), in_bin("last_id"))).alias("bin"))
+    need = wanted.select(F.col(id_col).cast("long").alias("w")).where(F.col("w").between(low, high)).distinct().withColumn("bin", in_bin("w"))
+    by_file = files.join(need, "bin").where("w between first_id and last_id").groupBy("file").agg(F.collect_list("w").alias("w"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

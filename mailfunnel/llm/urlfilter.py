@@ -85,14 +85,14 @@ def propagated(edges: DataFrame, seeds: DataFrame, rounds: int = 10, damping: in
     return rank.groupBy("host").agg(score("t").alias("trust"), score("d").alias("distrust"))
 
 
-def judged(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str = "url", html_col: str | None = "html", rounds: int = 10, ratio: int = 1) -> DataFrame:
+def judged(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str = "url", html_col: str | None = "html", rounds: int = 10, ratio: int = 1, most_broadcast: int = 200_000) -> DataFrame:
     """One row per page: id, ``host, path, rule, verdict``, and the host's ``trust`` and ``distrust``.
 
     A rule fits its host and all subdomains if the path starts with the rule's; the longest wins and decides. Without a
     rule a page is blocked if its host's distrust is above ``ratio`` times its trust. Seeds: a host's share of the
     pages that rules allow (trust) and block (distrust). Null urls and urls without ``://`` have empty host and
     path, fit no rule and are allowed. Ids may be null or repeated; repeated rows are pages like any other. An empty
-    table gives an empty result. Other columns are not read.
+    table gives an empty result. Other columns are not read. Hosts' scores are broadcast up to ``most_broadcast`` hosts.
     """
     host, path = host_and_path(F.col(url_col))
     base = pages.select(F.col(id_col).alias("__id"), host.alias("host"), path.alias("path"))
@@ -105,7 +105,9 @@ def judged(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str
     if html_col:
         edges = edges.union(page_links(pages.select(host.alias("host"), F.col(html_col)), "host", html_col)).distinct()
     scores = propagated(edges, seeds, rounds)
-    open_hosts = per_host.join(scores, "host").select("host", "trust", "distrust")
+    open_hosts = staged(per_host.join(scores, "host").select("host", "trust", "distrust"), "scores")
+    if open_hosts.count() <= most_broadcast:  # so that pages of one busy host need not meet in a task
+        open_hosts = F.broadcast(open_hosts)
     out = base.join(open_hosts, "host", "left").withColumns({"trust": F.coalesce("trust", F.lit(0)), "distrust": F.coalesce("distrust", F.lit(0))})
     verdict = F.coalesce("action", F.when(F.col("distrust") > F.col("trust") * ratio, "block").otherwise("allow"))
     return out.select(F.col("__id").alias(id_col), "host", "path", "rule", verdict.alias("verdict"), "trust", "distrust")
