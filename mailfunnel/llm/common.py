@@ -67,6 +67,8 @@ def dropped(df: DataFrame) -> None:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of ``sf_dir``. Texts go to Python workers in batches of at most 8 MB from then on (a setting of the session)."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -102,23 +104,30 @@ _kept: dict = {}
 def kept(key: Hashable, make: Callable):
     """What ``make`` gives, remembered in this Python worker for later tasks. Only the last key's is kept: a worker serves all stages."""
     if key not in _kept:
-        _kept.clear()
+        if _kept:
+            _kept.clear()
+            given_back()
         _kept[key] = make()
     return _kept[key]
 
 
+def given_back() -> None:
+    """Gives memory that this worker has freed back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def tidied(run: Callable) -> Callable:
-    """``run`` over an iterator, with memory that the task freed given back to the system at its end; what ``kept`` holds for others goes too."""
+    """``run`` over an iterator, with memory that the task freed given back at its end."""
 
     def of(batches: Iterator) -> Iterator:
         try:
             yield from run(batches)
         finally:
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-            if trim:
-                trim(0)
+            given_back()
 
     return of
 

@@ -549,8 +549,7 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold
     """
     of = F.when(F.col(id_col).isNull(), F.lit("None")).otherwise(F.col(id_col).cast("string"))
     texts = docs.select(F.col(id_col).try_cast("long").alias("id"), (F.crc32(of.cast("binary")) % folds != held_out).alias("train"), text_bytes(text_col).alias("t"))
-    spark = docs.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")  # rows are large
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")  # rows are large
     layout = sized(texts, bucket_tokens)
     rows = bucketed(prepared(pieces(texts, layout), layout), "tokens", "bucket")
     tokens, lists = rows.where("bucket >= 0"), rows.where("bucket < 0")

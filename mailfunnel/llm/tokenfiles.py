@@ -42,13 +42,14 @@ def _latin(text: bytes | str) -> bool:
 
 
 class Pieces(dict):
-    """Ids of pieces between white space, as bytes, remembered up to ``most``. A missing piece is cut where the tokenizer
-    is known to cut it (letters from the punctuation after them), and what is left goes to the library."""
+    """Ids of pieces between white space, as bytes, remembered in two generations of up to ``most`` / 2, so that frequent ones
+    stay. A missing piece is cut where the tokenizer is known to cut it (letters from the punctuation after them), and what is left goes to the library."""
 
     def __init__(self, tokenizer, most: int):
         from tokenizers.pre_tokenizers import ByteLevel
 
         super().__init__()
+        self.older: dict[bytes, bytes] = {}
         self.tokenizer, self.most, self.bytewise = tokenizer, most, ByteLevel(add_prefix_space=False, use_regex=False)
         made = json.loads(tokenizer.to_str())
         marked = all("<" in t["content"] for t in made["added_tokens"])
@@ -56,7 +57,9 @@ class Pieces(dict):
         self.cuts = marked and made["normalizer"] == NORMALIZER and (made["pre_tokenizer"] or {}).get("pretokenizers") == [SPLIT, BYTES]
 
     def __missing__(self, piece: bytes) -> bytes:
-        if not self.cuts or b"<" in piece:
+        if (ids := self.older.get(piece)) is not None:
+            pass
+        elif not self.cuts or b"<" in piece:
             ids = self._encoded(piece)
         elif piece.isascii() and piece.lower() != piece:
             ids = self[piece.lower()]
@@ -67,7 +70,8 @@ class Pieces(dict):
             ids = np.array([t.id for t in self.tokenizer.model.tokenize(text)], "<u4").tobytes()
         else:
             ids = self._encoded(piece)
-        if len(self) >= self.most:
+        if len(self) >= self.most // 2:
+            self.older = dict(self)
             self.clear()
         self[piece] = ids
         return ids
@@ -80,7 +84,7 @@ class Encoder:
     """Whole texts to ids. White space always separates tokens of such a vocabulary, so each distinct piece between
     white space is encoded once and remembered; ids are those of the whole text."""
 
-    def __init__(self, path: str, end: int | None, most: int = 200_000):
+    def __init__(self, path: str, end: int | None, most: int = 500_000):
         from tokenizers import Tokenizer
 
         self.known = Pieces(Tokenizer.from_file(path), most)
