@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 
 from ..functions import decode, keys, stages
 from ..functions import lexicon as lx
-from ..operators import classify, filters, reports, resolve, similarity, verdicts
+from ..operators import classify, filters, reports, resolve, scoring, similarity, verdicts
 from ..operators import stages as folding
 from ..sources import tables
+from ..sources.mail import parse_messages
+from ..sources.schemas import raw_schema
 from .testmail import CARD_SQL, EVENT_SQL, card_events, cards, templated, testmail, with_sql
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -254,9 +256,30 @@ def _empty_cards(spark) -> DataFrame:
     return spark.createDataFrame([], APPLICATIONS)
 
 
-@query(None)
+def _fits(c: str, more: str = "true") -> str:
+    return f"coalesce(({c}.req IS NULL OR s.req IS NULL OR {c}.req = s.req) AND {more}, false)"
+
+
+def _place(test: str) -> str:
+    """The first card of the list for which ``test`` on ``c`` holds; null if there is none."""
+    return f"nullif(list_position(list_transform(cards, lambda c: {test}), true), 0)"
+
+
+_STEP = f"CASE WHEN c.stage = 'rejected' AND s.stage <> 'rejected' AND s.email_at > c.last THEN s.stage WHEN {_rank('s.stage')} > {_rank('c.stage')} THEN s.stage ELSE c.stage END"
+#: R1 as a replay, mail by mail of a user and company: the list of cards is the state.
+REPLAY = with_sql("LAST").replace("WITH base", "WITH RECURSIVE base", 1).replace(" LAST", f""", m AS (SELECT user_id, company, message_id, email_at, role, req, stage, row_number() OVER (PARTITION BY user_id, company ORDER BY email_at, message_id) AS n FROM want WHERE relevant),
+replay AS (SELECT DISTINCT user_id, company, CAST(0 AS BIGINT) AS n, CAST([] AS STRUCT(id VARCHAR, role VARCHAR, req VARCHAR, stage VARCHAR, "first" TIMESTAMP, "last" TIMESTAMP, mails VARCHAR[])[]) AS cards FROM m
+UNION ALL SELECT user_id, company, n, CASE WHEN i IS NULL THEN list_append(cards, {{'id': message_id, 'role': role, 'req': req, 'stage': stage, 'first': email_at, 'last': email_at, 'mails': [message_id]}})
+  ELSE list_transform(cards, lambda c, k: CASE WHEN k = i THEN {{'id': c.id, 'role': coalesce(c.role, s.role), 'req': coalesce(c.req, s.req), 'stage': {_STEP}, 'first': least(c.first, s.email_at), 'last': greatest(c.last, s.email_at), 'mails': list_append(c.mails, s.message_id)}} ELSE c END) END
+FROM (SELECT s.*, coalesce({_place('coalesce(c.req = s.req, false)')}, CASE WHEN role IS NULL THEN {_place(_fits('c', 'c.last = s.latest'))} ELSE coalesce({_place(_fits('c', 'c.role = s.role'))}, {_place(_fits('c', 'c.role IS NULL'))}) END) AS i
+FROM (SELECT s.*, list_max(list_transform(list_filter(cards, lambda c: {_fits('c')}), lambda c: c.last)) AS latest FROM (SELECT m.*, r.cards FROM replay r JOIN m ON m.user_id = r.user_id AND m.company = r.company AND m.n = r.n + 1) s) s) s),
+cards AS (SELECT user_id, company, unnest(cards) AS c FROM (SELECT *, row_number() OVER (PARTITION BY user_id, company ORDER BY n DESC) AS back FROM replay) WHERE back = 1)
+SELECT user_id, unnest(c.mails) AS message_id, sha256(user_id || '|' || c.id) AS card, true AS is_new, company, lower(company) AS company_key, c.role AS role, split_part({_key('company', 'c.role', 'c.req')}, '::', 2) AS role_key, c.req AS req, c.stage AS stage, c.first AS first_email_at, c.last AS last_email_at, false AS locked FROM cards""", 1)
+
+
+@query(REPLAY)
 def q_resolve_cards(spark, d):
-    """R1 over all users; tested against a replay in plain Python."""
+    """R1 over all users, against a replay mail by mail."""
     return resolve.resolve_cards(templated(spark, d), _empty_cards(spark))
 
 
@@ -362,6 +385,74 @@ def q_guard_stage(spark, d):
     return m.select("message_id", stages.guard_stage(F.col("stage"), F.concat_ws("\n", "subject", "body")).alias("stage"))
 
 
+@query(with_sql("""SELECT message_id, subject, from_name, from_email, strftime(email_at, '%Y-%m-%d %H:%M:%S') AS sent, CASE WHEN event_id % 5 = 0 THEN '' ELSE body END AS body FROM mail"""))
+def q_raw_mail(spark, d):
+    """X1-X4, X12 on payloads of S1's schema: plain and HTML parts, nested or not, quoted text, dates of both kinds, mails without a body."""
+    n, part = F.col("message_id").cast("long"), "struct('{}' AS mimeType, struct({} AS data) AS body)"
+    coded = lambda c: F.rtrim(F.translate(F.base64(F.encode(c, "utf-8")), "+/\r\n", "-_"), F.lit("="))
+    at = F.col("email_at").cast("timestamp")
+    mail = testmail(spark, d).select(
+        "user_id", "message_id", "subject", n.alias("n"), coded(F.concat("body", F.lit("\n\nOn Monday Ann wrote:\n> before"))).alias("plain"), coded(F.concat(F.lit("<style>p {}</style><p>"), "body", F.lit("</p><script>x</script>"))).alias("html"),
+        F.when(n % 2 == 0, F.concat(F.lit('"'), "from_name", F.lit('" <'), F.upper("from_email"), F.lit("> "))).otherwise(F.concat("from_name", F.lit(" <"), "from_email", F.lit(">"))).alias("sender"),
+        F.when(n % 3 > 0, F.unix_millis(at).cast("string")).alias("ms"), F.date_format(at, "E, d MMM yyyy HH:mm:ss Z").alias("day"),
+    )
+    both = f"array({part.format('text/html', 'html')}, {part.format('TEXT/Plain', 'if(n % 4 = 0, plain, cast(null AS string))')})"
+    payload = f"""struct('multipart/mixed' AS mimeType, array(struct('FROM' AS name, sender AS value), struct('subject' AS name, subject AS value), struct('Date' AS name, day AS value)) AS headers,
+        CASE n % 5 WHEN 0 THEN null WHEN 1 THEN to_json({both}) ELSE to_json(array(struct('multipart/alternative' AS mimeType, {both} AS parts))) END AS parts)"""
+    raw = mail.selectExpr("user_id", "message_id AS id", "ms AS internalDate", f"{payload} AS p").selectExpr("user_id", "id", "to_json(named_struct('user_id', user_id, 'id', id, 'internalDate', internalDate)) AS head", "to_json(struct(p.mimeType, p.headers)) AS top", "p.parts AS parts")
+    text = F.expr("""concat(left(head, length(head) - 1), ', "payload": ', left(top, length(top) - 1), if(parts IS NULL, '', concat(', "parts": ', parts)), '}}')""")
+    got = parse_messages(raw.select(F.from_json(text, raw_schema()).alias("r")).select("r.*"), "2026-02-01 00:00:00")
+    return got.select("message_id", "subject", "from_name", "from_email", F.date_format("email_at", "yyyy-MM-dd HH:mm:ss").alias("sent"), "body")
+
+
+@query("SELECT doc_id, trim(coalesce(source, '') || ' <' || lang || '@x.com>') AS sender, md5(substr(text, 1, 300)) AS snippet, md5(CASE WHEN text <> '' THEN substr(text, 1, 20000) END) AS body FROM documents")
+def q_event_projection(spark, d):
+    """X11: what an event keeps of a mail; the limits of 300 and 20,000 characters are the feature."""
+    e = spark.read.parquet(f"{d}/documents.parquet")
+    sender, snippet, body = decode.event_projection(F.col("source"), F.concat("lang", F.lit("@x.com")), F.col("text"), F.col("text"))
+    return e.select("doc_id", sender, snippet, body).withColumns({c: F.md5(F.col(c).cast("binary")) for c in ("snippet", "body")})
+
+
+@query(f"SELECT id, coalesce(replace(company, ' Inc', '') = lag(replace(company, ' Inc', '')) OVER (PARTITION BY user_id ORDER BY CAST(id AS BIGINT)), false) AS same FROM ({CARD_SQL})")
+def q_same_company(spark, d):
+    """Each card's company against the one of the user's card before."""
+    from pyspark.sql import Window
+
+    c = cards(spark, d).withColumn("company", F.replace("company", F.lit("Company "), F.lit("Firm")))
+    before = F.lag("company").over(Window.partitionBy("user_id").orderBy(F.col("id").cast("long")))
+    return c.withColumn("before", before).select("id", F.coalesce(keys.looks_same_company(F.col("company"), F.col("before")), F.lit(False)).alias("same"))
+
+
+@query(f"SELECT user_id, dedup_key, min(email_at) AS first_email_at, max(email_at) AS last_email_at, count(*) AS emails FROM ({KEYED}) GROUP BY user_id, dedup_key")
+def q_group_by_key(spark, d):
+    """R2 alone, on classified rows."""
+    return folding.group_by_key(templated(spark, d))
+
+
+@query(with_sql("""SELECT a.user_id, a.id AS a_id, b.id AS b_id FROM (SELECT user_id, company, role, req, min(message_id) AS id FROM want WHERE relevant AND role IS NOT NULL GROUP BY ALL) a JOIN (SELECT user_id, company, role, req, min(message_id) AS id FROM want WHERE relevant AND role IS NOT NULL GROUP BY ALL) b ON a.user_id = b.user_id AND a.company = b.company AND a.role = b.role AND (a.req IS NULL OR b.req IS NULL OR a.req = b.req)"""))
+def q_role_matches(spark, d):
+    """Roles against the same roles with a word more or less ('Analyst' and 'Data Analyst'), requisitions compatible."""
+    one = templated(spark, d).where("role is not null").groupBy("user_id", keys.norm_company(F.col("company")).alias("company_key"), "role", "req").agg(F.min("message_id").alias("id"))
+    short = F.when(F.col("id").cast("long") % 2 == 0, F.split("role", " ")[1]).otherwise(F.concat(F.lit("Remote "), "role"))
+    put = lambda role: one.withColumn("role_key", keys.norm_role(role))
+    return similarity.role_matches(put(F.col("role")), put(short)).select("user_id", "a_id", "b_id")
+
+
+@query(with_sql("""SELECT split, origin, count(*) FILTER (CASE WHEN event_id % 17 = 0 THEN false WHEN noise THEN true ELSE event_id % 5 <> 0 END) AS passed, count(*) AS total, count(*) FILTER (event_id % 2 = 0) AS llm
+FROM (SELECT *, CASE WHEN event_id % 3 = 0 THEN 'holdout' ELSE 'dev' END AS split, CASE WHEN user_id % 2 = 0 THEN 'own' ELSE 'made' END AS origin FROM want) GROUP BY ROLLUP (split, origin)"""))
+def q_score_summary(spark, d):
+    """Every classified mail against its label; labels with variants, without a role, with another company and with the other relevance."""
+    n = F.col("message_id").cast("long")
+    known = testmail(spark, d).select("user_id", "message_id").join(templated(spark, d).drop("user_id", "email_at"), "message_id", "left")
+    parts = [
+        F.concat(F.lit('"relevant": '), (F.col("stage").isNotNull() != (n % 17 == 0)).cast("string")), F.concat(F.lit('"stage": "'), "stage", F.lit('"')),
+        F.concat(F.lit('"company": ["'), F.when(n % 5 == 0, "Elsewhere").otherwise(F.col("company")), F.lit('", "Nobody"]')), F.when(F.col("role").isNotNull() & (n % 2 == 0), F.concat(F.lit('"role": "'), "role", F.lit('"'))),
+    ]
+    labels = known.select(F.col("message_id").alias("id"), F.when(n % 3 == 0, "holdout").otherwise("dev").alias("split"), F.when(F.col("user_id") % 2 == 0, "own").otherwise("made").alias("source"), F.concat(F.lit("{"), F.concat_ws(", ", *parts), F.lit("}")).alias("expect"))
+    found = classify.classify_mail(testmail(spark, d)).withColumn("source", F.when(n % 2 == 0, "llm").otherwise("rules"))
+    return scoring.score_summary(scoring.score_predictions(found.select("message_id", "relevant", "stage", "company", "role", "source"), labels))
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, (f, _) in REGISTERED.items()}
 

@@ -196,3 +196,39 @@ def test_senders_and_quotes(spark):
 @pytest.mark.parametrize("text, want", [("REQ-12345", "12345"), ("jr 98765", "98765"), ("R-2026-63180", "202663180"), ("see R0114671.", "0114671"), ("717004BR", "717004"), ("code C-GE-112", "CGE112"), ("(ID: 12345)", "12345"), ("Requisition ID: A4567", "A4567"), ("position of 80123", "80123"), ("application 72366 - Software Intern", "72366"), ("Austin TX 78712 - Building A", None), ("in 2026 - Summer", None), ("R2026", None), ("Ref: 2026", None)])
 def test_requisition_ids(spark, text, want):
     assert spark.range(1).select(stages.extract_req_id(F.lit(text))).first()[0] == want
+
+
+def _streamed(spark, tmp_path, name, batches):
+    """The stored tables after each of the batches came as a file of its own."""
+    tables = jobs.Tables(spark, str(tmp_path / name), schemas.APPLICATIONS)
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, CLASSIFIED).coalesce(1).write.parquet(str(tmp_path / f"{name}-in" / str(i)))
+        stream = spark.readStream.schema(CLASSIFIED).parquet(str(tmp_path / f"{name}-in" / "*"))
+        jobs.stream_cards(stream, tables, str(tmp_path / f"{name}-c"), "2026-02-01 00:00:00", classified=True).trigger(availableNow=True).start().awaitTermination()
+    now = tables.current()
+    return now["applications"].first(), now["events"].count()
+
+
+def test_late_mail_in_both_orders(spark, tmp_path):
+    """T4: late mail widens a card's times and counts once; a late mail does not reopen a rejected card, a newer one does."""
+    mail = lambda i, day, stage: (1, i, T0 + timedelta(days=day), "Acme", "Nurse", None, stage)
+    applied, rejected, oa = mail("a", 0, "applied"), mail("b", 2, "rejected"), mail("c", 1, "oa")
+    in_order, n = _streamed(spark, tmp_path, "o", [[applied, oa], [rejected]])
+    late, m = _streamed(spark, tmp_path, "l", [[applied, rejected], [oa, rejected]])
+    assert (in_order.stage, n) == (late.stage, m) == ("rejected", 3)
+    assert (late.first_email_at, late.last_email_at) == (in_order.first_email_at, in_order.last_email_at) == (T0, T0 + timedelta(days=2))
+    before, _ = _streamed(spark, tmp_path, "b", [[rejected], [applied]])
+    after, _ = _streamed(spark, tmp_path, "a", [[rejected], [mail("d", 3, "interview")]])
+    assert before.stage == "rejected" and before.first_email_at == T0 and after.stage == "interview"
+
+
+def test_stream_of_mails_is_classified_as_the_batch(spark, tmp_path):
+    """T1."""
+    schema = "user_id long, message_id string, thread_id string, subject string, from_name string, from_email string, email_at timestamp, snippet string, body string"
+    rows = [(1, str(i), "t", s, n, a, T0, b[:200], b) for i, (s, n, a, b, *_) in enumerate(MAILS)]
+    df = spark.createDataFrame(rows, schema)
+    df.write.parquet(str(tmp_path / "in"))
+    out = jobs.stream_classify(spark.readStream.schema(schema).parquet(str(tmp_path / "in")))
+    out.select("message_id", "stage", "company").writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start(str(tmp_path / "out")).awaitTermination()
+    want = classify.attributable(classify.classify_mail(df)).select("message_id", "stage", "company")
+    assert sorted(spark.read.parquet(str(tmp_path / "out")).collect()) == sorted(want.collect())
