@@ -4,7 +4,8 @@ Texts and items become sequences of lower-case words. For every item length, eac
 candidate if a run of an item's words stands about where the item has it and enough of its words occur in the benchmark at
 all (necessary conditions for the edit distance, so nothing is lost). The CGK random walk turns a window into a string of three times its length in which few edits mean few
 differing positions; each of several walks is sampled at a few positions several times, and a window meets the items of
-its length that agree in all positions of one sample. Pairs that meet are verified by exact word edit distance: of the window, or
+its length that agree in all positions of one sample. The number of walks follows from a target recall: for each item length,
+the fewest for which that share of planted windows (items of the block with as many edits as are allowed) meets its item. Pairs that meet are verified by exact word edit distance: of the window, or
 (``wide``) of the closest run of any length about the window, texts then being padded so that shortened items fill windows too.
 """
 
@@ -23,7 +24,8 @@ from pyspark.sql import functions as F
 from .common import mix64, original, steps, tidied
 
 WORD = re.compile(r"[^\W_]+")
-WALKS, SAMPLES, BITS = 8, 6, 2
+WALKS, SAMPLES, BITS = 64, 6, 2  # WALKS: the most that are ever taken
+RECALL, PLANTED = 0.99, 400
 STEP_CHARS = 2_000_000
 
 
@@ -45,11 +47,11 @@ def _walked(x: np.ndarray, walk: int, positions: np.ndarray) -> np.ndarray:
     return out
 
 
-def signatures(x: np.ndarray, walks: int = WALKS, samples: int = SAMPLES, bits: int = BITS) -> np.ndarray:
+def signatures(x: np.ndarray, walks: int, samples: int = SAMPLES, bits: int = BITS, first: int = 0) -> np.ndarray:
     """A row of ``walks * samples`` keys for each row of word ids: the same rules for windows and items of one length."""
-    rng = np.random.default_rng(17 * x.shape[1] + 1)
     keys = []
-    for w in range(walks):
+    for w in range(first, first + walks):
+        rng = np.random.default_rng((x.shape[1], w))
         drawn = [np.sort(rng.choice(2 * x.shape[1], min(bits, 2 * x.shape[1]), replace=False)) for _ in range(samples)]
         positions = np.unique(np.concatenate(drawn))
         got = _walked(x, w, positions)
@@ -61,6 +63,30 @@ def signatures(x: np.ndarray, walks: int = WALKS, samples: int = SAMPLES, bits:
     return np.stack(keys, axis=1)
 
 
+def planted(ids: np.ndarray, errors: int, rng: np.random.Generator) -> np.ndarray:
+    """Rows of word ids with ``errors`` word edits each: words changed, left out or put in alike; foreign words (0) fill a row that got shorter, and one that got longer is cut, as windows of the item's length are."""
+    out = np.zeros_like(ids)
+    for r, row in enumerate(ids.tolist()):
+        for _ in range(errors):
+            at, kind = int(rng.integers(len(row))) if row else 0, int(rng.integers(3))
+            row[at : at + (kind < 2)] = [0] * (kind != 1)
+        out[r, : len(row)] = row[: ids.shape[1]]
+    return out
+
+
+def walks_for(ids: np.ndarray, errors: int, recall: float = RECALL, rows: int = PLANTED) -> int:
+    """The fewest walks with which at least ``recall`` of ``rows`` planted windows (fewer, 50 at least, for items of over 1,000 words) share a key with their item (WALKS if none does)."""
+    rows = max(50, min(rows, 1000 * rows // max(1, ids.shape[1])))
+    rng = np.random.default_rng(ids.shape[1])
+    own = ids[np.arange(rows) % len(ids)]
+    window, met = planted(own, errors, rng), np.zeros(rows, bool)
+    for w in range(WALKS):
+        met |= (signatures(window, 1, first=w) == signatures(own, 1, first=w)).any(axis=1)
+        if met.mean() >= recall:
+            return w + 1
+    return WALKS
+
+
 def edit_distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Word edit distance of each row of ``a`` to the same row of ``b`` (equal widths)."""
     n, width = a.shape
@@ -103,7 +129,7 @@ def _gram(ids) -> np.ndarray:
 class Items:
     """Benchmark items by length, with their tables of sampled positions. Small: items of one block only."""
 
-    def __init__(self, rows: list[tuple[int, str]], share: float, min_words: int, wide: bool = False):
+    def __init__(self, rows: list[tuple[int, str]], share: float, min_words: int, wide: bool = False, recall: float = RECALL):
         self.share, self.wide, self.vocab, by = share, wide, {}, {}
         for item, text in rows:
             ids = [self.vocab.setdefault(w, len(self.vocab) + 1) for w in tokens(text or "")]
@@ -113,7 +139,8 @@ class Items:
         self.tables = {}
         for length, own in sorted(by.items()):
             ids = np.array([x for _, x in own], np.int64)
-            keys = signatures(ids)
+            walks = walks_for(ids, int(share * length), recall)
+            keys = signatures(ids, walks)
             order = np.argsort(keys, axis=0, kind="stable")
             self.tables[length] = ([i for i, _ in own], ids, np.take_along_axis(keys, order, 0), order)
         # with k edits one of k + 1 equal parts of an item is untouched: a window must hold a run of that many of its words
@@ -172,7 +199,7 @@ class Items:
     def _meet(self, flat, starts, text, begin, ends, length, errors, items, ids, keys, order, best) -> None:
         windows = flat[starts[:, None] + np.arange(length)]
         met = []
-        for c, own in enumerate(signatures(windows).T):
+        for c, own in enumerate(signatures(windows, keys.shape[1] // SAMPLES).T):
             low, high = np.searchsorted(keys[:, c], own, "left"), np.searchsorted(keys[:, c], own, "right")
             w = np.repeat(np.arange(len(own)), high - low)
             met.append(w * len(items) + order[np.concatenate([np.arange(a, b) for a, b in zip(low[high > low], high[high > low])] or [np.empty(0, np.int64)]), c])

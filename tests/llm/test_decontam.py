@@ -120,3 +120,22 @@ def test_queries_find_an_item_with_words_left_out(spark, tmp_path):
     assert sorted((str(r.doc_id), r.item_id, r.distance, r.n_words) for r in got) == [("1", 7, 1, 37), ("2", 7, 4, 34), ("None", 8, 0, 2)]
     kept = corpus_pipeline.without_benchmark(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path))
     assert [r.doc_id for r in kept.collect()] == [3]
+
+
+def test_recall_of_the_hashing_alone():
+    """Planted windows that the choice of walks has not seen: without the run of untouched words, at least 0.95 of each length meet their item."""
+    rng = np.random.default_rng(99)
+    for length in (5, 8, 12, 20, 38, 60, 150):
+        ids = rng.permutation(np.arange(1, 60 * length + 1)).reshape(60, length)
+        errors = length // 5
+        walks = decontam.walks_for(ids, errors)
+        own = ids[np.arange(300) % 60]
+        met = (decontam.signatures(decontam.planted(own, errors, rng), walks) == decontam.signatures(own, walks)).any(axis=1)
+        assert walks < decontam.WALKS and met.mean() >= 0.95, (length, walks, met.mean())
+
+
+def test_planted_windows_have_the_edits():
+    rng = np.random.default_rng(3)
+    ids = np.arange(1, 41).reshape(2, 20)
+    for row, was in zip(decontam.planted(ids[[0, 1] * 20], 4, rng).tolist(), ids[[0, 1] * 20].tolist()):
+        assert 0 < nearest(row, was) <= 8 and len(row) == 20  # words put in push as many off the end
