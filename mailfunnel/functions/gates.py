@@ -8,19 +8,22 @@ from pyspark.sql import functions as F
 from .names import TITLE_NOUN
 from .stages import any_hit, count_hits
 
-MARKETING = [r"\bunsubscribe\b", r"\bnewsletter\b", r"\bwebinar\b", r"\bdiscount\b", r"\b\d+% off\b", r"\bsale\b", r"\bpromo(?:tion|code)?\b", r"\bsubscribe\b", r"\bsponsor(?:ed)?\b", r"\bjob alerts?\b", r"\brecommended (?:jobs|for you)\b", r"\bnew jobs\b", r"\btalent (?:community|network)\b", r"\bview in browser\b", r"\bmanage (?:your )?preferences\b", r"\blimited time\b", r"\bfree trial\b", r"\bupgrade\b", r"\btop stories\b", r"\btrending\b", r"\bread more\b", r"\bearn \$", r"\bhow to (?:land|ace|get)\b", r"\btips for\b", r"\bcareer fair\b", r"\bapply now\b", r"\bhiring (?:event|near you)\b"]
-SCAM = r"(?i)\b(?:scam|fraud(?:ulent)?|phishing)\b"
+MARKETING = [r"\bunsubscribe\b", r"\bnewsletter\b", r"\bwebinar\b", r"\bdiscount\b", r"\b\d+% off\b", r"\bsale\b", r"\bpromo(?:tion|code)?\b", r"\bsubscribe\b", r"\bsponsor(?:ed)?\b", r"\bjob alerts?\b", r"\brecommended (?:jobs|for you)\b", r"\bnew jobs\b", r"\btalent (?:community|network)\b", r"\bview in browser\b", r"\b(?:manage|update) (?:your )?(?:email )?preferences\b", r"\bbrowse (?:all |our )?(?:open )?(?:roles|jobs|positions|openings)\b", r"\breceiving this\b[^.]{0,20}\bbecause\b", r"\bapply today\b", r"\blimited time\b", r"\bfree trial\b", r"\bupgrade\b", r"\btop stories\b", r"\btrending\b", r"\bread more\b", r"\bearn \$", r"\bhow to (?:land|ace|get)\b", r"\btips for\b", r"\bcareer fair\b", r"\bapply now\b", r"\bhiring (?:event|near you)\b"]
+DIGEST = r"(?i)\b(?:daily|weekly|monthly)\b[^.\n]{0,20}\b(?:digest|round-?up|recap|newsletter)\b"
+OPENING = r"(?i)\bapplications?\b[^.]{0,120}\b(?:will (?:be )?open|open(?:ing)? soon|(?:are )?now open|go(?:es)? live)\b"
+SCHOLARSHIP = r"(?i)\b(?:scholarship|grant|bursary)s? (?:application|portal|award|committee|fund)"
+SCAM = r"(?i)\b(?:scam(?:s|mers?|ming)?|fraud(?:ulent)?|phishing)\b"
 UNFINISHED = r"(?i)\b(?:finish|complete|continue|resume) (?:your|the) (?:application|profile)\b|\b(?:incomplete|unfinished|started but|not yet submitted)\b|\bpick up where you left off\b|\bapplication (?:is|remains) (?:incomplete|in progress)\b"
 SUBMITTED = r"(?i)\bthank(?:s| you)[^.]{0,20}for (?:applying|your application|submitting)|\b(?:application|submission)\b[^.]{0,30}\b(?:received|submitted)\b|\breceived your (?:application|submission)\b|\bsuccessfully (?:applied|submitted)\b"
 AUTO_SUBJECT = r"(?i)^\s*(?:automatic reply|auto-?reply|out of office|autosvar)"
 AUTO_TEXT = r"(?i)\b(?:out of (?:the )?office|automatic reply|auto-?reply|away from my (?:desk|email)|on leave until)\b"
 REPLY_SUBJECT = r"(?i)^\s*(?:re|fwd?)\s*:"
 ACCOUNT = r"(?i)\b(?:verify your (?:email|account)|confirm your email|reset your password|password reset|verification code|one-time (?:code|password)|account (?:created|activated)|security alert|sign-in attempt)\b"
-SOCIAL = r"(?i)\b(?:connection request|people you may know|viewed your profile|who's viewed|endorsed you|trending posts|your network|new followers?|mentioned you)\b"
+SOCIAL = r"(?i)\b(?:connection request|people you may know|viewed your profile|who's viewed|endorsed you|trending posts|your network|new followers?|mentioned you|(?:reacted to|liked|commented on) (?:this|your|a post)|shared a post|suggested for you)\b"
 VOCABULARY = r"(?i)\b(?:appl(?:y|ied|ying|ication|icant)|candida(?:te|cy)|interview|assessment|position|role|recruit|hiring|offer|requisition|resume|internship|challenge)"
 HOUSING = r"(?i)\b(?:lease|apartment|rental|tenant|landlord|housing|roommate|move-in|deposit)\b"
 EDUCATION = [r"\badmissions?\b", r"\b(?:graduate|undergraduate) (?:school|program|admission)", r"\btranscripts?\b", r"\bfinancial aid\b", r"\bscholarships?\b", r"\bsemester\b", r"\btuition\b", r"\bfaculty\b"]
-EVENT = [r"\bhackathon\b", r"\bworkshop\b", r"\bconference\b", r"\bregistration\b", r"\brsvp\b", r"\battend(?:ees?|ing)?\b", r"\btickets?\b", r"\bspeaker\b", r"\bmeetup\b"]
+EVENT = [r"\bhackathon\b", r"\bworkshop\b", r"\bconference\b", r"\bregistration\b", r"\brsvp\b", r"\battend(?:ees?|ing)?\b", r"\btickets?\b", r"\bspeaker\b", r"\bmeetup\b", r"\b(?:boot)?camp\b", r"\btalks\b", r"\bsummit\b"]
 PERSONAL = r"(?i)\b(?:dear|hi|hello)\s+[A-Z]?[a-z]+|\binvite you\b|\byour (?:interview|assessment)\b"
 
 
@@ -38,12 +41,14 @@ def relevance_gates(full: Column, subject: Column, email: Column, domain: Column
     social = (kind["board"] | kind["noise"]) & full.rlike(SOCIAL)
     protected = ((f["reject"] | f["offer"]) & ~kind["noise"] & ~scam) | ((f["oa"] | f["interview"]) & full.rlike(PERSONAL) & ~kind["board"] & ~kind["noise"]) | (f["submitted"] & ~kind["board"] & ~kind["noise"] & ~scam)
     markers = count_hits(full, MARKETING)
-    marketing = (~kind["ats"] & ~kind["vendor"] & (markers >= 2) & ~protected) | (kind["board"] & ~f["decision"] & ~full.rlike(r"(?i)\byour application|\bappl(?:ied|ication)\b")) | ~full.rlike(VOCABULARY)
+    marketing = (~kind["ats"] & ~kind["vendor"] & (markers >= 2) & ~protected) | (kind["board"] & ~f["decision"] & ~full.rlike(r"(?i)\byour application|\bappl(?:ied|ication)\b")) | (~full.rlike(VOCABULARY) & ~(f["oa"] & kind["vendor"]))
+    sent = f["submitted"] | f["reject"] | kind["ats"] | kind["vendor"]
+    marketing = marketing | (~sent & (full.rlike(DIGEST) | (full.rlike(OPENING) & ~f["offer"])))
     account = full.rlike(ACCOUNT)
     autoreply = subject.rlike(AUTO_SUBJECT) | (subject.rlike(REPLY_SUBJECT) & (full.rlike(AUTO_TEXT) | ~f["decision"])) | (kind["freemail"] & ~f["decision"]) | (account & ~f["decision"] & ~f["submitted"])
     admissions = email.rlike("(?i)^(?:admissions?|gradschool|apply|enroll)[^@]*@.*") & domain.rlike(r"\.edu\z")
     housing = F.size(F.regexp_extract_all(full, F.lit(HOUSING), F.lit(0)))
-    nonjob = ((admissions | (domain.rlike(r"\.edu\z") & ~title)) & ~f["oa"] & ~f["interview"]) | (~title & ((~f["decision"] & ((housing >= 2) | (count_hits(full, EVENT) >= 2))) | (count_hits(full, EDUCATION) >= 2))) | social
+    nonjob = ((admissions | (domain.rlike(r"\.edu\z") & ~title)) & ~f["oa"] & ~f["interview"]) | (~title & ((~f["decision"] & ((housing >= 2) | (count_hits(full, EVENT) >= 2))) | (count_hits(full, EDUCATION) >= 2) | full.rlike(SCHOLARSHIP))) | social
     return F.struct(marketing.alias("marketing"), (full.rlike(UNFINISHED) & ~f["status"]).alias("incomplete"), autoreply.alias("autoreply"), nonjob.alias("nonjob"))
 
 

@@ -16,11 +16,12 @@ _STOP = r"(?=[\s,.!?:;)('\"|-]|\z)"
 COMPANY_PHRASES = [
     rf"{NAME} (?:has )?invited you\b", rf"\bon behalf of {NAME}{_STOP}", rf"\b[Aa]pplication (?:to|with|at) {NAME}{_STOP}", rf"\b[Ii]nterview(?:ing)? (?:with|at) {NAME}{_STOP}", rf"\b[Nn]ext steps? (?:with|at) {NAME}{_STOP}", rf"\b[Aa]ppl(?:ying|ied) (?:to|at|with) {NAME}{_STOP}",
     rf"\b[Ii]nterest in (?:a career (?:at|with)|joining|working (?:at|with)) {NAME}{_STOP}", rf"\b(?:role|position|internship|opportunity|job|opening) (?:at|with) {NAME}{_STOP}", rf"\bthe {NAME} (?:position|role) of\b", rf"\b(?:[Jj]oining|[Ww]elcome to) {NAME}{_STOP}", rf"\b[Tt]eam at {NAME}{_STOP}", rf"\ba(?:n)? {NAME} recruiter\b", rf"\b[Ff]rom {NAME} -",
-    rf"\b[Aa]pplication (?:to|for) [^.\n]{{3,60}} at {NAME}{_STOP}", rf"\b[Oo]ffer (?:from|to join) {NAME}{_STOP}", rf"\b[Aa]ssessment (?:for|from|with) {NAME}{_STOP}", rf"\b[Uu]pdate from {NAME}{_STOP}",
+    rf"\b[Aa]pplication (?:to|for) [^.\n]{{3,60}} at {NAME}{_STOP}", rf"\b[Oo]ffer (?:from|to join) {NAME}{_STOP}", rf"\b[Aa]ssessment (?:for|from|with) {NAME}{_STOP}", rf"\b[Uu]pdate from {NAME}{_STOP}", rf"\b(?:submission|answers|results|responses) (?:to|with) {NAME}{_STOP}",
 ]
 SIGNATURES = [rf"(?m)^\s*(?:[Tt]he )?{NAME} (?:Talent Acquisition|Recruiting|Recruitment|Hiring|People|Careers)(?: Team| Department)?\s*$", rf"{NAME},? (?:Inc|LLC|Corporation|Ltd|GmbH)\b"]
 WEAK = [rf"\b[Tt]he {NAME} [Tt]eam\b", rf"\b[Ii]nterest in {NAME}{_STOP}"]
 MACHINERY = r"(?i)\b(?:talent acquisition|(?:university|campus|student|early) (?:programs?|talent|recruit\w*|relations|careers?|hiring|team)|recruit(?:ing|ment|ers?)|careers?|jobs?|hiring|talent|hr|human resources|people operations|no-?reply|do not reply|notifications?|team|department|application|workday|greenhouse|via .*)\b"
+TITLE_END = r"(?i)\b(?:intern(?:ship)?|co-?op|engineer|developer|analyst|scientist|designer|manager|coordinator|specialist|trainee)\z"
 PROSE = r"(?i)\b(?:you|your|our|we|us|this|that|please|thank|thanks|dear|hello|hi|click|here|will|have|has|is|are|was|were|been|unfortunately|application|position|role|interview|update|status)\b"
 
 TITLE_NOUN = r"(?i)\b(?:intern(?:ship)?s?|co-?op|engineers?|engineering|developers?|scientists?|analysts?|architects?|designers?|researchers?|consultants?|specialists?|managers?|associates?|fellows?|apprentices?|technicians?|programmers?|administrators?|strategists?|trainees?|assistants?|coordinators?|accountants?|auditors?|clerks?|recruiters?|advisors?|traders?|underwriters?|technologists?|statisticians?|economists?|attorneys?|paralegals?|nurses?|teachers?|instructors?|therapists?|actuar(?:y|ies))\b"
@@ -52,10 +53,10 @@ def clean_company(c: Column) -> Column:
 
 
 def is_plausible_company(c: Column) -> Column:
-    """No sentence, at most 5 words and 40 characters, fewer than 4 digits, no vendor, no 'Last, First'."""
+    """No sentence and no job title, at most 5 words and 40 characters, fewer than 4 digits, no vendor, no 'Last, First'."""
     digits = F.length(F.regexp_replace(c, "[^0-9]", ""))
     plain = F.regexp_replace(F.lower(c), "[^a-z0-9]", "")
-    return (F.length(c) > 1) & (F.length(c) <= 40) & (F.size(F.split(c, " ")) <= 5) & (digits < 4) & ~plain.isin(*lx.VENDOR_NAMES) & ~c.rlike(PROSE) & ~c.rlike(r"^[A-Z][a-z]+, [A-Z][a-z]+\z") & c.rlike("[A-Za-z]")
+    return (F.length(c) > 1) & (F.length(c) <= 40) & (F.size(F.split(c, " ")) <= 5) & (digits < 4) & ~plain.isin(*lx.VENDOR_NAMES) & ~c.rlike(PROSE) & ~c.rlike(TITLE_END) & ~c.rlike(r"^[A-Z][a-z]+, [A-Z][a-z]+\z") & c.rlike("[A-Za-z]")
 
 
 def looks_like_person(name: Column, email: Column) -> Column:
@@ -93,7 +94,7 @@ def extract_company(subject: Column, body: Column, from_name: Column, from_email
     tenant = let(tenant, lambda x: F.when(~F.lower(x).rlike(r"^(?:no-?reply|donotreply|notifications?|jobs|careers|recruiting|talent|hello|info|mail)$") & good(x), x))
     return F.coalesce(
         _first(text, COMPANY_PHRASES, clean_company, good),
-        _first(text, SIGNATURES, clean_company, good),
+        _first(text, SIGNATURES, lambda c: clean_company(F.regexp_replace(c, r" (?:University|Campus|Graduate|Student)\z", "")), good),
         F.when(kind["ats"], F.coalesce(own_name, weak)).otherwise(F.coalesce(weak, own_name)),
         let(url, lambda x: F.when(good(x), x)),
         let(direct, lambda x: F.when(good(x), x)),
@@ -111,7 +112,7 @@ def sanitize_role(c: Column) -> Column:
     c = F.regexp_replace(c, r"(?i)^(?:(?:at|as|of|in|on|to|by|for|with|from|the|a|an|your|our|this|that|and|or)\b\s*|re:\s*)+", "")
 
     def judged(x: Column) -> Column:
-        bad = ~x.rlike(TITLE_NOUN) | x.rlike(ROLE_PROSE) | x.rlike(r"[.!?]\s+[A-Z]") | (F.size(F.split(x, " ")) > 9) | x.rlike(r"(?i)^(?:intern|internship|co-?op|interns|hiring manager)\z") | (F.length(x) < 3)
+        bad = ~x.rlike(TITLE_NOUN) | x.rlike(ROLE_PROSE) | x.rlike(r"[.!?]\s+[A-Z]") | (F.size(F.split(x, " ")) > 9) | x.rlike(r"(?i)^(?:intern|internship|co-?op|interns|(?:hiring )?managers?|recruiters?)\z") | (F.length(x) < 3)
         return F.when(~bad, F.when(x == F.lower(x), F.initcap(x)).otherwise(x))
 
     return let(F.substring(_squeeze(c), 1, 70), judged)

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 CUT = r"(?<=[.!?\n])\s+|,\s+(?=(?i:but|however|although|though)\b)|;\s*"
-HEDGE = r"(?i)\b(?:if|unless|until|without|in case|may be|might be|whether|tips|guide|should you be|we will (?:notify|let you know)|you(?:'ll| will) (?:hear|be notified))\b"
+HEDGE = r"(?i)\b(?:if|unless|until|without|in case|may be|might be|whether|tips|guide|should you be|we will (?:notify|let you know)|you(?:'ll| will) (?:hear|be notified)|will (?:only )?be (?:notified|contacted|informed))\b"
 INSTRUCTION = r"(?i)\b(?:check|view|track|visit|log ?in|sign in)\b.*\b(?:status|portal|dashboard|account|page|here)\b|\bhelp (?:page|center)\b"
 
 PATTERNS: dict[str, list[str]] = {
@@ -18,7 +18,7 @@ PATTERNS: dict[str, list[str]] = {
     ],
     "offer": [r"\bpleased to (?:offer|extend)", r"\bextend(?:ing)?\b[^.]{0,20}\boffer\b", r"\boffer of employment\b", r"\boffer (?:letter|details|package)\b", r"\bformal offer\b", r"\bcongratulations\b[^.!]{0,60}\boffer\b", r"\bsign\b[^.]{0,20}\boffer\b", r"\b(?:excited|delighted|thrilled|happy) to offer you\b", r"\baccept (?:the|this|our|your) offer\b"],
     "interview": [
-        r"\binvit(?:e|ed|ing|ation)\b[^.]{0,40}\b(?:interview|screen)", r"\binterview\b[^.]{0,20}\b(?:invitation|invite|confirmation|confirmed|scheduled)", r"\b(?:schedule|book|arrange|set up)\b[^.]{0,40}\binterview", r"\b(?:schedule|book|set up)\b[^.]{0,30}\bcall\b[^.]{0,60}\b(?:recruit|hiring|role|position|team)", r"\b(?:phone|technical|on-?site|video|virtual|final|panel|recorded|one-way) (?:interview|screen)",
+        r"\binvit(?:e|ed|ing|ation)\b[^.]{0,40}\b(?:interview|screen)", r"\binterview\b[^.]{0,20}\b(?:invitation|invite|confirmation|confirmed|scheduled)", r"\b(?:schedul(?:e|ed|ing)|book(?:ed)?|arranged?|set up)\b[^.]{0,40}\binterview", r"\binterview (?:availability|slot|time)", r"\b(?:schedule|book|set up)\b[^.]{0,30}\bcall\b[^.]{0,60}\b(?:recruit|hiring|role|position|team)", r"\b(?:phone|technical|on-?site|video|virtual|final|panel|recorded|one-way) (?:interview|screen)",
         r"\b(?:calendly|goodtime|savvycal)\b", r"\b(?:share|send|provide|let us know)\b[^.]{0,30}\byour availability\b", r"\bwhat times? work", r"\bare you (?:free|available)\b[^.]{0,40}\b(?:call|chat|talk|meet|discuss)", r"\bnext (?:round|stage)\b[^.]{0,40}\b(?:interview|process)?", r"\b(?:love|like) to (?:talk|chat|speak|connect)\b[^.]{0,60}\b(?:role|background|position|experience)", r"\bspeak with (?:our|a|the) (?:recruiter|hiring manager|team)", r"\binterview with (?:us|our|the)\b",
     ],
     "oa": [r"\bonline assessment\b", r"\b(?:coding|technical|skills?|programming|cognitive) (?:assessment|test)\b", r"\btake-?home\b", r"\bcoding challenge\b", r"\bhiring test\b", r"\b(?:pre-employment|aptitude|personality) (?:test|assessment)", r"\b(?:hackerrank|codesignal|codility|hackerearth|testgorilla|pymetrics)\b", r"\bcomplete\b[^.]{0,40}\bassessment", r"\binvit(?:e|ed|ation)\b[^.]{0,30}\b(?:test|assessment|challenge)\b", r"\bassessment (?:invitation|link|is ready)"],

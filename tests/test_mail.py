@@ -67,6 +67,18 @@ MAILS = [  # subject, name, address, body, relevant, stage, company, role
     ("Finish your application", "Hollis", "jobs@hollis.com", "You started an application but it remains incomplete. Complete your application today.", False, None, None, None),
     ("Automatic reply: hello", "Sam Poe", "sam@corp.com", "I am out of the office.", False, None, None, None),
     ("My application", "Pat", "pat@gmail.com", "my application is under review", False, None, None, None),
+    ("Re: interview times", "Mo Quist", "mo.quist@brindle.com", "Hello, I booked your interview for Friday with two of our engineers. Regards, Mo", True, "interview", "brindle", None),
+    ("We have your application", "Tallow Insurance", "careers@tallow.com", "Thank you for applying to the Claims Analyst position at Tallow Insurance. Candidates not selected will be contacted by mail after the search ends.", True, "applied", "tallow insurance", "analyst claims"),
+    ("Your application to Site Reliability Engineer at Plover Labs", "JobPort", "no-reply@jobport.com", "Your application was received by Plover Labs.", True, "applied", "plover", "engineer reliability site"),
+    ("Thanks for finishing the Larkspur test", "HackerRank", "support@hackerrank.com", "Your coding test is complete. We passed your results to Larkspur and they will be in touch.", True, "oa", "larkspur", None),
+    ("Application received", "Wren - Workday", "wren@myworkday.com", "Your application has been received and is under review.\n\nWren Campus Recruiting", True, "applied", "wren", None),
+    ("Meet our teams", "Oriole Careers", "careers-news@oriole.com", "Thanks for your interest in Oriole! Browse our open positions: Data Analyst and more. You are receiving this because you joined our list. Unsubscribe.", False, None, None, None),
+    ("Your monthly practice recap", "KataGym", "hello@katagym.com", "Hi there! Try the new coding challenge and read interview questions of last month.", False, None, None, None),
+    ("Beware of hiring scammers", "Safe Jobs", "news@safejobs.com", "Fake offer letters are about: check every offer of employment. Apply today with firms we trust. Unsubscribe | Update preferences", False, None, None, None),
+    ("Wes and others reacted to a post", "LinkedIn", "updates@linkedin.com", "Ida shared a post: my technical interview went badly. Suggested for you.", False, None, None, None),
+    ("Scholarship application received", "Fenwick Foundation", "office@fenwickfund.org", "Your scholarship application has been received by the Fenwick Foundation.", False, None, None, None),
+    ("Next year's program", "Gannet Campus Recruiting", "campus@gannet.com", "Applications for our summer analyst program will open on Monday. Thank you for your interest in Gannet.", False, None, None, None),
+    ("Your application to Maker Summit was received", "Maker Summit", "hi@makersummit.org", "Your application was accepted. Join all attendees for a day of talks.", False, None, None, None),
     ("Housing application", "Elm Court", "leasing@elmcourt.com", "Your apartment application was received. The lease and deposit are due.", False, None, None, None),
 ]
 
