@@ -60,10 +60,10 @@ def is_plausible_company(c: Column) -> Column:
 
 
 def looks_like_person(name: Column, email: Column) -> Column:
-    """A display name whose first word stands in the mailbox name."""
+    """A display name of two words whose first stands in the mailbox name; one of two letters must open it and be followed by a dot."""
     box = F.lower(F.get(F.split(email, "@"), F.lit(0)))
     first = F.lower(F.get(F.split(name, " "), F.lit(0)))
-    return (F.length(first) > 2) & box.contains(first) & (F.size(F.split(name, " ")) == 2)
+    return (((F.length(first) > 2) & box.contains(first)) | ((F.length(first) == 2) & box.startswith(F.concat(first, F.lit("."))))) & (F.size(F.split(name, " ")) == 2)
 
 
 def _first(text: Column, patterns: list[str], clean, good) -> Column:
