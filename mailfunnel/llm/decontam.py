@@ -25,7 +25,7 @@ from .common import mix64, original, steps, tidied
 
 WORD = re.compile(r"[^\W_]+")
 WALKS, SAMPLES, BITS = 64, 6, 2  # WALKS: the most that are ever taken
-RECALL, PLANTED = 0.99, 400
+RECALL, PLANTED = 0.999, 1000
 STEP_CHARS = 2_000_000
 
 

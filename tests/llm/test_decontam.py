@@ -123,7 +123,7 @@ def test_queries_find_an_item_with_words_left_out(spark, tmp_path):
 
 
 def test_recall_of_the_hashing_alone():
-    """Planted windows that the choice of walks has not seen: without the run of untouched words, at least 0.95 of each length meet their item."""
+    """Planted windows that the choice of walks has not seen: without the run of untouched words, at least 0.98 of each length meet their item."""
     rng = np.random.default_rng(99)
     for length in (5, 8, 12, 20, 38, 60, 150):
         ids = rng.permutation(np.arange(1, 60 * length + 1)).reshape(60, length)
@@ -131,7 +131,7 @@ def test_recall_of_the_hashing_alone():
         walks = decontam.walks_for(ids, errors)
         own = ids[np.arange(300) % 60]
         met = (decontam.signatures(decontam.planted(own, errors, rng), walks) == decontam.signatures(own, walks)).any(axis=1)
-        assert walks < decontam.WALKS and met.mean() >= 0.95, (length, walks, met.mean())
+        assert walks < decontam.WALKS and met.mean() >= 0.98, (length, walks, met.mean())
 
 
 def test_planted_windows_have_the_edits():
