@@ -178,3 +178,29 @@ def test_spans_of_the_text_as_it_is_and_any_ids(spark):
     assert [text[s.start : s.end] for s in got["a"].spans] == ["vile", "vile"] and got[None].n_spans == 0
     longs = toxicity.judged(spark.createDataFrame([(9007199254740993, "x"), (None, "x")], "doc_id long, text string"), model).collect()
     assert {r.doc_id: r.held_out for r in longs} == {9007199254740993: zlib.crc32(b"9007199254740993") % 5 == 0, None: zlib.crc32(b"None") % 5 == 0}
+
+
+def test_shards_as_brute_force(spark, tmp_path):
+    """The whole assignment again in plain Python: slots, their bytes, the map, the places."""
+    rng = random.Random(12)
+    rows = [(None, None), (None, "x"), (3, ""), (4, None), (5, "é" * 9000), *[(7, "same")] * 3, (7, "other")] + [(100 + i, "ab " * rng.randint(0, 90)) for i in range(500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as vslot", "2 as shard", "'n' as size").repartition(4)
+    got = sharding.sharded(df, shards=6, slots=64, map_path=str(tmp_path / "map")).collect()
+
+    def record(doc, text):
+        data = (text or "").encode()
+        size = len(data) + 8
+        name = hashlib.md5(f"{'' if doc is None else doc}|{size}".encode()).hexdigest()
+        return doc, size, zlib.crc32(data), int(name[:8], 16) % 64
+
+    records = [record(*r) for r in rows]
+    slots = {s: sum(r[1] for r in records if r[3] == s) for s in range(64)}
+    load, shard_of = [0] * 6, {}
+    for s in sorted(slots, key=lambda s: (-slots[s], s)):
+        shard_of[s] = load.index(min(load))
+        load[shard_of[s]] += slots[s]
+    want = []
+    for shard in range(6):
+        own = sorted((r for r in records if shard_of[r[3]] == shard), key=lambda r: (r[3], r[0] is not None, r[0] or 0, r[2]))
+        want += [(str(r[0]), r[1], r[2], "bytes", shard, i, r[3]) for i, r in enumerate(own)]
+    assert sorted((str(r.doc_id), r.size, r.text_crc32, r.law, r.shard, r.slot, r.vslot) for r in got) == sorted(want)
