@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, lm, mixing, sharding, simhash, suffix, tokenfiles, topk, toxicity, urlfilter
+from . import bytebpe, decontam, lm, mixing, sharding, simhash, suffix, tokenfiles, topk, toxicity, urlfilter
 from .common import table
 
 
@@ -57,5 +57,11 @@ def op10_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.repeated_bytes(table(spark, sf_dir, "documents"))
 
 
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return bytebpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
