@@ -18,6 +18,7 @@ import hashlib
 import itertools
 import os
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,6 +31,9 @@ from .common import kept, steps, text_bytes, tidied
 #: A space that stands in the midst or at the end of white space: no place to cut.
 INSIDE = re.compile(r"\s (?:\s|\Z)")
 CUT = re.compile(r"(?<!\s)(?= )|(?= \S)")
+_L, _P = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]", r"[!-/:-@\[-`{-~]"
+#: A word with the punctuation after it, and perhaps a line's first word with its own: the public pattern always ends a match between these.
+WORDS = re.compile(rf"( ?{_L}+)({_P}*)(?:(\n)({_L}+)({_P}*))?")
 #: Bytes of text that a task encodes at a time.
 RUN = 2 << 20
 
@@ -61,7 +65,7 @@ class Codec:
     encoded one by one and remembered; with any other pattern a text is one cell.
     """
 
-    def __init__(self, path: str, pattern: str, most: int = 200_000):
+    def __init__(self, path: str, pattern: str, most: int = 500_000):
         import public_tokenizers
         import tiktoken
         from tokenizers import Regex, Tokenizer, models, pre_tokenizers
@@ -80,7 +84,9 @@ class Codec:
         self.by_rank = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.cuts, self.most = pattern == public_tokenizers.PATTERN, most
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
+        self.spelt = dict(enumerate(spelt))
         byte_of = {c: b for b, c in enumerate(spelt)}
         tokens = [b""] * (max(ranks.values()) + 1)
         for word, i in vocab.items():
@@ -97,15 +103,31 @@ class Codec:
         return [head, *[f" {c}" for c in rest]]
 
     def _learn(self, cells: set[str]) -> None:
-        if len(self.known) > self.most:
-            self.known.clear()
-        new = [c for c in cells if c not in self.known]
+        """All cells are known after this. Two generations are kept, so that frequent cells stay."""
+        if len(self.known) > self.most // 2:
+            self.known, self.older = {}, self.known
+        new, cut = set(), {}
+        for c in cells.difference(self.known):
+            if (ids := self.older.get(c)) is not None:
+                self.known[c] = ids
+            elif self.cuts and (m := WORDS.fullmatch(c)) and len(parts := [g for g in m.groups() if g]) > 1:
+                cut[c] = parts
+                new.update(parts)
+            else:
+                new.add(c)
+        new.difference_update(self.known)
         odd = [c for c in new if may_differ(c.encode())]
-        even = list(set(new).difference(odd))
+        even = new.difference(odd)
+        words = [c for c in even if self.cuts and (m := WORDS.fullmatch(c)) and not m[2] and not m[3]]  # one match of the pattern each: no need to look for it
+        for c in words:
+            self.known[c] = array("I", [t.id for t in self.library.model.tokenize(c.encode().decode("latin-1").translate(self.spelt))]).tobytes()
+        even = list(even.difference(words))
         for c, found in zip(even, self.library.encode_batch_fast(even, add_special_tokens=False)):
-            self.known[c] = np.array(found.ids, "<u4").tobytes()
+            self.known[c] = array("I", found.ids).tobytes()
         for c in odd:
-            self.known[c] = np.array(self.by_rank.encode_ordinary(c), "<u4").tobytes()
+            self.known[c] = array("I", self.by_rank.encode_ordinary(c)).tobytes()
+        for c, parts in cut.items():
+            self.known[c] = b"".join(map(self.known.__getitem__, parts))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text, unsigned 32-bit."""

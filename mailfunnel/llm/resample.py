@@ -17,6 +17,7 @@ result. Only the named columns are read, so other columns may have any names.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 from collections.abc import Iterator
 
@@ -46,25 +47,24 @@ def _crc_table() -> np.ndarray:
 TABLE = _crc_table()
 
 
-def crc32s(features: list[bytes]) -> np.ndarray:
-    """CRC-32 of each feature, in matrices of features of one length, or of a band of lengths that shrinks as its rows end."""
-    out = np.zeros(len(features), np.uint32)
-    sizes = np.fromiter(map(len, features), np.int64, len(features))
-    band = np.where(sizes <= EVEN, sizes, EVEN + np.ceil(np.log2(np.maximum(sizes, 1))).astype(np.int64))
-    order = np.lexsort((-sizes, band))
+def crc32s(flat: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """CRC-32 of the slices of ``flat``, in matrices of slices of one length, or of a band of lengths that shrinks as its rows end."""
+    out = np.zeros(len(begin), np.uint32)
+    band = np.where(size <= EVEN, size, EVEN + np.ceil(np.log2(np.maximum(size, 1))).astype(np.int64))
+    order = np.lexsort((-size, band))
     for group in np.split(order, np.flatnonzero(np.diff(band[order])) + 1):
-        if not len(group) or not sizes[group[0]]:
+        width = int(size[group[0]]) if len(group) else 0
+        if not width:
             continue
-        width, own = int(sizes[group[0]]), sizes[group]
-        for low, high in steps([width] * len(group), 16 << 20):
-            rows = group[low:high]
-            data = b"".join(features[i].ljust(width, b"\0") for i in rows) if own[high - 1] < width else b"".join(features[i] for i in rows)
-            columns = np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(len(rows), width).T)
-            ends = np.searchsorted(-own[low:high], -np.arange(width), "left")  # rows longer than j come first
+        for low in range(0, len(group), most := max(1, (16 << 20) // width)):
+            rows = group[low : low + most]
+            wide = np.arange(width)[:, None]
+            columns = flat[begin[rows] + np.minimum(wide, size[rows] - 1)]  # a row of this array is a column of bytes
+            ends = np.searchsorted(-size[rows], -np.arange(width), "left")  # rows longer than j come first
             crc = np.full(len(rows), 0xFFFFFFFF, np.uint32)
-            for j in range(width):
-                live = crc[: ends[j]]
-                live[:] = TABLE[(live ^ columns[j, : ends[j]]) & 0xFF] ^ (live >> np.uint32(8))
+            for j, n in enumerate(ends.tolist()):
+                live = crc[:n]
+                np.bitwise_xor(TABLE.take(live.astype(np.uint8) ^ columns[j, :n]), live >> np.uint32(8), out=live)
             out[rows] = ~crc
     return out
 
@@ -78,18 +78,23 @@ class _Ids(dict):
 
 
 def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Words of each text; the text of each feature, and its bucket."""
-    ids = _Ids()
+    """Words of each text; the text of each feature, and its bucket. Distinct features are hashed once, from where they first stand."""
     words = [t.translate(FOLD).split() for t in texts]
     counts = np.fromiter(map(len, words), np.int64, len(words))
-    flat = np.fromiter((ids[w] for own in words for w in own), np.int64, int(counts.sum()))
+    all_words = list(itertools.chain.from_iterable(words))
+    flat, size = np.frombuffer(b" ".join(all_words), np.uint8), np.fromiter(map(len, all_words), np.int64, len(all_words))
+    end = np.cumsum(size + 1) - 1
+    begin = end - size
+    ids = np.fromiter(map(_Ids().__getitem__, all_words), np.int64, len(all_words))
+    once = np.zeros(int(ids.max(initial=-1)) + 1, np.int64)
+    once[ids[::-1]] = np.arange(len(ids))[::-1]
     owner = np.repeat(np.arange(len(texts)), counts)
     next_too = np.flatnonzero(owner[1:] == owner[:-1])
-    pairs, back = np.unique(flat[next_too] * len(ids) + flat[next_too + 1], return_inverse=True)
-    names = list(ids)
-    joined = [names[p // len(ids)] + b" " + names[p % len(ids)] for p in pairs.tolist()]
-    bucket = (crc32s(names + joined) % BUCKETS).astype(np.int64)
-    return counts, np.concatenate([owner, owner[next_too]]), np.concatenate([bucket[flat], bucket[len(ids) + back]])
+    _, first, back = np.unique(ids[next_too] * len(once) + ids[next_too + 1], return_index=True, return_inverse=True)
+    first = next_too[first]
+    crc = crc32s(flat, np.concatenate([begin[once], begin[first]]), np.concatenate([size[once], end[first + 1] - begin[first]]))
+    bucket = (crc % BUCKETS).astype(np.int64)
+    return counts, np.concatenate([owner, owner[next_too]]), np.concatenate([bucket[ids], bucket[len(once) + back]])
 
 
 def _runs(batches: Iterator[pa.RecordBatch], col: int) -> Iterator[pa.RecordBatch]:
