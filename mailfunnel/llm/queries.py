@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bytebpe, decontam, lm, mixing, resample, sharding, simhash, suffix, tokenfiles, topk, toxicity, urlfilter
+from . import bytebpe, decontam, lm, mixing, phrases, resample, sharding, simhash, suffix, tokenfiles, topk, toxicity, urlfilter
 from .common import table
 
 
@@ -63,6 +63,10 @@ def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bytebpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"), most=3, least=10, top=2000, inside_percent=50)
+
+
 def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), percent=25, least_words=20, seed=7)
 

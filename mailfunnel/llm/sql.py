@@ -17,6 +17,26 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank
 """
 
 
+#: Operator 12.
+PHRASES = """
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM p),
+g AS (SELECT lang, 1 AS k, unnest(w) AS phrase FROM w
+  UNION ALL SELECT lang, 2, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM w
+  UNION ALL SELECT lang, 3, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) FROM w),
+f AS (SELECT lang, k, phrase, count(*) AS a FROM g GROUP BY ALL),
+n AS (SELECT lang, CAST(sum(a) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT *, string_split(phrase, ' ') AS s FROM f WHERE k > 1 AND a >= 10),
+cuts AS (SELECT c.*, j, array_to_string(s[:j], ' ') AS first_part, array_to_string(s[j + 1:], ' ') AS rest FROM c, (SELECT unnest([1, 2]) AS j) WHERE j < k),
+m AS (SELECT cuts.*, x.a AS l, y.a AS r, (CAST(1000000 AS HUGEINT) * cuts.a * cuts.a) // (CAST(x.a AS HUGEINT) * y.a) AS score
+  FROM cuts JOIN f x ON x.lang = cuts.lang AND x.phrase = first_part JOIN f y ON y.lang = cuts.lang AND y.phrase = rest),
+b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) AS i FROM m) WHERE i = 1),
+inside AS (SELECT lang, phrase, max(a) AS longer FROM (SELECT lang, a, unnest([s[1] || ' ' || s[2], s[2] || ' ' || s[3]]) AS phrase FROM c WHERE k = 3) GROUP BY ALL),
+t AS (SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, b.a DESC, b.phrase) AS rank FROM b LEFT JOIN inside i ON i.lang = b.lang AND i.phrase = b.phrase WHERE longer IS NULL OR 100 * longer < 50 * b.a)
+SELECT t.lang, rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM t JOIN n ON n.lang = t.lang WHERE rank <= 2000
+"""
+
+
 def mixing_sql(weights=mixing.WEIGHTS, share=1.5, most=2) -> str:
     pick = " ".join(f"WHEN {i} THEN {w}" for i, w in enumerate(weights))
     taken = " + ".join(f"CASE WHEN n > 0 AND source_size * {p} + before + n / 2.0 < target THEN 1 ELSE 0 END" for p in range(most))
@@ -80,4 +100,4 @@ FROM m LEFT JOIN s ON m.host = s.host
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_top_k": TOP_K, "op4_url_filter": url_sql(), "op9_source_mix": mixing_sql()}
+    return {"op1_top_k": TOP_K, "op4_url_filter": url_sql(), "op9_source_mix": mixing_sql(), "op12_phrases": PHRASES}
