@@ -1,23 +1,26 @@
-"""Greedy entity resolution of mails to cards (R1): the one grouped helper, for its state depends on earlier assignments."""
+"""Greedy entity resolution of mails to cards.
+
+The state of a card depends on earlier assignments, so the step is Python; Spark sorts, and a task reads its partition
+once, in order, with the state of one user's company at a time.
+"""
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterable, Iterator
+from itertools import combinations, groupby
 
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import keys
 from ..functions.lexicon import PROGRESSION
 
 RESOLVED = "user_id long, message_id string, card string, is_new boolean, company string, company_key string, role string, role_key string, req string, stage string, first_email_at timestamp, last_email_at timestamp, locked boolean"
-
-
-def _contained(a: str, b: str) -> bool:
-    ta, tb = a.split(), b.split()
-    small, big = (ta, tb) if len(ta) <= len(tb) else (tb, ta)
-    return a == b or bool(small) and set(small) <= set(big)
+NAMES = [x.split()[0] for x in RESOLVED.split(", ")]
+#: The same with times in microseconds, as tasks see them.
+RAW = RESOLVED.replace("timestamp", "long")
 
 
 def _alike(a: str, b: str) -> bool:
@@ -33,15 +36,62 @@ def folded(now: str, stage: str, newer: bool) -> str:
     return stage if PROGRESSION[stage] > PROGRESSION[now] else now
 
 
-def _settled(seen: pd.DataFrame) -> pd.DataFrame:
-    """A user's distinct company keys, stored ones first, then by first mail -> the bucket of each: its own, or the first bucket that resembles it."""
-    buckets: dict[str, None] = {}
-    rows = []
-    for k in seen.sort_values(["stored", "first_at", "first_id"], ascending=[False, True, True]).itertuples():
-        own = k.company_key if k.stored or k.company_key in buckets else next((b for b in buckets if _contained(b, k.company_key)), k.company_key)
-        buckets.setdefault(own)
-        rows.append((k.user_id, k.company_key, own))
-    return pd.DataFrame(rows, columns=["user_id", "company_key", "bucket"])
+class Buckets:
+    """The company buckets of one user, in order of appearance.
+
+    A key belongs to the first bucket whose words lie in its own or hold all of them (of two keys the one with fewer words is
+    the inner one). Keys of up to six words, all different, find it by their sets of words; longer ones and those that
+    repeat a word are compared one by one.
+    """
+
+    def __init__(self, stored: Iterable[str] = ()):
+        self.names: list[str] = []
+        self.place: dict[str, int] = {}
+        self.exact: dict[frozenset, int] = {}
+        self.within: dict[frozenset, int] = {}
+        self.odd: list[int] = []
+        for name in stored:
+            self._open(name)
+
+    @staticmethod
+    def _sets(key: str) -> list[frozenset] | None:
+        words = key.split()
+        if len(words) > 6 or len(set(words)) < len(words):
+            return None
+        return [frozenset(c) for n in range(1, len(words) + 1) for c in combinations(words, n)]
+
+    @staticmethod
+    def _contained(a: str, b: str) -> bool:
+        ta, tb = a.split(), b.split()
+        small, big = (ta, tb) if len(ta) <= len(tb) else (tb, ta)
+        return a == b or bool(small) and set(small) <= set(big)
+
+    def _open(self, key: str) -> str:
+        if key not in self.place:
+            i, sets = len(self.names), self._sets(key)
+            self.place[key] = i
+            self.names.append(key)
+            if sets is None:
+                self.odd.append(i)
+            elif sets:
+                self.exact.setdefault(sets[-1], i)
+                for s in sets:
+                    self.within.setdefault(s, i)
+        return key
+
+    def of(self, key: str) -> str:
+        """The bucket of a key that is new to the user; its own where none is alike."""
+        if key in self.place:
+            return key
+        sets = self._sets(key)
+        if sets is None:
+            found = [next((i for i, b in enumerate(self.names) if self._contained(b, key)), None)]
+        else:
+            found = [self.exact.get(s) for s in sets]
+            found += [self.within.get(sets[-1])] if sets else []
+            found.append(next((i for i in self.odd if self._contained(self.names[i], key)), None))
+        first = min((i for i in found if i is not None), default=None)
+        return self._open(key) if first is None else self.names[first]
 
 
 def _find(cards: list[dict], role: str, req: str | None) -> dict | None:
@@ -50,61 +100,121 @@ def _find(cards: list[dict], role: str, req: str | None) -> dict | None:
         return hit
     fits = [c for c in cards if not c["req"] or not req or c["req"] == req]
     if not role:
-        return max(fits, key=lambda c: c["last"], default=None)
+        return max(fits, key=lambda c: -1 << 63 if c["last"] is None else c["last"], default=None)
     tests = [lambda c: c["role_key"] == role, lambda c: c["role_key"] and _alike(c["role_key"], role), lambda c: not c["role_key"]]
     return next((c for test in tests for c in fits if test(c)), None)
 
 
-def _resolve(mails: pd.DataFrame, cards: pd.DataFrame) -> pd.DataFrame:
-    own, rows = [], []
-    for c in cards.sort_values(["first_email_at", "id"]).to_dict("records"):
-        req = (c["dedup_key"] or "").split("::")
-        own.append({"id": c["id"], "new": False, "company": c["company"], "company_key": c["company_key"], "role": c["role"], "role_key": c["role_key"] or "", "req": (req[2] if len(req) > 2 else "") or None, "stage": c["stage"], "first": c["first_email_at"], "last": c["last_email_at"], "locked": bool(c["locked"])})
-    touched: dict[str, dict] = {}
-    for m in mails.sort_values(["email_at", "message_id"]).to_dict("records"):
-        key, role, req = m["bucket"], m["role_key"] or "", m["req"] or None
-        card = _find(own, role, req)
-        if card is None:
-            name = hashlib.sha256(f"{m['user_id']}|{m['message_id']}".encode()).hexdigest()
-            card = {"id": name, "new": True, "company": m["company"], "company_key": key, "role": m["role"], "role_key": role, "req": req, "stage": m["stage"], "first": m["email_at"], "last": m["email_at"], "locked": False}
-            own.append(card)
-        else:
-            if not card["locked"]:
-                card["stage"] = folded(card["stage"], m["stage"], m["email_at"] > card["last"])
-            card["first"], card["last"] = min(card["first"], m["email_at"]), max(card["last"], m["email_at"])
-            if not card["role_key"] and role:
-                card["role"], card["role_key"] = m["role"], role
-            card["req"] = card["req"] or req
-        touched[m["message_id"]] = card
-    for message, c in touched.items():
-        rows.append((mails.user_id.iloc[0], message, c["id"], c["new"], c["company"], c["company_key"], c["role"], c["role_key"], c["req"], c["stage"], c["first"], c["last"], c["locked"]))
-    return pd.DataFrame(rows, columns=[x.split()[0] for x in RESOLVED.split(", ")])
+def assign(cards: list[dict], user_id: int, bucket: str, message_id: str, at: int, company: str, role: str | None, role_key: str | None, req: str | None, stage: str) -> dict:
+    """The card of the next mail, updated by it; a new one is added to ``cards``. A mail without a time changes no time and is never newer."""
+    role_key, req = role_key or "", req or None
+    card = _find(cards, role_key, req)
+    if card is None:
+        name = hashlib.sha256(f"{user_id}|{message_id}".encode()).hexdigest()
+        card = {"id": name, "new": True, "company": company, "role": role, "role_key": role_key, "req": req, "stage": stage, "first": at, "last": at, "locked": False}
+        cards.append(card)
+        return card
+    if not card["locked"]:
+        card["stage"] = folded(card["stage"], stage, at is not None and (card["last"] is None or at > card["last"]))
+    if at is not None:
+        card["first"] = at if card["first"] is None else min(card["first"], at)
+        card["last"] = at if card["last"] is None else max(card["last"], at)
+    if not card["role_key"] and role_key:
+        card["role"], card["role_key"] = role, role_key
+    card["req"] = card["req"] or req
+    return card
+
+
+def resolved_row(user_id: int, message_id: str, bucket: str, c: dict) -> tuple:
+    return (user_id, message_id, c["id"], c["new"], c["company"], bucket, c["role"], c["role_key"], c["req"], c["stage"], c["first"], c["last"], c["locked"])
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    for b in batches:
+        yield from zip(*(c.to_pylist() for c in b.columns))
+
+
+def _batches(rows: Iterable[tuple], names: list[str], kinds: list[pa.DataType], size: int = 8192) -> Iterator[pa.RecordBatch]:
+    some: list[tuple] = []
+    for r in rows:
+        some.append(r)
+        if len(some) == size:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*some), kinds)], names=names)
+            some = []
+    if some:
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*some), kinds)], names=names)
+
+
+def micros(c) -> Column:
+    """Microseconds of a time, with or without a zone (the session's)."""
+    return F.unix_micros((F.col(c) if isinstance(c, str) else c).cast("timestamp"))
+
+
+_KINDS = {"long": pa.int64(), "string": pa.string(), "boolean": pa.bool_()}
+_RAW_KINDS = [_KINDS[x.split()[1]] for x in RAW.split(", ")]
+
+
+def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows ``user_id, company_key, stored`` in order -> the bucket of each key. Stored keys are buckets of their own."""
+
+    def of():
+        for user, rows in groupby(_rows(batches), key=lambda r: r[0]):
+            buckets = Buckets()
+            for _, key, stored in rows:
+                yield user, key, buckets._open(key) if stored else buckets.of(key)
+
+    return _batches(of(), ["user_id", "company_key", "bucket"], [pa.int64(), pa.string(), pa.string()])
+
+
+def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of COLUMNS in order, a company's stored cards before its mails -> RAW. Holds one company of one user."""
+
+    def of():
+        for (user, bucket), rows in groupby(_rows(batches), key=lambda r: r[:2]):
+            cards, taken = [], {}
+            for _, _, stored, at, name, company, role, role_key, req, stage, last, locked in rows:
+                if stored:
+                    cards.append({"id": name, "new": False, "company": company, "role": role, "role_key": role_key or "", "req": req or None, "stage": stage, "first": at, "last": last, "locked": bool(locked)})
+                else:
+                    taken[name] = assign(cards, user, bucket, name, at, company, role, role_key, req, stage)
+            for message, card in taken.items():
+                yield resolved_row(user, message, bucket, card)
+
+    return _batches(of(), NAMES, _RAW_KINDS)
+
+
+def with_keys(classified: DataFrame) -> DataFrame:
+    """What the resolver needs of a mail: keys and short strings."""
+    return classified.select("user_id", "message_id", "email_at", "company", keys.norm_company(F.col("company")).alias("company_key"), "role", keys.norm_role(F.col("role")).alias("role_key"), "req", "stage")
 
 
 def resolve_cards(classified: DataFrame, existing: DataFrame) -> DataFrame:
     """Each attributable mail with its card and the card's state after all mails (columns as RESOLVED).
 
     Company keys are settled first: a key's bucket depends on the order of first appearance only, so each user's
-    distinct keys are enough. Cards never cross buckets: a group is a user's mails of one company. Only keys and short
-    strings reach the helper. Mails are taken oldest first, ties by message id; existing cards by first mail and id.
+    distinct keys are enough. Cards never cross buckets: mails and stored cards of a user's company are sorted into one
+    run of a partition. Only keys and short strings reach the tasks. Mails are taken oldest first, ties by message id;
+    existing cards by first mail and id; a time that is null comes last.
     """
-    mails = classified.select("user_id", "message_id", "email_at", "company", keys.norm_company(F.col("company")).alias("company_key"), "role", keys.norm_role(F.col("role")).alias("role_key"), "req", "stage").dropDuplicates(["user_id", "message_id"])
-    cards = existing.select("id", "user_id", "company", "company_key", "role", "role_key", "stage", "locked", "dedup_key", "first_email_at", "last_email_at")
-
-    first = F.min(F.struct(F.col("email_at").alias("first_at"), F.col("message_id").alias("first_id"))).alias("m")
-    seen = mails.groupBy("user_id", "company_key").agg(first).select("user_id", "company_key", "m.*", F.lit(False).alias("stored"))
-    kept = cards.groupBy("user_id", "company_key").agg(F.min(F.struct(F.col("first_email_at").alias("first_at"), F.col("id").alias("first_id"))).alias("m")).select("user_id", "company_key", "m.*", F.lit(True).alias("stored"))
-    known = seen.union(kept).groupBy("user_id", "company_key").agg(F.min(F.struct(~F.col("stored"), "first_at", "first_id")).alias("m")).select("user_id", "company_key", F.col("m.first_at").alias("first_at"), F.col("m.first_id").alias("first_id"), (~F.col("m.col1")).alias("stored"))
-    settled = known.groupBy("user_id").applyInPandas(_settled, "user_id long, company_key string, bucket string")
-    mails = mails.join(settled, ["user_id", "company_key"])
-    cards = cards.withColumn("bucket", F.col("company_key"))
-
-    def run(m: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        m = m.astype(object).where(m.notna(), None)
-        c = c.astype(object).where(c.notna(), None)
-        return _resolve(m, c) if len(m) else pd.DataFrame(columns=[x.split()[0] for x in RESOLVED.split(", ")])
-
-    return mails.groupBy("user_id", "bucket").cogroup(cards.groupBy("user_id", "bucket")).applyInPandas(run, RESOLVED)
+    mails = with_keys(classified).dropDuplicates(["user_id", "message_id"])
+    cards = existing.select("id", "user_id", "company", "company_key", "role", "role_key", "stage", "locked", F.get(F.split("dedup_key", "::"), F.lit(2)).alias("req"), "first_email_at", "last_email_at")
+
+    first = lambda at, name: F.min(F.struct(F.coalesce(micros(at), F.lit(2**62)).alias("at"), F.col(name).alias("id"))).alias("m")
+    seen = mails.groupBy("user_id", "company_key").agg(first("email_at", "message_id")).select("user_id", "company_key", "m.*", F.lit(False).alias("stored"))
+    kept = cards.groupBy("user_id", "company_key").agg(first("first_email_at", "id")).select("user_id", "company_key", "m.*", F.lit(True).alias("stored"))
+    known = seen.union(kept).groupBy("user_id", "company_key").agg(F.min(F.struct((~F.col("stored")).alias("late"), "at", "id")).alias("m")).select("user_id", "company_key", "m.*")
+    in_order = known.repartition("user_id").sortWithinPartitions("user_id", "late", "at", "id").select("user_id", "company_key", (~F.col("late")).alias("stored"))
+    settled = in_order.mapInArrow(_settle, "user_id long, company_key string, bucket string")
+
+    none = lambda kind: F.lit(None).cast(kind)
+    told = mails.join(settled, ["user_id", "company_key"]).select("user_id", "bucket", F.lit(False).alias("stored"), micros("email_at").alias("at"), F.col("message_id").alias("id"), "company", "role", "role_key", "req", "stage", none("long").alias("last"), none("boolean").alias("locked"))
+    had = cards.select("user_id", F.col("company_key").alias("bucket"), F.lit(True).alias("stored"), micros("first_email_at").alias("at"), "id", "company", "role", "role_key", "req", "stage", micros("last_email_at").alias("last"), "locked")
+    runs = had.union(told).repartition("user_id", "bucket").sortWithinPartitions("user_id", "bucket", F.desc("stored"), F.asc_nulls_last("at"), "id")
+    return with_times(runs.mapInArrow(_resolve, RAW))
+
+
+def with_times(raw: DataFrame) -> DataFrame:
+    return raw.withColumns({c: F.timestamp_micros(c) for c in ("first_email_at", "last_email_at")})
 
 
 def cards_of(resolved: DataFrame) -> DataFrame:
