@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,3 +18,17 @@ def step(df: DataFrame, new: dict[str, Column]) -> DataFrame:
     """
     kept = [c for c in df.columns if c not in new]
     return df.select(*kept, F.inline(F.array(F.struct(*[c.alias(n) for n, c in new.items()]))))
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` worked out once, in the shared folder named by ``spark.checkpoint.dir``; a local session without one gets a temporary folder."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if shared is None:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+            shared = tempfile.mkdtemp(prefix="spark-checkpoints-")
+            atexit.register(shutil.rmtree, shared, ignore_errors=True)
+        spark.sparkContext.setCheckpointDir(shared)
+    return df.checkpoint()

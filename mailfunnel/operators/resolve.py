@@ -19,8 +19,8 @@ from ..functions.lexicon import PROGRESSION
 
 RESOLVED = "user_id long, message_id string, card string, is_new boolean, company string, company_key string, role string, role_key string, req string, stage string, first_email_at timestamp, last_email_at timestamp, locked boolean"
 NAMES = [x.split()[0] for x in RESOLVED.split(", ")]
-#: The same with times in microseconds, as tasks see them.
-RAW = RESOLVED.replace("timestamp", "long")
+#: The same with times in microseconds, as tasks see them, and the mail's own stage and time.
+RAW = RESOLVED.replace("timestamp", "long") + ", mail_stage string, mail_at long"
 
 
 def _alike(a: str, b: str) -> bool:
@@ -125,8 +125,8 @@ def assign(cards: list[dict], user_id: int, bucket: str, message_id: str, at: in
     return card
 
 
-def resolved_row(user_id: int, message_id: str, bucket: str, c: dict) -> tuple:
-    return (user_id, message_id, c["id"], c["new"], c["company"], bucket, c["role"], c["role_key"], c["req"], c["stage"], c["first"], c["last"], c["locked"])
+def resolved_row(user_id: int, message_id: str, bucket: str, c: dict, stage: str, at: int | None) -> tuple:
+    return (user_id, message_id, c["id"], c["new"], c["company"], bucket, c["role"], c["role_key"], c["req"], c["stage"], c["first"], c["last"], c["locked"], stage, at)
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
@@ -176,11 +176,11 @@ def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if stored:
                     cards.append({"id": name, "new": False, "company": company, "role": role, "role_key": role_key or "", "req": req or None, "stage": stage, "first": at, "last": last, "locked": bool(locked)})
                 else:
-                    taken[name] = assign(cards, user, bucket, name, at, company, role, role_key, req, stage)
-            for message, card in taken.items():
-                yield resolved_row(user, message, bucket, card)
+                    taken[name] = assign(cards, user, bucket, name, at, company, role, role_key, req, stage), stage, at
+            for message, (card, stage, at) in taken.items():
+                yield resolved_row(user, message, bucket, card, stage, at)
 
-    return _batches(of(), NAMES, _RAW_KINDS)
+    return _batches(of(), [*NAMES, "mail_stage", "mail_at"], _RAW_KINDS)
 
 
 def with_keys(classified: DataFrame) -> DataFrame:
@@ -189,7 +189,12 @@ def with_keys(classified: DataFrame) -> DataFrame:
 
 
 def resolve_cards(classified: DataFrame, existing: DataFrame) -> DataFrame:
-    """Each attributable mail with its card and the card's state after all mails (columns as RESOLVED).
+    """``resolve_mail`` without the mail's own columns (columns as RESOLVED)."""
+    return resolve_mail(classified, existing).select(*NAMES)
+
+
+def resolve_mail(classified: DataFrame, existing: DataFrame) -> DataFrame:
+    """Each attributable mail with its card and the card's state after all mails (columns as RESOLVED), and ``mail_stage`` and ``mail_at``, the mail's own.
 
     Company keys are settled first: a key's bucket depends on the order of first appearance only, so each user's
     distinct keys are enough. Cards never cross buckets: mails and stored cards of a user's company are sorted into one
@@ -214,7 +219,7 @@ def resolve_cards(classified: DataFrame, existing: DataFrame) -> DataFrame:
 
 
 def with_times(raw: DataFrame) -> DataFrame:
-    return raw.withColumns({c: F.timestamp_micros(c) for c in ("first_email_at", "last_email_at")})
+    return raw.withColumns({c: F.timestamp_micros(c) for c in ("first_email_at", "last_email_at", "mail_at") if c in raw.columns})
 
 
 def cards_of(resolved: DataFrame) -> DataFrame:

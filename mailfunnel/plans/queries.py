@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import decode, keys, stages
 from ..functions import lexicon as lx
-from ..operators import classify, filters, reports, resolve, scoring, similarity, verdicts
+from ..operators import classify, filters, reports, resolve, scoring, similarity, sync, verdicts
 from ..operators import stages as folding
 from ..sources import tables
 from ..sources.mail import parse_messages
@@ -266,15 +266,20 @@ def _place(test: str) -> str:
 
 
 _STEP = f"CASE WHEN c.stage = 'rejected' AND s.stage <> 'rejected' AND s.email_at > c.last THEN s.stage WHEN {_rank('s.stage')} > {_rank('c.stage')} THEN s.stage ELSE c.stage END"
-#: R1 as a replay, mail by mail of a user and company: the list of cards is the state.
-REPLAY = with_sql("LAST").replace("WITH base", "WITH RECURSIVE base", 1).replace(" LAST", f""", m AS (SELECT user_id, company, message_id, email_at, role, req, stage, row_number() OVER (PARTITION BY user_id, company ORDER BY email_at, message_id) AS n FROM want WHERE relevant),
+def replayed(last: str, source: str = "(SELECT * FROM want WHERE relevant)", before: str = "") -> str:
+    """R1 as a replay of ``source``, mail by mail of a user and company: the list of cards is the state. ``last`` reads ``told``: a row a mail."""
+    return with_sql("LAST").replace("WITH base", "WITH RECURSIVE base", 1).replace(" LAST", f"""{before}, m AS (SELECT user_id, company, message_id, email_at, role, req, stage, row_number() OVER (PARTITION BY user_id, company ORDER BY email_at, message_id) AS n FROM {source}),
 replay AS (SELECT DISTINCT user_id, company, CAST(0 AS BIGINT) AS n, CAST([] AS STRUCT(id VARCHAR, role VARCHAR, req VARCHAR, stage VARCHAR, "first" TIMESTAMP, "last" TIMESTAMP, mails VARCHAR[])[]) AS cards FROM m
 UNION ALL SELECT user_id, company, n, CASE WHEN i IS NULL THEN list_append(cards, {{'id': message_id, 'role': role, 'req': req, 'stage': stage, 'first': email_at, 'last': email_at, 'mails': [message_id]}})
   ELSE list_transform(cards, lambda c, k: CASE WHEN k = i THEN {{'id': c.id, 'role': coalesce(c.role, s.role), 'req': coalesce(c.req, s.req), 'stage': {_STEP}, 'first': least(c.first, s.email_at), 'last': greatest(c.last, s.email_at), 'mails': list_append(c.mails, s.message_id)}} ELSE c END) END
 FROM (SELECT s.*, coalesce({_place('coalesce(c.req = s.req, false)')}, CASE WHEN role IS NULL THEN {_place(_fits('c', 'c.last = s.latest'))} ELSE coalesce({_place(_fits('c', 'c.role = s.role'))}, {_place(_fits('c', 'c.role IS NULL'))}) END) AS i
 FROM (SELECT s.*, list_max(list_transform(list_filter(cards, lambda c: {_fits('c')}), lambda c: c.last)) AS latest FROM (SELECT m.*, r.cards FROM replay r JOIN m ON m.user_id = r.user_id AND m.company = r.company AND m.n = r.n + 1) s) s) s),
-cards AS (SELECT user_id, company, unnest(cards) AS c FROM (SELECT *, row_number() OVER (PARTITION BY user_id, company ORDER BY n DESC) AS back FROM replay) WHERE back = 1)
-SELECT user_id, unnest(c.mails) AS message_id, sha256(user_id || '|' || c.id) AS card, true AS is_new, company, lower(company) AS company_key, c.role AS role, split_part({_key('company', 'c.role', 'c.req')}, '::', 2) AS role_key, c.req AS req, c.stage AS stage, c.first AS first_email_at, c.last AS last_email_at, false AS locked FROM cards""", 1)
+cards AS (SELECT user_id, company, unnest(cards) AS c FROM (SELECT *, row_number() OVER (PARTITION BY user_id, company ORDER BY n DESC) AS back FROM replay) WHERE back = 1),
+told AS (SELECT user_id, unnest(c.mails) AS message_id, sha256(user_id || '|' || c.id) AS card, true AS is_new, company, lower(company) AS company_key, c.role AS role, split_part({_key('company', 'c.role', 'c.req')}, '::', 2) AS role_key, c.req AS req, c.stage AS stage, c.first AS first_email_at, c.last AS last_email_at, false AS locked FROM cards)
+{last}""", 1)
+
+
+REPLAY = replayed("SELECT * FROM told")
 
 
 @query(REPLAY)
@@ -283,10 +288,42 @@ def q_resolve_cards(spark, d):
     return resolve.resolve_cards(templated(spark, d), _empty_cards(spark))
 
 
-@query(with_sql("SELECT w.user_id, count(*) AS scanned, count(*) FILTER (relevant) AS new_events FROM want w GROUP BY w.user_id"))
+@query(replayed("SELECT w.user_id, count(*) AS scanned, count(*) FILTER (relevant) AS new_events, (SELECT count(DISTINCT card) FROM told t WHERE t.user_id = w.user_id) AS applications_touched FROM want w GROUP BY w.user_id"))
 def q_sync_summary(spark, d):
-    """A10 with R1; the cards touched are R1's and are tested there."""
-    return reports.sync_summary(testmail(spark, d), resolve.resolve_cards(templated(spark, d), _empty_cards(spark))).select("user_id", "scanned", "new_events")
+    """A10 with R1, all three counts."""
+    return reports.sync_summary(testmail(spark, d), resolve.resolve_cards(templated(spark, d), _empty_cards(spark)))
+
+
+#: W1 over the test mails: what is listed for each customer, and what of it is new.
+JOB = f""", st AS ({STATE}),
+listed AS (SELECT * FROM (SELECT want.*, row_number() OVER (PARTITION BY want.user_id ORDER BY email_at DESC, message_id DESC) AS newest FROM want LEFT JOIN st ON st.user_id = want.user_id
+  WHERE want.user_id IN (SELECT c_custkey FROM customer) AND NOT noise AND event_id % 13 <> 0 AND regexp_matches(lower(subject || ' ' || body), '{PHRASE}') AND (st.user_id IS NULL OR floor(epoch(email_at)) > floor(epoch(last_synced_at)) - 172800)) WHERE newest <= 25),
+todo AS (SELECT * FROM listed WHERE event_id % 3 <> 0 AND NOT (user_id % 2 = 0 AND company = 'Acme Foods'))"""
+
+
+def _synced(spark, d) -> dict[str, DataFrame]:
+    """The job for all customers: a third of the mails is stored, two thirds of the users were synced before, half of them have an address that some mails come from."""
+    mail = testmail(spark, d)
+    n = F.col("message_id").cast("long")
+    stored = mail.where(n % 3 == 0).select("user_id", "message_id", F.lit("old").alias("application_id"), F.lit("applied").alias("stage"), F.col("email_at").cast("timestamp").alias("email_at"), *[F.lit("").alias(c) for c in ("subject", "sender", "snippet", "body")])
+    state = mail.where("user_id % 3 <> 0").groupBy("user_id").agg((F.max("email_at") - F.expr("INTERVAL 3 DAYS")).cast("timestamp").alias("last_synced_at")).withColumn("status", F.lit("ok"))
+    accounts = spark.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").alias("user_id"), F.when(F.col("c_custkey") % 2 == 0, "Careers@AcmeFoods.com").alias("email"))
+    return sync.sync_users(mail, accounts, {"applications": _empty_cards(spark), "events": stored, "sync_state": state}, "2026-02-01 00:00:00", 25)
+
+
+@query(replayed("""SELECT t.message_id, t.card AS application_id, todo.stage, todo.subject, todo.from_name || ' <' || todo.from_email || '>' AS sender, substr(todo.body, 1, 200) AS snippet, md5(todo.body) AS body
+FROM told t JOIN todo ON todo.message_id = t.message_id""", "todo", JOB))
+def q_sync_events(spark, d):
+    """W1 with F1-F4, J1, J2, C19, F8, R1, X11 and S3: the events that the job adds, with sender, subject, snippet and body."""
+    new = _synced(spark, d)["events"].where("application_id <> 'old'")
+    return new.select("message_id", "application_id", "stage", "subject", "sender", "snippet", F.md5(F.col("body").cast("binary")).alias("body"))
+
+
+@query(replayed("""SELECT c_custkey AS user_id, (SELECT count(*) FROM listed l WHERE l.user_id = c_custkey) AS scanned, (SELECT count(*) FROM todo x WHERE x.user_id = c_custkey) AS new_events,
+(SELECT count(DISTINCT card) FROM told t WHERE t.user_id = c_custkey) AS applications_touched FROM customer""", "todo", JOB))
+def q_sync_job(spark, d):
+    """W1's summary (A10), a row for every customer."""
+    return _synced(spark, d)["summary"]
 
 
 @query(f"SELECT id, count(*) OVER (PARTITION BY application_id) AS n, row_number() OVER (PARTITION BY application_id ORDER BY email_at DESC, id DESC) AS place FROM (SELECT *, message_id AS id FROM ({EVENT_SQL}))")

@@ -2,17 +2,13 @@
 
 from __future__ import annotations
 
-import os
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from ..operators.classify import attributable, classify_mail
-from ..operators.filters import drop_seen
-from ..operators.resolve import cards_of, resolve_cards
-from ..sources.tables import insert_events, upsert_applications, upsert_sync_state
-
-EVENTS = "user_id long, message_id string, application_id string, stage string, email_at timestamp"
+from ..operators.sync import sync_batch
+from ..sources.store import Tables
+from ..sources.tables import upsert_sync_state
+from .state import once_or_late
 
 
 def stream_classify(mail_stream: DataFrame) -> DataFrame:
@@ -25,50 +21,21 @@ def stream_dedupe(mail_stream: DataFrame, overlap: str = "2 days") -> DataFrame:
     return mail_stream.withWatermark("email_at", overlap).dropDuplicatesWithinWatermark(["user_id", "message_id"])
 
 
-def sync_batch(mail: DataFrame, apps: DataFrame, events: DataFrame, classified: bool = False) -> tuple[DataFrame, DataFrame]:
-    """W1 for one batch: unseen mails, classified and attributable, resolved against stored cards -> (cards, events) after it."""
-    unseen = drop_seen(mail, events)
-    good = unseen if classified else attributable(classify_mail(unseen))
-    resolved = resolve_cards(good, apps)
-    # the stage of an event is its mail's own, not its card's
-    new = resolved.select("user_id", "message_id", F.col("card").alias("application_id")).join(good.select("user_id", "message_id", "stage", "email_at").dropDuplicates(["user_id", "message_id"]), ["user_id", "message_id"])
-    return upsert_applications(apps, cards_of(resolved)), insert_events(events, new.select(*[c.split()[0] for c in EVENTS.split(", ")]))
-
-
-class Tables:
-    """Versioned folders of cards and events under one path; a batch writes the next version and then names it current.
+def stream_cards(mail_stream: DataFrame, tables: Tables, checkpoint: str, now, classified: bool = False):
+    """Each micro-batch runs the batch job against the stored tables of its users. Late mail (T4) is resolved like any other.
 
-    A batch that ran before is skipped by its id, so a restarted stream leaves the tables as they were. The pointer is a one-row table.
+    Mails of the last days come once by state; only older ones (``late``) are looked up in the stored events. A batch that stands in the
+    tables already is skipped by its id, one that was cut off is completed.
     """
 
-    def __init__(self, spark: SparkSession, path: str, apps_schema: str):
-        self.spark, self.path, self.schemas = spark, path, {"applications": apps_schema, "events": EVENTS, "sync_state": "user_id long, last_synced_at timestamp, status string"}
-
-    def _versions(self) -> int:
-        pointer = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/done")
-        if not pointer.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(pointer):
-            return -1
-        return self.spark.read.schema("batch long").parquet(f"{self.path}/done").agg(F.coalesce(F.max("batch"), F.lit(-1))).first()[0]
-
-    def current(self) -> dict[str, DataFrame]:
-        v = self._versions()
-        return {n: self.spark.read.schema(s).parquet(os.path.join(self.path, f"v{v}", n)) if v >= 0 else self.spark.createDataFrame([], s) for n, s in self.schemas.items()}
-
-    def commit(self, batch: int, tables: dict[str, DataFrame]) -> None:
-        for n, df in tables.items():
-            df.write.mode("overwrite").parquet(os.path.join(self.path, f"v{batch}", n))
-        self.spark.createDataFrame([(batch,)], "batch long").coalesce(1).write.mode("append").parquet(f"{self.path}/done")
-
-
-def stream_cards(mail_stream: DataFrame, tables: Tables, checkpoint: str, now, classified: bool = False):
-    """Each micro-batch runs the batch job against the stored tables. Late mail (T4) is resolved like any other."""
-
     def one(batch: DataFrame, batch_id: int) -> None:
-        if batch_id <= tables._versions():
+        if tables.recover(batch_id):
+            return
+        slots = tables.slots_of(batch)
+        if not slots:
             return
-        was = tables.current()
+        was = tables.current(slots)
         apps, events = sync_batch(batch, was["applications"], was["events"], classified)
-        state = upsert_sync_state(was["sync_state"], batch, now)
-        tables.commit(batch_id, {"applications": apps, "events": events, "sync_state": state})
+        tables.commit(batch_id, {"applications": apps, "events": events, "sync_state": upsert_sync_state(was["sync_state"], batch, now)}, slots)
 
-    return mail_stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint)
+    return once_or_late(mail_stream).writeStream.foreachBatch(one).option("checkpointLocation", checkpoint)

@@ -74,9 +74,11 @@ class KeepCards(StatefulProcessor):
         cards = [dict(zip(_CARD, c)) | {"new": False} for c in self.cards.get()] if self.cards.exists() else []
         taken = {}
         for _, message, at, company, _, role, role_key, req, stage, _ in _in_order(rows, [x.split()[0] for x in BUCKETED.split(", ")]):
-            taken[message] = resolve.assign(cards, user, bucket, message, None if at is None else int(at), company, role, role_key, req, stage)
+            at = None if at is None else int(at)
+            taken[message] = resolve.assign(cards, user, bucket, message, at, company, role, role_key, req, stage), stage, at
         self.cards.put([tuple(c[n] for n in _CARD) for c in cards])
-        yield pd.DataFrame([resolve.resolved_row(user, m, bucket, c) for m, c in taken.items()], columns=resolve.NAMES).astype({"first_email_at": "Int64", "last_email_at": "Int64"})
+        out = pd.DataFrame([resolve.resolved_row(user, m, bucket, *found) for m, found in taken.items()], columns=[*resolve.NAMES, "mail_stage", "mail_at"])
+        yield out.astype({"first_email_at": "Int64", "last_email_at": "Int64", "mail_at": "Int64"})
 
     def close(self) -> None:
         pass
@@ -105,7 +107,7 @@ class FlagLate(StatefulProcessor):
                 late.append(None)
             else:
                 self.seen.updateValue((message,), (at,))
-                late.append(False)
+                late.append(newest is None)  # the tables may be older than this state
         top = all_rows["at"].max()
         if not pd.isna(top) and (newest is None or top > newest):
             self.newest.update((int(top),))
@@ -122,7 +124,7 @@ class FlagLate(StatefulProcessor):
 def once_or_late(mail_stream: DataFrame, overlap_seconds: int = 2 * 86400) -> DataFrame:
     """T2 with T4: ``mail_stream`` with ``late``. A mail within the overlap comes once, by state; an older one comes flagged and may be a repeat, so it must meet the stored keys. None is dropped by its age.
 
-    A mail without a time counts as late.
+    A mail without a time counts as late, and so do all of a user's first micro-batch, for the tables may be older than the state.
     """
     configured(mail_stream.sparkSession)
     columns = [*mail_stream.columns, "at"]
@@ -133,7 +135,7 @@ def once_or_late(mail_stream: DataFrame, overlap_seconds: int = 2 * 86400) -> Da
 
 
 def cards_by_state(classified_stream: DataFrame) -> DataFrame:
-    """Attributable mails of a stream with their cards (columns as RESOLVED), cards kept as state by user and company.
+    """Attributable mails of a stream with their cards (columns as of ``resolve_mail``), cards kept as state by user and company.
 
     A mail must come once (``once_or_late``). Micro-batches are taken as they come: a late mail (T4) widens its card's times and may
     raise its stage, but never reopens it. The rows of a card's last mail hold its newest state.
