@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import lexicon as lx
-from .stages import REQ_MARKED
+from .stages import ID_WORDS
 
 # A capitalised name of up to 41 characters: words that start with a capital or digit, with small joining words inside.
 NAME = r"([A-Z0-9](?:[\w&'+-]|\.(?=\w))*(?: (?:(?:of|and|the|for|de|&) )?[A-Z0-9](?:[\w&'+-]|\.(?=\w))*){0,4})"
@@ -105,8 +105,7 @@ def extract_company(subject: Column, body: Column, from_name: Column, from_email
 
 def sanitize_role(c: Column) -> Column:
     """A title without ids, seasons, years and work modes, or null if it reads like prose or holds no title noun."""
-    for p in REQ_MARKED:
-        c = F.regexp_replace(c, p, " ")
+    c = F.regexp_replace(c, ID_WORDS, " ")
     c = F.regexp_replace(c, r"(?i)\b(?:summer|fall|autumn|winter|spring)?\s*20\d\d\b|\b(?:summer|fall|autumn|winter|spring)\b|\b(?:remote|hybrid|on-?site|full[- ]time|part[- ]time)\b|\(\s*\)", " ")
     c = _squeeze(F.regexp_replace(_squeeze(c), r"^[^A-Za-z0-9]+|[^A-Za-z0-9)+#]+\z", ""))
     c = F.regexp_replace(c, r"(?i)^(?:(?:at|as|of|in|on|to|by|for|with|from|the|a|an|your|our|this|that|and|or)\b\s*|re:\s*)+", "")
@@ -134,7 +133,6 @@ def role_is_just_company(role_key: Column, company_key: Column) -> Column:
 def extract_role(subject: Column, body: Column) -> Column:
     """Pattern by pattern, the first plausible title over all start positions (a bad match is scanned again one character on)."""
     text = F.concat_ws("\n", subject, F.substring(body, 1, 2000))
-    for p in (*REQ_MARKED, r"\b20\d\d\b"):
-        text = F.regexp_replace(text, p, " ")
+    text = F.regexp_replace(text, ID_WORDS, " ")
     found = [F.get(F.filter(F.transform(F.regexp_extract_all(text, F.lit(f"(?={p})"), F.lit(1)), sanitize_role), lambda r: r.isNotNull()), F.lit(0)) for p in ROLE_PHRASES]
     return F.coalesce(*found)

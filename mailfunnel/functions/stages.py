@@ -9,6 +9,11 @@ CUT = r"(?<=[.!?\n])\s+|,\s+(?=(?i:but|however|although|though)\b)|;\s*"
 HEDGE = r"(?i)\b(?:if|unless|until|without|in case|may be|might be|whether|tips|guide|should you be|we will (?:notify|let you know)|you(?:'ll| will) (?:hear|be notified)|will (?:only )?be (?:notified|contacted|informed))\b"
 INSTRUCTION = r"(?i)\b(?:check|view|track|visit|log ?in|sign in)\b.*\b(?:status|portal|dashboard|account|page|here)\b|\bhelp (?:page|center)\b"
 
+def _near(first: str, then: str, gap: int) -> str:
+    """A pattern: the first words, then within a few characters of the same sentence the others."""
+    return rf"\b(?:{first})\b[^.!?]{{0,{gap}}}\b(?:{then})\b"
+
+
 PATTERNS: dict[str, list[str]] = {
     "rejected": [
         r"\bregret\b.*\b(?:inform|tell|let you know|advise)", r"\bnot\b[^.]{0,40}\b(?:mov(?:e|ing)|go(?:ing)?|proceed(?:ing)?|continu(?:e|ing))\b[^.]{0,20}\b(?:forward|ahead|with your)", r"\b(?:decided|chosen|elected|opted)\b[^.]{0,40}\b(?:other|another|different)\b[^.]{0,20}\b(?:candidate|applicant|direction)",
@@ -16,13 +21,20 @@ PATTERNS: dict[str, list[str]] = {
         r"\b(?:positions?|roles?|openings?|requisition)\b[^.]{0,30}\b(?:has been|have been|have now been|was|were|are|is now|is)\b[^.]{0,10}\b(?:filled|closed|cancell?ed|on hold)", r"\b(?:not|isn't|aren't|wasn't) (?:quite )?(?:the|a) (?:right|good|best|strong) (?:fit|match)\b", r"\b(?:candidates|applicants)\b[^.]{0,40}\b(?:more closely|better|closer)\b[^.]{0,20}\b(?:match|align|fit|meet)", r"\bdo(?:es)? not (?:meet|match)\b[^.]{0,30}\b(?:requirement|qualification|criteria)",
         r"\bunable to (?:offer|move|proceed|advance)\b[^.]{0,12}\byou\b", r"\bdifferent direction\b", r"\bwon't be (?:moving|proceeding|able to offer you)", r"\bdeclin(?:e|ed) to (?:move|proceed)\b", r"\bmore (?:competitive|qualified) (?:candidates|applicants)",
     ],
-    "offer": [r"\bpleased to (?:offer|extend)", r"\bextend(?:ing)?\b[^.]{0,20}\boffer\b", r"\boffer of employment\b", r"\boffer (?:letter|details|package)\b", r"\bformal offer\b", r"\bcongratulations\b[^.!]{0,60}\boffer\b", r"\bsign\b[^.]{0,20}\boffer\b", r"\b(?:excited|delighted|thrilled|happy) to offer you\b", r"\baccept (?:the|this|our|your) offer\b"],
+    "offer": [
+        _near("(?:pleased|delighted|excited|thrilled|happy|proud|glad) to", "offer|extend", 12), _near("extend(?:ed|ing|s)?|mak(?:e|ing)", "an? (?:[a-z]+ )?offer|(?:the|this|our|your) offer|offers?", 12), _near("offers?", "employment|letters?|package|terms|details", 6),
+        _near("formal|official|written|verbal|conditional|job|employment", "offer", 2), _near("congratulations|congrats", "offer", 60), _near("sign|countersign|accept", "(?:the|this|our|your) (?:[a-z]+ )?offer|offer letter", 15),
+    ],
     "interview": [
         r"\binvit(?:e|ed|ing|ation)\b[^.]{0,40}\b(?:interview|screen)", r"\binterview\b[^.]{0,20}\b(?:invitation|invite|confirmation|confirmed|scheduled)", r"\b(?:schedul(?:e|ed|ing)|book(?:ed)?|arranged?|set up)\b[^.]{0,40}\binterview", r"\binterview (?:availability|slot|time)", r"\b(?:schedule|book|set up)\b[^.]{0,30}\bcall\b[^.]{0,60}\b(?:recruit|hiring|role|position|team)", r"\b(?:phone|technical|on-?site|video|virtual|final|panel|recorded|one-way) (?:interview|screen)",
         r"\b(?:calendly|goodtime|savvycal)\b", r"\b(?:share|send|provide|let us know)\b[^.]{0,30}\byour availability\b", r"\bwhat times? work", r"\bare you (?:free|available)\b[^.]{0,40}\b(?:call|chat|talk|meet|discuss)", r"\bnext (?:round|stage)\b[^.]{0,40}\b(?:interview|process)?", r"\b(?:love|like) to (?:talk|chat|speak|connect)\b[^.]{0,60}\b(?:role|background|position|experience)", r"\bspeak with (?:our|a|the) (?:recruiter|hiring manager|team)", r"\binterview with (?:us|our|the)\b",
     ],
     "oa": [r"\bonline assessment\b", r"\b(?:coding|technical|skills?|programming|cognitive) (?:assessment|test)\b", r"\btake-?home\b", r"\bcoding challenge\b", r"\bhiring test\b", r"\b(?:pre-employment|aptitude|personality) (?:test|assessment)", r"\b(?:hackerrank|codesignal|codility|hackerearth|testgorilla|pymetrics)\b", r"\bcomplete\b[^.]{0,40}\bassessment", r"\binvit(?:e|ed|ation)\b[^.]{0,30}\b(?:test|assessment|challenge)\b", r"\bassessment (?:invitation|link|is ready)"],
-    "applied": [r"\bthank(?:s| you)\b[^.]{0,20}\bfor (?:applying|your application|submitting|your interest)", r"\b(?:application|resume|submission)\b[^.]{0,30}\b(?:received|submitted)\b", r"\b(?:received|reviewing|review) your (?:application|resume|submission)", r"\bapplication confirmation\b", r"(?<!no longer )(?<!not )\b(?:under review|being considered)\b", r"\byour application (?:to|for|with|at|has been)\b", r"\bsuccessfully (?:applied|submitted)\b", r"\bwe(?:'ve| have) got your application\b", r"\bappreciate your interest\b"],
+    "applied": [
+        _near("thanks?|thank you|grateful", "appl(?:y|ying|ication)|submi(?:t|tting|ssion)|interest in|your interest", 25), _near("application|resume|cv|submission", "received|submitted|reached us|arrived", 30), _near("received|got|have|reading|reviewing|review", "your (?:application|resume|cv|submission)", 12),
+        _near("application|submission", "confirmation|receipt", 4), _near("your application", "to|for|with|at|has", 1), _near("successfully", "applied|submitted|received", 12), _near("appreciate|value", "your (?:interest|application)", 6),
+        r"\b(?:is|are|now|currently|remains?)(?: (?:now|currently|still|actively|also|at present))? (?:under (?:review|consideration)|being (?:considered|reviewed|looked at))\b",
+    ],
 }
 SORRY = [r"\bunfortunately\b", r"\b(?:after|following) careful (?:review|consideration)"]
 _FLAGS = "(?is)"
@@ -82,29 +94,36 @@ def guard_stage(stage: Column, text: Column) -> Column:
     )
 
 
-def _number(lead: str, shape: str, tail: str = r"(?![A-Za-z0-9])") -> str:
-    """A pattern: an id of that shape right after its lead, neither inside a longer word."""
-    return rf"(?<![A-Za-z0-9]){lead}({shape}){tail}"
+#: Words and signs of a text as far as ids need them: words with inner hyphens, opening brackets, dashes that stand alone.
+ID_TOKENS = r"[A-Za-z0-9]+(?:-[A-Za-z0-9]+)*|\(|(?<=\s)[-\u2013\u2014](?=\s)"
+#: A word with three digits or more, with its label: what a title must not hold.
+ID_WORDS = r"(?:(?i:\b(?:(?:job|requisition|reference) )?(?:id|number|no|ref|requisition)\b)[\s:.#]*)?(?<![\w-])(?=(?:[A-Za-z-]*\d){3})[A-Za-z\d]+(?:-[A-Za-z\d]+)*(?![\w-])"
+TAGS, LABELS, NUMBERED = ("req", "jr", "r"), ("req", "jr", "requisition", "ref", "reference"), ("id", "number", "no", "code")
+POSTS = ("job", "position", "role", "posting", "vacancy", "opening", "application", "requisition", "req", "reference")
 
 
-#: Requisition ids, the surest first: company systems' own prefixes and suffixes, structured codes, labels, then bare numbers with a lead-in.
-REQ_MARKED = [
-    _number(r"(?i:req|jr)[\s-]?", r"\d{4,10}"),
-    _number("R-?", r"\d{4}-\d{2,8}|\d{5,10}"),
-    _number("", r"\d{4,10}", r"\s?BR(?![A-Za-z0-9])"),
-    _number("", r"[A-Z]{1,3}-[A-Z]{2,3}-\d{2,8}"),
-    _number(r"(?i:job id|requisition id|requisition|ref|(?<=\()(?:id|no\.?))[\s:#]+", r"[A-Za-z]?\d{4,14}"),
-]
-REQ_BARE = [
-    _number(r"(?i:position of)\s+", r"\d{5,10}"),
-    _number(r"(?i:position|role|job|application|requisition|req|ref|id|no\.?|of|to)[\s:#-]{0,3}", r"\d{5,9}", r"\s*[-–]\s*(?=[A-Z])"),
-]
+def _judged(tokens: Column, t: Column, i: Column) -> Column:
+    """struct(kind, place, value) of a token that is an id, the surest kind first; null otherwise."""
+    beside = lambda n: F.lower(F.coalesce(F.get(tokens, i + n), F.lit("")))
+    letters, digits = F.lower(F.regexp_replace(t, "[^A-Za-z]", "")), F.regexp_replace(t, "[^0-9]", "")
+    parts, n = F.split(t, "-"), F.length(digits)
+    leads = t.startswith(F.regexp_replace(t, "[^A-Za-z].*", "")) & ~F.regexp_replace(t, "^[A-Za-z]+", "").rlike("[A-Za-z]")
+    tagged = (n >= 5) & ((letters.isin(*TAGS) & leads) | ((letters == "br") & t.endswith("BR")) | ((letters == "") & (beside(1) == "br")))
+    coded = (F.size(parts) == 3) & (n >= 2) & (parts[0] == F.upper(parts[0])) & ~F.concat(parts[0], parts[1]).rlike("[^A-Z]") & (F.get(parts, F.lit(2)) == digits)
+    labelled = (n >= 4) & (F.length(letters) <= 1) & leads & (beside(-1).isin(*LABELS) | (beside(-1).isin(*NUMBERED) & (beside(-2).isin(*POSTS) | (beside(-2) == "("))))
+    dashed = beside(1).isin("-", "\u2013", "\u2014") & F.coalesce(F.get(tokens, i + 2), F.lit("")).rlike("^[A-Z]")
+    announced = (letters == "") & ~t.contains("-") & (n >= 5) & (((beside(-1) == "of") & beside(-2).isin(*POSTS)) | ((beside(-1).isin(*POSTS) | (beside(-1) == "to")) & dashed))
+    kind = F.when(tagged, 1).when(coded, 2).when(labelled, 3).when(announced, 4)
+    value = F.when(kind == 1, digits).otherwise(F.upper(F.replace(t, F.lit("-"), F.lit(""))))
+    return F.when(kind.isNotNull() & (F.length(value) >= 4) & (F.length(value) <= 16) & ~value.rlike(r"^20\d\d$"), F.struct(kind.alias("kind"), i.alias("place"), value.alias("value")))
 
 
 def extract_req_id(text: Column) -> Column:
-    """The first pattern's id with at least four letters or digits that is no year; null if there is none."""
-    found = []
-    for p in (*REQ_MARKED, *REQ_BARE):
-        norm = F.upper(F.regexp_replace(F.regexp_extract(text, p, 1), "[^A-Za-z0-9]", ""))
-        found.append(F.when((F.length(norm) >= 4) & ~norm.rlike(r"^20\d\d$"), norm))
-    return F.coalesce(*found)
+    """The requisition id of a text, or null. Words with digits are judged one by one with their neighbours.
+
+    Surest first: a company system's own tag on the number; a code of two groups of capitals and a number; a number after a label; a bare
+    number that the text announces. Years are none.
+    """
+    each = lambda tokens: F.array_min(F.filter(F.transform(tokens, lambda t, i: F.when(t.rlike("[0-9]{2}"), _judged(tokens, t, i))), lambda x: x.isNotNull()))["value"]
+    found = F.get(F.transform(F.array(F.regexp_extract_all(text, F.lit(ID_TOKENS), F.lit(0))), each), F.lit(0))
+    return F.when(text.rlike("[0-9]{2}"), found)
