@@ -1,13 +1,15 @@
 """Phrase collocations by sampling and exact counting (operator 12), after Toivonen.
 
-A sample of the documents proposes phrases at a lowered threshold. A full pass then counts exactly all words, and each
-longer phrase whose two phrases of one word less are proposed: the proposals and their negative border, the phrases that
-could be frequent only if the sample was wrong. Where a phrase outside the proposals proves frequent, it joins them and a
-further pass counts just what that newly allows, until no such phrase is left. So the sample decides the amount of work,
-never the result.
+A sample of the documents proposes phrases at a lowered threshold. A full pass then counts all words, and each longer phrase
+whose two phrases of one word less are proposed: the proposals and their negative border, the phrases that could be
+frequent only if the sample was wrong. Where a phrase outside the proposals proves frequent, it joins them and a further
+pass counts just what that newly allows, until no such phrase is left. So the sample decides the amount of work, never
+the result.
 
-Proposals are known to tasks as a bitmap of hashes for each phrase length, whose size is bounded (2^28 bits, 32 MB): a
-collision has some more phrases counted, exactly, and none left out.
+These passes count 64-bit hashes, whose counts are never below their phrases'. A last pass counts, word by word and
+exactly, the phrases of those hashes that reached the threshold. Tasks know proposals and reached hashes as a bitmap for each
+phrase length, whose size is bounded (2^28 bits, 32 MB): a collision has some more phrases counted, exactly, and none
+left out.
 
 Texts: null counts as empty, invalid UTF-8 as U+FFFD, of any length, read whole. A null language is ``und``. Repeated rows
 count as often as they stand there; a phrase never crosses a piece or a document. An empty table, or one without a phrase
@@ -16,25 +18,28 @@ frequent enough, gives an empty result. Only the two named columns are read, so
 
 from __future__ import annotations
 
-import itertools
 import math
 from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import staged, tidied
+from .common import mix64, staged, steps, tidied
 
 #: Lower case for A-Z, the ends of pieces as a byte that UTF-8 never holds, tabs as spaces.
 END = b"\xff"
 FOLD = bytes(b + 32 if 0x41 <= b <= 0x5A else 0xFF if b in b".,;:!?" or 0x0A <= b <= 0x0D else 0x20 if b == 9 else b for b in range(256))
-#: Words that a task gathers before it hands on their counts.
-GATHER = 1_500_000
+#: Words that a task gathers before it hands on their counts, and bytes of text that it takes at a time.
+GATHER, RUN = 1_500_000, 2 << 20
 COUNTED = "lang string, phrase string, words int, f long"
+#: The lowest bits of a phrase's hash hold its number of words.
+LENGTHS = np.uint64(15)
+_FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
 class _Ids(dict):
@@ -52,6 +57,22 @@ def _turned(x: np.ndarray) -> np.ndarray:
     return (x << np.uint64(1)) | (x >> np.uint64(63))
 
 
+def word_hashes(flat: np.ndarray, begin: np.ndarray, size: np.ndarray, lang: str) -> np.ndarray:
+    """A 64-bit hash of each slice of ``flat``: all words advance by a byte at a time, the longest first; words of over 255 bytes one by one."""
+    seed, short = np.uint64(xxhash.xxh64_intdigest(lang.encode())), size <= 255
+    order = np.argsort(255 - np.minimum(size, 255).astype(np.uint8), kind="stable")
+    order = order[short[order]]
+    at, h = begin[order], np.full(len(order), seed, np.uint64)
+    longer = np.searchsorted(-size[order], -np.arange(int(size[order[0]]) if len(order) else 0), "left")
+    for j, n in enumerate(longer.tolist()):
+        h[:n] = h[:n] * _FACTOR + flat[at[:n] + j] + np.uint64(1)
+    out = np.empty(len(begin), np.uint64)
+    out[order] = h
+    for i in np.flatnonzero(~short).tolist():
+        out[i] = xxhash.xxh64_intdigest(flat[begin[i] : begin[i] + size[i]].tobytes(), int(seed))
+    return mix64(out)
+
+
 class Bitmap:
     """A set of hashes of which a task can be sure that a hash is not in it."""
 
@@ -66,78 +87,111 @@ class Bitmap:
         return Bitmap(self.bits, self.data | other.data)
 
 
-def counted(lang: str, ids: np.ndarray, names: list[bytes], most: int, now: dict[int, Bitmap] | None, before: dict[int, Bitmap] | None) -> Iterator[tuple[int, list[bytes], np.ndarray]]:
-    """``words, phrases, counts`` of one language's words in order (0: end of a piece).
-
-    Counts each phrase whose sub-phrases are all in ``now`` (None: all are) and that ``before`` (None: no phrase) did not
-    have counted. Phrases of a length get numbers, from which the next length's keys are made.
-    """
-    seed = xxhash.xxh64_intdigest(lang.encode(), 42)
-    word_hash = np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in names), np.uint64, len(names))
-    whole, code, h = ids > 0, ids, word_hash[ids]
-    allowed = whole
-    again = whole if before is not None else np.zeros(len(ids), bool)  # counted in an earlier pass
-    firsts, spelt = np.zeros(0, np.int64), names
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[bytes]]]:
+    """Texts of one language each, at most RUN bytes of a batch at a time, one text at least."""
+    for b in batches:
+        for low, high in steps(pc.binary_length(b.column(1)).to_pylist(), RUN):
+            by_lang = defaultdict(list)
+            for lang, text in zip(b.column(0).slice(low, high - low).to_pylist(), b.column(1).slice(low, high - low).to_pylist()):
+                by_lang[lang].append(text)
+            yield from by_lang.items()
+
+
+def hashed(lang: str, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of each word of the texts in order, and whether the next word follows it in the same piece."""
+    flat = np.frombuffer(END.join(texts).translate(FOLD) + END, np.uint8)
+    inside = (flat != 0x20) & (flat != 0xFF)
+    turn = np.flatnonzero(np.diff(inside, prepend=False))
+    begin, end = turn[::2], turn[1::2]
+    piece = np.cumsum(flat == 0xFF)[begin]
+    follows = np.zeros(len(begin), bool)
+    follows[:-1] = piece[1:] == piece[:-1]
+    return word_hashes(flat, begin, end - begin, lang), follows
+
+
+def tallied(h: np.ndarray, follows: np.ndarray, most: int, now: dict[int, Bitmap] | None, before: dict[int, Bitmap] | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Hashes and counts of each phrase whose sub-phrases are all in ``now`` (None: all are) and that ``before`` (None: no phrase) did not have counted."""
+    first, allowed, again = h, np.ones(len(h), bool), np.full(len(h), before is not None)
     for words in range(1, most + 1):
-        fresh = allowed & ~again
-        if words == 1:
-            n = np.bincount(code[fresh], minlength=len(names))
-            some = np.flatnonzero(n)
-            yield 1, [names[i] for i in some.tolist()], n[some]
-        elif words == most:
-            key, n = np.unique(code[fresh], return_counts=True)
-            yield words, [spelt[k // len(names)] + b" " + names[k % len(names)] for k in key.tolist()], n
-            return
-        else:
-            firsts, inverse = np.unique(code[allowed], return_inverse=True)
-            n = np.bincount(inverse[fresh[allowed]], minlength=len(firsts))
-            full = [spelt[k // len(names)] + b" " + names[k % len(names)] for k in firsts.tolist()]
-            some = np.flatnonzero(n)
-            yield words, [full[i] for i in some.tolist()], n[some]
-            code = np.zeros(len(code), np.int64)
-            code[allowed] = inverse
-            spelt = full
-        if words == most:
+        yield np.unique((h[allowed & ~again] & ~LENGTHS) | np.uint64(words), return_counts=True)
+        if words == most or len(h) < 2:
             return
         hit = allowed if now is None else allowed & now[words].has(h)
         old = again if before is None else again & before[words].has(h)
-        if len(ids) < 2:
-            return
-        allowed, again = hit[:-1] & hit[1:], old[:-1] & old[1:]
-        code = code[:-1] * len(names) + ids[words:]
-        h = _turned(h[:-1]) ^ word_hash[ids[words:]]
+        if words == 1:
+            hit, old, right, after = hit & follows, old & follows, hit, old
+        else:
+            right, after = hit, old
+        allowed, again = hit[:-1] & right[1:], old[:-1] & after[1:]
+        h = _turned(h[:-1]) ^ first[words:]
+
+
+def hash_counts(docs: DataFrame, most: int, now=None, before=None) -> DataFrame:
+    """``h, f``: how often each hash of a phrase that ``now`` allows and ``before`` did not stands in ``docs(lang, text)``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        new, old = now and now.value, before and before.value
+        held, total = [], 0
+
+        def let_go():
+            for h, n in tallied(np.concatenate([h for h, _ in held]), np.concatenate([f for _, f in held]), most, new, old):
+                for low in range(0, len(h), 1 << 18):
+                    yield pa.RecordBatch.from_arrays([pa.array(h[low : low + (1 << 18)].view(np.int64)), pa.array(n[low : low + (1 << 18)].astype(np.int64))], names=["h", "f"])
+
+        for lang, texts in _slices(batches):
+            held.append(hashed(lang, texts))
+            total += len(held[-1][0])
+            if total >= GATHER:
+                yield from let_go()
+                held, total = [], 0
+        if held:
+            yield from let_go()
+
+    return docs.mapInArrow(tidied(run), "h long, f long").groupBy("h").agg(F.sum("f").alias("f"))
 
 
 def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, np.ndarray, list[bytes]]]:
-    """The words of the texts of a language, up to about GATHER of them at a time."""
+    """The words of the texts of a language as numbers, and the words; up to about GATHER of them at a time."""
     held, vocab, total = defaultdict(list), defaultdict(_Ids), 0
 
     def let_go():
         for lang, parts in held.items():
             yield lang, np.concatenate(parts), list(vocab[lang])
 
-    for b in batches:
-        for lang, text in zip(b.column(0).to_pylist(), b.column(1)):
-            words = text.as_py().translate(FOLD).replace(END, b" \xff ").split()
-            words.append(END)
-            held[lang].append(np.fromiter(map(vocab[lang].__getitem__, words), np.int64, len(words)))
-            total += len(words)
-            if total >= GATHER:
-                yield from let_go()
-                held, vocab, total = defaultdict(list), defaultdict(_Ids), 0
+    for lang, texts in _slices(batches):
+        words = (END.join(texts) + END).translate(FOLD).replace(END, b" \xff ").split()
+        held[lang].append(np.fromiter(map(vocab[lang].__getitem__, words), np.int64, len(words)))
+        total += len(words)
+        if total >= GATHER:
+            yield from let_go()
+            held, vocab, total = defaultdict(list), defaultdict(_Ids), 0
     yield from let_go()
 
 
-def counts(docs: DataFrame, most: int, now=None, before=None) -> DataFrame:
-    """COUNTED: how often each phrase that ``now`` allows and ``before`` did not stands in ``docs(lang, text)``; with ``words`` 0 and phrase '' the number of words, unless ``before`` is given."""
+def counted(lang: str, ids: np.ndarray, names: list[bytes], most: int, reached: dict[int, Bitmap]) -> Iterator[tuple[int, list[bytes], np.ndarray]]:
+    """``words, phrases, counts`` of one language's words in order (0: end of a piece), of phrases whose hash is in ``reached``. Phrases are told apart by their words' numbers."""
+    size = np.fromiter(map(len, names), np.int64, len(names))
+    first = word_hashes(np.frombuffer(b"".join(names), np.uint8), np.cumsum(size) - size, size, lang)[ids]
+    h, valid = first, ids > 0
+    for words in range(1, most + 1):
+        at = np.flatnonzero(valid & reached[words].has(h))
+        key = ids[at]
+        for i in range(1, words):
+            key = np.unique(key, return_inverse=True)[1] * len(names) + ids[at + i] if i > 1 else key * len(names) + ids[at + i]
+        _, where, n = np.unique(key, return_index=True, return_counts=True)
+        where = at[where]
+        yield words, [b" ".join([names[i] for i in own]) for own in np.stack([ids[where + i] for i in range(words)], 1).tolist()], n
+        if len(h) < 2:
+            return
+        valid, h = valid[:-1] & (ids[words:] > 0), _turned(h[:-1]) ^ first[words:]
+
+
+def counts(docs: DataFrame, most: int, reached) -> DataFrame:
+    """COUNTED: how often each phrase whose hash is in ``reached`` stands in ``docs(lang, text)``; with ``words`` 0 and phrase '' the number of words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        new, old = now and now.value, before and before.value
         for lang, ids, names in _gathered(batches):
-            found = counted(lang, ids, names, most, new, old)
-            if old is None:
-                found = itertools.chain([(0, [b""], np.array([np.count_nonzero(ids)]))], found)
-            for words, phrases, n in found:
+            for words, phrases, n in [(0, [b""], np.array([np.count_nonzero(ids)])), *counted(lang, ids, names, most, reached.value)]:
                 for low in range(0, len(phrases), 200_000):
                     part = phrases[low : low + 200_000]
                     yield pa.RecordBatch.from_arrays([pa.array([lang], pa.string()).take(pa.array(np.zeros(len(part), np.int32))), pa.array(part, pa.binary()).cast(pa.string()), pa.array(np.full(len(part), words, np.int32)), pa.array(n[low : low + 200_000].astype(np.int64))], names=["lang", "phrase", "words", "f"])
@@ -145,17 +199,19 @@ def counts(docs: DataFrame, most: int, now=None, before=None) -> DataFrame:
     return docs.mapInArrow(tidied(run), COUNTED).groupBy("lang", "phrase", "words").agg(F.sum("f").alias("f"))
 
 
-def phrase_hash(lang: Column, phrase: Column) -> Column:
-    """What ``counted`` works out too: XXH64 of each word, chained."""
-    one = lambda w: F.xxhash64(lang, w)
-    turn = lambda x: F.shiftleft(x, 1).bitwiseOR(F.shiftrightunsigned(x, 63))
-    return F.aggregate(F.split(phrase, " "), F.lit(0).cast("long"), lambda acc, w: turn(acc).bitwiseXOR(one(w)))
+def of_length(hashes: DataFrame, words: int) -> DataFrame:
+    return hashes.where(F.col("h").bitwiseAND(int(LENGTHS)) == words)
 
 
-def bitmap(phrases: DataFrame, bits: int) -> Bitmap:
-    """The hashes of ``phrases(lang, phrase)`` as bits, set on the executors; the driver gets the 2^bits bits."""
-    at = F.shiftrightunsigned(phrase_hash(F.col("lang"), F.col("phrase")), 64 - bits) + 1
-    rows = phrases.select(at.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("m"))
+def bits_for(n: int, each: int) -> int:
+    """So many bits for each of ``n`` hashes, within bounds, as a power of two."""
+    return min(28, max(18, math.ceil(math.log2(each * max(1, n)))))
+
+
+def bitmap(hashes: DataFrame, bits: int) -> Bitmap:
+    """The ``hashes(h)`` as bits, set on the executors; the driver gets the 2^bits bits."""
+    at = F.shiftrightunsigned("h", 64 - bits) + 1
+    rows = hashes.select(at.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("m"))
     data = np.zeros(1 << (bits - 3), np.uint8)
     for r in rows.toLocalIterator():
         part = np.frombuffer(bytes(r.m), np.uint8)
@@ -165,44 +221,51 @@ def bitmap(phrases: DataFrame, bits: int) -> Bitmap:
 
 
 def frequent(docs: DataFrame, most: int, least: int, share: float = 0.25, passes: list | None = None) -> DataFrame:
-    """COUNTED for every phrase of 1 to ``most`` words with f >= ``least``, and the number of words of each language (``words`` 0, phrase '').
+    """COUNTED for every phrase of 1 to ``most`` (15 at most) words with f >= ``least``, and the number of words of each language (``words`` 0, phrase '').
 
     ``share``: the part of the documents, picked by a hash of language and text, that proposes phrases; it changes the
     work, not the result. ``passes`` takes the number of border failures after each full pass.
     """
-    spark = docs.sparkSession
+    spark, lengths = docs.sparkSession, range(1, most)
+
+    def number(hashes: DataFrame) -> dict[int, int]:
+        found = {r.k: r.n for r in hashes.groupBy(F.col("h").bitwiseAND(int(LENGTHS)).alias("k")).agg(F.count("*").alias("n")).collect()}
+        return {k: found.get(k, 0) for k in range(1, most + 1)}
+
     part = docs.where(F.pmod(F.xxhash64("lang", "text"), F.lit(1_000_000)) < int(share * 1_000_000))
-    proposed = staged(counts(part, most - 1).where(F.col("f") >= max(1, math.floor(share * least * 0.8))), "proposed")
-    sizes = {r.words: r.n for r in proposed.where("words > 0").groupBy("words").agg(F.count("*").alias("n")).collect()}
-    lengths = range(1, most)
-    bits = {k: min(28, max(18, math.ceil(math.log2(16 * max(1, sizes.get(k, 0)))))) for k in lengths}
-    now = {k: bitmap(proposed.where(F.col("words") == k), bits[k]) for k in lengths}
-    found, held = None, spark.sparkContext.broadcast(now)
-    last, last_held, old_held = None, None, None
+    proposed = staged(hash_counts(part, most - 1).where(F.col("f") >= max(1, math.floor(share * least * 0.8))).select("h"), "proposed")
+    sizes = number(proposed)
+    now = {k: bitmap(of_length(proposed, k), bits_for(sizes[k], 16)) for k in lengths}
+    held, last, reached = spark.sparkContext.broadcast(now), None, None
     while True:
-        more = staged(counts(docs, most, held, last_held).where(f"words = 0 OR f >= {int(least)}"), "counted")
-        found = more if found is None else found.unionByName(more)
+        more = staged(hash_counts(docs, most, held, last).where(F.col("f") >= int(least)).select("h"), "reached")
+        reached = more if reached is None else reached.unionByName(more)
         # what a task finds in a bitmap need not have been proposed, but it is allowed all the same
-        failed = {k: missed(more.where(F.col("words") == k), now[k], held, k) for k in lengths}
-        n = {k: df.count() for k, df in failed.items()}
+        failed = staged(missed(more, held, most), "failed")
+        n = number(failed)
         if passes is not None:
             passes.append(sum(n.values()))
         if not any(n.values()):
-            return found
-        last, last_held = now, held
-        now = {k: now[k].joined(bitmap(failed[k], bits[k])) if n[k] else now[k] for k in lengths}
-        held = spark.sparkContext.broadcast(now)
+            break
+        now = {k: now[k].joined(bitmap(of_length(failed, k), now[k].bits)) if n[k] else now[k] for k in lengths}
+        held, last = spark.sparkContext.broadcast(now), held
+    sizes = number(reached)
+    final = spark.sparkContext.broadcast({k: bitmap(of_length(reached, k), bits_for(sizes[k], 64)) for k in range(1, most + 1)})
+    return staged(counts(docs, most, final).where(f"words = 0 OR f >= {int(least)}"), "counted")
 
 
-def missed(rows: DataFrame, known: Bitmap, held, words: int) -> DataFrame:
-    """Those of the phrases that the bitmap does not hold."""
+def missed(hashes: DataFrame, held, most: int) -> DataFrame:
+    """Those of the hashes of fewer than ``most`` words that the bitmaps do not hold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = held.value[words]
         for b in batches:
-            yield b.filter(pa.array(~of.has(b.column("h").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))))
+            h = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+            words, out = h & LENGTHS, np.zeros(len(h), bool)
+            for k in range(1, most):
+                out |= (words == k) & ~held.value[k].has(h)
+            yield b.filter(pa.array(out))
 
-    return rows.select("lang", "phrase", phrase_hash(F.col("lang"), F.col("phrase")).alias("h")).mapInArrow(run, "lang string, phrase string, h long")
+    return hashes.mapInArrow(run, "h long")
 
 
 def scored(found: DataFrame, most: int, inside_percent: int, salts: int = 16) -> DataFrame:

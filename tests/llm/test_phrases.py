@@ -64,6 +64,7 @@ def test_border_failures_lead_to_further_passes(spark):
 def test_flushes_and_parameters(spark, monkeypatch):
     rows = texts(7, 120)
     monkeypatch.setattr(phrases, "GATHER", 50)
+    monkeypatch.setattr(phrases, "RUN", 200)
     batch = phrases.pa.RecordBatch.from_arrays([phrases.pa.array([lang or "und" for lang, _ in rows]), phrases.pa.array([(t or "").encode() for _, t in rows])], names=["lang", "text"])
     assert len(list(phrases._gathered(iter([batch])))) > 5
     for most, least, top, inside in [(2, 3, 5, 50), (4, 5, 2000, 100)]:
@@ -71,6 +72,16 @@ def test_flushes_and_parameters(spark, monkeypatch):
         assert sorted(map(tuple, got.collect())) == brute(rows, most, least, top, inside)
 
 
+def test_hashes_of_words_do_not_depend_on_their_place():
+    rng = random.Random(9)
+    words = [bytes(rng.choices(range(97, 123), k=k)) for k in [1, 2, 3, 3, 9, 254, 255, 256, 300, 5000] * 2] + ["É".encode(), b"a", b"a"]
+    whole = phrases.hashed("x", [b" ".join(words), b"a"])
+    alone = [phrases.hashed("x", [w])[0][0] for w in [*words, b"a"]]
+    assert whole[0].tolist() == alone and len(set(alone)) == len({*words})
+    assert whole[1].tolist() == [True] * (len(words) - 1) + [False, False]
+    assert phrases.hashed("y", [b"a"])[0][0] != alone[-1] and not len(phrases.hashed("x", [b"", b" . "])[0])
+
+
 def test_empty(spark):
     assert phrases.collocations(spread(spark, [("en", "a b")]).limit(0)).count() == 0
     assert phrases.collocations(spread(spark, [("en", "a b"), ("en", "")])).count() == 0
