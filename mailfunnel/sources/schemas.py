@@ -4,12 +4,12 @@ from __future__ import annotations
 
 
 def payload_schema(depth: int) -> str:
-    parts = f", parts: ARRAY<{payload_schema(depth - 1)}>" if depth else ""
-    return f"STRUCT<mimeType: STRING, headers: ARRAY<STRUCT<name: STRING, value: STRING>>, body: STRUCT<data: STRING>{parts}>"
+    parts = f"ARRAY<{payload_schema(depth - 1)}>" if depth else "VARIANT"
+    return f"STRUCT<mimeType: STRING, headers: ARRAY<STRUCT<name: STRING, value: STRING>>, body: STRUCT<data: STRING>, parts: {parts}>"
 
 
 def raw_schema(depth: int = 5) -> str:
-    """A stored message; the payload's recursion is cut at a fixed depth."""
+    """A stored message. Structs cannot recurse: parts below ``depth`` stay one VARIANT, whatever their depth."""
     return f"user_id LONG, id STRING, threadId STRING, snippet STRING, internalDate STRING, labels ARRAY<STRING>, payload {payload_schema(depth)}"
 
 

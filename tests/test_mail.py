@@ -244,3 +244,26 @@ def test_stream_of_mails_is_classified_as_the_batch(spark, tmp_path):
     out.select("message_id", "stage", "company").writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start(str(tmp_path / "out")).awaitTermination()
     want = classify.attributable(classify.classify_mail(df)).select("message_id", "stage", "company")
     assert sorted(spark.read.parquet(str(tmp_path / "out")).collect()) == sorted(want.collect())
+
+
+def test_parts_at_any_depth(spark, tmp_path):
+    """Parts far below the typed levels are found, in the order of the document."""
+    leaf = lambda mime, text: {"mimeType": mime, "body": {"data": url64(text)}}
+
+    def nested(depth, inner):
+        return inner if depth == 0 else {"mimeType": "multipart/mixed", "parts": [nested(depth - 1, inner)]}
+
+    rows = [
+        {"user_id": 1, "id": "nine", "payload": nested(9, leaf("text/plain", "deep down"))},
+        {"user_id": 1, "id": "first", "payload": {"mimeType": "multipart/mixed", "parts": [nested(8, leaf("TEXT/plain", "deep but first")), leaf("text/plain", "shallow but second")]}},
+        {"user_id": 1, "id": "html", "payload": {"mimeType": "multipart/mixed", "parts": [leaf("text/plain", ""), nested(7, leaf("text/html", "<p>A&amp;B</p>"))]}},
+        {"user_id": 1, "id": "flat", "payload": leaf("text/plain", "flat")},
+        {"user_id": 1, "id": "edge", "payload": nested(5, leaf("text/plain", "five"))},
+        {"user_id": 1, "id": "six", "payload": nested(6, leaf("text/plain", "six"))},
+        {"user_id": 1, "id": "flat", "payload": leaf("text/plain", "the same id twice")},
+        {"user_id": 1, "id": "nine", "payload": nested(9, leaf("text/plain", "again"))},
+        {"user_id": 1, "id": "none", "payload": {"mimeType": "multipart/mixed", "body": {"data": url64("root")}, "parts": [nested(7, {"mimeType": "image/png"})]}},
+    ]
+    (tmp_path / "m.json").write_text("\n".join(json.dumps(r) for r in rows))
+    got = sorted((r.message_id, r.body) for r in mail.parse_messages(mail.read_raw_mail(spark, str(tmp_path)), "2026-02-01 00:00:00").collect())
+    assert got == sorted([("nine", "deep down"), ("nine", "again"), ("first", "deep but first"), ("html", "A&B"), ("flat", "flat"), ("flat", "the same id twice"), ("edge", "five"), ("six", "six"), ("none", "root")])
