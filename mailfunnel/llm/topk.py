@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import staged
 
-LEAF, SAMPLE = 256, 4096
+LEAF, SAMPLE, RINGS = 256, 4096, 16
 LONG = 2**63 - 1
 _HUGE = float(np.finfo(np.float64).max)
 
@@ -104,18 +104,41 @@ def search(q: np.ndarray, qid: np.ndarray, floor: np.ndarray, x: np.ndarray, xid
 
 
 def search_wide(q: np.ndarray, qid: np.ndarray, x: np.ndarray, xid: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
-    """The same for components of any size, without bounds: whole numbers as wide as needed, held to the range of a long."""
+    """(query, row, score, beyond) for components of any size, without bounds: whole numbers as wide as needed, ranked as they are.
+
+    A score that fits no long comes as the nearest one, with ``beyond`` 1 or -1 (else 0).
+    """
     big = int(np.abs(q).max(initial=0)) * int(np.abs(x).max(initial=0)) * max(1, q.shape[1]) > LONG
     whole = lambda m: np.array([[int(v) for v in r] for r in m], object).reshape(m.shape) if big else m.astype(np.int64)
     qs, xs = whole(q), whole(x)
     out = []
     for i in range(len(q)):
         score = xs @ qs[i]
-        score = np.array([min(LONG, max(-LONG - 1, s)) for s in score], np.int64) if big else score
         at = np.flatnonzero(xid != qid[i])
-        at = at[np.lexsort((xid[at], np.invert(score[at])))[:k]]
-        out.append((np.full(len(at), i), at, score[at]))
-    return tuple(np.concatenate(c) for c in zip(*out)) if out else (np.empty(0, np.int64),) * 3
+        if big:
+            at = np.array(sorted(at.tolist(), key=lambda j: (-score[j], xid[j]))[:k], np.int64)
+            beyond = np.array([(score[j] > LONG) - (score[j] < -LONG - 1) for j in at], np.int64)
+            score = np.array([min(LONG, max(-LONG - 1, score[j])) for j in at], np.int64)
+        else:
+            at = at[np.lexsort((xid[at], np.invert(score[at])))[:k]]
+            score, beyond = score[at], np.zeros(len(at), np.int64)
+        out.append((np.full(len(at), i), at, score, beyond))
+    return tuple(np.concatenate(c) for c in zip(*out)) if out else (np.empty(0, np.int64),) * 4
+
+
+def _joined(rows: dict[tuple[int, int], int], most: int) -> dict[tuple[int, int], str]:
+    """(cell, ring) -> ``first block, number of blocks``: neighbouring rings of a cell share a block of at most ``most`` rows, a larger ring has several."""
+    out, used, load = {}, {}, {}
+    for c, r in sorted(rows):
+        n = rows[c, r]
+        if load.get(c) is None or load[c] + n > most:
+            out[c, r] = f"{used.get(c, 0)},{max(1, -(-n // most))}"
+            used[c] = used.get(c, 0) + max(1, -(-n // most))
+            load[c] = n if n <= most else most
+        else:
+            out[c, r] = f"{used[c] - 1},1"
+            load[c] += n
+    return out
 
 
 def _sampled(rows: DataFrame, n: int) -> list:
@@ -126,7 +149,8 @@ def _sampled(rows: DataFrame, n: int) -> list:
 def top_k(vectors: DataFrame, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", scale: float = 64.0, query_step: int = 20, pivots: int = 24, near: int = 8, block: int = 16384) -> DataFrame:
     """``query_id, rank, vec_id, score``: for each row whose id is divisible by ``query_step`` its k best other rows.
 
-    Components become floor(scale * x) in double; the score is their exact inner product, held to the range of a long.
+    Components become floor(scale * x) in double; the score is their exact inner product, and rows are ranked by it. A score
+    among a query's ``k`` that fits no long is an error.
     Ties go to the smaller id. Rows take no part if the id is null or no whole number, or the vector is null or holds a
     null or non-finite component. Shorter vectors count as filled up with zeros. Rows repeated exactly are candidates
     as often as they stand there, and are asked once; an id with several vectors has one ranking for each. Rows with
@@ -178,15 +202,32 @@ def top_k(vectors: DataFrame, k: int = 20, id_col: str = "vec_id", vector_col: s
 
     base = staged(base.mapInArrow(placed, "id long, x binary, n long, own long, wide boolean, cell int, floor double, d array<double>"), "pivots")
     asked = F.col("id") % query_step == 0
-    parts = {r.cell: (-(-r.n // block), -(-r.q // (block // 8))) for r in base.groupBy("cell").agg(F.count("*").alias("n"), F.count_if(asked).alias("q")).collect()}  # a row a pivot
-    number = lambda i: F.pmod("own", F.create_map(*[F.lit(v) for c, p in parts.items() for v in (c, max(1, p[i]))] or [F.lit(0), F.lit(1)])[F.col("cell")])
+    # a cell is cut into rings of distance to its own pivot, by quantiles of the sample, so that the bounds of its blocks differ
+    inner, rings = distances(sample, table)[:, : len(centres)], {}
+    for c in range(len(centres)):
+        own = inner[inner.argmin(1) == c, c]
+        rings[c] = sorted({float(v) for v in np.quantile(own, np.arange(1, RINGS) / RINGS)}) if len(own) else []
+    edges = F.create_map(*[x for c, r in rings.items() for x in (F.lit(c), F.array(*[F.lit(v) for v in r]).cast("array<double>"))] or [F.lit(0), F.array().cast("array<double>")])
+    far = F.element_at("d", F.col("cell") + 1)  # cells after the last pivot hold the wide rows, which have no distances
+    ring = F.coalesce(F.size(F.filter(edges[F.col("cell")], lambda e: e <= far)), F.lit(0)) if len(centres) else F.lit(0)
+    base = base.withColumn("ring", ring)
+    parts = {(r.cell, r.ring): (r.n, r.q) for r in base.groupBy("cell", "ring").agg(F.count("*").alias("n"), F.count_if(asked).alias("q")).collect()}  # RINGS rows a pivot
+    runs = [_joined({p: n for p, (n, _) in parts.items()}, block), _joined({p: q for p, (_, q) in parts.items()}, max(1, block // 8))]
+
+    def number(i: int):
+        """Which block of its cell a row belongs to: several rings that are small together, or a share of one by hash."""
+        known = F.create_map(*[F.lit(v) for (c, r), own in runs[i].items() for v in (c * RINGS + r, own)] or [F.lit(0), F.lit("0,1")])
+        first_n = F.split(known[F.col("cell") * RINGS + F.col("ring")], ",")
+        return first_n[0].cast("int") + F.pmod("own", first_n[1].cast("long")).cast("int")
+
     data = base.withColumn("xb", F.struct("cell", number(0).alias("part")))
     asks = base.where(asked).withColumn("qb", F.struct("cell", number(1).alias("part")))
+    cells = sorted({c for c, _ in parts})
     ends = lambda of: [F.array(*[of(F.col("d")[i]) for i in range(len(table) + 1)])]
     x_blocks = data.groupBy("xb", "wide").agg(ends(F.min)[0].alias("low"), ends(F.max)[0].alias("high"))
     q_blocks = asks.groupBy("qb", F.col("wide").alias("q_wide")).agg(ends(F.min)[0].alias("q_low"), ends(F.max)[0].alias("q_high"), F.min("floor").alias("floor"))
     # which pairs of blocks may hold a result: every block of queries against every block of rows, by summaries of fixed size
-    x_blocks = x_blocks.withColumn("c", F.explode(F.array(*[F.lit(c) for c in parts] or [F.lit(0)])))
+    x_blocks = x_blocks.withColumn("c", F.explode(F.array(*[F.lit(c) for c in cells] or [F.lit(0)])))
     met = x_blocks.join(q_blocks.withColumn("c", F.col("qb.cell")), "c")
     gap = F.greatest(F.lit(0.0), F.lit(0.0), *[F.greatest(F.col("q_low")[i] - F.col("high")[i], F.col("low")[i] - F.col("q_high")[i]) for i in range(len(table) + 1)])
     norms = F.pow(F.col("q_high")[len(table)], 2) + F.pow(F.col("high")[len(table)], 2)
@@ -203,11 +244,13 @@ def top_k(vectors: DataFrame, k: int = 20, id_col: str = "vec_id", vector_col: s
                 if len(a) and len(b):
                     read = lambda f, w: np.frombuffer(b"".join(f.x), np.float64).reshape(len(f), width) if w else mat(list(f.x))
                     qs, xs, qid, xid = read(a, qw), read(b, xw), a.id.to_numpy(), b.id.to_numpy()
-                    i, j, s = search_wide(qs, qid, xs, xid, k) if qw or xw else search(qs, qid, a.floor.to_numpy(), xs, xid, table, k)
-                    got.append(pd.DataFrame({"query_id": qid[i], "own": a.own.to_numpy()[i], "vec_id": xid[j], "n": b.n.to_numpy()[j], "score": s}))
-        return pd.concat(got) if got else pd.DataFrame({c: np.empty(0, np.int64) for c in ("query_id", "own", "vec_id", "n", "score")})
+                    i, j, s, *beyond = search_wide(qs, qid, xs, xid, k) if qw or xw else search(qs, qid, a.floor.to_numpy(), xs, xid, table, k)
+                    got.append(pd.DataFrame({"query_id": qid[i], "own": a.own.to_numpy()[i], "vec_id": xid[j], "n": b.n.to_numpy()[j], "score": s, "beyond": beyond[0] if beyond else np.zeros(len(i), np.int64)}))
+        return pd.concat(got) if got else pd.DataFrame({c: np.empty(0, np.int64) for c in ("query_id", "own", "vec_id", "n", "score", "beyond")})
 
-    found = left.groupBy("qb", "xb").cogroup(right.groupBy("qb", "xb")).applyInPandas(cell, "query_id long, own long, vec_id long, n long, score long")
+    found = left.groupBy("qb", "xb").cogroup(right.groupBy("qb", "xb")).applyInPandas(cell, "query_id long, own long, vec_id long, n long, score long, beyond long")
     found = found.withColumn("n", F.explode(F.sequence(F.lit(1), F.least("n", F.lit(k)).cast("int"))))
-    order = Window.partitionBy("query_id", "own").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    order = Window.partitionBy("query_id", "own").orderBy(F.desc("beyond"), F.desc("score"), "vec_id")
+    best = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    told = F.concat(F.lit("the score of query "), F.col("query_id").cast("string"), F.lit(" and row "), F.col("vec_id").cast("string"), F.lit(" fits no long"))
+    return best.select("query_id", "rank", "vec_id", F.when(F.col("beyond") == 0, F.col("score")).otherwise(F.raise_error(told).cast("long")).alias("score"))

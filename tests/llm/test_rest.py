@@ -3,6 +3,7 @@ import random
 import zlib
 
 import numpy as np
+import pytest
 
 from mailfunnel.llm import mixing, sharding, topk, toxicity, urlfilter
 
@@ -28,15 +29,43 @@ def test_top_k_as_brute_force(spark):
 
 
 def test_top_k_of_huge_components(spark):
-    rows = [(0, [2.0**26, 1.0]), (1, [2.0**60, -(2.0**60)]), (2, [1.0, 2.0]), (3, [1e300, 0.0]), (20, [-1e300, 1.5]), (40, [2.0**30] * 2), (41, [2.0**30] * 2)]
+    """Ranked by the exact score; one that fits no long is an error where it is returned."""
+    rows = [(0, [2.0**26, 1.0]), (1, [2.0**22, -(2.0**22)]), (2, [1.0, 2.0]), (3, [2.0**23 + 1, 0.0]), (20, [-(2.0**20), 1.5]), (40, [2.0**21] * 2), (41, [2.0**21] * 2), (60, [2.0**27 + 3, 5.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    whole = {i: [int(64 * x) if abs(x) > 1e15 else int(np.floor(64 * x)) for x in v] for i, v in rows}
-    held = lambda s: max(-(2**63), min(2**63 - 1, s))
-    want = []
-    for q in (0, 20, 40):
-        best = sorted((-held(sum(x * y for x, y in zip(whole[q], b))), i) for i, b in whole.items() if i != q)[:3]
-        want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(best)]
-    assert sorted(tuple(r) for r in topk.top_k(df, k=3).collect()) == sorted(want)
+    whole = {i: [int(np.floor(64 * x)) for x in v] for i, v in rows}
+    fits = df.where("vec_id not in (0, 60)")
+    kept = {i: v for i, v in whole.items() if i not in (0, 60)}
+    want = [(q, r + 1, i, -s) for q in (20, 40) for r, (s, i) in enumerate(sorted((-sum(x * y for x, y in zip(kept[q], b)), i) for i, b in kept.items() if i != q)[:3])]
+    assert sorted(tuple(r) for r in topk.top_k(fits, k=3).collect()) == sorted(want)
+    # 0 and 60: their product is over 2^63, so the best row of both is no long; no other row may take its place
+    with pytest.raises(Exception, match="fits no long"):
+        topk.top_k(df, k=1).collect()
+    far = spark.createDataFrame([(0, [2.0**34]), (1, [2.0**23]), (2, [2.0**22]), (3, [2.0**27]), (4, [1e300])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="query 0 and row 4 fits no long"):
+        topk.top_k(far, k=1).collect()
+    low = spark.createDataFrame([(0, [-(2.0**34)]), (1, [1.0]), (2, [2.0]), (3, [1e300])], "vec_id long, embedding array<double>")
+    assert [(r.vec_id, r.score) for r in topk.top_k(low, k=2).collect()] == [(1, -(2**46)), (2, -(2**47))]
+
+
+def test_blocks_of_rings():
+    assert topk._joined({(0, 0): 3, (0, 1): 4, (0, 2): 5, (0, 3): 25, (0, 4): 1, (1, 0): 1}, 10) == {(0, 0): "0,1", (0, 1): "0,1", (0, 2): "1,1", (0, 3): "2,3", (0, 4): "5,1", (1, 0): "0,1"}
+
+
+def test_top_k_in_rings(spark):
+    """Small blocks: cells are cut into rings, and most pairs of blocks never meet."""
+    rng = np.random.default_rng(3)
+    centre = rng.normal(0, 3, (6, 8))
+    data = [(i, (centre[i % 6] * (1 + (i % 50) / 10) + rng.normal(0, 0.05, 8)).tolist()) for i in range(3000)]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    got = {}
+    for r in topk.top_k(df, k=5, block=128).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    m = np.floor(np.array([v for _, v in data]) * 64).astype(np.int64)
+    for q in range(0, 3000, 20):
+        s = m @ m[q]
+        s[q] = -(2**62)
+        best = np.lexsort((np.arange(3000), -s))[:5]
+        assert sorted(got[q]) == [(i + 1, int(j), int(s[j])) for i, j in enumerate(best)]
 
 
 def test_shards(spark, tmp_path):
