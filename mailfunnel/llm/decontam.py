@@ -20,6 +20,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import mix64, original, steps, tidied
 
@@ -27,6 +28,7 @@ WORD = re.compile(r"[^\W_]+")
 WALKS, SAMPLES, BITS = 64, 6, 2  # WALKS: the most that are ever taken
 RECALL, PLANTED = 0.999, 1000
 STEP_CHARS = 2_000_000
+HELD_WORDS = 4_000_000  # words of windows, or of pairs of windows and items, that are compared at once
 
 
 def tokens(text: str) -> list[str]:
@@ -75,7 +77,7 @@ def planted(ids: np.ndarray, errors: int, rng: np.random.Generator) -> np.ndarra
 
 
 def walks_for(ids: np.ndarray, errors: int, recall: float = RECALL, rows: int = PLANTED) -> int:
-    """The fewest walks with which at least ``recall`` of ``rows`` planted windows (fewer, 50 at least, for items of over 1,000 words) share a key with their item (WALKS if none does)."""
+    """The fewest walks with which at least ``recall`` of ``rows`` planted windows (fewer, 50 at least, for items of over 1,000 words) share a key with their item; 0 if no number up to WALKS is enough."""
     rows = max(50, min(rows, 1000 * rows // max(1, ids.shape[1])))
     rng = np.random.default_rng(ids.shape[1])
     own = ids[np.arange(rows) % len(ids)]
@@ -84,7 +86,7 @@ def walks_for(ids: np.ndarray, errors: int, recall: float = RECALL, rows: int =
         met |= (signatures(window, 1, first=w) == signatures(own, 1, first=w)).any(axis=1)
         if met.mean() >= recall:
             return w + 1
-    return WALKS
+    return 0
 
 
 def edit_distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -136,13 +138,15 @@ class Items:
             if len(ids) >= min_words:
                 by.setdefault(len(ids), []).append((item, ids))
         self.gap = 2 * int(share * max(by, default=0)) if wide else 0
-        self.tables = {}
+        self.tables, self.runs = {}, {}
         for length, own in sorted(by.items()):
             ids = np.array([x for _, x in own], np.int64)
             walks = walks_for(ids, int(share * length), recall)
-            keys = signatures(ids, walks)
+            keys = signatures(ids, walks) if walks else np.empty((len(ids), 0), np.uint64)
             order = np.argsort(keys, axis=0, kind="stable")
             self.tables[length] = ([i for i, _ in own], ids, np.take_along_axis(keys, order, 0), order)
+            if not walks:  # no number of walks is enough: windows of this length meet items by an untouched run, which is exact
+                self.runs[length] = self._run_index(ids, length // (int(share * length) + 1))
         # with k edits one of k + 1 equal parts of an item is untouched: a window must hold a run of that many of its words
         grams: dict[int, list[np.ndarray]] = {}
         for length, (_, ids, _, _) in self.tables.items():
@@ -155,6 +159,30 @@ class Items:
             rows = np.unique(np.concatenate(parts), axis=0)
             self.grams[q] = (rows[:, 0], rows[:, 1], rows[:, 2])
 
+    @staticmethod
+    def _run_index(ids: np.ndarray, q: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+        """Hashes of the items' runs of ``q`` words in order, with item and place of each."""
+        h = np.stack([_gram(ids[:, at : at + q].T) for at in range(ids.shape[1] - q + 1)], axis=1)
+        order = np.argsort(h.ravel(), kind="stable")
+        item, at = np.divmod(order, h.shape[1])
+        return h.ravel()[order], item, at, q
+
+    def _by_run(self, flat: np.ndarray, starts: np.ndarray, length: int, errors: int) -> np.ndarray:
+        """Pairs (window, item), as window * items + item, that share a run about the same place."""
+        hashes, item, at, q = self.runs[length]
+        met = []
+        for shift in range(-errors, length + errors - q + 1):
+            where = np.maximum(starts + shift, 0)
+            where = np.minimum(where, len(flat) - q)
+            h = _gram([flat[where + i] for i in range(q)])
+            low, high = np.searchsorted(hashes, h, "left"), np.searchsorted(hashes, h, "right")
+            times = high - low
+            row = np.repeat(low, times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+            w = np.repeat(np.arange(len(starts)), times)
+            near = np.abs(at[row] - shift) <= errors
+            met.append(np.unique(w[near] * len(self.tables[length][0]) + item[row[near]]))
+        return np.unique(np.concatenate(met)) if met else np.empty(0, np.int64)
+
     def search(self, words: list[np.ndarray]) -> list[tuple[int, int, int, int, int]]:
         """Texts as word ids -> (text index, item, start word, words, distance): the best window of each text and item."""
         gap = np.zeros(self.gap, np.int64)
@@ -177,8 +205,9 @@ class Items:
             past = errors if self.wide else 0
             inside = (starts >= begin[text] - past) & (starts + length <= ends[text] + past)
             starts, text = starts[inside], text[inside]
-            for low in range(0, len(starts), 20_000):
-                self._meet(flat, starts[low : low + 20_000], text[low : low + 20_000], begin, ends, length, errors, items, ids, keys, order, best)
+            most = max(1, min(20_000, HELD_WORDS // length))
+            for low in range(0, len(starts), most):
+                self._meet(flat, starts[low : low + most], text[low : low + most], begin, ends, length, errors, items, ids, keys, order, best)
         return [(t, i, s - int(begin[t]), n, d) for (t, i), (d, s, n) in best.items()]
 
     def _near(self, flat: np.ndarray, known: np.ndarray) -> dict[int, np.ndarray]:
@@ -198,14 +227,15 @@ class Items:
 
     def _meet(self, flat, starts, text, begin, ends, length, errors, items, ids, keys, order, best) -> None:
         windows = flat[starts[:, None] + np.arange(length)]
-        met = []
-        for c, own in enumerate(signatures(windows, keys.shape[1] // SAMPLES).T):
+        met = [self._by_run(flat, starts, length, errors)] if length in self.runs else []
+        for c, own in enumerate(signatures(windows, keys.shape[1] // SAMPLES).T if keys.shape[1] else ()):
             low, high = np.searchsorted(keys[:, c], own, "left"), np.searchsorted(keys[:, c], own, "right")
             w = np.repeat(np.arange(len(own)), high - low)
             met.append(w * len(items) + order[np.concatenate([np.arange(a, b) for a, b in zip(low[high > low], high[high > low])] or [np.empty(0, np.int64)]), c])
         pairs = np.unique(np.concatenate(met))
-        for lo in range(0, len(pairs), 20_000):
-            w, i = np.divmod(pairs[lo : lo + 20_000], len(items))
+        most = max(1, min(20_000, HELD_WORDS // length))
+        for lo in range(0, len(pairs), most):
+            w, i = np.divmod(pairs[lo : lo + most], len(items))
             if self.wide:
                 w, i, far, start, size = self._runs(flat, starts, begin[text], ends[text], errors, w, i, ids)
             else:
@@ -240,22 +270,22 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     result. The benchmark goes to the tasks in blocks of about ``block`` items, so what is sent has a bound; a larger
     benchmark takes more passes over ``docs``.
     """
-    some = benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(item_text).cast("string").alias("t")).where("t is not null").distinct()
+    some = benchmark.select(F.col(item_col).alias("i"), F.col(item_text).cast("string").alias("t")).where("t is not null").distinct()
     n = some.count()
     blocks = max(1, -(-n // block))
-    kind = docs.schema[id_col].dataType.simpleString()
+    kind, item_kind = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType
     base = docs.select(F.col(id_col).alias(id_col), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
     out = None
     for b in range(blocks):
         rows = some.where(F.pmod(F.xxhash64("t"), F.lit(blocks)) == b).orderBy("i", "t").collect()
         items = Items([(r.i, r.t) for r in rows], share, min_words, wide)
-        found = base.mapInArrow(_searcher(items), f"{id_col} {kind}, {item_col} long, distance int, n_words int, start_char long, end_char long")
+        found = base.mapInArrow(_searcher(items, item_col, to_arrow_type(item_kind)), f"`{id_col}` {kind}, `{item_col}` {item_kind.simpleString()}, distance int, n_words int, start_char long, end_char long")
         out = found if out is None else out.union(found)
     return out
 
 
-def _searcher(items: Items):
-    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
+def _searcher(items: Items, item_col: str, item_kind: pa.DataType):
+    kinds = (item_kind, pa.int32(), pa.int32(), pa.int64(), pa.int64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         get = items.vocab.get
@@ -264,7 +294,7 @@ def _searcher(items: Items):
                 part = b.slice(low, high - low)
                 texts = part.column(1).to_pylist()
                 ids = [np.array([get(w, 0) for w in tokens(t)], np.int64) for t in texts]
-                found = sorted(items.search(ids)) if ids else []
+                found = sorted(items.search(ids), key=lambda f: (f[0], str(f[1]), f[2:])) if ids else []
                 spans: dict[int, list[tuple[int, int]]] = {}
                 rows = []
                 for t, item, start, n, far in found:
@@ -274,7 +304,7 @@ def _searcher(items: Items):
                     rows.append((item, far, n, spans[t][start][0], spans[t][start + n - 1][1]))
                 if rows:
                     own = part.column(0).take(pa.array([f[0] for f in found]))
-                    yield pa.RecordBatch.from_arrays([own, *(pa.array(c, k) for c, k in zip(zip(*rows), kinds))], names=[part.schema.names[0], "item_id", "distance", "n_words", "start_char", "end_char"])
+                    yield pa.RecordBatch.from_arrays([own, *(pa.array(c, k) for c, k in zip(zip(*rows), kinds))], names=[part.schema.names[0], item_col, "distance", "n_words", "start_char", "end_char"])
 
     return run
 
@@ -300,7 +330,7 @@ def leaked(items: Items):
 
 def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", share: float = 0.2, min_words: int = 5, block: int = 20_000, wide: bool = False) -> DataFrame:
     """The rows of ``docs`` that hold no benchmark item, with all their columns."""
-    some = benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(item_text).cast("string").alias("t")).where("t is not null").distinct()
+    some = benchmark.select(F.col(item_col).alias("i"), F.col(item_text).cast("string").alias("t")).where("t is not null").distinct()
     blocks = max(1, -(-some.count() // block))
     out = docs
     for b in range(blocks):

@@ -49,8 +49,8 @@ def _time(u: Column, tilt: Column) -> Column:
     return F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.when(F.abs(tilt) < 1e-9, u).otherwise(bent)))
 
 
-def placed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", carry: tuple[str, ...] = (), **options) -> DataFrame:
-    """One row per document: id, ``size, source_size, target, taken, copies, positions`` (and ``carry``).
+def placed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", whole: bool = False, **options) -> DataFrame:
+    """One row per document: id, ``size, source_size, target, taken, copies, positions`` (and for ``mixed``, with ``whole``, a key of the whole row).
 
     Positions are training times, 0 to 1. Within a source, documents stand in the order of an md5 of the id (a null id: of the text; ties: size, then text hash); passes over the source repeat until
     the target is met, and a document is taken in a pass if its middle word lies before the target: whole documents,
@@ -60,22 +60,22 @@ def placed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
     key = F.md5(F.coalesce(F.col(id_col).cast("string"), F.md5(text)).cast("binary"))  # null ids stand by their texts
-    base = docs.select(F.col(id_col).alias("__id"), F.col(source_col).cast("string").alias("__s"), words(text_col).alias("__n"), key.alias("__key"), F.xxhash64(text_col).alias("__t"), *[F.col(c) for c in carry])
-    sized = base.select("__id", "__s", "__n", "__key", "__t").withColumn("__b", F.conv(F.substring("__key", 1, 3), 16, 10).cast("int"))
+    base = docs.select(F.col(id_col).alias("__id"), F.col(source_col).cast("string").alias("__s"), words(text_col).alias("__n"), key.alias("__key"), F.xxhash64(text_col).alias("__t"), (row_key(docs, id_col, text_col, source_col) if whole else F.lit("")).alias("__k"))
+    sized = base.withColumn("__b", F.conv(F.substring("__key", 1, 3), 16, 10).cast("int"))
     sized = staged(sized, "sizes")
     buckets = staged(sized.groupBy("__s", "__b").agg(F.sum("__n").alias("__sum")), "buckets")
     goal = targets(buckets.groupBy(F.col("__s").alias("source")).agg(F.sum("__sum").alias("source_size")), **options)
     by = Window.partitionBy("__s").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     bases = buckets.withColumn("__base", F.coalesce(F.sum("__sum").over(by), F.lit(0))).drop("__sum")
     bases = bases.join(goal, bases["__s"].eqNullSafe(goal["source"])).drop("source")
-    inner = Window.partitionBy("__s", "__b").orderBy("__key", "__n", "__t").rowsBetween(Window.unboundedPreceding, -1)
+    inner = Window.partitionBy("__s", "__b").orderBy("__key", "__n", "__t", "__k").rowsBetween(Window.unboundedPreceding, -1)
     at = sized.withColumn("__in", F.coalesce(F.sum("__n").over(inner), F.lit(0)))
     at = at.alias("a").join(bases.alias("b"), F.expr("a.__s <=> b.__s and a.__b = b.__b")).select("a.*", "b.__base", "b.source_size", "b.weight", "b.tilt", "b.target")
     most = options.get("most", 2)
     middle = lambda p: (F.col("source_size") * p + F.col("__base") + F.col("__in")) + F.col("__n") / 2.0
     due = [F.when((F.col("__n") > 0) & (middle(p) < F.col("target")), _time(middle(p) / F.greatest(F.col("target"), F.lit(1.0)), F.col("tilt"))) for p in range(most)]
     at = at.withColumn("positions", F.filter(F.array(*due), lambda x: x.isNotNull()))
-    return at.select(F.col("__id").alias(id_col), F.col("__n").alias("size"), "source_size", "target", (F.size("positions") * F.col("__n")).cast("long").alias("taken"), F.size("positions").alias("copies"), "positions", F.col("__s").alias("__source"), "__t")
+    return at.select(F.col("__id").alias(id_col), F.col("__n").alias("size"), "source_size", "target", (F.size("positions") * F.col("__n")).cast("long").alias("taken"), F.size("positions").alias("copies"), "positions", F.col("__s").alias("__source"), "__k")
 
 
 def ordered(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
@@ -87,18 +87,22 @@ def ordered(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     return out.repartitionByRange(F.col("first_position").asc_nulls_last(), id_col).sortWithinPartitions(F.col("first_position").asc_nulls_last(), id_col)
 
 
+def row_key(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> Column:
+    """One string for a row: id and source as they are, the text and all columns as hashes. Never null."""
+    told = lambda c: F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\u0000"))
+    others = [F.to_json(F.struct(F.col(f"`{f.name}`"))) if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in docs.schema.fields]
+    return F.concat_ws("\u0001", told(id_col), told(source_col), F.xxhash64(text_col).cast("string"), F.xxhash64(*others).cast("string"))
+
+
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """The training stream: rows of ``docs``, each as often as it is taken, range-sorted by training position.
 
-    Null and empty texts are never taken; a null source is a source of its own; rows repeated exactly share their positions;
-    other columns are kept whatever their names. An empty table stays empty.
+    Null and empty texts are never taken; a null source is a source of its own; other columns are kept whatever their
+    names; texts may be of any length. Rows repeated exactly are alike, so one of them stands for all at all their positions. An
+    empty table stays empty. Reruns agree.
     """
-    found = placed(docs, id_col, text_col, source_col, **options).where("copies > 0")
-    found = found.select(F.col(id_col).alias("id"), F.col("__source").alias("source"), F.col("__t").alias("t"), "positions").groupBy("id", "source", "t").agg(F.flatten(F.collect_list("positions")).alias("all"), F.count("*").alias("rows"))
-    # rows repeated exactly share a key: each takes every rows-th of their positions
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("i"), F.col(source_col).cast("string").alias("s"), F.xxhash64(text_col).alias("h"), F.monotonically_increasing_id().alias("m"))
-    joined = rows.join(found, F.col("i").eqNullSafe(F.col("id")) & F.col("s").eqNullSafe(F.col("source")) & (F.col("h") == F.col("t")))
-    same = Window.partitionBy("i", "s", "h").orderBy("m")
-    own = joined.withColumn("own", F.when(F.col("rows") == 1, 0).otherwise(F.row_number().over(same) - 1))
-    out = own.select("row", "i", F.posexplode("all").alias("p", "at"), "own", "rows").where(F.col("p") % F.col("rows") == F.col("own"))
-    return out.repartitionByRange("at", F.coalesce(F.col("i").cast("string"), F.lit(""))).sortWithinPartitions("at", "i").select("row.*")
+    found = placed(docs, id_col, text_col, source_col, whole=True, **options).where("copies > 0").select("__k", F.explode("positions").alias("at"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), row_key(docs, id_col, text_col, source_col).alias("k"))
+    one = rows.withColumn("n", F.row_number().over(Window.partitionBy("k").orderBy(F.lit(0)))).where("n = 1")
+    out = one.join(found, F.col("k") == F.col("__k")).select("row", "k", "at")
+    return out.repartitionByRange("at", "k").sortWithinPartitions("at", "k").select("row.*")

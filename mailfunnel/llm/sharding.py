@@ -11,7 +11,7 @@ import heapq
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import new_path, staged
+from .common import new_path, partitions, staged
 
 SLOTS = 4096
 MAP_SCHEMA = "version int, vslot int, shard int, bytes long"
@@ -19,7 +19,7 @@ MAP_SCHEMA = "version int, vslot int, shard int, bytes long"
 
 def virtual_slot(*cols, slots: int = SLOTS):
     """The slot of a record: the first 32 bits of an md5 of the columns as text, modulo the number of slots."""
-    text = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in cols])
+    text = F.concat_ws("|", *[F.col(c).cast("string") if c == "number" else F.coalesce(F.col(c).cast("string"), F.lit("")) for c in cols])
     return F.pmod(F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("long"), F.lit(slots)).cast("int")
 
 
@@ -82,13 +82,27 @@ def load_map(spark: SparkSession, path: str, version: int | None = None) -> list
     return sorted(tuple(r) for r in got.where(F.col("version") == F.lit(version)).collect())
 
 
+def numbered(records: DataFrame, run: int = 65_536) -> DataFrame:
+    """``records`` with ``number``: equal rows are counted, then stand 0, 1, 2... again.
+
+    They are alike, so none needs a place among the others: the count is summed before it moves, and written out in runs of
+    bounded length that are dealt to all tasks.
+    """
+    cols = records.columns
+    counts = records.groupBy(*cols).agg(F.count("*").alias("n"))
+    runs = counts.select(*cols, "n", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / run))).alias("part"))
+    many = runs.where("part > 0").repartition(partitions(records.sparkSession), *cols, "part")  # the first run of each record stays where it was counted
+    every = runs.where("part = 0").union(many)
+    return every.select(*cols, F.explode(F.sequence(F.col("part") * run, F.least(F.col("n"), (F.col("part") + 1) * run) - 1)).alias("number"))
+
+
 def sharded(docs: DataFrame, shards: int = 24, slots: int = SLOTS, id_col: str = "doc_id", text_col: str = "text", map_path: str | None = None, grow_to: int | None = None) -> DataFrame:
     """``id, size, text_crc32, law, shard, slot, grown_shard, vslot``: every record's shard under the law ``bytes``.
 
     size: UTF-8 bytes of the text (null: none) plus 8. slot: the record's place in its shard, without gaps from 0,
-    by (virtual slot, id, crc32). grown_shard is null under this law. Records hash by id and text size, so repeated
-    ids with other texts spread; rows repeated exactly share a slot. Null ids and null or empty texts are records like any
-    other. An empty table gives an empty result. Other columns are not read. Equal texts have equal crc32 and size, and go
+    by (virtual slot, id, crc32). grown_shard is null under this law. Records hash by id (null ids: by crc32) and text size, so
+    repeated ids with other texts spread; equal records (id, size, crc32) are numbered and hash by their number too, so they
+    spread as well. Null ids and null or empty texts are records like any other. An empty table gives an empty result. Other columns are not read. Equal texts have equal crc32 and size, and go
     where their ids' slots go: to keep one huge group of them in a shard would break the law of near-equal bytes.
     ``map_path``: the table of map versions (a new one in the shared folder if none is named); placements are read from
     what is stored there. ``grow_to``: a second version for so many shards is stored too, and ``next_shard`` is the
@@ -97,7 +111,10 @@ def sharded(docs: DataFrame, shards: int = 24, slots: int = SLOTS, id_col: str =
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
     records = docs.select(F.col(id_col).alias("id"), (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
-    records = staged(records.withColumn("vslot", virtual_slot("id", "size", slots=slots)), "records")
+    records = numbered(records)
+    alone = F.when(F.col("number") > 0, F.col("number"))  # the first of equal records goes by id and size alone
+    who = F.coalesce(F.col("id").cast("string"), F.concat(F.lit("~"), F.col("text_crc32").cast("string")))  # null ids stand by their texts
+    records = staged(records.withColumns({"number": alone, "who": who}).withColumn("vslot", virtual_slot("who", "size", "number", slots=slots)).drop("number", "who"), "records")
     map_path, sizes = map_path or new_path(spark, "slot-map"), slot_bytes(records, slots)
     store_map(spark, first_map(sizes, shards), map_path)
     rows, later = load_map(spark, map_path, 1), {}

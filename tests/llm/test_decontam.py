@@ -139,3 +139,25 @@ def test_planted_windows_have_the_edits():
     ids = np.arange(1, 41).reshape(2, 20)
     for row, was in zip(decontam.planted(ids[[0, 1] * 20], 4, rng).tolist(), ids[[0, 1] * 20].tolist()):
         assert 0 < nearest(row, was) <= 8 and len(row) == 20  # words put in push as many off the end
+
+
+def test_windows_meet_by_runs_where_no_walks_are_enough():
+    """A target that no number of walks reaches: nothing is lost then, and nothing false comes in."""
+    rng = random.Random(8)
+    vocab = ["w%d" % i for i in range(300)]
+    items = [(i, " ".join(rng.choice(vocab) for _ in range(rng.choice([3, 12, 20, 41])))) for i in range(30)]
+    docs = [*shortened(rng, items, vocab), (300, "")]
+    words = [decontam.tokens(t) for _, t in docs]
+    want = {(t, i): n for t, w in enumerate(words) for i, x in items for y in [x.split()] for n in [nearest(w, y)] if n <= int(0.2 * len(y))}
+    exact = decontam.Items(items, 0.2, 1, wide=True, recall=2.0)
+    assert set(exact.runs) == set(exact.tables) and decontam.walks_for(exact.tables[12][1], 2, recall=2.0) == 0
+    got = {(t, i): n for t, i, _, _, n in exact.search([np.array([exact.vocab.get(x, 0) for x in w], np.int64) for w in words])}
+    assert set(got) == set(want) and all(n >= want[k] for k, n in got.items())
+
+
+def test_ids_of_any_type_and_long_items(spark):
+    long = " ".join(f"v{i % 997}x{i}" for i in range(300))
+    bench = spark.createDataFrame([("a-1", "one two three four five"), ("b-2", long), (None, "six seven eight nine ten"), ("a-1", "one two three four five")], "name string, text string")
+    docs = spark.createDataFrame([("d", "ONE two three four five"), ("e", "x " * 200 + long.replace("v5x5 ", "") + " y" * 200), (None, "six seven eight nine eleven"), ("f", None)], "key string, text string")
+    got = decontam.matches(docs, bench, id_col="key", item_col="name", wide=True)
+    assert sorted((str(r.key), str(r.name), r.distance) for r in got.select("key", got["name"].alias("name"), "distance").collect()) == [("None", "None", 1), ("d", "a-1", 0), ("e", "b-2", 1)]
