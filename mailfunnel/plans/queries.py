@@ -422,6 +422,33 @@ def q_guard_stage(spark, d):
     return m.select("message_id", stages.guard_stage(F.col("stage"), F.concat_ws("\n", "subject", "body")).alias("stage"))
 
 
+#: What the text of a test mail supports of a stage, by the mail's true stage.
+GUARDED = "CASE {s} WHEN 'interview' THEN CASE stage WHEN 'interview' THEN 'interview' WHEN 'oa' THEN 'oa' ELSE 'applied' END WHEN 'oa' THEN CASE stage WHEN 'oa' THEN 'oa' WHEN 'interview' THEN 'interview' ELSE 'applied' END WHEN 'offer' THEN CASE stage WHEN 'offer' THEN 'offer' ELSE 'applied' END WHEN 'rejected' THEN CASE stage WHEN 'rejected' THEN 'rejected' ELSE 'applied' END ELSE {s} END"
+CLAIMS = ("interview", "oa", "offer", "rejected", "applied", "accepted", "declined")
+CLAIM = "CASE event_id % 7 " + " ".join(f"WHEN {i} THEN '{c}'" for i, c in enumerate(CLAIMS)) + " END"
+
+
+@query(with_sql(f"SELECT message_id, {CLAIM} AS claimed, {GUARDED.format(s=CLAIM)} AS stage FROM want WHERE relevant"))
+def q_guard_stage_lowered(spark, d):
+    """Every stage claimed of texts of every stage; those that a text does not support are lowered."""
+    m = testmail(spark, d).where("subject <> 'Morning briefing'").withColumn("claimed", F.element_at(F.array(*[F.lit(c) for c in CLAIMS]), (F.col("message_id").cast("long") % 7 + 1).cast("int")))
+    return m.select("message_id", "claimed", stages.guard_stage(F.col("claimed"), F.concat_ws("\n", "subject", "body")).alias("stage"))
+
+
+@query(with_sql(f"""SELECT message_id, CASE WHEN used THEN 'llm' ELSE 'rules' END AS source, NOT (used AND m = 1) AS relevant, CASE WHEN used AND m <> 7 THEN 'Verdict Works' ELSE company END AS company,
+CASE WHEN used AND m = 3 THEN 'Data Scientist' WHEN used AND m = 4 THEN NULL ELSE role END AS role, CASE WHEN NOT used THEN req WHEN m = 5 THEN req END AS req, CASE WHEN used AND m = 6 THEN {GUARDED.format(s="'offer'")} ELSE stage END AS stage
+FROM (SELECT *, event_id % 8 AS m, event_id % 8 <> 0 AND NOT (event_id % 8 = 1 AND stage IN ('rejected', 'offer')) AS used FROM want WHERE relevant)"""))
+def q_reconcile_branches(spark, d):
+    """L3, every branch: no verdict; one against a mail (rules' rejections and offers are rescued); a role, an empty role; an id that the text holds or not; a stage too high; a company that is none."""
+    rules = classify.classify_mail(testmail(spark, d), keep_evidence=True).where("relevant")
+    m, none = F.col("message_id").cast("long") % 8, F.lit(None).cast("string")
+    v = rules.where(m != 0).select(
+        "message_id", (m != 1).alias("relevant"), F.when(m == 6, "offer").otherwise(F.col("stage")).alias("stage"), F.when(m == 7, "Please click here").otherwise("Verdict Works").alias("company"),
+        F.when(m == 3, "Data Scientist").when(m == 4, "").otherwise(none).alias("role"), m.isin(3, 4).alias("has_role"), F.when(m == 5, F.coalesce("req", F.lit("99999"))).otherwise(none).alias("req"),
+    )
+    return verdicts.reconcile_verdicts(rules, v).select("message_id", "source", "relevant", "company", "role", "req", "stage")
+
+
 @query(with_sql("""SELECT message_id, subject, from_name, from_email, strftime(email_at, '%Y-%m-%d %H:%M:%S') AS sent, CASE WHEN event_id % 5 = 0 THEN '' ELSE body END AS body FROM mail"""))
 def q_raw_mail(spark, d):
     """X1-X4, X12 on payloads of S1's schema: plain and HTML parts, nested or not, quoted text, dates of both kinds, mails without a body."""
