@@ -34,8 +34,8 @@ from .common import bucketed, dropped, mix64, partitions, staged, steps, text_by
 
 BEGIN, END = 0, 1  # codes; END's class is never asked for
 CLASSES = 16
-CHUNK_TOKENS, CHUNK_DOCS, STEP_BYTES = 1_200_000, 32_000, 2_000_000
-BUCKET_TOKENS, SLICE_WORDS = 1_000_000, 300_000
+CHUNK_TOKENS, CHUNK_DOCS, STEP_BYTES = 900_000, 32_000, 2_000_000
+BUCKET_TOKENS, SLICE_WORDS = 600_000, 300_000
 THETA = (2.0, 2.0, 1.0)  # of contexts, classes, unigrams
 SEED = np.uint64(0x5EED)
 
@@ -131,7 +131,7 @@ def sized(texts: DataFrame, bucket_tokens: int, sample: int = 20_000) -> Layout:
     for r in used.groupBy(F.pmod("code", F.lit(CLASSES)).alias("k")).agg(F.sum("n").alias("n")).collect():
         weights[r.k] = r.n * times
     codes = lambda df: np.array(sorted(r.code % 2**64 for r in df.select("code").collect()), np.uint64)
-    hot = codes(used.where(F.col("n") * times > bucket_tokens // 4))  # at most 4 * tokens / bucket_tokens
+    hot = codes(used.where(F.col("n") * times > bucket_tokens * 5 // 12))  # at most 2.4 * tokens / bucket_tokens
     often = codes(counts.orderBy(F.desc("n"), "code").limit(1 << 16))
     parts = np.maximum(1, np.ceil(weights / bucket_tokens)).astype(np.int64)
     return Layout(parts, hot, often, max(16, int(distinct * times**0.8 * 3 // SLICE_WORDS)))
