@@ -10,11 +10,14 @@ from ..functions.steps import step
 
 
 def spread(mail: DataFrame) -> DataFrame:
-    """Mails over at least as many partitions as shuffles have: the work is in the patterns, not in the bytes. Streams stay as they are."""
+    """Mails over at least as many partitions as shuffles have, unless the plan's own estimate fills these already: the work is in the
+    patterns, not in the bytes. Nothing is run to find out. Streams stay as they are."""
     if mail.isStreaming:
         return mail
     n = int(mail.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return mail if mail.rdd.getNumPartitions() >= n else mail.repartition(n)
+    plan = mail._jdf.queryExecution()
+    size, each = int(str(plan.optimizedPlan().stats().sizeInBytes())), int(plan.sparkSession().sessionState().conf().filesMaxPartitionBytes())
+    return mail if size >= n * each else mail.repartition(n)
 
 
 def evidence(mail: DataFrame) -> DataFrame:

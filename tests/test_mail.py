@@ -267,3 +267,13 @@ def test_parts_at_any_depth(spark, tmp_path):
     (tmp_path / "m.json").write_text("\n".join(json.dumps(r) for r in rows))
     got = sorted((r.message_id, r.body) for r in mail.parse_messages(mail.read_raw_mail(spark, str(tmp_path)), "2026-02-01 00:00:00").collect())
     assert got == sorted([("nine", "deep down"), ("nine", "again"), ("first", "deep but first"), ("html", "A&B"), ("flat", "flat"), ("flat", "the same id twice"), ("edge", "five"), ("six", "six"), ("none", "root")])
+
+
+def test_planning_a_classification_runs_nothing(spark):
+    rows = spark.range(50).selectExpr("id % 3 as user_id", "cast(id as string) as message_id", "'s' as subject", "'n' as from_name", "'a@b.com' as from_email", "timestamp '2026-01-01' as email_at", "'' as snippet", "'hello' as body")
+    grouped = rows.groupBy(*rows.columns).count().drop("count")
+    spark.sparkContext.setJobGroup("planning", "no job is wanted")
+    out = classify.classify_mail(grouped)
+    assert not spark.sparkContext.statusTracker().getJobIdsForGroup("planning")
+    spark.sparkContext.setJobGroup("other", "")
+    assert out.count() == 50
