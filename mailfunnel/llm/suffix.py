@@ -1,34 +1,59 @@
-"""Removal of repeated byte strings by blockwise suffix sorting with precomputed cover-sample names (operator 10).
-
-Two equal strings of ``length`` bytes must be found wherever they start. A cover sample is a set of positions such
-that any two equal strings hold sampled positions at the same offset. A difference cover modulo v has that property
-with 7 to 9 % of all positions; here the sample is chosen by content (the smallest of the hashed ``gram``-byte
-strings in each window of ``length``), which has the same property with about 1.5 % of them, so that far less is
-shuffled. The sample is named first: ``h`` names the gram and ``ctx`` the whole neighbourhood that windows around it
-can touch. Suffix starts are then handled one bucket at a time, a bucket being the starts that share a sampled gram:
-if a bucket's neighbourhoods have one name and occur twice, all ties are resolved by that name; only buckets of
-several names are sorted by their windows, in blocks of bounded size. A bucket with very many names is dealt
-out window by window instead.
-
-Names are 64-bit hashes (windows: 128 bits): results are exact but for collisions, about n^2 / 2^65 for n names.
+"""Removal of repeated byte strings: difference-cover sample, then one bucket of suffixes at a time (operator 10).
+
+Positions whose remainder modulo v lies in a difference cover are sampled: for any two positions there is one offset
+below v at which both are sampled. With ``gram = length - v + 1``, two equal strings of ``length`` bytes therefore hold
+an equal sampled gram at the same offset. Texts are packed into chunks of about a megabyte, and
+
+1. the cover's grams are ranked bucket by bucket; a suffix with no repeated gram at any of its cover positions ties
+   with no other suffix over ``length`` bytes and is out;
+2. the suffixes that are left are sorted one bucket at a time, ``rounds`` rounds after each other, so that a round
+   moves and holds only its share of them; a suffix is known by the name of its first ``length`` bytes;
+3. suffixes that tie with a neighbour cover the bytes to remove.
+
+Grams and suffixes that a stretch of text repeats within itself are told apart there, and one of them goes on: so a
+bucket holds a string at most once a stretch, however often it stands in the corpus. Work inside a chunk goes by
+stretches of bounded size, also in one very long text. Names are hashes (grams 64 bits, suffixes 96): results are
+exact but for collisions.
 """
 
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import dropped, mix64, staged, text_bytes
+from .common import dropped, mix64, partitions, staged, text_bytes
 
 _BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
-_CHUNK = 2_000_000
-_BUCKET = 12_000
+_SALTS = 8
+
+
+@lru_cache(1)
+def difference_cover(q: int = 11) -> tuple[int, tuple[int, ...]]:
+    """A perfect difference set of q + 1 residues modulo v = q * q + q + 1, for a prime q: (v, residues).
+
+    Points of the projective plane over q elements are the powers of a cube root ``x`` of ``a x x + b x + c``; those
+    on one line make the set (Singer).
+    """
+    v = q * q + q + 1
+    for a, b, c in product(range(q), range(q), range(1, q)):
+        point, line = (1, 0, 0), []
+        for i in range(v):
+            if not point[2]:
+                line.append(i)
+            low, mid, top = point
+            point = (top * c % q, (low + top * b) % q, (mid + top * a) % q)
+        if len({(i - j) % v for i in line for j in line}) == v and len(line) == q + 1:
+            return v, tuple(line)
+    raise ValueError(f"no difference set for {q}")
 
 
 @lru_cache(4)
@@ -42,224 +67,267 @@ def _powers(size: int, which: int = 0) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
-def _prefix(data: np.ndarray, which: int = 0, axis_len: int | None = None) -> np.ndarray:
-    """Prefix sums of (byte + 1) * B^i, along the last axis."""
-    n = data.shape[-1]
-    up = _powers(axis_len or n, which)[0][:n]
-    out = np.zeros((*data.shape[:-1], n + 1), np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up, axis=-1, out=out[..., 1:])
-    return out
-
-
-def _slide(x: np.ndarray, w: int, of) -> np.ndarray:
-    """of (np.minimum or np.maximum) over x[i : i + w] for every i with a whole window."""
-    n = len(x)
-    fill = np.uint64(0) if of is np.maximum else np.uint64(2**64 - 1)
-    padded = np.full(-(-n // w) * w, fill, np.uint64)
-    padded[:n] = x
-    rows = padded.reshape(-1, w)
-    ahead = of.accumulate(rows, axis=1).ravel()
-    behind = of.accumulate(rows[:, ::-1], axis=1)[:, ::-1].ravel()
-    return of(behind[: n - w + 1], ahead[w - 1 : n])
-
-
-def _sample(texts: list[bytes], length: int, gram: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """For each text of at least ``length`` bytes: its index, and the positions, h and ctx of its sampled grams."""
-    todo = [i for i, t in enumerate(texts) if len(t) >= length]
-    while todo:
-        own, size = [], 0
-        while todo and (not own or size + len(texts[todo[0]]) <= _CHUNK):
-            own.append(todo.pop(0))
-            size += len(texts[own[-1]])
-        data = np.frombuffer(b"".join(texts[i] for i in own), np.uint8)
-        ends = np.cumsum([len(texts[i]) for i in own])
-        starts = np.concatenate([[0], ends[:-1]])
-        total, inv = _prefix(data, axis_len=max(size, _CHUNK)), _powers(max(size, _CHUNK))[1]
-        h = mix64((total[gram:] - total[:-gram]) * inv[: size - gram + 1]) | np.uint64(1)
-        w = length - gram + 1
-        least = _slide(h, w, np.minimum)  # by window start
-        owner_end = np.repeat(ends, ends - starts)
-        inside = np.arange(len(least)) + length <= owner_end[: len(least)]
-        least[~inside] = 0  # a window over two texts
-        most = _slide(np.concatenate([np.zeros(w - 1, np.uint64), least, np.zeros(w - 1, np.uint64)]), w, np.maximum)
-        at = np.flatnonzero(most == h)
-        which = np.searchsorted(ends, at, side="right")
-        a, b = np.maximum(at - (length - gram), starts[which]), np.minimum(at + length, ends[which])
-        shape = ((at - a) * (2 * length) + (b - at)).astype(np.uint64)
-        ctx = mix64((total[b] - total[a]) * inv[a] + mix64(shape))
-        cut = np.searchsorted(at, ends)
-        low = 0
-        for j, high in enumerate(cut):
-            yield own[j], at[low:high] - starts[j], h[at[low:high]], ctx[low:high]
-            low = high
-
-
-def _sampled(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """``docs(k, t)`` -> one row per text: k, pos, h, ctx (arrays)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _names(data: np.ndarray, at: np.ndarray, width: int, which: int, stretch: int) -> np.ndarray:
+    """Names of the strings of ``width`` bytes at the places ``at`` of a stretch."""
+    up, down = _powers(stretch + 1024, which)
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=total[1:])
+    return mix64((total[at + width] - total[at]) * down[at])
+
+
+def _inside(at: np.ndarray, ends: np.ndarray, width: int) -> np.ndarray:
+    """Those places from which ``width`` bytes lie in one text."""
+    return at[at + width <= ends[np.searchsorted(ends, at, side="right")]]
+
+
+def _ties(one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order by name; which of that order equal their predecessor; which equal any neighbour."""
+    order = np.argsort(one, kind="stable")
+    one, two = one[order], two[order]
+    again = np.zeros(len(one), bool)
+    again[1:] = (one[1:] == one[:-1]) & (two[1:] == two[:-1])
+    tied = again.copy()
+    tied[:-1] |= again[1:]
+    return order, again, tied
+
+
+def _dealt(c: int, at: np.ndarray, one: np.ndarray, two: np.ndarray, buckets: int) -> Iterator[tuple]:
+    """Rows (bucket, c, at, one, two) of a stretch: ties within it (no names), and one string of each name by bucket."""
+    order, again, tied = _ties(one, two)
+    if tied.any():
+        yield c % buckets, c, np.sort(at[order[tied]]).tobytes(), b"", b""
+    order = order[~again]
+    at, one, two = at[order].astype(np.int32), one[order], two[order]
+    bucket = ((one >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+    edges = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]])
+    for low, high in zip(edges[:-1].tolist(), edges[1:].tolist()):
+        if high > low:
+            yield int(bucket[low]), c, at[low:high].tobytes(), one[low:high].tobytes(), two[low:high].tobytes()
+
+
+def _batches(rows: Iterator[tuple], fields: list, most: int = 5000) -> Iterator[pa.RecordBatch]:
+    """Rows as Arrow batches of at most ``most`` rows and about 8 MB."""
+    names, kinds = zip(*fields)
+
+    def batch(got):
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*got), kinds)], names=list(names))
+
+    got, size = [], 0
+    for row in rows:
+        got.append(row)
+        size += sum(len(x) for x in row if isinstance(x, bytes))
+        if len(got) >= most or size > 8_000_000:
+            yield batch(got)
+            got, size = [], 0
+    if got:
+        yield batch(got)
+
+
+def _chunked(texts: DataFrame, most: int, stretch: int) -> DataFrame:
+    """``(k, t)`` -> chunks ``(c, ks, ends, data)`` of at most ``most`` whole texts and ``stretch`` bytes (a longer text is one alone)."""
+    fields = [("c", pa.int64()), ("ks", pa.binary()), ("ends", pa.binary()), ("data", pa.binary())]
+
+    def rows(batches):
+        number, ks, own, size = TaskContext.get().partitionId() << 32, [], [], 0
+
+        def chunk():
+            return number, np.array(ks, np.int64).tobytes(), np.cumsum([len(t) for t in own]).astype(np.int64).tobytes(), b"".join(own)
+
+        for b in batches:
+            for k, t in zip(b.column(0).to_pylist(), b.column(1)):
+                t = t.as_py()
+                if own and (size + len(t) > stretch or len(own) >= most):
+                    yield chunk()
+                    number, ks, own, size = number + 1, [], [], 0
+                ks.append(k)
+                own.append(t)
+                size += len(t)
+        if own:
+            yield chunk()
+
+    return texts.mapInArrow(lambda batches: _batches(rows(batches), fields), "c long, ks binary, ends binary, data binary")
+
+
+_DEALT = [("bucket", pa.int32()), ("c", pa.int64()), ("at", pa.binary()), ("one", pa.binary()), ("two", pa.binary())]
+_DEALT_SQL = "bucket int, c long, at binary, one binary, two binary"
+
+
+def _cover_grams(chunks: DataFrame, length: int, gram: int, buckets: int, stretch: int) -> DataFrame:
+    """The names of the grams at cover positions, dealt into buckets."""
+    v, line = difference_cover()
+
+    def rows(batches):
         for b in batches:
-            keys, texts = b.column(0).to_numpy(), b.column(1).to_pylist()
-            for low in range(0, len(texts), 500):
-                got = list(_sample(texts[low : low + 500], length, gram))
-                if got:
-                    offsets = pa.array(np.concatenate([[0], np.cumsum([len(p) for _, p, _, _ in got])]).astype(np.int32))
-                    lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([g[c] for g in got]).astype(kind) if c == 1 else np.concatenate([g[c] for g in got]).view(kind))) for c, kind in ((1, np.int32), (2, np.int64), (3, np.int64))]
-                    yield pa.RecordBatch.from_arrays([pa.array(keys[[low + g[0] for g in got]]), *lists], names=["k", "pos", "h", "ctx"])
+            for c, ends, data in zip(*(b.column(i).to_pylist() for i in range(3))):
+                ends, data = np.frombuffer(ends, np.int64), np.frombuffer(data, np.uint8)
+                for low in range(0, len(data), stretch):
+                    high = min(len(data), low + stretch)
+                    base = np.arange(low - low % v, high, v)
+                    at = (base[:, None] + np.array(line)).ravel()
+                    at = _inside(at[(at >= low) & (at < high)], ends, gram)
+                    one = _names(data[low : high + length], at - low, gram, 0, stretch)
+                    yield from _dealt(c, at.astype(np.int32), one, np.zeros(len(one), np.uint32), buckets)
 
-    return docs.mapInArrow(run, "k long, pos array<int>, h array<long>, ctx array<long>")
+    return chunks.select("c", "ends", "data").mapInArrow(lambda batches: _batches(rows(batches), _DEALT), _DEALT_SQL)
 
 
-def _contexts(texts: DataFrame, length: int, gram: int) -> DataFrame:
-    """``texts(k, t, places)`` -> a row for each needed neighbourhood: its bytes, where they lie, and the starts they allow."""
+def _suffixes(marked: DataFrame, length: int, gram: int, buckets: int, rounds: int, this: int, stretch: int) -> DataFrame:
+    """The names of this round's share of the suffixes that hold a repeated cover gram, dealt into buckets."""
     left = length - gram
-    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int32(), pa.binary())
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows(batches):
         for b in batches:
-            rows = []
-            for k, t, places in zip(*(b.column(i).to_pylist() for i in range(3))):
-                for p in places or ():
-                    if p["need"]:
-                        low = max(0, p["pos"] - left)
-                        rows.append((p["h"], k, p["pos"], p["full"], low - (p["pos"] - left), t[low : p["pos"] + length]))
-            for i in range(0, len(rows), 20_000):
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[i : i + 20_000]), kinds)], names=["h", "k", "pos", "full", "pad", "bytes"])
-
-    return texts.mapInArrow(run, "h long, k long, pos int, full boolean, pad int, bytes binary")
-
-
-def _matrix(pads: np.ndarray, bytes_: list[bytes], length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Neighbourhoods as rows of equal width; first and last allowed offset of a window in each."""
-    width = 2 * length - gram
-    joined = b"".join(b"\0" * p + x + b"\0" * (width - p - len(x)) for p, x in zip(pads.tolist(), bytes_))
-    sizes = np.array([len(x) for x in bytes_])
-    return np.frombuffer(joined, np.uint8).reshape(-1, width), pads, pads + sizes - length
-
-
-def _windows(m: np.ndarray, length: int, gram: int, which: int) -> np.ndarray:
-    total, w = _prefix(m, which), length - gram + 1
-    return mix64((total[:, length:] - total[:, :w]) * _powers(m.shape[1], which)[1][:w])
-
-
-def _sorted_buckets(contexts: DataFrame, length: int, gram: int) -> DataFrame:
-    """Buckets of several neighbourhoods -> ``(k, low, high)``: covered bytes. Buckets are sorted one block at a time."""
-    w = length - gram + 1
-
-    def block(h, k, pos, full, pads, bytes_) -> Iterator[pa.RecordBatch]:
-        m, first, last = _matrix(pads, bytes_, length, gram)
-        one, two = _windows(m, length, gram, 0), _windows(m, length, gram, 1)
-        offsets = np.arange(w)
-        ok = (offsets >= first[:, None]) & (offsets <= last[:, None])
-        row, a = np.nonzero(ok)
-        key = one[row, a] ^ mix64(h.view(np.uint64)[row] + a.astype(np.uint64))
-        order = np.argsort(key, kind="stable")
-        same = (key[order][1:] == key[order][:-1]) & (two[row, a][order][1:] == two[row, a][order][:-1])
-        hit = np.zeros(len(key), bool)
-        hit[order[1:][same]] = hit[order[:-1][same]] = True
-        found = np.zeros((len(h), w + 2), np.int8)
-        found[row[hit], a[hit] + 1] = 1
-        found[full] = 0  # their windows are all repeated, as is known already
-        turn = np.diff(found, axis=1)
-        r1, low = np.nonzero(turn == 1)
-        _, high = np.nonzero(turn == -1)
-        base = pos[r1] - (length - gram)
-        yield pa.RecordBatch.from_arrays([pa.array(k[r1]), pa.array((base + low).astype(np.int32)), pa.array((base + high - 1 + length).astype(np.int32))], names=["k", "low", "high"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [b for b in batches if b.num_rows]
-        if not got:
-            return
-        got = pa.Table.from_batches(got)
-        h = got.column("h").to_numpy()
-        order = np.argsort(h, kind="stable")
-        h = h[order]
-        edges = np.concatenate([[0], np.flatnonzero(np.diff(h)) + 1, [len(h)]])
-        low = 0
-        for i in range(1, len(edges)):
-            if i == len(edges) - 1 or edges[i + 1] - low > _BUCKET:
-                own = got.take(pa.array(order[low : edges[i]]))
-                yield from block(*(own.column(c).to_numpy() for c in ("h", "k", "pos")), own.column("full").to_numpy(zero_copy_only=False), own.column("pad").to_numpy(), own.column("bytes").to_pylist())
-                low = edges[i]
-
-    return contexts.repartition("h").mapInArrow(run, "k long, low int, high int")
-
-
-def _single_windows(contexts: DataFrame, length: int, gram: int) -> DataFrame:
-    """The same for buckets of very many neighbourhoods: every window by its own name, counted by Spark."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for c, ends, data, marks in zip(*(b.column(i).to_pylist() for i in range(4))):
+                ends, data, marks = np.frombuffer(ends, np.int64), np.frombuffer(data, np.uint8), np.frombuffer(marks, np.int32)
+                for low in range(0, len(data), stretch):
+                    high = min(len(data), low + stretch)
+                    near = marks[np.searchsorted(marks, low) : np.searchsorted(marks, high + left)]
+                    turn = np.bincount(np.maximum(near - left, low) - low, minlength=high - low + 1)[: high - low + 1]
+                    turn -= np.bincount(np.minimum(near + 1, high) - low, minlength=high - low + 1)
+                    at = _inside(np.flatnonzero(np.cumsum(turn[:-1])) + low, ends, length)
+                    one = _names(data[low : high + length], at - low, length, 0, stretch)
+                    own = one % np.uint64(rounds) == np.uint64(this)
+                    at, one = at[own], one[own]
+                    two = _names(data[low : high + length], at - low, length, 1, stretch)
+                    yield from _dealt(c, at.astype(np.int32), one, (two >> np.uint64(32)).astype(np.uint32), buckets)
+
+    return marked.select("c", "ends", "data", "marks").mapInArrow(lambda batches: _batches(rows(batches), _DEALT), _DEALT_SQL)
+
+
+def _repeated(dealt: DataFrame) -> DataFrame:
+    """Dealt names -> ``(c, at)``: the places of names that stand at two places or more. One bucket is sorted at a time."""
+
+    def bucket(own: list[tuple]) -> Iterator[tuple]:
+        c = np.repeat([r[1] for r in own], [len(r[2]) // 4 for r in own])
+        at, one, two = (np.frombuffer(b"".join(r[i] for r in own), kind) for i, kind in ((2, np.int32), (3, np.uint64), (4, np.uint32)))
+        order, _, tied = _ties(one, two)
+        hit = np.sort(order[tied])  # the rows' order: by chunk
+        c, at = c[hit], at[hit]
+        edges = np.concatenate([[0], np.flatnonzero(np.diff(c)) + 1, [len(c)]])
+        for low, high in zip(edges[:-1].tolist(), edges[1:].tolist()):
+            if high > low:
+                yield int(c[low]), at[low:high].tobytes()
+
+    def rows(batches):
+        own = []
         for b in batches:
-            for low in range(0, b.num_rows, 2000):
-                c = b.slice(low, 2000)
-                m, first, last = _matrix(c.column("pad").to_numpy(), c.column("bytes").to_pylist(), length, gram)
-                one, two = (_windows(m, length, gram, x).view(np.int64) for x in (0, 1))
-                offsets = np.arange(length - gram + 1)
-                row, a = np.nonzero((offsets >= first[:, None]) & (offsets <= last[:, None]))
-                at = c.column("pos").to_numpy()[row] - (length - gram) + a
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (c.column("h").to_numpy()[row], one[row, a], two[row, a], a.astype(np.int32), c.column("k").to_numpy()[row], at.astype(np.int32))], names=["h", "w1", "w2", "a", "k", "low"])
+            for row in zip(*(b.column(i).to_pylist() for i in range(5))):
+                if not row[3]:
+                    yield row[1], row[2]
+                    continue
+                if own and own[0][0] != row[0]:
+                    yield from bucket(own)
+                    own = []
+                own.append(row)
+        if own:
+            yield from bucket(own)
+
+    sorted_ = dealt.repartition("bucket").sortWithinPartitions("bucket", "c")
+    return sorted_.mapInArrow(lambda batches: _batches(rows(batches), [("c", pa.int64()), ("at", pa.binary())]), "c long, at binary")
+
+
+def _bitmaps(places: DataFrame) -> DataFrame:
+    """``(c, at)`` -> one row a chunk: a compressed bitmap of its places."""
+
+    def rows(batches):
+        for b in batches:
+            for c, parts in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                at = np.frombuffer(b"".join(parts), np.int32)
+                on = np.zeros(int(at.max()) + 1, bool)
+                on[at] = True
+                yield c, zlib.compress(np.packbits(on).tobytes(), 1)
+
+    found = places.groupBy("c").agg(F.collect_list("at").alias("parts"))
+    return found.mapInArrow(lambda batches: _batches(rows(batches), [("c", pa.int64()), ("bits", pa.binary())]), "c long, bits binary")
 
-    each = contexts.mapInArrow(run, "h long, w1 long, w2 long, a int, k long, low int")
-    twice = each.groupBy("h", "w1", "w2", "a").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    return each.join(twice, ["h", "w1", "w2", "a"]).select("k", "low", (F.col("low") + length).alias("high"))
 
+def _places(bits: list[bytes]) -> np.ndarray:
+    """Places set in any of the bitmaps, ascending."""
+    maps = [np.unpackbits(np.frombuffer(zlib.decompress(x), np.uint8)) for x in bits]
+    on = np.zeros(max(map(len, maps), default=0), np.uint8)
+    for m in maps:
+        on[: len(m)] |= m
+    return np.flatnonzero(on)
 
-def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, gram: int = 64, most: int = 20_000, keep_text: bool = False) -> DataFrame:
+
+def _marked(chunks: DataFrame, bits: DataFrame) -> DataFrame:
+    """Chunks cut down to the texts that hold repeated cover grams, with ``marks``, the places of these grams."""
+    fields = [("c", pa.int64()), ("ks", pa.binary()), ("ends", pa.binary()), ("data", pa.binary()), ("marks", pa.binary())]
+
+    def rows(batches):
+        for b in batches:
+            for c, ks, ends, data, found in zip(*(b.column(i).to_pylist() for i in range(5))):
+                ks, ends, at = np.frombuffer(ks, np.int64), np.frombuffer(ends, np.int64), _places([found])
+                starts = np.concatenate([[0], ends[:-1]])
+                text = np.searchsorted(ends, at, side="right")
+                used = np.unique(text)
+                now = np.cumsum((ends - starts)[used])
+                moved = np.zeros(len(ends), np.int64)
+                moved[used] = np.concatenate([[0], now[:-1]]) - starts[used]
+                yield c, ks[used].tobytes(), now.tobytes(), b"".join(data[starts[i] : ends[i]] for i in used.tolist()), (at + moved[text]).astype(np.int32).tobytes()
+
+    return chunks.join(bits, "c").mapInArrow(lambda batches: _batches(rows(batches), fields), "c long, ks binary, ends binary, data binary, marks binary")
+
+
+def _cut(marked: DataFrame, bits: DataFrame, length: int, keep_text: bool) -> DataFrame:
+    """One row for each text that loses bytes: k, n_removed, n_spans, kept_sha256, kept."""
+    fields = [("k", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())]
+
+    def rows(batches):
+        for b in batches:
+            for ks, ends, data, found in zip(*(b.column(i).to_pylist() for i in range(4))):
+                ks, ends, at = np.frombuffer(ks, np.int64), np.frombuffer(ends, np.int64), _places(found)
+                text = np.searchsorted(ends, at, side="right")
+                first = np.flatnonzero(np.concatenate([[True], (np.diff(at) > length) | (np.diff(text) > 0)]))
+                last = np.concatenate([first[1:], [len(at)]]) - 1
+                low, high, text = at[first], at[last] + length, text[first]
+                edges = np.concatenate([[0], np.flatnonzero(np.diff(text)) + 1, [len(text)]])
+                for i, j in zip(edges[:-1].tolist(), edges[1:].tolist()):
+                    t = int(text[i])
+                    outer = [0 if t == 0 else int(ends[t - 1]), *np.stack([low[i:j], high[i:j]], 1).ravel().tolist(), int(ends[t])]
+                    rest = b"".join(data[a:e] for a, e in zip(outer[::2], outer[1::2]))
+                    yield int(ks[t]), int((high[i:j] - low[i:j]).sum()), j - i, hashlib.sha256(rest).hexdigest(), rest if keep_text else None
+
+    every = bits.groupBy("c").agg(F.collect_list("bits").alias("bits"))
+    joined = marked.select("c", "ks", "ends", "data").join(every, "c").drop("c")
+    return joined.mapInArrow(lambda batches: _batches(rows(batches), fields), "k long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+
+
+def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, most: int = 20_000, keep_text: bool = False, rounds: int = 8, stretch: int = 1 << 20) -> DataFrame:
     """One row per input row: id, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256`` (and ``kept``, the bytes, if asked).
 
     A byte goes if it lies in a string of ``length`` bytes that starts anywhere else too, in this text or another.
     Null and empty texts have no bytes and lose none. Texts shorter than ``length`` are never touched. Repeated rows
     are copies of each other: they lose all their bytes. Ids may be null or repeated; other columns are not read. An
-    empty table gives an empty result. ``most``: buckets of more distinct neighbourhoods are dealt out by window.
+    empty table gives an empty result. ``rounds``: suffixes are sorted in so many rounds, each with its own share of
+    them. A chunk holds at most ``most`` texts and ``stretch`` bytes; a longer text is worked on by stretches of that
+    size. None of the three changes a result. ``length`` must be from 149 to 931 (the cover's modulus is 133).
     """
-    left = length - gram
-    base = docs.select(F.col(id_col).alias("id"), text_bytes(text_col).alias("t"))
-    base = base.withColumn("sha", F.sha2("t", 256)).withColumn("k", F.conv(F.substring("sha", 1, 15), 16, 10).cast("long"))
-    meta = base.select("id", "k", "sha", F.octet_length("t").cast("long").alias("n"))
-    counts = meta.groupBy("k").agg(F.count("*").alias("copies"), F.min("id").alias("first"))
-    sample = staged(_sampled(base.select("k", "t"), length, gram), "sample")
-    each = sample.select("k", F.explode(F.arrays_zip("pos", "h", "ctx")).alias("x")).select("k", "x.*")
-    twice = each.groupBy("h").agg(F.count("*").alias("n"), (F.min("ctx") != F.max("ctx")).alias("mixed")).where("n > 1").drop("n")
-    hits = staged(each.join(twice, "h").select("k", "pos", "h", "ctx", "mixed"), "hits")
-    dropped(sample)
-    names = staged(hits.where("mixed").groupBy("h", "ctx").agg(F.count("*").alias("n"), F.min(F.struct("k", "pos")).alias("one")), "names")
-    hot = staged(names.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > most).select("h"), "hot")
-    some = names.groupBy("h").agg(F.min("n").alias("rarest")).where("rarest = 1").select("h", F.lit(True).alias("open"))
-    known = hits.where("mixed").join(names, ["h", "ctx"]).join(some, "h", "left").select("k", F.struct("pos", "h", (F.col("n") > 1).alias("full"), (F.col("open") & (F.struct("k", "pos") == F.col("one"))).alias("need")).alias("p"))
-    plain = hits.where("not mixed").select("k", F.struct("pos", "h", F.lit(True).alias("full"), F.lit(False).alias("need")).alias("p"))
-    places = plain.union(known).groupBy("k").agg(F.collect_set("p").alias("places"))
-    heads = counts.join(places, "k").where((F.col("copies") == 1) | F.exists("places", lambda p: p["need"]))
-    with_text = staged(base.join(heads, "k").where(F.col("id").eqNullSafe(F.col("first"))).select("k", "t", "places", "copies"), "places")
-    dropped(hits)
-    contexts = staged(_contexts(with_text.select("k", "t", "places"), length, gram).dropDuplicates(["h", "k", "pos"]), "contexts")
-    runs = _sorted_buckets(contexts.join(hot, "h", "left_anti"), length, gram)
-    if not hot.isEmpty():
-        runs = runs.union(_single_windows(contexts.join(hot, "h", "left_semi"), length, gram))
-    more = runs.groupBy("k").agg(F.collect_set(F.struct("low", "high")).alias("runs"))
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for k, t, places, runs in zip(*(b.column(i).to_pylist() for i in range(4))):
-                mark = np.zeros(len(t) + 1, np.int32)
-                spans = [(max(0, p["pos"] - left), min(len(t), p["pos"] + length)) for p in places if p["full"]]
-                spans += [(r["low"], r["high"]) for r in runs or ()]
-                for a, e in spans:
-                    if e - a >= length:
-                        mark[a] += 1
-                        mark[e] -= 1
-                gone = np.cumsum(mark[:-1]) > 0
-                kept = np.frombuffer(t, np.uint8)[~gone].tobytes()
-                n_spans = int(np.count_nonzero(np.diff(np.concatenate([[0], gone.view(np.int8)])) == 1))
-                out.append((k, int(gone.sum()), n_spans, hashlib.sha256(kept).hexdigest(), kept if keep_text else None))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
-            cols = list(zip(*out)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["k", "n_removed", "n_spans", "kept_sha256", "kept"])
-
-    single = with_text.where("copies = 1").drop("copies").join(more, "k", "left").select("k", "t", "places", "runs")
-    done = single.mapInArrow(cut, "k long, n_removed long, n_spans long, kept_sha256 string, kept binary")
-    copy = (F.col("copies") > 1) & (F.col("n") >= length)
-    out = meta.join(counts.select("k", "copies"), "k").join(done, "k", "left")
+    gram = length - difference_cover()[0] + 1
+    if not 16 < gram < 800:
+        raise ValueError(f"a length of {length} bytes does not go with the cover's modulus")
+    buckets = 4 * partitions(docs.sparkSession)
+    base = docs.select(F.col(id_col).alias("id"), text_bytes(text_col).alias("t")).withColumn("sha", F.sha2("t", 256))
+    base = base.withColumn("k", F.conv(F.substring("sha", 1, 15), 16, 10).cast("long")).withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(_SALTS)))
+    meta = base.select("id", "k", "salt", "sha", F.octet_length("t").cast("long").alias("n"))
+    long_ = meta.where(F.col("n") >= length)
+    texts = base.where(F.octet_length("t") >= length).groupBy("k").agg(F.any_value("t").alias("t"))
+    chunks = staged(_chunked(texts, most, stretch), "chunks")
+    grams = staged(_bitmaps(_repeated(_cover_grams(chunks, length, gram, buckets, stretch))), "grams")
+    marked = staged(_marked(chunks, grams), "marked")
+    dropped(chunks)
+    dropped(grams)
+    found = [staged(_bitmaps(_repeated(_suffixes(marked, length, gram, buckets, rounds, i, stretch))), "tied") for i in range(rounds)]
+    bits = found[0]
+    for more in found[1:]:
+        bits = bits.union(more)
+    done = staged(_cut(marked, bits, length, keep_text), "cut")
+    for over in (marked, *found):
+        dropped(over)
+    copies = long_.groupBy("k").agg(F.count("*").alias("copies"), F.min("salt").alias("one"))
+    known = copies.join(done, "k", "left").withColumn("salt", F.explode(F.when(F.col("copies") > 1, F.sequence(F.lit(0), F.lit(_SALTS - 1))).otherwise(F.array(F.col("one").cast("int"))))).withColumn("salt", F.col("salt").cast("long"))
+    copy = F.col("copies") > 1
+    out = long_.join(known.drop("one"), ["k", "salt"])
     cols = [
         F.col("id").alias(id_col),
         F.col("n").alias("n_bytes"),
@@ -267,7 +335,12 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         F.when(copy, 1).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
         F.when(copy, F.sha2(F.lit(b""), 256)).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256"),
     ]
+    zero = F.lit(0).cast("long")
+    short = [F.col("id").alias(id_col), F.col("n").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.col("sha").alias("kept_sha256")]
+    brief = meta.where(F.col("n") < length)
     if keep_text:
-        out = out.join(base.select("k", F.col("t").alias("whole")).dropDuplicates(["k"]), "k")
+        out = out.join(texts.withColumnRenamed("t", "whole"), "k")
         cols.append(F.when(copy, F.lit(b"")).otherwise(F.coalesce("kept", "whole")).alias("kept"))
-    return out.select(*cols)
+        brief = base.select("id", "sha", "t", F.octet_length("t").cast("long").alias("n")).where(F.col("n") < length)
+        short.append(F.col("t").alias("kept"))
+    return out.select(*cols).unionByName(brief.select(*short))

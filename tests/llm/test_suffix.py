@@ -47,3 +47,30 @@ def test_as_brute_force(spark, most):
 
 def test_empty_table(spark):
     assert suffix.repeated_bytes(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_difference_cover():
+    v, line = suffix.difference_cover()
+    assert (v, len(line)) == (133, 12)
+    assert sorted((i - j) % v for i in line for j in line if i != j) == list(range(1, v))
+
+
+@pytest.mark.parametrize(("stretch", "rounds"), [(700, 3), (5000, 1)])
+def test_stretches_and_rounds(spark, stretch, rounds):
+    """Short stretches: texts longer than one, ties within and between them, strings over their edges."""
+    rows = made() + [(500, "x" * 199 + "".join(chr(97 + i * i % 23 % 7) for i in range(4000))), (501, "b" * 1500 + "é" * 900)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = suffix.repeated_bytes(df, stretch=stretch, rounds=rounds, keep_text=True).collect()
+    assert sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in found) == brute(rows, 200)
+    assert all(hashlib.sha256(r.kept).hexdigest() == r.kept_sha256 for r in found)
+
+
+def test_a_text_in_a_third_of_all_rows(spark):
+    rows = [(i, "one common text " * 20 if i % 3 == 0 else f"{i} " + "again " * 60 + str(i)) for i in range(600)]
+    found = suffix.repeated_bytes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in found) == brute(rows, 200)
+
+
+def test_unfit_length(spark):
+    with pytest.raises(ValueError):
+        suffix.repeated_bytes(spark.createDataFrame([], "doc_id long, text string"), length=100)
