@@ -12,8 +12,9 @@ an equal sampled gram at the same offset. Texts are packed into chunks of about
 
 Grams and suffixes that a stretch of text repeats within itself are told apart there, and one of them goes on: so a
 bucket holds a string at most once a stretch, however often it stands in the corpus. Work inside a chunk goes by
-stretches of bounded size, also in one very long text. Names are hashes (grams 64 bits, suffixes 96): results are
-exact but for collisions.
+stretches of bounded size, also in one very long text. Suffixes are named by 96 bits of hashes and
+their bucket: results are exact but for collisions. Grams have 32 bits and their bucket: two that share a name by chance
+only let suffixes into step 2 that tie with none there.
 """
 
 from __future__ import annotations
@@ -34,6 +35,7 @@ from .common import dropped, mix64, partitions, staged, text_bytes
 
 _BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 _SALTS = 8
+_HELD = 1_000_000
 
 
 @lru_cache(1)
@@ -85,24 +87,45 @@ def _ties(one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     order = np.argsort(one, kind="stable")
     one, two = one[order], two[order]
     again = np.zeros(len(one), bool)
-    again[1:] = (one[1:] == one[:-1]) & (two[1:] == two[:-1])
+    again[1:] = (one[1:] == one[:-1]) & (two[1:] == two[:-1]).all(axis=1)
     tied = again.copy()
     tied[:-1] |= again[1:]
     return order, again, tied
 
 
-def _dealt(c: int, at: np.ndarray, one: np.ndarray, two: np.ndarray, buckets: int) -> Iterator[tuple]:
-    """Rows (bucket, c, at, one, two) of a stretch: ties within it (no names), and one string of each name by bucket."""
-    order, again, tied = _ties(one, two)
-    if tied.any():
-        yield c % buckets, c, np.sort(at[order[tied]]).tobytes(), b"", b""
-    order = order[~again]
-    at, one, two = at[order].astype(np.int32), one[order], two[order]
-    bucket = ((one >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
-    edges = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]])
-    for low, high in zip(edges[:-1].tolist(), edges[1:].tolist()):
-        if high > low:
-            yield int(bucket[low]), c, at[low:high].tobytes(), one[low:high].tobytes(), two[low:high].tobytes()
+def _dealt(stretches: Iterator[tuple], buckets: int) -> Iterator[tuple]:
+    """Stretches (c, at, one, two) -> rows (bucket, cs, counts, at, one, two): ties within a stretch, without names, and one
+    string of each name by bucket. Rows hold what many stretches have for a bucket, so their number does not grow with
+    chunks times buckets. The bucket holds the upper half of ``one``, the row the lower.
+    """
+    held, size = [], 0
+
+    def rows() -> Iterator[tuple]:
+        c = np.repeat([x[0] for x in held], [len(x[1]) for x in held])
+        at, one, two = (np.concatenate([x[i] for x in held]) for i in (1, 2, 3))
+        bucket = ((one >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+        order = np.argsort(bucket, kind="stable")
+        bucket, c, at, one, two = bucket[order], c[order], at[order], one[order].astype(np.uint32), two[order]
+        edges = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]])
+        for low, high in zip(edges[:-1].tolist(), edges[1:].tolist()):
+            own = c[low:high]
+            turn = np.concatenate([[0], np.flatnonzero(np.diff(own)) + 1, [high - low]])
+            yield int(bucket[low]), own[turn[:-1]].tobytes(), np.diff(turn).astype(np.int32).tobytes(), at[low:high].tobytes(), one[low:high].tobytes(), two[low:high].tobytes()
+
+    for c, at, one, two in stretches:
+        order, again, tied = _ties(one, two)
+        if tied.any():
+            own = np.sort(at[order[tied]])
+            yield c % buckets, np.int64(c).tobytes(), np.int32(len(own)).tobytes(), own.tobytes(), b"", b""
+        order = order[~again]
+        if len(order):
+            held.append((c, at[order], one[order], two[order]))
+            size += len(order)
+        if size > _HELD:
+            yield from rows()
+            held, size = [], 0
+    if held:
+        yield from rows()
 
 
 def _batches(rows: Iterator[tuple], fields: list, most: int = 5000) -> Iterator[pa.RecordBatch]:
@@ -148,8 +171,8 @@ def _chunked(texts: DataFrame, most: int, stretch: int) -> DataFrame:
     return texts.mapInArrow(lambda batches: _batches(rows(batches), fields), "c long, ks binary, ends binary, data binary")
 
 
-_DEALT = [("bucket", pa.int32()), ("c", pa.int64()), ("at", pa.binary()), ("one", pa.binary()), ("two", pa.binary())]
-_DEALT_SQL = "bucket int, c long, at binary, one binary, two binary"
+_DEALT = [("bucket", pa.int32()), *((name, pa.binary()) for name in ("cs", "counts", "at", "one", "two"))]
+_DEALT_SQL = "bucket int, cs binary, counts binary, at binary, one binary, two binary"
 
 
 def _cover_grams(chunks: DataFrame, length: int, gram: int, buckets: int, stretch: int) -> DataFrame:
@@ -166,9 +189,9 @@ def _cover_grams(chunks: DataFrame, length: int, gram: int, buckets: int, stretc
                     at = (base[:, None] + np.array(line)).ravel()
                     at = _inside(at[(at >= low) & (at < high)], ends, gram)
                     one = _names(data[low : high + length], at - low, gram, 0, stretch)
-                    yield from _dealt(c, at.astype(np.int32), one, np.zeros(len(one), np.uint32), buckets)
+                    yield c, at.astype(np.int32), one, np.zeros((len(one), 0), np.uint64)
 
-    return chunks.select("c", "ends", "data").mapInArrow(lambda batches: _batches(rows(batches), _DEALT), _DEALT_SQL)
+    return chunks.select("c", "ends", "data").mapInArrow(lambda batches: _batches(_dealt(rows(batches), buckets), _DEALT), _DEALT_SQL)
 
 
 def _suffixes(marked: DataFrame, length: int, gram: int, buckets: int, rounds: int, this: int, stretch: int) -> DataFrame:
@@ -189,19 +212,22 @@ def _suffixes(marked: DataFrame, length: int, gram: int, buckets: int, rounds: i
                     own = one % np.uint64(rounds) == np.uint64(this)
                     at, one = at[own], one[own]
                     two = _names(data[low : high + length], at - low, length, 1, stretch)
-                    yield from _dealt(c, at.astype(np.int32), one, (two >> np.uint64(32)).astype(np.uint32), buckets)
+                    yield c, at.astype(np.int32), one, two[:, None]
 
-    return marked.select("c", "ends", "data", "marks").mapInArrow(lambda batches: _batches(rows(batches), _DEALT), _DEALT_SQL)
+    return marked.select("c", "ends", "data", "marks").mapInArrow(lambda batches: _batches(_dealt(rows(batches), buckets), _DEALT), _DEALT_SQL)
 
 
 def _repeated(dealt: DataFrame) -> DataFrame:
     """Dealt names -> ``(c, at)``: the places of names that stand at two places or more. One bucket is sorted at a time."""
 
     def bucket(own: list[tuple]) -> Iterator[tuple]:
-        c = np.repeat([r[1] for r in own], [len(r[2]) // 4 for r in own])
-        at, one, two = (np.frombuffer(b"".join(r[i] for r in own), kind) for i, kind in ((2, np.int32), (3, np.uint64), (4, np.uint32)))
+        cs, counts, at, one, two = (np.frombuffer(b"".join(r[i] for r in own), kind) for i, kind in enumerate((np.int64, np.int32, np.int32, np.uint32, np.uint64), 1))
+        c, two = np.repeat(cs, counts), two.reshape(len(at), -1)
+        if two.shape[1]:  # equal upper halves: sort by all that is left
+            two, one = one[:, None], two[:, 0]
         order, _, tied = _ties(one, two)
-        hit = np.sort(order[tied])  # the rows' order: by chunk
+        hit = order[tied]
+        hit = hit[np.argsort(c[hit], kind="stable")]
         c, at = c[hit], at[hit]
         edges = np.concatenate([[0], np.flatnonzero(np.diff(c)) + 1, [len(c)]])
         for low, high in zip(edges[:-1].tolist(), edges[1:].tolist()):
@@ -211,9 +237,9 @@ def _repeated(dealt: DataFrame) -> DataFrame:
     def rows(batches):
         own = []
         for b in batches:
-            for row in zip(*(b.column(i).to_pylist() for i in range(5))):
-                if not row[3]:
-                    yield row[1], row[2]
+            for row in zip(*(b.column(i).to_pylist() for i in range(6))):
+                if not row[4]:
+                    yield int(np.frombuffer(row[1], np.int64)[0]), row[3]
                     continue
                 if own and own[0][0] != row[0]:
                     yield from bucket(own)
@@ -222,7 +248,7 @@ def _repeated(dealt: DataFrame) -> DataFrame:
         if own:
             yield from bucket(own)
 
-    sorted_ = dealt.repartition("bucket").sortWithinPartitions("bucket", "c")
+    sorted_ = dealt.repartition("bucket").sortWithinPartitions("bucket")
     return sorted_.mapInArrow(lambda batches: _batches(rows(batches), [("c", pa.int64()), ("at", pa.binary())]), "c long, at binary")
 
 
@@ -306,7 +332,7 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     gram = length - difference_cover()[0] + 1
     if not 16 < gram < 800:
         raise ValueError(f"a length of {length} bytes does not go with the cover's modulus")
-    buckets = 4 * partitions(docs.sparkSession)
+    buckets = partitions(docs.sparkSession)
     base = docs.select(F.col(id_col).alias("id"), text_bytes(text_col).alias("t")).withColumn("sha", F.sha2("t", 256))
     base = base.withColumn("k", F.conv(F.substring("sha", 1, 15), 16, 10).cast("long")).withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(_SALTS)))
     meta = base.select("id", "k", "salt", "sha", F.octet_length("t").cast("long").alias("n"))
