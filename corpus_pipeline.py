@@ -20,7 +20,7 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest id, of each group linked by a Jaccard similarity of 0.8 over five-word shingles."""
+    """One document, that with the smallest id, of each group linked by a Jaccard similarity of 0.8 over five-word shingles; candidates by SimHash and trie self-join."""
     return neardup.keep_one(docs)
 
 

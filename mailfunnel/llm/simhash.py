@@ -9,7 +9,7 @@ pairs of their own children. Only a spanning set of links leaves a task, never a
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -75,22 +75,27 @@ def _rotated(x: np.ndarray, shift: int) -> np.ndarray:
     return x if shift == 0 else (x << np.uint64(shift)) | (x >> np.uint64(64 - shift))
 
 
-def _walk(values: np.ndarray, low: tuple[int, int], high: tuple[int, int], depth: int, errors: int, leaf: int = 48) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs of sorted rotated ``values`` within ``errors`` bits, from node pair (low, high) that share ``depth`` bits of path."""
+def _walk(values: np.ndarray, low: tuple[int, int], high: tuple[int, int], depth: int, errors: int, leaf: int = 48, root: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs of sorted rotated ``values`` within ``errors`` bits, from node pair (low, high) that share ``depth`` bits of path.
+
+    ``root``: node pairs whose values all have one root by now are left out.
+    """
     stack = [(*low, *high, depth, 0)]
     while stack:
         a, b, c, d, bit, wrong = stack.pop()
         same = (a, b) == (c, d)
         if a == b or c == d or (same and b - a < 2):
             continue
+        if root is not None and (root[a:b] == root[a]).all() and (root[c:d] == root[a]).all():
+            continue
         if (b - a) * (d - c) <= leaf * leaf or bit == 64:
-            x, y = np.meshgrid(np.arange(a, b), np.arange(c, d), indexing="ij")
-            x, y = x.ravel(), y.ravel()
-            if same:
-                x, y = x[x < y], y[x < y]
-            ok = np.bitwise_count(values[x] ^ values[y]) <= errors
-            if ok.any():
-                yield x[ok], y[ok]
+            for i in range(a, b, max(leaf, 512)):  # equal values can be many
+                x, y = np.nonzero(np.bitwise_count(values[i : min(b, i + max(leaf, 512)), None] ^ values[None, c:d]) <= errors)
+                x, y = x + i, y + c
+                if same:
+                    x, y = x[x < y], y[x < y]
+                if len(x):
+                    yield x, y
             continue
         mask = _ONE << np.uint64(63 - bit)
         cut = lambda p, q: p + int(np.searchsorted((values[p:q] & mask) != 0, True))
@@ -104,9 +109,8 @@ def _walk(values: np.ndarray, low: tuple[int, int], high: tuple[int, int], depth
                 stack.append((m, b, c, n, bit + 1, wrong + 1))
 
 
-def _links(values: np.ndarray, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """A forest that spans the linked values: (value, root) for each that has a link."""
-    root = np.arange(len(values))
+def _joined(root: np.ndarray, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> None:
+    """Joins in ``root``, in place, what the pairs link."""
     for x, y in pairs:
         while True:
             rx, ry = root[x], root[y]
@@ -115,7 +119,13 @@ def _links(values: np.ndarray, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -
                 break
             np.minimum.at(root, np.maximum(rx, ry)[differ], np.minimum(rx, ry)[differ])
             while not np.array_equal(jumped := root[root], root):
-                root = jumped
+                root[:] = jumped
+
+
+def _links(values: np.ndarray, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """A forest that spans the linked values: (value, root) for each that has a link."""
+    root = np.arange(len(values))
+    _joined(root, pairs)
     far = root != np.arange(len(values))
     return values[far], values[root[far]]
 
@@ -126,7 +136,7 @@ def trie_links(prints: DataFrame, errors: int = 4, most: int = 20_000) -> DataFr
     ``most``: subtries with more fingerprints are dealt out as pairs of child nodes (again and again, one more byte
     deep each time), so that no task holds an unbounded group.
     """
-    spark, blocks = prints.sparkSession, _blocks(errors)
+    blocks = _blocks(errors)
     arms = [
         prints.select(F.lit(r).alias("r"), F.expr(f"shiftrightunsigned({rot}, {64 - bits})").alias("node"), F.expr(rot).alias("v"))
         for r, (shift, bits) in enumerate(blocks)
@@ -136,14 +146,19 @@ def trie_links(prints: DataFrame, errors: int = 4, most: int = 20_000) -> DataFr
     for arm in arms[1:]:
         nodes = nodes.union(arm)
     nodes = nodes.select("r", F.col("node").alias("key"), F.col("node").alias("other"), F.lit(0).alias("side"), "v")
+    return walked(nodes, blocks, errors, most, lambda own: _local_links(own, blocks, errors))
+
+
+def walked(nodes: DataFrame, blocks: list[tuple[int, int]], errors: int, most: int, local: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What ``local`` finds in the node pairs of ``nodes(r, key, other, side, v, ...)``; those of more than ``most`` values are dealt out as pairs of children first."""
     found: list[DataFrame] = []
     for depth in range(8):
         big = staged(nodes.groupBy("r", "key", "other").agg(F.count("*").alias("n")).where(F.col("n") > most).drop("n"), "big")
         deepest = max(bits for _, bits in blocks) + 8 * (depth + 1) > 64
         if deepest or big.isEmpty():
-            found.append(_local_links(nodes, blocks, errors))
+            found.append(local(nodes))
             break
-        found.append(_local_links(nodes.join(big, ["r", "key", "other"], "left_anti"), blocks, errors))
+        found.append(local(nodes.join(big, ["r", "key", "other"], "left_anti")))
         nodes = staged(_children(nodes.join(big, ["r", "key", "other"], "left_semi"), blocks, errors, depth), "children")
     links = found[0]
     for more in found[1:]:
@@ -165,7 +180,22 @@ def _children(nodes: DataFrame, blocks: list[tuple[int, int]], errors: int, dept
     joined = byte.join(ends, ["r", "key", "other", "side", "c"])
     same_now = (F.col("s1") == F.col("s2")) & (F.col("c1") == F.col("c2"))
     key = F.xxhash64("key", "other", "s1", "c1", "s2", "c2")
-    return joined.select("r", key.alias("key"), F.when(same_now, key).otherwise(F.lit(-1) - key).alias("other"), F.when(same_now, F.lit(0)).otherwise(F.col("new")).alias("side"), "v")
+    return joined.select("r", key.alias("key"), F.when(same_now, key).otherwise(F.lit(-1) - key).alias("other"), F.when(same_now, F.lit(0)).otherwise(F.col("new")).alias("side"), *[c for c in nodes.columns if c not in ("r", "key", "other", "side")])
+
+
+def node_pairs(got: pa.Table) -> Iterator[tuple[int, tuple[int, int], tuple[int, int], list[np.ndarray]]]:
+    """The node pairs among rows ``(r, key, other, side, v, ...)``: r, both nodes' ranges of values, and the columns from v on, sorted by side and v."""
+    r, key, other, side, v, *more = (got.column(c).to_numpy() for c in range(got.num_columns))
+    v = v.view(np.uint64)
+    order = np.lexsort((v, side, other, key, r))
+    r, key, other, side, v, *more = (x[order] for x in (r, key, other, side, v, *more))
+    edge = np.flatnonzero((np.diff(r) != 0) | (np.diff(key) != 0) | (np.diff(other) != 0)) + 1
+    for p, q in zip([0, *edge], [*edge, len(v)]):
+        if q - p < 2:
+            continue
+        cut = p + int(np.searchsorted(side[p:q], 1))
+        first, second = ((0, q - p), (0, q - p)) if cut == q else ((0, cut - p), (cut - p, q - p))
+        yield int(r[p]), first, second, [x[p:q] for x in (v, *more)]
 
 
 def _local_links(nodes: DataFrame, blocks: list[tuple[int, int]], errors: int) -> DataFrame:
@@ -174,20 +204,9 @@ def _local_links(nodes: DataFrame, blocks: list[tuple[int, int]], errors: int) -
         got = [b for b in batches if b.num_rows]
         if not got:
             return
-        got = pa.Table.from_batches(got)
-        r, key, other, side, v = (got.column(c).to_numpy() for c in ("r", "key", "other", "side", "v"))
-        v = v.view(np.uint64)
-        order = np.lexsort((v, side, other, key, r))
-        r, key, other, side, v = (x[order] for x in (r, key, other, side, v))
-        edge = np.flatnonzero((np.diff(r) != 0) | (np.diff(key) != 0) | (np.diff(other) != 0)) + 1
         a, b = [], []
-        for p, q in zip([0, *edge], [*edge, len(v)]):
-            if q - p < 2:
-                continue
-            shift, bits = blocks[r[p]]
-            cut = p + int(np.searchsorted(side[p:q], 1))
-            own = v[p:q]
-            first, second = ((0, q - p), (0, q - p)) if cut == q else ((0, cut - p), (cut - p, q - p))
+        for r, first, second, (own,) in node_pairs(pa.Table.from_batches(got)):
+            shift, bits = blocks[r]
             # nodes of a split pair differ somewhere on their path: the walk restarts at the shared first block and prunes on
             x, y = _links(own, _walk(own, first, second, bits, errors))
             if shift:

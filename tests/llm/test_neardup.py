@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 import pytest
-from mailfunnel.llm import neardup
+from mailfunnel.llm import neardup, simhash
 
 
 def alike(a, b):
@@ -67,5 +67,42 @@ def test_bands_meet_at_the_threshold():
     assert met >= 1990
 
 
+def similar_pair(rng, small, large, common):
+    """Two sets of hashes and whether a trie's walk, within both budgets, brings them together."""
+    h = np.unique(rng.integers(0, 2**63, small + large - common, dtype=np.uint64))
+    x, y = h[:small], h[small - common :]
+    own = list(neardup._with_few([x])), list(neardup._with_few([y]))
+    for a in neardup.prints_of(own[0][0]):
+        for b in neardup.prints_of(own[1][0]):
+            wrong = np.bitwise_count(a ^ b)
+            near = (wrong <= neardup.WORD_ERRORS) & (wrong + np.roll(wrong, -1) <= neardup.ERRORS)
+            for shift, bits in simhash._blocks(neardup.TURNS - 1):
+                if (near & (simhash._rotated(a ^ b, shift) >> np.uint64(64 - bits) == 0)).any():
+                    return True
+    return False
+
+
+@pytest.mark.parametrize("small, large, common", [(4, 5, 4), (5, 6, 5), (8, 10, 8), (9, 9, 8), (45, 45, 40), (90, 90, 80), (400, 500, 400)])
+def test_walks_meet_at_the_threshold(small, large, common):
+    rng = np.random.default_rng(common)
+    assert sum(similar_pair(rng, small, large, common) for _ in range(400)) >= 399
+
+
+def test_candidates_come_from_the_tries_walk(spark, monkeypatch):
+    base = ["word%d" % i for i in range(100)]
+    rows = [(1, " ".join(base)), (2, " ".join(base[:50] + ["new"] + base[51:]))]
+    docs, calls = spark.createDataFrame(rows, "doc_id long, text string"), []
+    walked = neardup.walked
+    monkeypatch.setattr(neardup, "walked", lambda *a: calls.append(a[0].columns) or walked(*a))
+    assert [r.doc_id for r in neardup.keep_one(docs).collect()] == [1] and calls == [["r", "key", "other", "side", "v", "w", "k"]]
+
+
+def test_subtries_dealt_out_as_children(spark):
+    rows = made()
+    docs = spark.createDataFrame(rows[10:], "doc_id long, text string")
+    whole, dealt = (sorted(r.doc_id for r in neardup.keep_one(docs, most=most).collect()) for most in (20_000, 6))
+    assert whole == dealt
+
+
 def test_empty_table(spark):
     assert neardup.keep_one(spark.createDataFrame([], "doc_id long, text string")).count() == 0
