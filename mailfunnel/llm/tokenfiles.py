@@ -50,34 +50,41 @@ class Pieces(dict):
 
         super().__init__()
         self.older: dict[bytes, bytes] = {}
-        self.tokenizer, self.most, self.bytewise = tokenizer, most, ByteLevel(add_prefix_space=False, use_regex=False)
+        self.tokenizer, self.most, bytewise = tokenizer, most, ByteLevel(add_prefix_space=False, use_regex=False)
         made = json.loads(tokenizer.to_str())
         marked = all("<" in t["content"] for t in made["added_tokens"])
         # rules of the public tokenizer that the cuts rest on; with any other each piece goes to the library whole
         self.cuts = marked and made["normalizer"] == NORMALIZER and (made["pre_tokenizer"] or {}).get("pretokenizers") == [SPLIT, BYTES]
+        # what the library makes of each Latin letter's bytes, asked once; ASCII letters stay as they are
+        self.letters = {i: bytewise.pre_tokenize_str(chr(i))[0][0] for i in range(128, 0x250) if chr(i).isalpha()}
 
     def __missing__(self, piece: bytes) -> bytes:
-        if (ids := self.older.get(piece)) is not None:
-            pass
-        elif not self.cuts or b"<" in piece:
-            ids = self._encoded(piece)
-        elif piece.isascii() and piece.lower() != piece:
-            ids = self[piece.lower()]
-        elif (head := piece.rstrip(PUNCTUATION)) != piece and _latin(head[-1:] if head[-1:].isascii() else head.decode("utf-8", "replace")[-1:]):
-            ids = self[head] + self[piece[len(head) :]]
-        elif _latin(text := piece.decode("utf-8", "replace")) and text.lower() == text and unicodedata.is_normalized("NFC", text):
-            ((text, _),) = self.bytewise.pre_tokenize_str(text)
-            ids = np.array([t.id for t in self.tokenizer.model.tokenize(text)], "<u4").tobytes()
-        else:
-            ids = self._encoded(piece)
+        if (ids := self.older.get(piece)) is None:
+            if self.cuts and piece.isalpha() and piece.islower():  # bytes: ASCII only
+                ids = self._merged(piece.decode())
+            elif not self.cuts or b"<" in piece:
+                ids = self._encoded(piece)
+            elif piece.isascii() and piece.lower() != piece:
+                ids = self[piece.lower()]
+            elif (head := piece.rstrip(PUNCTUATION)) != piece and _latin(head[-1:] if head[-1:].isascii() else head.decode("utf-8", "replace")[-1:]):
+                ids = self[head] + self[piece[len(head) :]]
+            elif _latin(text := piece.decode("utf-8", "replace")) and text.lower() == text and unicodedata.is_normalized("NFC", text):
+                ids = self._merged(text.translate(self.letters))
+            else:
+                ids = self._encoded(piece)
         if len(self) >= self.most // 2:
             self.older = dict(self)
             self.clear()
         self[piece] = ids
         return ids
 
+    def _merged(self, text: str) -> bytes:
+        got = self.tokenizer.model.tokenize(text)
+        return struct.pack(f"<{len(got)}I", *[t.id for t in got])
+
     def _encoded(self, piece: bytes) -> bytes:
-        return np.array(self.tokenizer.encode(piece.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
+        ids = self.tokenizer.encode(piece.decode("utf-8", "replace"), add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
 
 
 class Encoder:

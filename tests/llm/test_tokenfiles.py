@@ -67,3 +67,27 @@ def test_broken_frame_is_noticed():
 
 def test_empty_table(spark):
     assert tokenfiles.read_back(tokenfiles.written(spark.createDataFrame([], "doc_id long, text string"), PATH)).count() == 0
+
+
+def test_letters_are_turned_into_bytes_once(monkeypatch):
+    from tokenizers import pre_tokenizers
+
+    asked = []
+
+    class Counted:
+        def __init__(self, **kinds):
+            self.own = real(**kinds)
+
+        def pre_tokenize_str(self, text):
+            asked.append(text)
+            return self.own.pre_tokenize_str(text)
+
+    real = pre_tokenizers.ByteLevel
+    monkeypatch.setattr(pre_tokenizers, "ByteLevel", Counted)
+    t, e = Tokenizer.from_file(PATH), tokenfiles.Encoder(PATH, None)
+    rng, before = random.Random(4), len(asked)
+    letters = [chr(i) for i in range(97, 0x250) if chr(i).isalpha()]
+    for _ in range(2000):
+        text = "".join(rng.choices(letters if rng.random() < 0.5 else letters[:26], k=rng.randint(1, 9)))
+        assert np.frombuffer(e([text.encode()])[0], "<u4").tolist() == t.encode(text, add_special_tokens=False).ids, text
+    assert len(asked) == before
