@@ -36,6 +36,7 @@ from .common import dropped, mix64, partitions, staged, text_bytes
 _BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 _SALTS = 8
 _HELD = 1_000_000
+_PART = 16
 
 
 @lru_cache(1)
@@ -217,54 +218,94 @@ def _suffixes(marked: DataFrame, length: int, gram: int, buckets: int, rounds: i
     return marked.select("c", "ends", "data", "marks").mapInArrow(lambda batches: _batches(_dealt(rows(batches), buckets), _DEALT), _DEALT_SQL)
 
 
-def _repeated(dealt: DataFrame) -> DataFrame:
-    """Dealt names -> ``(c, at)``: the places of names that stand at two places or more. One bucket is sorted at a time."""
+_TIED = [("part", pa.int32()), ("cs", pa.binary()), ("counts", pa.binary()), ("at", pa.binary())]
 
-    def bucket(own: list[tuple]) -> Iterator[tuple]:
+
+def _by_part(found: Iterator[tuple[np.ndarray, np.ndarray]], parts: int) -> Iterator[tuple]:
+    """Places (c, at) -> rows (part, cs, counts, at): what a task's buckets have for all the chunks of a part, about ``_PART``,
+    so that there are not as many rows as chunks times buckets."""
+    held, size = [], 0
+
+    def rows() -> Iterator[tuple]:
+        c, at = (np.concatenate([x[i] for x in held]) for i in range(2))
+        part = (mix64(c.view(np.uint64)) % np.uint64(parts)).astype(np.int32)
+        order = np.lexsort((c, part))
+        part, c, at = part[order], c[order], at[order]
+        edges = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [len(part)]])
+        for low, high in zip(edges[:-1].tolist(), edges[1:].tolist()):
+            own = c[low:high]
+            turn = np.concatenate([[0], np.flatnonzero(np.diff(own)) + 1, [high - low]])
+            yield int(part[low]), own[turn[:-1]].tobytes(), np.diff(turn).astype(np.int32).tobytes(), at[low:high].tobytes()
+
+    for c, at in found:
+        held.append((c, at))
+        size += len(c)
+        if size > _HELD:
+            yield from rows()
+            held, size = [], 0
+    if size:
+        yield from rows()
+
+
+def _repeated(dealt: DataFrame, parts: int) -> DataFrame:
+    """Dealt names -> ``(part, cs, counts, at)``: the places of names that stand at two places or more, by part of the chunks. One bucket is sorted at a time."""
+
+    def bucket(own: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
         cs, counts, at, one, two = (np.frombuffer(b"".join(r[i] for r in own), kind) for i, kind in enumerate((np.int64, np.int32, np.int32, np.uint32, np.uint64), 1))
         c, two = np.repeat(cs, counts), two.reshape(len(at), -1)
         if two.shape[1]:  # equal upper halves: sort by all that is left
             two, one = one[:, None], two[:, 0]
         order, _, tied = _ties(one, two)
         hit = order[tied]
-        hit = hit[np.argsort(c[hit], kind="stable")]
-        c, at = c[hit], at[hit]
-        edges = np.concatenate([[0], np.flatnonzero(np.diff(c)) + 1, [len(c)]])
-        for low, high in zip(edges[:-1].tolist(), edges[1:].tolist()):
-            if high > low:
-                yield int(c[low]), at[low:high].tobytes()
+        return c[hit], at[hit]
 
-    def rows(batches):
+    def found(batches):
         own = []
         for b in batches:
             for row in zip(*(b.column(i).to_pylist() for i in range(6))):
                 if not row[4]:
-                    yield int(np.frombuffer(row[1], np.int64)[0]), row[3]
+                    at = np.frombuffer(row[3], np.int32)
+                    yield np.full(len(at), np.frombuffer(row[1], np.int64)[0]), at
                     continue
                 if own and own[0][0] != row[0]:
-                    yield from bucket(own)
+                    yield bucket(own)
                     own = []
                 own.append(row)
         if own:
-            yield from bucket(own)
+            yield bucket(own)
 
     sorted_ = dealt.repartition("bucket").sortWithinPartitions("bucket")
-    return sorted_.mapInArrow(lambda batches: _batches(rows(batches), [("c", pa.int64()), ("at", pa.binary())]), "c long, at binary")
+    return sorted_.mapInArrow(lambda batches: _batches(_by_part(found(batches), parts), _TIED), "part int, cs binary, counts binary, at binary")
 
 
 def _bitmaps(places: DataFrame) -> DataFrame:
-    """``(c, at)`` -> one row a chunk: a compressed bitmap of its places."""
+    """``(part, cs, counts, at)`` -> ``(c, bits)``: one row a chunk, a compressed bitmap of its places. One part is held at a time."""
+
+    def part(own: list[tuple]) -> Iterator[tuple]:
+        cs, counts, at = (np.frombuffer(b"".join(r[i] for r in own), kind) for i, kind in enumerate((np.int64, np.int32, np.int32), 1))
+        order = np.argsort(cs, kind="stable")
+        starts = np.cumsum(counts) - counts
+        edges = np.concatenate([[0], np.flatnonzero(np.diff(cs[order])) + 1, [len(cs)]])
+        for low, high in zip(edges[:-1].tolist(), edges[1:].tolist()):
+            runs = [at[starts[i] : starts[i] + counts[i]] for i in order[low:high].tolist()]
+            on = np.zeros(max(int(x.max()) for x in runs) + 1, bool)
+            for x in runs:
+                on[x] = True
+            yield int(cs[order[low]]), zlib.compress(np.packbits(on).tobytes(), 1)
 
     def rows(batches):
+        own = []
         for b in batches:
-            for c, parts in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                at = np.frombuffer(b"".join(parts), np.int32)
-                on = np.zeros(int(at.max()) + 1, bool)
-                on[at] = True
-                yield c, zlib.compress(np.packbits(on).tobytes(), 1)
+            for row in zip(*(b.column(i).to_pylist() for i in range(4))):
+                if own and own[0][0] != row[0]:
+                    yield from part(own)
+                    own = []
+                own.append(row)
+        if own:
+            yield from part(own)
 
-    found = places.groupBy("c").agg(F.collect_list("at").alias("parts"))
-    return found.mapInArrow(lambda batches: _batches(rows(batches), [("c", pa.int64()), ("bits", pa.binary())]), "c long, bits binary")
+    sorted_ = places.repartition("part").sortWithinPartitions("part")
+    return sorted_.mapInArrow(lambda batches: _batches(rows(batches), [("c", pa.int64()), ("bits", pa.binary())]), "c long, bits binary")
 
 
 def _places(bits: list[bytes]) -> np.ndarray:
@@ -339,11 +380,12 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     long_ = meta.where(F.col("n") >= length)
     texts = base.where(F.octet_length("t") >= length).groupBy("k").agg(F.any_value("t").alias("t"))
     chunks = staged(_chunked(texts, most, stretch), "chunks")
-    grams = staged(_bitmaps(_repeated(_cover_grams(chunks, length, gram, buckets, stretch))), "grams")
+    parts = max(1, -(-chunks.count() // _PART))
+    grams = staged(_bitmaps(_repeated(_cover_grams(chunks, length, gram, buckets, stretch), parts)), "grams")
     marked = staged(_marked(chunks, grams), "marked")
     dropped(chunks)
     dropped(grams)
-    found = [staged(_bitmaps(_repeated(_suffixes(marked, length, gram, buckets, rounds, i, stretch))), "tied") for i in range(rounds)]
+    found = [staged(_bitmaps(_repeated(_suffixes(marked, length, gram, buckets, rounds, i, stretch), parts)), "tied") for i in range(rounds)]
     bits = found[0]
     for more in found[1:]:
         bits = bits.union(more)

@@ -71,6 +71,17 @@ def test_a_text_in_a_third_of_all_rows(spark):
     assert sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in found) == brute(rows, 200)
 
 
+def test_ties_go_back_by_parts_of_many_chunks(spark, monkeypatch):
+    """Not a row for each chunk and bucket: all chunks hold the same passage and its neighbours."""
+    rng, rows, real = random.Random(6), [], suffix._bitmaps
+    shared = " ".join(str(rng.random()) for _ in range(60))
+    texts = [(i, f"{i} {shared} {i * i}") for i in range(160)]
+    monkeypatch.setattr(suffix, "_bitmaps", lambda places: rows.append(places.count()) or real(places))
+    found = suffix.repeated_bytes(spark.createDataFrame(texts, "doc_id long, text string").repartition(4), stretch=1500, rounds=2).collect()
+    assert sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in found) == brute(texts, 200)
+    assert len(rows) == 3 and max(rows) <= 8 * 160 / 10  # 8 buckets, 160 chunks
+
+
 def test_unfit_length(spark):
     with pytest.raises(ValueError):
         suffix.repeated_bytes(spark.createDataFrame([], "doc_id long, text string"), length=100)
