@@ -17,7 +17,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
@@ -200,17 +199,12 @@ def _links(members: DataFrame, sets: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def _sets(docs: DataFrame, text_col: str, wanted: DataFrame) -> DataFrame:
-    """``(k, s)``: the shingle set of each wanted class."""
+def _sets(docs: DataFrame, text_col: str, heads: DataFrame) -> DataFrame:
+    """``(k, s)``: the shingle set of each class of ``heads(k, x)``, of its texts with hash x.
 
-    @tidied
-    def classes(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield pd.Series(np.array([_class(t) for t in texts], np.uint64).view(np.int64))
-
-    @F.pandas_udf("long")
-    def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        return classes(batches)
+    Texts are found by built-in functions, so that a task holds one Python worker: workers once started stay, and with
+    them the memory of all later stages.
+    """
 
     @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,14 +212,14 @@ def _sets(docs: DataFrame, text_col: str, wanted: DataFrame) -> DataFrame:
         for b in _parts(batches, 1):
             rows = []
             for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                if k != last:
+                if k != last and _class(t) == k % 2**64:  # a text of another class may have the hash too
                     rows.append((k, shingles(t).tobytes()))
-                last = k
+                    last = k
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows), (pa.int64(), pa.binary()))], names=["k", "s"])
 
-    texts = docs.select(text_bytes(text_col).alias("t")).withColumn("k", of("t")).select("k", "t")
-    return texts.join(wanted, "k").select("k", "t").mapInArrow(run, "k long, s binary").groupBy("k").agg(F.first("s").alias("s"))
+    texts = docs.select(text_bytes(text_col).alias("t"), F.xxhash64(text_col).alias("x"))
+    return texts.join(heads, "x").select("k", "t").mapInArrow(run, "k long, s binary").groupBy("k").agg(F.first("s").alias("s"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, most: int = 20_000) -> DataFrame:
@@ -238,7 +232,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bl
     ``most``: subtries of more fingerprints are dealt out as pairs of child nodes.
     """
     prints = staged(_printed(docs, id_col, text_col), "prints")
-    each = staged(prints.groupBy("k").agg(F.first("n").alias("n"), F.first("words").alias("words")), "classes")
+    each = staged(prints.groupBy("k").agg(F.first("n").alias("n"), F.first("words").alias("words"), F.min("x").alias("x")), "classes")
     met = staged(walked(_tries(each.select("k", "words")), _blocks(TURNS - 1) * PRINTS, WORD_ERRORS, most, _met), "met")
     dealt = staged(met.join(each.select("k", "n"), "k").select("k", "n", "h"), "buckets")
     buckets = dealt.groupBy("h").agg(F.count("*").alias("c"), F.expr("bit_xor(xxhash64(k))").alias("x"), F.min("k").alias("lo"), F.max("k").alias("hi"), F.sum("n").alias("n")).where("c > 1")
@@ -247,6 +241,6 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bl
     members = dealt.select("h", "k").join(buckets.select("h", F.ceil(F.col("n") / block).cast("int").alias("parts")), "h")
     own = F.pmod(F.xxhash64("k"), F.col("parts")).cast("int")
     members = staged(members.select("h", "k", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")).select("h", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "k"), "members")
-    links = _links(members, _sets(docs, text_col, members.select("k").distinct()))
+    links = _links(members, _sets(docs, text_col, each.select("k", "x").join(members.select("k"), "k", "left_semi")))
     rooted = prints.select("id", "x", "k").join(components(links), F.col("k") == F.col("node"), "left").select("id", "k", "x", F.coalesce("root", "k").alias("root"))
     return one_per_root(docs, rooted, id_col, text_col)

@@ -106,3 +106,34 @@ def test_subtries_dealt_out_as_children(spark):
 
 def test_empty_table(spark):
     assert neardup.keep_one(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def pythons(plan):
+    """The most Python nodes in one stage of a physical plan, and those in the stage of its top."""
+    name = plan.nodeName()
+    if name == "AdaptiveSparkPlan":
+        return pythons(plan.inputPlan())
+    below = [pythons(plan.children().apply(i)) for i in range(plan.children().size())]
+    own = sum(top for _, top in below) + ("Arrow" in name or "Python" in name or "Pandas" in name)
+    return max([own, *(most for most, _ in below)]), 0 if "Exchange" in name else own
+
+
+def test_no_task_holds_two_python_workers(spark, monkeypatch):
+    plans, staged = [], neardup.staged
+    seen = lambda df: plans.append(pythons(df._jdf.queryExecution().executedPlan())[0])
+    monkeypatch.setattr(neardup, "staged", lambda df, name: seen(df) or staged(df, name))
+    components = neardup.components
+    monkeypatch.setattr(neardup, "components", lambda links: seen(links) or components(links))
+    seen(neardup.keep_one(spark.createDataFrame(made(), "doc_id long, text string")))
+    assert len(plans) == 7 and max(plans) == 1
+
+
+def test_sets_are_of_the_class_asked_for(spark):
+    texts = ["a b c d e f", "A b c d e F", "another text of six words here", "not asked for"]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    x = {r.text: r.x for r in docs.selectExpr("text", "xxhash64(text) as x").collect()}
+    k = {t: int(np.array([neardup._class(t.encode())], np.uint64).view(np.int64)[0]) for t in texts}
+    # the last row gives a class the hash of a text that is not of the class, as if two hashes were equal
+    heads = spark.createDataFrame([(k[texts[0]], x[texts[1]]), (k[texts[2]], x[texts[2]]), (k[texts[2]], x[texts[0]])], "k long, x long")
+    got = {r.k: bytes(r.s) for r in neardup._sets(docs, "text", heads).collect()}
+    assert got == {k[t]: neardup.shingles(t.encode()).tobytes() for t in (texts[0], texts[2])}
