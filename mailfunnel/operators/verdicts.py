@@ -43,14 +43,13 @@ def reconcile_verdicts(rules: DataFrame, verdicts: DataFrame) -> DataFrame:
     v = verdicts.select("message_id", *[F.col(c).alias(f"v_{c}") for c in ("relevant", "stage", "company", "role", "has_role", "req")])
     j = rules.join(v, "message_id", "left")
     has, text, k = F.col("v_relevant").isNotNull(), F.col("_text"), F.col("_kind")
-    shut = gates.hard_irrelevant(text, F.col("_gates"))
-    company = names.clean_company(F.col("v_company"))
-    company = F.when(names.is_plausible_company(company) & (F.col("v_company") != lx.UNKNOWN), company).otherwise(F.col("company"))
+    shut = gates.hard_irrelevant(text, F.col("_gates"), "_low")
+    company = F.coalesce(F.when(F.col("v_company") != lx.UNKNOWN, names.plausible_company(F.col("v_company"))), F.col("company"))
     role = F.when(~F.col("v_has_role"), F.col("role")).otherwise(names.sanitize_role(F.col("v_role")))
     req = F.upper(F.regexp_replace("v_req", "[^A-Za-z0-9]", ""))
     req = F.when(F.length(req).between(4, 16) & ~req.rlike(r"^20\d\d$") & F.upper(text).contains(F.upper("v_req")), req)
     ordinary = ~(k["board"] | k["noise"] | k["freemail"])
     rescued = ~F.col("v_relevant") & F.col("relevant") & F.col("stage").isin("rejected", "offer") & (F.col("confidence") >= 0.7) & ordinary
     use = has & ~rescued
-    new = {"relevant": F.when(use, F.col("v_relevant") & ~shut).otherwise(F.col("relevant")), "company": F.when(use, company).otherwise(F.col("company")), "role": F.when(use, role).otherwise(F.col("role")), "req": F.when(use, req).otherwise(F.col("req")), "stage": F.when(use, stages.guard_stage(F.col("v_stage"), text)).otherwise(F.col("stage")), "confidence": F.when(use, 0.92).otherwise(F.col("confidence")), "source": F.when(use, "llm").otherwise(F.col("source"))}
+    new = {"relevant": F.when(use, F.col("v_relevant") & ~shut).otherwise(F.col("relevant")), "company": F.when(use, company).otherwise(F.col("company")), "role": F.when(use, role).otherwise(F.col("role")), "req": F.when(use, req).otherwise(F.col("req")), "stage": F.when(use, stages.guard_stage(F.col("v_stage"), text, "_low")).otherwise(F.col("stage")), "confidence": F.when(use, 0.92).otherwise(F.col("confidence")), "source": F.when(use, "llm").otherwise(F.col("source"))}
     return step(j, new).select(*[c for c in rules.columns if not c.startswith("_")])
