@@ -60,6 +60,6 @@ def copies(df):
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
-@pytest.mark.parametrize("name", ["reconcile_branches"])
+@pytest.mark.parametrize("name", ["reconcile_branches", "reconcile_verdicts"])
 def test_rules_are_worked_out_once(spark, name):
     assert copies(queries.queries()[name](spark, DATA)) == 0  # classified contents are stored, both branches read them
