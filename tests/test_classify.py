@@ -72,7 +72,7 @@ def one_hash(df):
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
-@pytest.mark.parametrize("name", ["score_summary", "classified_mail", "mail_to_board"])
+@pytest.mark.parametrize("name", ["score_summary", "classified_mail", "mail_to_board", "cards_by_key"])
 def test_contents_are_hashed_once(spark, name):
     df = queries.queries()[name](spark, DATA)
     assert copies(df) == 1 and one_hash(df)
